@@ -146,7 +146,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     component = classes.select("key", "id").join(label, "id", "left").select("key", F.coalesce("component", "id").alias("class_id"))
     component = scratch.save(component, "components")
     out = first.select("doc_id", "n_shingles", "key").join(component, "key", "left").withColumn("component_id", F.coalesce("class_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return scratch.result(out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")))
 
 
 def _stars(members: DataFrame, scratch: Scratch) -> DataFrame:

@@ -220,4 +220,4 @@ def pack(docs: DataFrame, window: int = 2048, tokenizer: str | None = None) -> D
     fixed = fixed.select("doc_id", F.expr("doc_tokens - r.tail").alias("start"), F.col("r.tail").alias("length"), F.col("tail_crc").alias("ids_crc32"), "doc_tokens", F.expr("s.sequence + r.rank - s.low").alias("sequence_id"), "offset")
     loose = ranked.where("rank >= taken").select("doc_id", "doc_tokens", "tail", "ids", F.expr("stream + (rank - taken) * tail").alias("place"), F.lit(used).cast("long").alias("first_sequence"))
     loose = loose.mapInArrow(_cut(window, Encoder(path).width), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-    return full.union(fixed).union(loose)
+    return scratch.result(full.union(fixed).union(loose))

@@ -28,17 +28,27 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: list[str] = []
         atexit.register(self._close)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return it as read back."""
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing lazy still reads."""
         for name in names:
             self._delete(f"{self.path}/{name}")
+            self.names.remove(name)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """Write an operator's result and delete the tables that it was made from."""
+        earlier = list(self.names)
+        out = self.save(df, "result")
+        self.drop(*earlier)
+        return out
 
     def _delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm

@@ -309,7 +309,7 @@ def _hashed_windows(length: int):
 
 
 def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Remove marked ranges: (doc_id, th, n_removed, n_spans, kept)."""
+    """Remove marked ranges; kept_text leaves out characters that a cut has broken."""
     for batch in it:
         raw, offsets = tx.buffers(batch.column("text"))
         removed, spans, kept = [], [], []
@@ -326,7 +326,8 @@ def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed.append(int(gone.sum()))
             spans.append(int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()))
             kept.append(body[~gone].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "th", "n_removed", "n_spans", "kept"])
+        texts = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), texts], names=["doc_id", "th", "n_removed", "n_spans", "kept", "kept_text"])
 
 
 def marks(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
@@ -374,8 +375,8 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     a smaller place. All strings are judged on the input.
 
     Returns a row per input row: doc_id, th (hash of the text where doc_ids repeat, else 0), n_bytes,
-    n_removed, n_spans (maximal removed runs), kept (binary: the other bytes; null where nothing is
-    removed, as the text then stays), kept_sha256. Rows that repeat both doc_id and text are one document and get one
+    n_removed, n_spans (maximal removed runs), kept_text (what is left, without characters that a cut has broken; null where
+    nothing is removed, as the text then stays), kept_sha256 (of the bytes left). Rows that repeat both doc_id and text are one document and get one
     result; different texts under one doc_id come in the order of their hashes. A null doc_id
     comes before all others. Texts shorter than ``length`` stay whole. Empty table: no rows.
     """
@@ -387,11 +388,12 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     plain = plain.withColumn("th", F.lit(0).cast("long") if unique else F.xxhash64("text"))
     keyed = plain.select("doc_id", "th", "text")
     marked = marks(keyed if unique else keyed.dropDuplicates(["doc_id", "th"]), length, scratch)
-    cut = scratch.save(marked.mapInArrow(_cut, "doc_id long, th long, n_removed long, n_spans long, kept binary").where("n_removed > 0"), "cut")
+    cut = marked.mapInArrow(_cut, "doc_id long, th long, n_removed long, n_spans long, kept binary, kept_text string").where("n_removed > 0")
+    cut = scratch.result(cut.select("doc_id", "th", "n_removed", "n_spans", "kept_text", F.sha2("kept", 256).alias("kept_sha256")))
     base = plain.select("doc_id", "th", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
-    out = base.join(cut.withColumn("kept_sha256", F.sha2("kept", 256)), ["doc_id", "th"], "left")
+    out = base.join(cut, ["doc_id", "th"], "left")
     zero = F.lit(0).cast("long")
     return out.select(
         F.when(F.col("doc_id") != MISSING, F.col("doc_id")).alias("doc_id"), "th", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"),
-        F.coalesce("n_spans", zero).alias("n_spans"), "kept", F.coalesce("kept_sha256", "whole").alias("kept_sha256"),
+        F.coalesce("n_spans", zero).alias("n_spans"), "kept_text", F.coalesce("kept_sha256", "whole").alias("kept_sha256"),
     )

@@ -96,14 +96,14 @@ def select_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], pr
     return np.sort(words[clear[np.argsort(-z[clear], kind="stable")[:most]]])
 
 
-def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], dims: int, prior: float, rounds: int = 1500, rate: float = 0.1, l2: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias from the non-negative risk with the logistic loss, by Adam on whole samples.
+def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], dims: int, prior: float, rounds: int = 800, rate: float = 0.05, l2: float = 1e-6) -> tuple[np.ndarray, float]:
+    """Weights and bias from the non-negative risk with the sigmoid loss (bounded, so no text can outweigh the others), by Adam on whole samples.
 
     Where the estimate of the negatives' risk falls below zero, the step goes against it, as the method asks.
     """
     w = np.zeros(dims + 1)
+    w[dims] = np.log(prior / (1 - prior))
     if not positive or not unlabelled:
-        w[dims] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
         return w[:dims], float(w[dims])
     flat = [(np.repeat(np.arange(len(s)), [len(x) for x in s]), np.concatenate([*s, np.empty(0, np.int64)]).astype(np.int64), len(s)) for s in (positive, unlabelled)]
     margin = lambda row, at, n: np.bincount(row, weights=w[at], minlength=n) + w[dims]
@@ -111,9 +111,10 @@ def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], dims: int, pr
     m, v = np.zeros(dims + 1), np.zeros(dims + 1)
     for t in range(1, rounds + 1):
         zp, zu = margin(*flat[0]), margin(*flat[1])
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_negative = back(*flat[1], sigmoid(zu)) - prior * back(*flat[0], sigmoid(zp))
-        g = prior * back(*flat[0], sigmoid(zp) - 1) + g_negative if negative >= 0 else -g_negative
+        sp, su = sigmoid(zp), sigmoid(zu)
+        negative = su.mean() - prior * sp.mean()
+        g_negative = back(*flat[1], su * (1 - su)) - prior * back(*flat[0], sp * (1 - sp))
+        g = g_negative - prior * back(*flat[0], sp * (1 - sp)) if negative >= 0 else -g_negative
         g[:dims] += l2 * w[:dims]
         m = 0.9 * m + 0.1 * g
         v = 0.999 * v + 0.001 * g * g
@@ -121,7 +122,7 @@ def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], dims: int, pr
     return w[:dims], float(w[dims])
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 4000, prior: float | None = None) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most: int = 3000, prior: float | None = None) -> Model:
     """A model from at most ``most`` toxic and 2 * ``most`` unlabelled texts; ``docs``: (doc_id, text), of the training fold.
 
     The class prior is that of all labels unless given.
@@ -153,14 +154,29 @@ def _scored(shared):
     return run
 
 
-def fitted(docs: DataFrame, labels: DataFrame, folds: int = 5, out: int = 0, most: int = 4000) -> Model:
+def _accepted(shared):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
+        for batch in it:
+            yield batch.filter(pa.array(model.scores(*tx.buffers(batch.column("text"))) < 0.5))
+
+    return run
+
+
+def accepted(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the model of :func:`score` does not call toxic."""
+    model = fitted(docs, labels, **parameters)
+    return docs.mapInArrow(_accepted(docs.sparkSession.sparkContext.broadcast(model)), docs.schema)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, folds: int = 5, out: int = 0, most: int = 3000) -> Model:
     """The model of :func:`score`."""
     batches(docs.sparkSession)
     inside = F.coalesce(fx.fold("doc_id", folds) != out, F.lit(False))
     return train(docs.where(inside).select("doc_id", F.col("text").cast("string").alias("text")), labels.where(inside).select("doc_id", F.col("toxic").cast("int").alias("toxic")), most)
 
 
-def score(docs: DataFrame, labels: DataFrame, folds: int = 5, out: int = 0, most: int = 4000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, folds: int = 5, out: int = 0, most: int = 3000) -> DataFrame:
     """The toxicity of every whole text of ``docs`` (doc_id, text), as ``labels`` (doc_id, toxic 0/1) mark it.
 
     Learns from rows whose crc32(doc_id as text) modulo ``folds`` is not ``out``. Returns a row per input row: doc_id, held_out,

@@ -250,7 +250,8 @@ def round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
     fs, root = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(root)
     archives = scratch.save(write(pages, folder, least), "manifest")
+    scratch.names.append("archives")
     found = read(spark, archives, folder)
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(.*)>$', 1) as bigint)")
     checked = F.when(F.col("valid"), F.col("record_type")).otherwise(F.raise_error(F.concat(F.lit("digest differs: "), "record_id")))
-    return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", checked.alias("record_type"), number("refers_to").alias("refers_to"))
+    return scratch.result(found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", checked.alias("record_type"), number("refers_to").alias("refers_to")))
