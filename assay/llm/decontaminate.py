@@ -22,7 +22,7 @@ from .scratch import Scratch, batches
 WORD = np.zeros(256, dtype=bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True
 BLOCK = 1 << 20  # test terms in one broadcast: 8 MB
-SLOTS = 3  # lists intersected before the text is looked at
+SLOTS = 2  # lists intersected before the text is looked at
 
 
 def _windows(length: int):
@@ -171,37 +171,43 @@ def occurrences(docs: DataFrame, tests: DataFrame, length: int = 13, slop: int =
     item_type = tests.schema["item_id"].dataType.simpleString()
     every = tests.select("item_id", F.col("text").cast("string")).mapInArrow(_windows(length), f"item_id {item_type}, phrase binary, terms array<long>").distinct()
     every = scratch.save(every, "windows")
-    windows = scratch.save(every.select("phrase", "terms").distinct(), "phrases")
-    places = windows.select("phrase", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
+    windows = every.select("phrase", "terms").distinct().withColumn("window", F.monotonically_increasing_id())
+    windows = scratch.save(windows, "phrases")
+    places = windows.select("window", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
 
     counted = _passes(spark, keyed, places.select("term").distinct(), scratch, id_type)
     words = counted.where("n_words is not null").select("doc_id", "th", "n_words")
     counts = counted.where("term is not null").groupBy("term").agg(F.sum("n").alias("n"))
     counts = scratch.save(counts, "counts")
-    by_rarity = Window.partitionBy("phrase").orderBy("n", "offset")
-    slots = places.join(counts, "term").withColumn("rank", F.row_number().over(by_rarity)).withColumn("known", F.count("*").over(Window.partitionBy("phrase")))
-    wanted = 1 if slop else SLOTS
-    slots = slots.where(F.expr(f"known = size and rank <= {wanted}")).select("phrase", "term", "offset", F.expr("shiftleft(1, rank - 1)").alias("bit"), F.expr(f"shiftleft(1, least({wanted}, size)) - 1").alias("needed"))
-    slots = scratch.save(slots, "slots")
+    by_rarity = Window.partitionBy("window").orderBy("n", "offset")
+    slots = places.join(counts, "term").withColumn("rank", F.row_number().over(by_rarity)).withColumn("known", F.count("*").over(Window.partitionBy("window")))
+    slots = scratch.save(slots.where(F.expr(f"known = size and rank <= {1 if slop else SLOTS}")).select("window", "rank", "term", "offset"), "slots")
 
     postings = None
     for block in _blocks(spark, slots.select("term").distinct(), scratch, "chosen"):
         part = keyed.mapInArrow(_postings(block), f"term long, doc_id {id_type}, th long, positions array<int>")
         postings = part if postings is None else postings.union(part)
     postings = scratch.save(postings, "postings")
-    shifted = postings.join(slots, "term").select("phrase", "needed", "doc_id", "th", "bit", F.explode("positions").alias("position"), "offset")
-    start = F.col("position") - (F.lit(0) if slop else F.col("offset"))
-    met = shifted.select("phrase", "needed", "doc_id", "th", "bit", start.alias("start")).where("start >= 0").groupBy("phrase", "needed", "doc_id", "th", "start").agg(F.bit_or("bit").alias("bits"))
-    met = met.where("bits = needed").groupBy("doc_id", "th").agg(F.collect_list(F.struct("phrase", "start")).alias("candidates"))
+    first = slots.where("rank = 1").withColumnRenamed("offset", "at")
+    start = F.col("position") - (F.lit(0) if slop else F.col("at"))
+    met = postings.join(first, "term").select("window", "doc_id", "th", F.explode("positions").alias("position"), "at").select("window", "doc_id", "th", start.alias("start")).where("start >= 0")
+    for rank in range(2, (1 if slop else SLOTS) + 1):
+        # the next list, shifted to the start: a window without so many words keeps its candidates
+        more = slots.where(f"rank = {rank}").select("window", F.col("term").alias("next"), F.col("offset").alias("at"))
+        met = scratch.save(met.join(more, "window", "left"), f"met-{rank}")
+        kept = met.alias("m").join(postings.alias("p").hint("merge"), F.expr("p.term = m.next and p.doc_id <=> m.doc_id and p.th = m.th and array_contains(p.positions, m.start + m.at)"), "left_semi")
+        met = kept.union(met.where("next is null")).select("window", "doc_id", "th", "start")
+    met = met.join(windows.select("window", "phrase"), "window").groupBy("doc_id", "th").agg(F.collect_list(F.struct("phrase", "start")).alias("candidates"))
     met = scratch.save(met, "candidates")
 
-    seen = keyed.alias("t").join(met.alias("m"), F.expr("t.doc_id <=> m.doc_id and t.th = m.th")).select("t.doc_id", "t.th", "t.text", "m.candidates")
+    # both sides grow with the corpus: the plan is the same at every size
+    seen = keyed.alias("t").join(met.alias("m").hint("merge"), F.expr("t.doc_id <=> m.doc_id and t.th = m.th")).select("t.doc_id", "t.th", "t.text", "m.candidates")
     hits = scratch.save(seen.mapInArrow(_verified(slop), f"doc_id {id_type}, th long, n_hit long, phrases array<binary>").distinct(), "hits")
     owners = every.where("item_id is not null").select("phrase", F.col("item_id").cast("string").alias("item"))
     items = hits.select("doc_id", "th", F.explode("phrases").alias("phrase")).distinct().join(owners, "phrase").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
     items = scratch.save(hits.alias("h").join(items.alias("i"), F.expr("h.doc_id <=> i.doc_id and h.th = i.th"), "left").select("h.doc_id", "h.th", "h.n_hit", "i.item_ids"), "found")
     out = words.alias("w").join(items.alias("i"), F.expr("w.doc_id <=> i.doc_id and w.th = i.th"), "left")
-    return out.select("w.doc_id", "w.n_words", F.coalesce("i.n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("i.item_ids", F.array().cast("array<string>")).alias("item_ids"))
+    return scratch.result(out.select("w.doc_id", "w.n_words", F.coalesce("i.n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("i.item_ids", F.array().cast("array<string>")).alias("item_ids")))
 
 
 def _blocks(spark, terms: DataFrame, scratch: Scratch, name: str) -> Iterator:
