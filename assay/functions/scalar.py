@@ -50,7 +50,7 @@ def word_count(x: Column | str) -> Column:
 def clamp01(x: Column | str) -> Column:
     """A number or numeric text into [0, 1]; null where it is neither, or not a number."""
     number = _col(x).cast("string").try_cast("double")
-    return F.when(F.isnan(number), F.lit(None)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
+    return F.when(number.isNotNull() & ~F.isnan(number), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
 
 
 def truncate(x: Column | str, n: int) -> Column:
