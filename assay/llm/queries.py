@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .oracles import SQL
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,6 +25,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -73,9 +81,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ours = (op1_language_id, op2_quality, op4_packing, op5_warc, op6_suffix_array, op7_nn_descent, op8_toxicity, op9_positional_index, op10_minhash, pipeline)
+    ours = (op1_language_id, op2_quality, op3_licences, op4_packing, op5_warc, op6_suffix_array, op7_nn_descent, op8_toxicity, op9_positional_index, op10_minhash, pipeline)
     return {f.__name__: f for f in ours}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
