@@ -109,9 +109,10 @@ class Words:
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of each run of ``k`` words; a shorter, not empty text is one run."""
     n = len(words.hash)
-    out = np.zeros(max(0, n - k + 1), dtype=np.uint64)
+    m = max(0, n - k + 1)
+    out = np.zeros(m, dtype=np.uint64)
     for d in range(k):
-        out += words.hash[d : n - k + 1 + d] * MIX[d]
+        out += words.hash[d : d + m] * MIX[d]
     rows = words.row[: len(out)]
     whole = rows == words.row[k - 1 :] if len(out) else np.zeros(0, bool)
     rows, out = rows[whole], mixed(out[whole] + np.uint64(k))
