@@ -7,19 +7,26 @@ Parquet under ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a new local folder where it is unset (tests, local mode)."""
+    """The session's ``spark.checkpoint.dir``. Where it is unset: a new local folder in local mode, else the warehouse, which is shared."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="assay-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        alone = re.match(r"local(\[|$)", spark.sparkContext.master)
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="assay-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/assay"
+    return _own[app]
 
 
 class Scratch:
