@@ -474,11 +474,15 @@ def reporter_requests(spark, sf):
 @query("select run_id, item_idx from (select distinct l_orderkey::varchar run_id, l_linenumber::bigint item_idx from lineitem where l_linenumber = 1)")
 def streaming_reporter(spark, sf):
     """Items written as files, stored through the stream, and read back once each."""
+    import tempfile
     import uuid
 
     from .streaming import reporter as rp
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + f"/reporter-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = "file://" + tempfile.gettempdir() if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir")
+    base = f"{shared.rstrip('/')}/reporter-{uuid.uuid4().hex}"
     rows = d.items(spark, sf).where("item_idx = 1").select(F.col("run_id").cast("string").alias("run_id"), "item_idx", F.lit("").alias("input"), F.lit("").alias("actual_output"), F.lit(True).alias("success"), F.lit(1.0).alias("score"))
     rows.write.json(f"{base}/in")
     rp.start(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", once=True).awaitTermination()
