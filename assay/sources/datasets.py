@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import DatasetResolutionError
+from ..shipping import ship
 
 SCHEMA = "example_idx long, inputs map<string,string>, expected_outputs map<string,string>, metadata map<string,string>"
 RAW = "struct<name:string,description:string,examples:array<struct<inputs:map<string,string>,expectedOutputs:map<string,string>,metadata:map<string,string>,input:string,expectedOutput:string>>>"
@@ -89,6 +90,7 @@ def _rows(lines: DataFrame, header: list[str], delimiter: str) -> DataFrame:
     given, wanted = _column_index(header, "input"), _column_index(header, *OUTPUT_ALIASES)
     if given < 0:
         raise ValueError("a CSV dataset needs a column 'input'")
+    ship(lines.sparkSession)
 
     @F.pandas_udf("array<string>")
     def cells(values: pd.Series) -> pd.Series:
