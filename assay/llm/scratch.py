@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 
 _own: dict[str, str] = {}
 
@@ -68,6 +70,7 @@ class Scratch:
 
 
 def batches(spark: SparkSession, rows: int = 1024, megabytes: int = 8) -> None:
-    """Keep Arrow batches small, so that a worker's memory does not depend on how long the texts are."""
+    """Keep Arrow batches small, so that a worker's memory does not depend on how long the texts are; send it this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
