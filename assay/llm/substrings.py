@@ -27,7 +27,7 @@ from .scratch import Scratch, batches
 
 GRAM = 24
 GROUP = 20_000
-PIECE = 1 << 20
+PIECE = 1 << 18
 LOW = np.uint64(PIECE * 2 - 1)
 SECOND = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MISSING = -(2**63)

@@ -59,7 +59,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
-def chunks(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(offsets: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes each; a longer text has a range of its own."""
     i, n = 0, len(offsets) - 1
     while i < n:
