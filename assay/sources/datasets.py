@@ -18,7 +18,8 @@ from ..errors import DatasetResolutionError
 from ..shipping import ship
 
 SCHEMA = "example_idx long, inputs map<string,string>, expected_outputs map<string,string>, metadata map<string,string>"
-RAW = "struct<name:string,description:string,examples:array<struct<inputs:map<string,string>,expectedOutputs:map<string,string>,metadata:map<string,string>,input:string,expectedOutput:string>>>"
+EXAMPLES = "array<struct<inputs:map<string,string>,expectedOutputs:map<string,string>,metadata:map<string,string>,input:string,expectedOutput:string>>"
+RAW = f"struct<name:string,description:string,examples:{EXAMPLES}>"
 OUTPUT_ALIASES = ("expectedoutput", "expected_output", "output")
 
 
@@ -59,7 +60,9 @@ def normalized(e: Column) -> list[Column]:
 
 def _parsed(texts: DataFrame) -> Dataset:
     rows = texts.select(F.from_json("value", RAW, {"mode": "PERMISSIVE"}).alias("d"), F.try_parse_json("value").alias("v"))
-    rows = rows.withColumn("examples", F.when(F.col("v").isNull(), F.raise_error(F.lit("Failed to parse JSON dataset")).cast(RAW.split("examples:")[1][:-1])).when(F.col("d.examples").isNull(), F.raise_error(F.lit("a dataset needs 'examples'")).cast(RAW.split("examples:")[1][:-1])).otherwise(F.col("d.examples")))
+    stop = lambda why: F.raise_error(F.lit(why)).cast(EXAMPLES)
+    examples = F.when(F.col("v").isNull(), stop("Failed to parse JSON dataset")).when(F.col("d.examples").isNull(), stop("a dataset needs 'examples'")).otherwise(F.col("d.examples"))
+    rows = rows.withColumn("examples", examples)
     head = rows.select("d.name", "d.description").first()
     frame = rows.select(F.posexplode("examples").alias("example_idx", "e")).select(F.col("example_idx").cast("long"), *normalized(F.col("e")))
     return Dataset(frame, (head.name if head else None) or "unnamed", (head.description if head else None) or "")
