@@ -80,20 +80,39 @@ def _words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(held, pa.binary())], names=["label", "words"])
 
 
-def select_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, least: float = 5.0, most: int = 4096) -> np.ndarray:
+def _held(shared):
+    """(label, features): which of the feature words each text holds."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for batch in it:
+            held = [np.flatnonzero(np.isin(words, np.frombuffer(w.as_buffer(), dtype=np.uint64), assume_unique=True)).astype(np.int64) for w in batch.column("words")]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(held, pa.list_(pa.int64()))], names=["label", "features"])
+
+    return run
+
+
+def _flat(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, h): a row per text and word."""
+    for batch in it:
+        for label, w in zip(batch.column("label").to_pylist(), batch.column("words"), strict=True):
+            h = np.frombuffer(w.as_buffer(), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), label, dtype=np.int32)), pa.array(h)], names=["label", "h"])
+
+
+def select_features(texts: DataFrame, prior: float, least: float = 5.0, most: int = 4096) -> np.ndarray:
     """Words whose shares in the two samples differ by ``least`` standard errors, and which make a text that holds them
-    likelier toxic than not (prior * share in positives over share in all): the ``most`` clearest, sorted."""
-    p, np_ = np.unique(np.concatenate([*positive, np.empty(0, np.uint64)]), return_counts=True)
-    u, nu = np.unique(np.concatenate([*unlabelled, np.empty(0, np.uint64)]), return_counts=True)
-    words = np.union1d(p, u)
-    a, b = np.zeros(len(words)), np.zeros(len(words))
-    a[np.searchsorted(words, p)] = np_
-    b[np.searchsorted(words, u)] = nu
-    n, m = max(1, len(positive)), max(1, len(unlabelled))
-    share = (a + b + 1) / (n + m + 2)
-    z = np.abs(a / n - b / m) / np.sqrt(share * (1 - share) * (1 / n + 1 / m))
-    clear = np.flatnonzero((z >= least) & (a + b >= 5) & (prior * a / n >= 0.5 * b / m))
-    return np.sort(words[clear[np.argsort(-z[clear], kind="stable")[:most]]])
+    likelier toxic than not (prior * share in positives over share in all): the ``most`` clearest, sorted.
+
+    texts: (label, words) with label 1 for positives and 0 for unlabelled.
+    """
+    size = {r.label: r.n for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n, m = max(1, size.get(1, 0)), max(1, size.get(0, 0))
+    held = texts.mapInArrow(_flat, "label int, h long").groupBy("h").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).where("a + b >= 5")
+    held = held.withColumn("share", F.expr(f"(a + b + 1) / {float(n + m + 2)}D"))
+    held = held.withColumn("z", F.expr(f"abs(a / {float(n)}D - b / {float(m)}D) / sqrt(share * (1 - share) * (1 / {float(n)}D + 1 / {float(m)}D))"))
+    clear = held.where(f"z >= {least} and {prior} * a / {float(n)}D >= 0.5 * b / {float(m)}D").orderBy(F.desc("z"), "h").limit(most)
+    return np.sort(np.array([r.h for r in clear.select("h").collect()], dtype=np.int64).view(np.uint64))
 
 
 def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], dims: int, prior: float, rounds: int = 800, rate: float = 0.05, l2: float = 1e-6) -> tuple[np.ndarray, float]:
@@ -136,11 +155,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 3000, prior: float | N
     positive = fx.sample(labels.where("toxic = 1"), "toxic", most)
     unlabelled = fx.sample(docs.where("doc_id is not null").select("doc_id", F.lit(0).alias("toxic")).distinct(), "toxic", 2 * most)
     chosen = scratch.save(positive.union(unlabelled), "chosen")
-    rows = fx.sampled_texts(docs, chosen).drop("doc_id").mapInArrow(_words, "label int, words binary").collect()
-    sets = {k: sorted((np.frombuffer(r.words, dtype=np.uint64) for r in rows if r.label == k), key=lambda x: x.tobytes()) for k in (1, 0)}
-    words = select_features(sets[1], sets[0], prior)
-    at = {k: [np.flatnonzero(np.isin(words, x, assume_unique=True)) for x in sets[k]] for k in sets}
+    texts = scratch.save(fx.sampled_texts(docs, chosen).drop("doc_id").mapInArrow(_words, "label int, words binary"), "words")
+    words = select_features(texts, prior)
+    rows = texts.mapInArrow(_held(docs.sparkSession.sparkContext.broadcast(words)), "label int, features array<long>").collect()
+    at = {k: sorted(([*r.features] for r in rows if r.label == k)) for k in (1, 0)}
+    at = {k: [np.array(x, dtype=np.int64) for x in v] for k, v in at.items()}
     w, bias = nnpu(at[1], at[0], len(words), prior)
+    scratch.drop("labels", "chosen", "words")
     return Model(words, w, bias)
 
 
