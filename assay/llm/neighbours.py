@@ -2,8 +2,8 @@
 
 Equal vectors are one node. Neighbour lists start from short blocks of vectors that share random-projection
 codes, and are refined by rounds of neighbours-of-neighbours joins; a list that is full of links is saturated and
-doubles. Rounds end when lists settle; an audit then compares a bounded set of vectors with all others and asks for
-more codes and rounds if recall is short. Links at the threshold give components, inside which an exact
+doubles. Rounds end when lists settle; an audit then compares a bounded set of vectors with all others, judges recall
+vector by vector, and asks for more codes and rounds as long as it is short. Links at the threshold give components, inside which an exact
 check in blocks counts every link, so that large groups need no list of all their pairs.
 """
 
@@ -24,6 +24,7 @@ LIST = 16  # first length of a neighbour list
 SAMPLE = 24  # neighbours of a vector that a round follows
 NEAR = 0.6  # least similarity of an edge that a round follows
 AUDIT = 1000  # vectors that the audit compares with all
+TRIES = 8  # descents after which short recall is an error
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -157,32 +158,44 @@ def _started(nodes: DataFrame, seed: int, tables: int, bits: int) -> DataFrame:
     coded = nodes.mapInArrow(_coded(seed, tables, bits), "kind long, code long, place double, node long, vector array<double>, t long")
     ordered = coded.drop("t").repartitionByRange("kind", "code", "place", "node").sortWithinPartitions("kind", "code", "place")
     found = ordered.mapInArrow(_blocks(4), "a long, b long, sim double")
-    return found.groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    return found.groupBy("a", "b").agg(F.max("sim").alias("sim")).withColumn("new", F.col("sim") >= NEAR)
 
 
-def _descent(nodes: DataFrame, graph: DataFrame, least: float, scratch: Scratch, name: str, rounds: int = 12) -> DataFrame:
-    """Neighbour lists after rounds of neighbours-of-neighbours joins."""
-    length, vectors = LIST, nodes.select("node", "vector")
-    graph = scratch.save(_best(graph, length).withColumn("new", F.lit(True)), f"{name}-0")
+def _descent(nodes: DataFrame, graph: DataFrame, length: int, least: float, scratch: Scratch, name: str, rounds: int = 12) -> tuple[DataFrame, int]:
+    """Neighbour lists after rounds of neighbours-of-neighbours joins, and their length; edges stay ``new`` until they are followed."""
+    vectors = nodes.select("node", "vector")
+    graph = scratch.save(_best(graph, length), f"{name}-0")
     for k in range(1, rounds + 1):
         follow = graph.where(f"sim >= {NEAR}")
         follow = follow.select("a", "b", "new").union(follow.select(F.col("b").alias("a"), F.col("a").alias("b"), "new"))
         follow = follow.groupBy("a", "b").agg(F.max("new").alias("new"))
-        some = Window.partitionBy("a").orderBy(F.xxhash64("b", F.lit(k)))
+        some = Window.partitionBy("a").orderBy(F.desc("new"), F.xxhash64("b", F.lit(k)))
         follow = scratch.save(follow.withColumn("rank", F.row_number().over(some)).where(f"rank <= {SAMPLE}").drop("rank"), f"{name}-follow-{k}")
         pairs = follow.alias("x").join(follow.alias("y"), F.expr("x.a = y.a and x.b < y.b and (x.new or y.new)")).select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
         pairs = pairs.join(graph.select("a", "b"), ["a", "b"], "left_anti")
         pairs = pairs.join(vectors.select(F.col("node").alias("a"), F.col("vector").alias("va")), "a").join(vectors.select(F.col("node").alias("b"), F.col("vector").alias("vb")), "b")
         found = scratch.save(pairs.mapInArrow(_similar, "a long, b long, sim double").where(f"sim >= {NEAR}"), f"{name}-found-{k}")
         both = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-        merged = graph.select("a", "b", "sim", F.lit(False).alias("new")).union(both.withColumn("new", F.lit(True)))
+        went = graph.join(follow.select("a", "b", F.lit(True).alias("went")), ["a", "b"], "left")
+        merged = went.select("a", "b", "sim", (F.col("new") & F.col("went").isNull()).alias("new")).union(both.withColumn("new", F.lit(True)))
         merged = merged.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
         saturated = graph.where(f"sim >= {least}").groupBy("a").agg(F.count("*").alias("n")).where(f"n >= {length}").limit(1).count()
         length *= 2 if saturated else 1
         graph = scratch.save(_best(merged, length), f"{name}-{k}")
         if not graph.where("new").limit(1).count():
             break
-    return graph.select("a", "b", "sim")
+    return graph, length
+
+
+def _recall(truth: DataFrame, component: DataFrame) -> float:
+    """The audit's recall: the mean of its vectors' shares of found links, the lower one of those with few and with many links.
+
+    A link counts as found if it joins one component: the exact check then finds the pair. No links: 1.
+    """
+    seen = truth.join(component.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(component.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+    each = seen.groupBy("a").agg(F.count("*").alias("n"), F.count(F.when(F.col("ca") == F.col("cb"), 1)).alias("found"))
+    means = each.groupBy(F.col("n") > LIST).agg(F.avg(F.col("found") / F.col("n")).alias("share")).collect()
+    return min((r.share for r in means), default=1.0)
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.93, recall: float = 0.99, tables: int = 16) -> DataFrame:
@@ -193,7 +206,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, recall: float = 0.9
     vectors of different lengths are not compared.
 
     Returns a row per input row: vec_id, n_links (other rows linked directly), component_id (smallest
-    vec_id reachable by links, itself included), kept (vec_id = component_id). Rows that repeat a vec_id count as
+    vec_id reachable by links, itself included), kept (vec_id = component_id). RuntimeError if recall stays short. Rows that repeat a vec_id count as
     vectors of their own; a null vec_id is kept only as a row. Empty table: no rows.
     """
     spark = vectors.sparkSession
@@ -213,20 +226,23 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, recall: float = 0.9
     same = 0.88**bits  # of two vectors at the threshold
     tables = max(tables, int(np.ceil(np.log(1e-3) / np.log(1 - same))))
 
-    graph = _descent(nodes, _started(nodes, 1, tables, bits), least, scratch, "descent")
+    graph, length = _descent(nodes, _started(nodes, 1, tables, bits), LIST, least, scratch, "descent")
     chosen = nodes.orderBy(F.xxhash64("node")).limit(AUDIT).select("kind", "size", "node", "vector").collect()
     queries = spark.sparkContext.broadcast((np.array([r.kind for r in chosen]), np.array([r.size for r in chosen]), np.array([r.node for r in chosen]), [np.array(r.vector) for r in chosen]))
     truth = scratch.save(nodes.mapInArrow(_audited(queries, least), "a long, b long"), "audit")
-    for turn in range(2, 5):
-        links = scratch.save(graph.where(f"sim >= {least}").select("a", "b"), f"links-{turn}")
+    links, turn = graph.where(f"sim >= {least}").select("a", "b"), 1
+    while True:
+        links = scratch.save(links, f"links-{turn}")
         component = components(links, scratch, f"components-{turn}")
-        # a link counts as found if it joins one component: the exact check then finds the pair
-        seen = truth.join(component.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(component.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-        seen = seen.agg(F.count("*").alias("n"), F.count(F.when(F.col("ca") == F.col("cb"), 1)).alias("found")).first()
-        if seen.found >= recall * seen.n:
+        found = _recall(truth, component)
+        if found >= recall:
             break
+        if turn == TRIES:
+            raise RuntimeError(f"near_duplicates: recall {found:.4f} is under {recall} after {turn} tries")
+        turn += 1
         more = _started(nodes, turn, 2 * tables, bits)
-        graph = _descent(nodes, graph.union(more.join(graph, ["a", "b"], "left_anti")), least, scratch, f"descent-{turn}")
+        graph, length = _descent(nodes, graph.union(more.join(graph, ["a", "b"], "left_anti").select(graph.columns)), length, least, scratch, f"descent-{turn}")
+        links = links.union(graph.where(f"sim >= {least}").select("a", "b")).distinct()
 
     members = nodes.join(component.withColumnRenamed("id", "node"), "node")
     members = scratch.save(members, "members")

@@ -1,7 +1,9 @@
 """Embedding near-duplicates against brute force."""
 
 import numpy as np
+import pytest
 
+from assay.llm import neighbours
 from assay.llm.neighbours import near_duplicates
 
 SCHEMA = "vec_id long, embedding array<float>, label int, n_links string"
@@ -55,3 +57,41 @@ def test_edges(spark):
     rows = [(1, v, 1), (2, v, 1), (3, v, 2), (4, v, None), (5, None, 1), (6, [], 1), (7, [0.0, 0.0, 0.0], 1), (8, [1.0, None, 3.0], 1), (9, [1.0, float("nan"), 3.0], 1), (10, [1.0, float("inf"), 1.0], 1), (11, [2.0, 4.0, 6.0], 1), (12, [1.0, 2.0], 1), (12, v, 1), (12, v, 1)]
     assert got(spark, rows) == brute(rows, 0.93)
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_recall_is_judged_by_vector(spark):
+    """A hot group's links are all found, those of pairs are not: one share a vector, and few links apart from many."""
+    hot = [(a, 1000 + b) for a in range(30) for b in range(300)]
+    pairs = [(5000 + k, 6000 + k) for k in range(10)]
+    component = [(i, 0) for i in {x for link in hot for x in link}] + [(i, i) for link in pairs[:5] for i in link] + [(i, a) for a, b in pairs[5:] for i in (a, b)]
+    truth = spark.createDataFrame(hot + pairs, "a long, b long")
+    assert neighbours._recall(truth, spark.createDataFrame(component, "id long, component long")) == 0.5
+    assert neighbours._recall(truth.limit(0), spark.createDataFrame(component, "id long, component long")) == 1.0
+
+
+def test_short_recall_goes_on_or_raises(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(10):
+        v = rng.standard_normal(24)
+        rows += [(len(rows), v.tolist(), 0), (len(rows) + 1, (v + 0.1 * rng.standard_normal(24)).tolist(), 0)]
+    start = neighbours._started
+    monkeypatch.setattr(neighbours, "_started", lambda nodes, seed, tables, bits: start(nodes, seed, tables, bits).where(str(seed >= 5)))
+    assert got(spark, rows) == brute(rows, 0.93)
+    monkeypatch.setattr(neighbours, "_started", lambda nodes, seed, tables, bits: start(nodes, seed, tables, bits).where("false"))
+    monkeypatch.setattr(neighbours, "TRIES", 2)
+    with pytest.raises(RuntimeError, match="recall"):
+        got(spark, rows)
+
+
+def test_lists_keep_their_length_and_unfollowed_edges(spark):
+    """A second descent does not cut lists that have doubled, and an edge outside the sample stays new."""
+    rng = np.random.default_rng(7)
+    centre = rng.standard_normal(24)
+    rows = [(k, (centre + 0.1 * rng.standard_normal(24)).tolist()) for k in range(60)]
+    nodes = spark.createDataFrame(rows, "node long, vector array<double>")
+    graph = spark.createDataFrame([(a, b, 0.95, True) for a in range(60) for b in range(60) if a != b], "a long, b long, sim double, new boolean")
+    scratch = neighbours.Scratch(spark, "test")
+    graph, length = neighbours._descent(nodes, graph, 64, 0.93, scratch, "d", rounds=1)
+    assert length == 64 and graph.count() == 60 * 59
+    assert graph.where("not new").count() == 60 * neighbours.SAMPLE
