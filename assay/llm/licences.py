@@ -1,6 +1,6 @@
 """Licence scan: a trained paragraph classifier with an unknown class, confirmed against templates.
 
-A paragraph is a line. Its word n-grams that occur in licence notices are looked up, neighbouring ones form a passage, and a
+A paragraph is a line or, where notices may be wrapped, a run of lines up to one without words (comment marks are no words). Its word n-grams that occur in licence notices are looked up, neighbouring ones form a passage, and a
 sparse logistic regression over the passage's n-grams names the licence family or ``unknown``. The
 model is trained on altered copies of the notices against passages that mix their n-grams at random, and
 calibrated by a temperature. A named family counts if the passage also holds enough of one of its templates.
@@ -65,9 +65,9 @@ class Model:
     temperature: float
     templates: list[tuple[str, np.ndarray]]  # family, its word and pair features
 
-    def features(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, feature) of the known n-grams of some words."""
-        place, feature = [], []
+    def features(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, feature, position of the last word) of the known n-grams of some words."""
+        place, feature, last = [], [], []
         for n in ORDERS:
             g = _grams(h, n)
             if len(g):
@@ -75,11 +75,12 @@ class Model:
                 hit = np.flatnonzero(self.grams[at] == g)
                 place.append(hit)
                 feature.append(at[hit])
+                last.append(hit + n - 1)
         if not place:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        place, feature = np.concatenate(place), np.concatenate(feature)
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        place, feature, last = np.concatenate(place), np.concatenate(feature), np.concatenate(last)
         order = np.argsort(place, kind="stable")
-        return place[order], feature[order]
+        return place[order], feature[order], last[order]
 
     def verdict(self, held: np.ndarray) -> tuple[str, float]:
         """Family and probability for a passage's features; a family that no template confirms is unknown."""
@@ -124,66 +125,93 @@ def train(notices: dict[str, list[str]] = NOTICES, copies: int = 40, seed: int =
     return m
 
 
-def _scanned(shared):
+def _runs_of_lines(judge, most: int, feature: np.ndarray, first: np.ndarray, last: np.ndarray) -> dict[str, float]:
+    """Families in a passage by its runs of lines, so that neighbouring notices are named each by its own lines.
+
+    Every line of a notice holds a word of it, so runs need no more lines than the longest notice has words (``most``).
+    Of a family's runs the shortest count; a run of several lines inside another family's is part of that notice.
+    """
+    lines = np.union1d(first, last)
+    starts, to = np.searchsorted(first, lines), np.searchsorted(lines, last)
+    ends = np.append(starts[1:], len(first))
+    reach: dict[str, np.ndarray] = {}  # by first line, the last line of a family's run
+    runs: list[tuple[int, int, str, float]] = []
+    for size in range(min(most, len(lines))):
+        for i in range(len(lines) - size):
+            j, at = i + size, slice(starts[i], ends[i + size])
+            family, p = judge(feature[at][to[at] <= j])
+            if family == UNKNOWN:
+                continue
+            own = reach.setdefault(family, np.full(len(lines), len(lines)))
+            if own[i : j + 1].min() > j:
+                own[i] = j
+                runs.append((i, j, family, p))
+    got: dict[str, float] = {}
+    for i, j, family, p in runs:
+        if i == j or not any(f != family and x <= i and j <= y and y - x > j - i for x, y, f, _ in runs):
+            got[family] = max(p, got.get(family, 0.0))
+    return got
+
+
+def _scanned(shared, wrapped: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         cache: dict[bytes, tuple[str, float]] = {}
+        fewest = min(CONFIRM * len(t) for _, t in model.templates)
+        most = max(len(_notice(t)[0]) for texts in NOTICES.values() for t in texts)
+
+        def judge(features: np.ndarray) -> tuple[str, float]:
+            if len(features) < fewest:  # no template can confirm it
+                return UNKNOWN, 0.0
+            held = np.unique(features)
+            if len(held) < fewest:
+                return UNKNOWN, 0.0
+            key = held.tobytes()
+            if key not in cache:
+                if len(cache) > 50_000:
+                    cache.clear()
+                cache[key] = model.verdict(held)
+            return cache[key]
+
         for batch in it:
             raw, offsets = tx.buffers(batch.column("text"))
-            lines, found, sure, licensed = [], [], [], []
+            paragraphs, found, sure, licensed = [], [], [], []
             for i, j in tx.chunks(offsets):
                 w = tx.Words(raw, offsets, i, j, WORD)
                 ends = np.cumsum(np.append(0, raw[offsets[i] : offsets[j]] == 10))
                 line = ends[w.start] if len(w.start) else np.empty(0, np.int64)
-                place, feature = model.features(w.hash)
-                # an n-gram may not run over a line or text; those that do hold a word of another line
-                if len(place):
-                    last = np.minimum(place + 2, len(line) - 1)
-                    same = (w.row[place] == w.row[last]) & (line[place] == line[last])
-                    short = _within_line(model, w, line, place, feature) if not same.all() else np.ones(len(place), bool)
-                    place, feature = place[short], feature[short]
-                cut = np.flatnonzero(np.append(True, (np.diff(place) > GAP) | (np.diff(line[place]) != 0) | (np.diff(w.row[place]) != 0))) if len(place) else np.empty(0, np.int64)
+                part = line
+                if wrapped and len(line):
+                    part = np.cumsum(np.append(False, (np.diff(line) > 1) | (np.diff(w.row) != 0)))
+                place, feature, last = model.features(w.hash)
+                # an n-gram may not run over a paragraph or text
+                keep = (w.row[place] == w.row[last]) & (part[place] == part[last])
+                place, feature, last = place[keep], feature[keep], last[keep]
+                cut = np.flatnonzero(np.append(True, (np.diff(place) > GAP) | (np.diff(part[place]) != 0) | (np.diff(w.row[place]) != 0))) if len(place) else np.empty(0, np.int64)
                 got: list[dict[str, float]] = [{} for _ in range(j - i)]
                 where: list[set[int]] = [set() for _ in range(j - i)]
-                for a, b in zip(cut, np.append(cut[1:], len(place)), strict=True):
-                    key = np.unique(feature[a:b]).tobytes()
-                    if key not in cache:
-                        if len(cache) > 50_000:
-                            cache.clear()
-                        cache[key] = model.verdict(feature[a:b])
-                    family, p = cache[key]
-                    if family != UNKNOWN:
-                        r = int(w.row[place[a]])
+                for a, b in zip(cut, np.append(cut, len(place))[1:], strict=True):
+                    if b - a < fewest:
+                        continue
+                    r = int(w.row[place[a]])
+                    for family, p in _runs_of_lines(judge, most, feature[a:b], line[place[a:b]], line[last[a:b]]).items():
                         got[r][family] = max(p, got[r].get(family, 0.0))
-                        where[r].add(int(line[place[a]]))
-                n_lines = [int(np.unique(line[w.at[r] : w.at[r + 1]]).size) for r in range(j - i)]
-                lines += n_lines
+                        where[r].add(int(part[place[a]]))
+                paragraphs += [int(np.unique(part[w.at[r] : w.at[r + 1]]).size) for r in range(j - i)]
                 found += [",".join(sorted(g)) for g in got]
                 sure += [max(g.values(), default=0.0) for g in got]
                 licensed += [len(x) for x in where]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lines, pa.int64()), pa.array(licensed, pa.int64()), pa.array(found, pa.string()), pa.array(sure, pa.float64())], names=["doc_id", "n_paragraphs", "n_licensed", "families", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(paragraphs, pa.int64()), pa.array(licensed, pa.int64()), pa.array(found, pa.string()), pa.array(sure, pa.float64())], names=["doc_id", "n_paragraphs", "n_licensed", "families", "score"])
 
     return run
 
 
-def _within_line(model: Model, w: tx.Words, line: np.ndarray, place: np.ndarray, feature: np.ndarray) -> np.ndarray:
-    """Which found n-grams keep to one line: their length is the order whose hash is the feature's."""
-    keep = np.zeros(len(place), dtype=bool)
-    for n in ORDERS:
-        ok = np.flatnonzero(place + n <= len(w.hash))
-        g = np.full(len(ok), n, dtype=np.uint64)
-        for d in range(n):
-            g += w.hash[place[ok] + d] * tx.MIX[d]
-        mine = tx.mixed(g) == model.grams[feature[ok]]
-        end = place[ok] + n - 1
-        keep[ok] |= mine & (line[place[ok]] == line[end]) & (w.row[place[ok]] == w.row[end])
-    return keep
-
-
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, wrapped: bool = False) -> DataFrame:
     """Licence families named in every whole text of ``docs`` (doc_id, text).
 
-    Returns a row per input row: doc_id, n_paragraphs (lines with words), n_licensed (of them with a confirmed family),
+    A paragraph is a line with words; with ``wrapped`` it is a run of such lines, so that notices may run over line breaks.
+
+    Returns a row per input row: doc_id, n_paragraphs, n_licensed (of them with a confirmed family),
     families (their names, sorted, comma-joined; empty for none), score (the highest probability; 0 for none).
     Null and empty texts have no paragraphs; repeated rows are scanned alike; a null doc_id is kept; empty table: no rows;
     other columns are ignored.
@@ -192,4 +220,4 @@ def scan(docs: DataFrame) -> DataFrame:
     batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scanned(spark.sparkContext.broadcast(train())), f"doc_id {kind}, n_paragraphs long, n_licensed long, families string, score double")
+    return rows.mapInArrow(_scanned(spark.sparkContext.broadcast(train()), wrapped), f"doc_id {kind}, n_paragraphs long, n_licensed long, families string, score double")

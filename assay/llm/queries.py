@@ -28,7 +28,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licences import scan
 
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(table(spark, sf_dir, "documents"), wrapped=True)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Licence scan on planted notices and on documents."""
 
 import re
+import textwrap
 
 from assay.llm import licences
 
@@ -34,3 +35,26 @@ def test_documents(spark):
     got = {r.doc_id: r.families for r in licences.scan(docs).collect()}
     wrong = {k: (got[k], want[k]) for k in want if got[k] != want[k]}
     assert any(want.values()) and len(wrong) <= 0.001 * len(want), wrong
+
+
+def test_wrapped_notices(spark):
+    """Notices wrapped at 70 columns, as comments too; neighbours in one paragraph are named each; a blank line ends a notice."""
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    gpl, agpl = licences.NOTICES["gpl-3.0"][1], licences.NOTICES["agpl-3.0"][1]
+    docs = [(k, "Copyright 2020 someone\n\n" + textwrap.fill(t, width) + "\n\nprose") for k, (t, width) in enumerate((t, width) for t in (mit, bsd, gpl, agpl) for width in (70, 40))]
+    docs += [(8, "\n".join(f" * {x}" for x in textwrap.wrap(bsd, 70))), (9, "\n".join(f"# {x}" for x in textwrap.wrap(mit, 70)) + "\n#\n# end"), (10, "Released under the\nMIT License."), (11, "Released under the\n\nMIT License."), (12, "Released under the MIT License.\nLicensed under CC BY-NC 4.0.")]
+    got = {r.doc_id: (r.n_paragraphs, r.n_licensed, r.families) for r in licences.scan(spark.createDataFrame([(*d, 0) for d in docs], SCHEMA), wrapped=True).collect()}
+    want = {k: (3, 1, f) for k, f in enumerate(f for f in ("mit", "bsd-3-clause", "gpl-3.0", "agpl-3.0") for _ in range(2))}
+    assert got == want | {8: (1, 1, "bsd-3-clause"), 9: (2, 1, "mit"), 10: (1, 1, "mit"), 11: (2, 0, ""), 12: (1, 1, "cc-by-nc-4.0,mit")}
+
+
+def test_wrapped_finds_what_lines_hold(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    lines, runs = ({r.doc_id: set(r.families.split(",")) - {""} for r in licences.scan(docs, wrapped=w).collect()} for w in (False, True))
+    assert any(lines.values()) and all(lines[k] <= runs[k] for k in lines)
+
+
+def test_texts_without_any_notice_word(spark):
+    got = licences.scan(spark.createDataFrame([(1, "zebra\n\nquokka", 0)], SCHEMA), wrapped=True).first()
+    assert (got.n_paragraphs, got.n_licensed, got.families, got.score) == (2, 0, "", 0.0)
