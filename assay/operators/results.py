@@ -64,16 +64,25 @@ def evaluator_pass_rates(evals: DataFrame, by: list[str]) -> DataFrame:
 
 
 def item_across_runs(evals: DataFrame, by: list[str]) -> DataFrame:
-    """Each item and evaluator over all runs: mean, deviation, scores in run order, first threshold and reason, success in all."""
+    """Each item and evaluator over all runs: mean, deviation, number, scores in run order, first threshold and reason, success in all.
+
+    ``scores`` is a list that grows with the runs; it is not gathered where it is not read. Without a bound on runs take ``item_scores``.
+    """
     order = F.struct("run_index", "evaluator_idx")
     scores = F.transform(F.array_sort(F.collect_list(F.struct("run_index", "evaluator_idx", "score"))), lambda x: x["score"])
     return evals.groupBy(*by, "item_idx", "evaluator").agg(
-        r6(F.avg("score")).alias("average_score"), r6(F.coalesce(F.stddev_samp("score"), F.lit(ZERO))).alias("std_dev"), scores.alias("scores"),
+        r6(F.avg("score")).alias("average_score"), r6(F.coalesce(F.stddev_samp("score"), F.lit(ZERO))).alias("std_dev"), F.count("*").alias("n"), scores.alias("scores"),
         F.min_by("threshold", F.when(F.col("threshold").isNotNull(), order)).alias("threshold"),
         F.coalesce(F.min_by("reason", F.when(F.col("reason") != "", order)), F.lit("")).alias("reason"), F.bool_and("success").alias("success"),
     )
 
 
+def item_scores(evals: DataFrame, by: list[str]) -> DataFrame:
+    """The scores of each item and evaluator over all runs, a row each, in run order."""
+    keys = [*by, "item_idx", "evaluator", "run_index", "evaluator_idx"]
+    return evals.select(*keys, "score").orderBy(*keys)
+
+
 def item_success_across_runs(items: DataFrame, by: list[str]) -> DataFrame:
     return items.groupBy(*by, "item_idx").agg(all_passed().alias("success"))
 

@@ -188,7 +188,7 @@ def evaluator_pass_rate(spark, sf):
 @query(f"select item_idx, evaluator, {R6.format('avg(score)')} average_score, {R6.format('coalesce(stddev_samp(score), 0)')} std_dev, count(*) n, arg_min(threshold, run_index::bigint * 1000000000 + evaluator_idx) filter (where threshold is not null) threshold, coalesce(arg_min(reason, run_index::bigint * 1000000000 + evaluator_idx) filter (where reason <> ''), '') reason, bool_and(success) success from rep group by all", "rep")
 def item_cross_run_agg(spark, sf):
     out = rs.item_across_runs(d.repeated(spark, sf), [])
-    return out.select("item_idx", "evaluator", "average_score", "std_dev", F.size("scores").cast("bigint").alias("n"), "threshold", "reason", "success")
+    return out.select("item_idx", "evaluator", "average_score", "std_dev", "n", "threshold", "reason", "success")
 
 
 @query("select item_idx, bool_and(success) success from rep_items group by 1", "rep_items", "rep")

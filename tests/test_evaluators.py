@@ -104,3 +104,17 @@ def test_pivot_takes_the_last_repeat(spark):
     rows = [(0, 0, 0, "My Eval", 0.1, None, False, ""), (0, 0, 1, "My Eval", 0.9, None, True, "")]
     got = rs.pivoted(spark.createDataFrame(rows, EVALS), ["item_idx"], ["My Eval", "other"]).first()
     assert got.asDict() == {"item_idx": 0, "my_eval_score": 0.9, "my_eval_pass": True, "other_score": None, "other_pass": None}
+
+
+def test_item_cross_run_agg_gathers_no_list(spark):
+    from assay.queries import QUERIES
+
+    plan = QUERIES["item_cross_run_agg"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(1)" in plan and "collect_list" not in plan
+
+
+def test_item_scores_are_rows_in_run_order(spark):
+    rows = [(1, 0, 0, "a", 0.8, None, True, ""), (0, 0, 1, "a", None, None, True, ""), (0, 0, 0, "a", 0.6, None, True, ""), (0, 1, 0, "a", 0.1, None, True, "")]
+    evals = spark.createDataFrame(rows, EVALS)
+    assert [(r.item_idx, r.run_index, r.score) for r in rs.item_scores(evals, []).collect()] == [(0, 0, 0.6), (0, 0, None), (0, 1, 0.8), (1, 0, 0.1)]
+    assert [(r.item_idx, r.n) for r in rs.item_across_runs(evals, []).orderBy("item_idx").collect()] == [(0, 3), (1, 1)]
