@@ -1,10 +1,13 @@
 """Near-duplicate embeddings by NN-descent.
 
-Equal vectors are one node. Neighbour lists start from short blocks of vectors that share random-projection
-codes, and are refined by rounds of neighbours-of-neighbours joins; a list that is full of links is saturated and
-doubles. Rounds end when lists settle; an audit then compares a bounded set of vectors with all others, judges recall
-vector by vector, and asks for more codes and rounds as long as it is short. Links at the threshold give components, inside which an exact
-check in blocks counts every link, so that large groups need no list of all their pairs.
+Equal vectors of a label are one node. Every node starts with random neighbours; a round of descent brings each node's
+neighbours, and those that it is a neighbour of, together, compares them with each other and keeps the best for each.
+A list full of links is saturated and grows. Rounds end when few lists change; an audit then compares a bounded
+number of vectors with all others and asks for more rounds, longer lists and new random edges while its recall is short.
+
+The graph's edges at the threshold give components. Inside them an exact check counts links: vectors lie in blocks in order
+of a projection code, two blocks whose angles prove all or none of their pairs linked are counted at once, and only the other
+pairs of blocks are compared.
 """
 
 from __future__ import annotations
@@ -19,12 +22,16 @@ from pyspark.sql import functions as F
 from .graph import components
 from .scratch import Scratch, batches
 
-BLOCK = 128  # vectors compared with each other at a time
-LIST = 16  # first length of a neighbour list
-SAMPLE = 24  # neighbours of a vector that a round follows
-NEAR = 0.6  # least similarity of an edge that a round follows
-AUDIT = 1000  # vectors that the audit compares with all
-TRIES = 8  # descents after which short recall is an error
+LIST = 16  # length of a neighbour list that holds not only links
+LONGEST = 64  # first length up to which a list of links grows
+SAMPLE = 12  # of a node's neighbours, and of those it is a neighbour of, that meet in a round
+BEST = 4  # partners that one meeting offers to a node, besides links
+GATHER = 24  # nodes of a random meeting
+SETTLED = 0.08  # share of new entries below which rounds end: links are found long before lists stand still
+NEAR = 4e-3  # error of similarities in half precision, doubled
+ROUNDS, TRIES, AUDIT = 16, 6, 1000
+HOT = 100_000  # nodes of a kind that no task should have by itself
+BLOCK = 256  # vectors of a block in the exact check
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -38,6 +45,21 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _small(blobs: pa.Array) -> np.ndarray:
+    """Rows of equally many half-precision numbers as a matrix of single precision."""
+    return np.frombuffer(b"".join(blobs.to_pylist()), dtype=np.float16).reshape(len(blobs), -1).astype(np.float32)
+
+
+def _halved(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scales vectors by powers of two, so that no square overflows, and adds unit vectors in half precision: what descent moves about."""
+    for batch in it:
+        scaled = [np.array(v.values, dtype=np.float64) for v in batch.column("vector")]
+        scaled = [np.ldexp(x, -int(np.frexp(np.abs(x).max())[1])) for x in scaled]
+        units = pa.array([_unit(x[None])[0].astype(np.float16).tobytes() for x in scaled], pa.binary())
+        columns = {n: batch.column(n) for n in batch.schema.names} | {"vector": pa.array(scaled, pa.list_(pa.float64())), "unit": units}
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
 def _runs(it: Iterator[pa.RecordBatch], keys: list[str], size: int) -> Iterator[pa.Table]:
     """Consecutive rows with equal keys, at most ``size`` at a time."""
     held: list[pa.RecordBatch] = []
@@ -64,146 +86,251 @@ def _parts(t: pa.Table, keys: list[str], size: int) -> list[pa.Table]:
     return [t.slice(a, b - a) for a, b in zip(cuts, [*cuts[1:], t.num_rows], strict=True)]
 
 
-def _coded(seed: int, tables: int, bits: int):
-    """Each vector with its code and its place along one more projection, for each of the tables."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            groups = batch.column("size").to_numpy()
-            for size in np.unique(groups):
-                rows = pa.array(np.flatnonzero(groups == size))
-                part = batch.take(rows)
-                x = _unit(_matrix(part.column("vector")))
-                rng = np.random.default_rng([seed, int(size)])
-                n = len(x)
-                for t in range(tables):
-                    p = x @ rng.standard_normal((int(size), bits + 1))
-                    code = ((p[:, :bits] > 0) @ (1 << np.arange(bits))).astype(np.int64) + (t << 40)
-                    yield pa.RecordBatch.from_arrays([part.column("kind"), pa.array(code), pa.array(p[:, bits]), part.column("node"), part.column("vector"), pa.array(np.full(n, t))], names=["kind", "code", "place", "node", "vector", "t"])
+def _met(keys: list[str], most: int, best: int, least: float):
+    """Rows with equal keys meet: for each node the ``best`` partners of those above its floor, and all links: (a, b, sim).
 
-    return run
-
-
-def _blocks(keep: int):
-    """The ``keep`` most similar in a block, both ways: (a, b, sim)."""
+    Two nodes of which neither is new to the meeting have met before.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _runs(it, ["kind", "code"], BLOCK):
-            n = t.num_rows
+        out: list[tuple[np.ndarray, ...]] = []
+        rows = 0
+        for t in _runs(it, keys, most):
+            node, first = np.unique(t.column("node").to_numpy(), return_index=True)
+            n = len(node)
             if n < 2:
                 continue
-            x = _unit(_matrix(t.column("vector").combine_chunks()))
+            new = np.zeros(n, dtype=bool)
+            np.logical_or.at(new, np.searchsorted(node, t.column("node").to_numpy()), t.column("new").to_numpy(zero_copy_only=False))
+            x = _small(t.column("unit").combine_chunks().take(pa.array(first)))
+            floor = t.column("floor").to_numpy()[first]
             s = x @ x.T
+            s[~(new[:, None] | new[None, :])] = -2
             np.fill_diagonal(s, -2)
-            k = min(keep, n - 1)
-            best = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            node = t.column("node").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, k)), pa.array(node[best.ravel()]), pa.array(np.take_along_axis(s, best, axis=1).ravel())], names=["a", "b", "sim"])
+            k = min(best, n - 1)
+            keep = s >= least - NEAR
+            top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            keep[np.arange(n)[:, None], top] = True
+            a, b = np.nonzero(keep & (s > floor[:, None]) & (s > -1.5))
+            out.append((node[a], node[b], s[a, b].astype(np.float64)))
+            rows += len(a)
+            if rows > 20_000:
+                yield _edges(out)
+                out, rows = [], 0
+        yield _edges(out)
 
     return run
 
 
-def _similar(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in it:
-        x, y = (_matrix(batch.column(c)) for c in ("va", "vb"))
-        s = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1))) if batch.num_rows else np.empty(0)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(s)], names=["a", "b", "sim"])
+def _edges(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    kinds = (np.int64, np.int64, np.float64)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts] or [np.empty(0, t)]), type=pa.from_numpy_dtype(t)) for k, t in enumerate(kinds)], names=["a", "b", "sim"])
 
 
-def _linked(least: float):
-    """For two runs of vectors of one component, the copies that each of the first links to in the second: (node, n)."""
+def _random(nodes: DataFrame, seed: int, least: float) -> DataFrame:
+    """Edges (a, b, sim) of two random meetings of about GATHER nodes of a kind for each node; a kind with fewer nodes meets as a whole."""
+    sizes = nodes.groupBy("kind").agg(F.count("*").alias("n")).withColumn("meetings", F.ceil(F.col("n") / GATHER))
+    # kinds of over HOT nodes, at most a row in HOT, go to where their nodes are
+    rows = nodes.select("kind", "node", "unit").join(F.broadcast(sizes.where(f"n > {HOT}").select("kind", "meetings")), "kind", "left")
+    others = rows.where("meetings is null").drop("meetings").join(sizes.where(f"n <= {HOT}").select("kind", "meetings"), "kind")
+    rows = rows.where("meetings is not null").unionByName(others).withColumn("go", F.explode(F.array(F.lit(2 * seed), F.lit(2 * seed + 1))))
+    rows = rows.select("kind", "node", "unit", "go", F.expr("pmod(xxhash64(node, go), meetings)").alias("meeting"), F.lit(True).alias("new"), F.lit(-1.0).alias("floor"))
+    return _grouped(rows, "kind", "go", "meeting").mapInArrow(_met(["kind", "go", "meeting"], 4 * GATHER, LIST // 2, least), "a long, b long, sim double")
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for i in range(batch.num_rows):
-                left, right = batch.column("left")[i].values, batch.column("right")[i].values
-                x, y = (_matrix(v.field("vector")) for v in (left, right))
-                s = (x @ y.T) / np.sqrt((x * x).sum(axis=1))[:, None] / np.sqrt((y * y).sum(axis=1))[None, :]
-                for r, c in zip(*np.nonzero(np.abs(s - least) < 1e-9), strict=True):  # decided as for single pairs
-                    s[r, c] = (x[r] * y[c]).sum() / (np.sqrt((x[r] * x[r]).sum()) * np.sqrt((y[c] * y[c]).sum()))
-                a, b = left.field("node").to_numpy(), right.field("node").to_numpy()
-                n = ((s >= least) & (a[:, None] != b[None, :])) @ right.field("copies").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(n.astype(np.int64))], names=["node", "n"])
 
-    return run
+def _grouped(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.repartition(*keys).sortWithinPartitions(*keys)
+
+
+def _trimmed(edges: DataFrame, longest: int, least: float, turn: int) -> DataFrame:
+    """Each node's list: its LIST best, more of them while they are links, ``longest`` at most. ``go``: met in the coming round.
+
+    edges: (a, b, sim, new), one side of each pair in a list does not call for the other.
+    """
+    edges = edges.repartition("a").groupBy("a", "b").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
+    best = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
+    edges = edges.withColumn("rank", F.row_number().over(best)).where(f"rank <= {LIST} or rank <= {longest} and sim >= {least - NEAR}")
+    some = Window.partitionBy("a").orderBy(F.desc("new"), F.xxhash64("b", F.lit(turn)))
+    return edges.withColumn("go", F.row_number().over(some) <= SAMPLE).drop("rank")
+
+
+def _descended(nodes: DataFrame, graph: DataFrame, longest: int, least: float, scratch: Scratch, turn: int) -> DataFrame:
+    """The lists after one round of neighbours-of-neighbours."""
+    floor = F.when(F.count("*") < LIST, -1.0).when((F.min("sim") >= least - NEAR) & (F.count("*") < longest), least - NEAR).otherwise(F.min("sim"))
+    heads = nodes.select("node", "unit").join(graph.groupBy(F.col("a").alias("node")).agg(floor.alias("floor")), "node")
+    go = graph.where("go").select("a", "b", "new")
+    back = Window.partitionBy("b").orderBy(F.desc("new"), F.xxhash64("a", F.lit(turn)))
+    reverse = go.withColumn("rank", F.row_number().over(back)).where(f"rank <= {SAMPLE}").select(F.col("b").alias("at"), F.col("a").alias("node"), "new")
+    meeting = go.select(F.col("a").alias("at"), F.col("b").alias("node"), "new").union(reverse).join(heads, "node")
+    found = _grouped(meeting.select("at", "node", "new", "unit", "floor"), "at").mapInArrow(_met(["at"], 2 * SAMPLE, BEST, least), "a long, b long, sim double")
+    merged = graph.select("a", "b", "sim", (F.col("new") & ~F.col("go")).alias("new")).union(found.withColumn("new", F.lit(True)))
+    return scratch.save(_trimmed(merged, longest, least, turn + 1), f"graph-{turn + 1}")
+
+
+def _same(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cosines in double precision of pairs (a, b, va, vb)."""
+    for batch in it:
+        x, y = (_matrix(batch.column(c)) for c in ("va", "vb")) if batch.num_rows else (np.empty((0, 1)),) * 2
+        s = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(s)], names=["a", "b", "sim"])
+
+
+def _links(nodes: DataFrame, graph: DataFrame, least: float) -> DataFrame:
+    """Threshold edges of the graph; those too near to the threshold for half precision are decided in double precision."""
+    pairs = graph.where(f"sim >= {least - NEAR}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    vectors = nodes.select("node", "vector")
+    near = pairs.where(f"sim < {least + NEAR}").select("a", "b")
+    near = near.join(vectors.select(F.col("node").alias("a"), F.col("vector").alias("va")), "a").join(vectors.select(F.col("node").alias("b"), F.col("vector").alias("vb")), "b")
+    near = near.select("a", "b", "va", "vb").mapInArrow(_same, "a long, b long, sim double").where(f"sim >= {least}")
+    return pairs.where(f"sim >= {least + NEAR}").select("a", "b").union(near.select("a", "b"))
 
 
 def _audited(queries, least: float):
-    """Links (a, b) of the audit's vectors by comparison with all."""
+    """(i, n, found) for each audited vector i: its links in a task's rows, and those inside its component."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, sizes, nodes, vectors = queries.value
+        kinds, nodes, homes, vectors = queries.value
+        n, found = np.zeros(len(nodes), dtype=np.int64), np.zeros(len(nodes), dtype=np.int64)
         for batch in it:
-            kind, node, size = (batch.column(c).to_numpy() for c in ("kind", "node", "size"))
+            kind, node, home = (batch.column(c).to_numpy() for c in ("kind", "node", "home"))
             for k in np.unique(kind):
                 mine, theirs = np.flatnonzero(kinds == k), np.flatnonzero(kind == k)
                 if not len(mine):
                     continue
                 x = _unit(np.array([vectors[i] for i in mine]))
                 y = _unit(_matrix(batch.column("vector").take(pa.array(theirs))))
-                a, b = np.nonzero(x @ y.T >= least + 1e-9)
-                a, b = nodes[mine][a], node[theirs][b]
-                yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
+                linked = (x @ y.T >= least + 1e-9) & (nodes[mine][:, None] != node[theirs][None, :])
+                n[mine] += linked.sum(axis=1)
+                found[mine] += (linked & (homes[mine][:, None] == home[theirs][None, :])).sum(axis=1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(found[at])], names=["i", "n", "found"])
 
     return run
 
 
-def _best(graph: DataFrame, length: int) -> DataFrame:
-    """The ``length`` most similar neighbours of each node."""
-    best = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
-    return graph.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= length).drop("rank")
+def _recall(counts: list[tuple[int, int]]) -> float:
+    """Recall of audited vectors from (links, links found): the mean of their shares, the lower one of those with few and with many links.
 
+    No links: 1.
+    """
+    means = [np.mean(s) for s in ([f / n for n, f in counts if n and (n > LIST) == many] for many in (False, True)) if s]
+    return float(min(means, default=1.0))
 
-def _started(nodes: DataFrame, seed: int, tables: int, bits: int) -> DataFrame:
-    coded = nodes.mapInArrow(_coded(seed, tables, bits), "kind long, code long, place double, node long, vector array<double>, t long")
-    ordered = coded.drop("t").repartitionByRange("kind", "code", "place", "node").sortWithinPartitions("kind", "code", "place")
-    found = ordered.mapInArrow(_blocks(4), "a long, b long, sim double")
-    return found.groupBy("a", "b").agg(F.max("sim").alias("sim")).withColumn("new", F.col("sim") >= NEAR)
 
+def _audit(nodes: DataFrame, component: DataFrame, least: float) -> float:
+    """Recall of AUDIT vectors, picked by hash; a link counts as found if it lies in one component, where the exact check counts it."""
+    spark = nodes.sparkSession
+    home = nodes.select("kind", "node", "vector").join(component.select(F.col("id").alias("node"), F.col("component").alias("home")), "node", "left").withColumn("home", F.coalesce("home", F.col("node")))
+    chosen = home.orderBy(F.xxhash64("node")).limit(AUDIT).collect()
+    queries = spark.sparkContext.broadcast((*(np.array([r[c] for r in chosen]) for c in ("kind", "node", "home")), [np.array(r.vector) for r in chosen]))
+    each = home.mapInArrow(_audited(queries, least), "i long, n long, found long").groupBy("i").agg(F.sum("n").alias("n"), F.sum("found").alias("found"))
+    return _recall([(r.n, r.found) for r in each.collect()])
 
-def _descent(nodes: DataFrame, graph: DataFrame, length: int, least: float, scratch: Scratch, name: str, rounds: int = 12) -> tuple[DataFrame, int]:
-    """Neighbour lists after rounds of neighbours-of-neighbours joins, and their length; edges stay ``new`` until they are followed."""
-    vectors = nodes.select("node", "vector")
-    graph = scratch.save(_best(graph, length), f"{name}-0")
-    for k in range(1, rounds + 1):
-        follow = graph.where(f"sim >= {NEAR}")
-        follow = follow.select("a", "b", "new").union(follow.select(F.col("b").alias("a"), F.col("a").alias("b"), "new"))
-        follow = follow.groupBy("a", "b").agg(F.max("new").alias("new"))
-        some = Window.partitionBy("a").orderBy(F.desc("new"), F.xxhash64("b", F.lit(k)))
-        follow = scratch.save(follow.withColumn("rank", F.row_number().over(some)).where(f"rank <= {SAMPLE}").drop("rank"), f"{name}-follow-{k}")
-        pairs = follow.alias("x").join(follow.alias("y"), F.expr("x.a = y.a and x.b < y.b and (x.new or y.new)")).select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
-        pairs = pairs.join(graph.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = pairs.join(vectors.select(F.col("node").alias("a"), F.col("vector").alias("va")), "a").join(vectors.select(F.col("node").alias("b"), F.col("vector").alias("vb")), "b")
-        found = scratch.save(pairs.mapInArrow(_similar, "a long, b long, sim double").where(f"sim >= {NEAR}"), f"{name}-found-{k}")
-        both = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-        went = graph.join(follow.select("a", "b", F.lit(True).alias("went")), ["a", "b"], "left")
-        merged = went.select("a", "b", "sim", (F.col("new") & F.col("went").isNull()).alias("new")).union(both.withColumn("new", F.lit(True)))
-        merged = merged.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
-        saturated = graph.where(f"sim >= {least}").groupBy("a").agg(F.count("*").alias("n")).where(f"n >= {length}").limit(1).count()
-        length *= 2 if saturated else 1
-        graph = scratch.save(_best(merged, length), f"{name}-{k}")
-        if not graph.where("new").limit(1).count():
-            break
-    return graph, length
 
+def _placed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds a projection code, so that vectors in order of it are close to each other."""
+    for batch in it:
+        code = np.zeros(batch.num_rows, dtype=np.int64)
+        size = np.array([len(v) for v in batch.column("vector")], dtype=np.int64)
+        for d in np.unique(size):
+            rows = np.flatnonzero(size == d)
+            x = _matrix(batch.column("vector").take(pa.array(rows)))
+            code[rows] = (x @ np.random.default_rng(int(d)).standard_normal((int(d), 40)) > 0) @ (1 << np.arange(40, dtype=np.int64))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code)], names=[*batch.schema.names, "code"])
 
-def _recall(truth: DataFrame, component: DataFrame) -> float:
-    """The audit's recall: the mean of its vectors' shares of found links, the lower one of those with few and with many links.
 
-    A link counts as found if it joins one component: the exact check then finds the pair. No links: 1.
-    """
-    seen = truth.join(component.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(component.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-    each = seen.groupBy("a").agg(F.count("*").alias("n"), F.count(F.when(F.col("ca") == F.col("cb"), 1)).alias("found"))
-    means = each.groupBy(F.col("n") > LIST).agg(F.avg(F.col("found") / F.col("n")).alias("share")).collect()
-    return min((r.share for r in means), default=1.0)
+def _linked(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs reach the threshold; those within rounding of it are decided as single pairs are."""
+    s = (x @ y.T) / np.sqrt((x * x).sum(axis=1))[:, None] / np.sqrt((y * y).sum(axis=1))[None, :]
+    for r, c in zip(*np.nonzero(np.abs(s - least) < 1e-9), strict=True):
+        s[r, c] = (x[r] * y[c]).sum() / (np.sqrt((x[r] * x[r]).sum()) * np.sqrt((y[c] * y[c]).sum()))
+    return s >= least
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.93, recall: float = 0.99, tables: int = 16) -> DataFrame:
+def _blocked(least: float):
+    """Blocks of consecutive vectors of a component, with the links inside each block counted."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(it, ["component"], BLOCK):
+            x = _matrix(t.column("vector").combine_chunks())
+            copies, node = t.column("copies").to_numpy(), t.column("node").to_numpy()
+            linked = _linked(x, x, least)
+            np.fill_diagonal(linked, False)
+            unit = _unit(x)
+            centre = unit.sum(axis=0)
+            centre = centre / max(1e-300, float(np.sqrt(centre @ centre)))
+            reach = float(np.arccos(np.clip(unit @ centre, -1, 1)).max())
+            row = {"component": t.column("component")[0].as_py(), "block": int(node[0]), "centre": centre.tolist(), "reach": reach, "total": int(copies.sum())}
+            row |= {"nodes": node.tolist(), "copies": copies.tolist(), "within": (linked @ copies).tolist(), "vectors": x.tobytes()}
+            yield pa.RecordBatch.from_pylist([row], schema=_BLOCKS)
+
+    return run
+
+
+_longs = pa.list_(pa.int64())
+_BLOCKS = pa.schema([("component", pa.int64()), ("block", pa.int64()), ("centre", pa.list_(pa.float64())), ("reach", pa.float64()), ("total", pa.int64()), ("nodes", _longs), ("copies", _longs), ("within", _longs), ("vectors", pa.binary())])
+_BLOCKS_SQL = "component long, block long, centre array<double>, reach double, total long, nodes array<long>, copies array<long>, within array<long>, vectors binary"
+
+
+def _told(least: float):
+    """Pairs of blocks by what their centres and reaches prove: all pairs linked (sure), or undecided; those without links go."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bound = float(np.arccos(least))
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            x, y = _matrix(batch.column("centre_a")), _matrix(batch.column("centre_b"))
+            between = np.arccos(np.clip((x * y).sum(axis=1), -1, 1))
+            reach = batch.column("reach_a").to_numpy() + batch.column("reach_b").to_numpy()
+            sure = between + reach < bound - 1e-6
+            keep = pa.array(np.flatnonzero(between - reach <= bound + 1e-6))
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("a", "b", "total_b")] + [pa.array(sure).take(keep)], names=["a", "b", "total", "sure"])
+
+    return run
+
+
+def _compared(least: float):
+    """For two blocks, the copies in the second that each of the first links to: (node, n)."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for i in range(batch.num_rows):
+                nodes, copies = batch.column("nodes_a")[i].values, batch.column("copies_b")[i].values.to_numpy()
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), dtype=np.float64).reshape(n, -1) for c, n in (("vectors_a", len(nodes)), ("vectors_b", len(copies))))
+                yield pa.RecordBatch.from_arrays([nodes, pa.array(_linked(x, y, least) @ copies)], names=["node", "n"])
+
+    return run
+
+
+def _counted(nodes: DataFrame, component: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """(node, n): the rows of other nodes that each node of a component links to."""
+    members = nodes.select("node", "copies", "vector").join(component.withColumnRenamed("id", "node"), "node").mapInArrow(_placed, "node long, copies long, vector array<double>, component long, code long")
+    ordered = members.repartitionByRange("component", "code", "node").sortWithinPartitions("component", "code", "node")
+    blocks = scratch.save(ordered.mapInArrow(_blocked(least), _BLOCKS_SQL), "blocks")
+    inside = blocks.select(F.explode(F.arrays_zip("nodes", "within")).alias("x")).select(F.col("x.nodes").alias("node"), F.col("x.within").alias("n"))
+    # pairs of a component's blocks, dealt by parts of its blocks so that no task has all of them
+    several = blocks.groupBy("component").agg(F.count("*").alias("blocks")).where("blocks > 1").select("component", F.ceil(F.col("blocks") / 64).alias("parts"))
+    heads = scratch.save(blocks.select("component", "block", "centre", "reach", "total").join(several, "component"), "heads")
+    left = heads.select("component", F.col("block").alias("a"), F.col("centre").alias("centre_a"), F.col("reach").alias("reach_a"), F.expr("pmod(xxhash64(block), parts)").alias("part"))
+    right = heads.select("component", F.col("block").alias("b"), F.col("centre").alias("centre_b"), F.col("reach").alias("reach_b"), F.col("total").alias("total_b"), F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"))
+    told = left.join(right, ["component", "part"]).where("a <> b").select("a", "b", "centre_a", "centre_b", "reach_a", "reach_b", "total_b")
+    told = scratch.save(told.mapInArrow(_told(least), "a long, b long, total long, sure boolean"), "told")
+    sure = told.where("sure").groupBy(F.col("a").alias("block")).agg(F.sum("total").alias("n"))
+    sure = blocks.select("block", "nodes").join(sure, "block").select(F.explode("nodes").alias("node"), "n")
+    rest = told.where("not sure").select("a", "b").repartition("a", "b")
+    rest = rest.join(blocks.select(F.col("block").alias("a"), F.col("nodes").alias("nodes_a"), F.col("vectors").alias("vectors_a")), "a")
+    rest = rest.join(blocks.select(F.col("block").alias("b"), F.col("copies").alias("copies_b"), F.col("vectors").alias("vectors_b")), "b")
+    compared = rest.select("nodes_a", "vectors_a", "copies_b", "vectors_b").mapInArrow(_compared(least), "node long, n long")
+    return inside.union(sure).union(compared).groupBy("node").agg(F.sum("n").alias("n"))
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.93, recall: float = 0.99, progress: list[tuple[int, int, int]] | None = None) -> DataFrame:
     """Links between vectors of the same label with a cosine (in double precision) of at least ``least``.
 
     vectors: ``vec_id`` (integer), ``embedding`` (array of numbers), ``label``; other columns are ignored.
     Null, empty and zero vectors, those with null or non-finite components, and those without a label link with nothing;
-    vectors of different lengths are not compared.
+    vectors of different lengths are not compared. ``progress`` is given (round, threshold edges, new entries) of each round.
 
     Returns a row per input row: vec_id, n_links (other rows linked directly), component_id (smallest
     vec_id reachable by links, itself included), kept (vec_id = component_id). RuntimeError if recall stays short. Rows that repeat a vec_id count as
@@ -218,43 +345,36 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, recall: float = 0.9
     rows = rows.withColumn("class", F.when(sane, F.md5(F.concat_ws("|", F.to_json(F.struct("label")), F.to_json(F.struct(F.transform("vector", lambda x: x + 0.0).alias("v")))))))
     rows = scratch.save(rows, "rows")
     nodes = rows.where("class is not null").groupBy("class").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least_id"), F.first(F.struct("label", "vector")).alias("v"))
-    nodes = nodes.select("class", "copies", "least_id", F.col("v.vector").alias("vector"), F.size("v.vector").cast("long").alias("size"), F.xxhash64("v.label", F.size("v.vector")).alias("kind"), F.monotonically_increasing_id().alias("node"))
-    nodes = scratch.save(nodes, "nodes")
-    n = nodes.count()
-    bits = max(6, int(np.ceil(np.log2(max(1, n) / BLOCK))) - 2)
-    bits = min(bits, 30)
-    same = 0.88**bits  # of two vectors at the threshold
-    tables = max(tables, int(np.ceil(np.log(1e-3) / np.log(1 - same))))
-
-    graph, length = _descent(nodes, _started(nodes, 1, tables, bits), LIST, least, scratch, "descent")
-    chosen = nodes.orderBy(F.xxhash64("node")).limit(AUDIT).select("kind", "size", "node", "vector").collect()
-    queries = spark.sparkContext.broadcast((np.array([r.kind for r in chosen]), np.array([r.size for r in chosen]), np.array([r.node for r in chosen]), [np.array(r.vector) for r in chosen]))
-    truth = scratch.save(nodes.mapInArrow(_audited(queries, least), "a long, b long"), "audit")
-    links, turn = graph.where(f"sim >= {least}").select("a", "b"), 1
-    while True:
-        links = scratch.save(links, f"links-{turn}")
-        component = components(links, scratch, f"components-{turn}")
-        found = _recall(truth, component)
+    nodes = nodes.select("class", "copies", "least_id", F.col("v.vector").alias("vector"), F.xxhash64("v.label", F.size("v.vector")).alias("kind"), F.monotonically_increasing_id().alias("node"))
+    nodes = scratch.save(nodes.mapInArrow(_halved, "class string, copies long, least_id long, vector array<double>, kind long, node long, unit binary"), "nodes")
+
+    longest, turn = LONGEST, 0
+    graph = scratch.save(_trimmed(_random(nodes, 0, least).withColumn("new", F.lit(True)), longest, least, 0), "graph-0")
+    for attempt in range(1, TRIES + 1):
+        for _ in range(ROUNDS):
+            graph, turn = _descended(nodes, graph, longest, least, scratch, turn), turn + 1
+            told = graph.agg(F.count_if(F.col("sim") >= least), F.count_if("new"), F.count("*")).first()
+            if progress is not None:
+                progress.append((turn, told[0], told[1]))
+            scratch.drop(f"graph-{turn - 1}")
+            if told[1] <= SETTLED * told[2]:
+                break
+        links = scratch.save(_links(nodes, graph, least), f"links-{attempt}")
+        component = components(links, scratch, f"components-{attempt}")
+        found = _audit(nodes, component, least)
         if found >= recall:
             break
-        if turn == TRIES:
-            raise RuntimeError(f"near_duplicates: recall {found:.4f} is under {recall} after {turn} tries")
-        turn += 1
-        more = _started(nodes, turn, 2 * tables, bits)
-        graph, length = _descent(nodes, graph.union(more.join(graph, ["a", "b"], "left_anti").select(graph.columns)), length, least, scratch, f"descent-{turn}")
-        links = links.union(graph.where(f"sim >= {least}").select("a", "b")).distinct()
-
-    members = nodes.join(component.withColumnRenamed("id", "node"), "node")
-    members = scratch.save(members, "members")
-    sizes = scratch.save(members.groupBy("component").agg(F.count("*").alias("n")), "sizes")
-    members = members.join(sizes, "component").withColumn("block", F.expr(f"pmod(hash(node), cast(ceil(n / {2 * BLOCK}) as int))"))
-    runs = members.groupBy("component", "block").agg(F.collect_list(F.struct("node", "copies", "vector")).alias("run"))
-    runs = scratch.save(runs, "runs")
-    pairs = runs.select("component", F.col("run").alias("left")).join(runs.select("component", F.col("run").alias("right")), "component").select("left", "right")
-    direct = scratch.save(pairs.mapInArrow(_linked(least), "node long, n long").groupBy("node").agg(F.sum("n").alias("n")), "direct")
-
+        if attempt == TRIES:
+            raise RuntimeError(f"near_duplicates: recall {found:.4f} is under {recall} after {attempt} tries")
+        # saturated lists grow, and new random edges lead out of where the lists have settled
+        longest *= 2
+        more = graph.drop("go").union(_random(nodes, attempt, least).withColumn("new", F.lit(True)))
+        graph, turn = scratch.save(_trimmed(more, longest, least, turn + 1), f"graph-{turn + 1}"), turn + 1
+
+    direct = scratch.save(_counted(nodes, component, least, scratch), "direct")
+    members = nodes.select("node", "least_id").join(component.withColumnRenamed("id", "node"), "node")
     least_of = members.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    known = nodes.join(component.withColumnRenamed("id", "node"), "node", "left").join(least_of, "component", "left").join(direct, "node", "left")
+    known = nodes.select("node", "class", "copies", "least_id").join(component.withColumnRenamed("id", "node"), "node", "left").join(least_of, "component", "left").join(direct, "node", "left")
     known = scratch.save(known.select("class", F.coalesce("component_id", "least_id").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "known")
-    out = rows.join(known, "class", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    out = rows.select("vec_id", "class").join(known, "class", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return scratch.result(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))))

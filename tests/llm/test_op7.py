@@ -59,39 +59,65 @@ def test_edges(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_recall_is_judged_by_vector(spark):
-    """A hot group's links are all found, those of pairs are not: one share a vector, and few links apart from many."""
-    hot = [(a, 1000 + b) for a in range(30) for b in range(300)]
-    pairs = [(5000 + k, 6000 + k) for k in range(10)]
-    component = [(i, 0) for i in {x for link in hot for x in link}] + [(i, i) for link in pairs[:5] for i in link] + [(i, a) for a, b in pairs[5:] for i in (a, b)]
-    truth = spark.createDataFrame(hot + pairs, "a long, b long")
-    assert neighbours._recall(truth, spark.createDataFrame(component, "id long, component long")) == 0.5
-    assert neighbours._recall(truth.limit(0), spark.createDataFrame(component, "id long, component long")) == 1.0
+def test_recall_is_judged_by_vector():
+    """A hot group's links are all found, those of half the pairs are not: a share a vector, and few links apart from many."""
+    hot, pairs = [(300, 300)] * 30, [(1, k % 2) for k in range(10)]
+    assert neighbours._recall(hot + pairs) == 0.5
+    assert neighbours._recall([]) == neighbours._recall([(0, 0)]) == 1.0
 
 
-def test_short_recall_goes_on_or_raises(spark, monkeypatch):
-    rng = np.random.default_rng(5)
+def planted(seed=5, n=700, pairs=75):
+    """Two labels of far vectors, each with close pairs."""
+    rng = np.random.default_rng(seed)
     rows = []
-    for _ in range(10):
-        v = rng.standard_normal(24)
-        rows += [(len(rows), v.tolist(), 0), (len(rows) + 1, (v + 0.1 * rng.standard_normal(24)).tolist(), 0)]
-    start = neighbours._started
-    monkeypatch.setattr(neighbours, "_started", lambda nodes, seed, tables, bits: start(nodes, seed, tables, bits).where(str(seed >= 5)))
+    for label in (0, 1):
+        rows += [(len(rows) + k, rng.standard_normal(64).tolist(), label) for k in range(n)]
+        for _ in range(pairs):
+            v = rng.standard_normal(64)
+            rows += [(len(rows), v.tolist(), label), (len(rows) + 1, (v + 0.25 * rng.standard_normal(64)).tolist(), label)]
+    return rows
+
+
+def test_descent_finds_what_the_random_start_lacks(spark):
+    rows, progress = planted(), []
+    frame = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)
+    out = sorted(tuple(r) for r in near_duplicates(frame, progress=progress).collect())
+    want = brute(rows, 0.93)
+    links = sum(r[1] for r in want)
+    assert all(a[1] <= b[1] and a[2] >= b[2] for a, b in zip(out, want, strict=True))  # no link that is none
+    assert sum(r[1] for r in out) >= 0.99 * links and links == 4 * 75
+    assert progress[0][1] < 0.5 * links and progress[-1][1] >= 0.99 * links  # directed edges after the first round and the last
+
+
+def test_short_recall_goes_on_or_raises(spark, monkeypatch):
+    rows = planted(n=40, pairs=10)
+    start = neighbours._random
+    monkeypatch.setattr(neighbours, "_random", lambda nodes, seed, least: start(nodes, seed, least).where(str(seed >= 2)))
     assert got(spark, rows) == brute(rows, 0.93)
-    monkeypatch.setattr(neighbours, "_started", lambda nodes, seed, tables, bits: start(nodes, seed, tables, bits).where("false"))
+    monkeypatch.setattr(neighbours, "_random", lambda nodes, seed, least: start(nodes, seed, least).where("false"))
     monkeypatch.setattr(neighbours, "TRIES", 2)
     with pytest.raises(RuntimeError, match="recall"):
         got(spark, rows)
 
 
-def test_lists_keep_their_length_and_unfollowed_edges(spark):
-    """A second descent does not cut lists that have doubled, and an edge outside the sample stays new."""
-    rng = np.random.default_rng(7)
-    centre = rng.standard_normal(24)
-    rows = [(k, (centre + 0.1 * rng.standard_normal(24)).tolist()) for k in range(60)]
-    nodes = spark.createDataFrame(rows, "node long, vector array<double>")
-    graph = spark.createDataFrame([(a, b, 0.95, True) for a in range(60) for b in range(60) if a != b], "a long, b long, sim double, new boolean")
-    scratch = neighbours.Scratch(spark, "test")
-    graph, length = neighbours._descent(nodes, graph, 64, 0.93, scratch, "d", rounds=1)
-    assert length == 64 and graph.count() == 60 * 59
-    assert graph.where("not new").count() == 60 * neighbours.SAMPLE
+def test_hot_kinds_meet_as_others_do(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "HOT", 50)
+    rows = planted(n=60, pairs=20) + [(9000, [1.0] * 64, 7), (9001, [1.0] * 63 + [1.1], 7)]
+    assert got(spark, rows) == brute(rows, 0.93)
+
+
+def test_blocks_of_a_large_component(spark, monkeypatch):
+    """Links counted inside blocks, by bounds, and between blocks, with copies; lists shorter than the links."""
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    monkeypatch.setattr(neighbours, "LONGEST", 20)
+    rng = np.random.default_rng(9)
+    a, b = np.linalg.qr(rng.standard_normal((24, 2)))[0].T
+    rows = [(k, (a * np.cos(t) + b * np.sin(t) + 0.01 * rng.standard_normal(24)).tolist(), 0) for k, t in enumerate(rng.random(300) * 1.2)]
+    rows += [(300 + k, rows[k][1], 0) for k in range(30)]
+    assert got(spark, rows) == brute(rows, 0.93)
+
+
+def test_huge_and_tiny_numbers(spark):
+    v = np.array([1.0, 2.0, 3.0, -1.0])
+    rows = [(1, (v * 2.0**100).tolist(), 1), (2, (v * 2.0**-100).tolist(), 1), (3, (-v).tolist(), 1)]
+    assert got(spark, rows) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
