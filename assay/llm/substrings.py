@@ -3,18 +3,20 @@
 Every ``length``-byte window has one anchor: the leftmost smallest hash among its
 ``GRAM``-byte substrings. Equal windows have equal anchors at equal places, so windows
 need comparing only where an anchor's bytes occur twice. An anchor's context is all
-that any window on it can hold. Of equal contexts the earliest counts and the others are
-repeats; different contexts on one anchor are sorted as suffixes, to the right and
-reversed to the left, by a mergesort that compares two suffixes by a binary search over
-prefix polynomial hashes. Common prefixes of neighbours, verified byte by byte, then
-tell which windows are equal.
-
-Anchors on more than ``GROUP`` different contexts take their windows one by one through a
-grouped minimum, so that no group has to fit in a task.
+that any window on it can hold. Contexts whose hashes agree are one suffix, of which the
+earliest place counts; the runs of bytes that they make up with their sources are compared by
+digests of the bytes, and a collision begins the work anew with other hashes. The different contexts
+on one anchor are sorted as suffixes, to the right and reversed to the left, by a mergesort that compares
+two suffixes by a binary search over prefix polynomial hashes. Common prefixes of neighbours, verified
+byte by byte, then tell which windows are equal.
+
+An anchor's contexts are sorted in runs of about ``RUN``, so that no anchor has to fit in a task. Runs of one anchor are
+merged through their windows: each run hands on the digest of each different window with its first place.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +26,13 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .scratch import Scratch, batches
+from .sieve import sieved
 
 GRAM = 24
-GROUP = 20_000
+RUN = 2048
+SEEDS = 4  # hash functions tried before collisions are an error
 PIECE = 1 << 18
 LOW = np.uint64(PIECE * 2 - 1)
-SECOND = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MISSING = -(2**63)
 
 
@@ -73,9 +76,14 @@ def anchors(raw: np.ndarray, lo: int, hi: int, bounds: np.ndarray, length: int)
     return place, h[place]
 
 
-def _anchored(length: int):
+def _second(seed: int) -> np.ndarray:
+    """A 64-bit value for each byte: the hash function of contexts."""
+    return np.random.Generator(np.random.PCG64(7 + seed)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _anchored(length: int, seed: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reach = length - GRAM
+        reach, second = length - GRAM, _second(seed)
         for batch in it:
             raw, offsets = tx.buffers(batch.column("text"))
             for i, lo, hi, bounds in _pieces(offsets, length):
@@ -87,7 +95,7 @@ def _anchored(length: int):
                 a, b = max(int(offsets[i]), lo - reach), min(int(offsets[min(len(offsets) - 1, int(row[-1]) + 1)]), hi + length)
                 up, down = tx.powers(b - a + 1)
                 sums = np.zeros(b - a + 1, dtype=np.uint64)
-                np.cumsum(SECOND[raw[a:b]] * up[: b - a], out=sums[1:])
+                np.cumsum(second[raw[a:b]] * up[: b - a], out=sums[1:])
                 p = place + lo
                 left, right = np.maximum(offsets[row], p - reach), np.minimum(offsets[row + 1], p + length)
                 ctx = (sums[right - a] - sums[left - a]) * down[left - a]
@@ -126,13 +134,15 @@ def _contexts(length: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([e["gram"] for e in asked], pa.int64()),
+                        pa.array([e["run"] for e in asked], pa.int64()),
+                        pa.array([e["runs"] for e in asked], pa.int64()),
                         batch.column("doc_id").take(pa.array([r] * k)),
                         batch.column("th").take(pa.array([r] * k)),
                         pa.array([e["pos"] for e in asked], pa.int64()),
                         pa.array([body[max(0, e["pos"] - reach) : e["pos"]][::-1] for e in asked], pa.binary()),
                         pa.array([body[e["pos"] : e["pos"] + length] for e in asked], pa.binary()),
                     ],
-                    names=["gram", "doc_id", "th", "pos", "before", "after"],
+                    names=["gram", "run", "runs", "doc_id", "th", "pos", "before", "after"],
                 )
 
     return run
@@ -236,78 +246,120 @@ class Suffixes:
         return out
 
 
-def repeats(gram: np.ndarray, before: tuple[np.ndarray, np.ndarray], after: tuple[np.ndarray, np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, from, to): byte ranges, relative to the anchor, of windows that an earlier context of the same anchor holds.
+def repeats(group: np.ndarray, before: tuple[np.ndarray, np.ndarray], after: tuple[np.ndarray, np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(again, first): for each context and each number of bytes before the anchor, whether an earlier context of its group
+    holds the same window, and whether its window is the first.
 
-    Contexts come in groups of one gram, the earliest first.
+    Contexts of a group stand together, the earliest first.
     """
-    n = len(gram)
-    left, right = Suffixes(*before, gram), Suffixes(*after, gram)
-    again = np.zeros((n, length - GRAM + 3), dtype=bool)
-    for o in range(length - GRAM + 1):
+    n, offsets = len(group), length - GRAM + 1
+    left, right = Suffixes(*before, group), Suffixes(*after, group)
+    again, first = np.zeros((n, offsets), dtype=bool), np.zeros((n, offsets), dtype=bool)
+    for o in range(offsets):
         a, b = left.classes(o), right.classes(length - o)
         ok = np.flatnonzero((a >= 0) & (b >= 0))
-        first = np.unique(b[ok] * (n + 2) + a[ok], return_index=True)[1]
-        hit = np.ones(len(ok), dtype=bool)
-        hit[first] = False
-        again[ok[hit], o + 1] = True
-    steps = np.diff(again.astype(np.int8), axis=1)
+        new = ok[np.unique(b[ok] * (n + 2) + a[ok], return_index=True)[1]]
+        again[ok, o] = True
+        again[new, o] = False
+        first[new, o] = True
+    return again, first
+
+
+def ranges(again: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, from, to): byte ranges, relative to the anchor, that the windows in ``again`` make up."""
+    steps = np.diff(np.pad(again, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     row, low = np.nonzero(steps == 1)
     high = np.nonzero(steps == -1)[1] - 1
     return row, -high, length - low
 
 
+_FOUND = "doc_id long, th long, low long, high long, window binary"
+
+
 def _sorted_groups(length: int):
+    """Ranges that repeat inside a run of contexts; for anchors of several runs also each different window of a run (its digest) at its first place."""
+
+    def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        t = t.take(pa.array(np.lexsort([t.column(c).to_numpy() for c in ("pos", "th", "doc_id", "run", "gram")]))).combine_chunks()
+        gram, run, pos, several = (t.column(c).to_numpy() for c in ("gram", "run", "pos", "runs"))
+        group = np.cumsum(np.append(True, (gram[1:] != gram[:-1]) | (run[1:] != run[:-1])))
+        before, after = tx.buffers(t.column("before")), tx.buffers(t.column("after"))
+        (braw, bat), (araw, aat) = [(raw[o[0] : o[-1]], o - o[0]) for raw, o in (before, after)]
+        again, first = repeats(group, (braw, bat), (araw, aat), length)
+        row, low, high = ranges(again, length)
+        yield _found(t, row, pos[row] + low, pos[row] + high, None)
+        for r in np.flatnonzero(several > 1):
+            body = braw[bat[r] : bat[r + 1]][::-1].tobytes() + araw[aat[r] : aat[r + 1]].tobytes()
+            size = int(bat[r + 1] - bat[r])
+            at = np.flatnonzero(first[r])
+            digests = [hashlib.blake2b(body[size - o : size - o + length], digest_size=16).digest() for o in at.tolist()]
+            yield _found(t, np.full(len(at), r), pos[r] - at, pos[r] - at + length, digests)
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def flush(t: pa.Table) -> pa.RecordBatch:
-            t = t.take(pa.array(np.lexsort([t.column(c).to_numpy() for c in ("pos", "th", "doc_id", "gram")])))
-            gram = t.column("gram").to_numpy()
-            before, after = tx.buffers(t.column("before")), tx.buffers(t.column("after"))
-            based = [(raw[o[0] : o[-1]], o - o[0]) for raw, o in (before, after)]
-            row, low, high = repeats(gram, *based, length)
-            pos, rows = t.column("pos").to_numpy()[row], pa.array(row)
-            return pa.RecordBatch.from_arrays([t.column("doc_id").take(rows).combine_chunks(), t.column("th").take(rows).combine_chunks(), pa.array(pos + low), pa.array(pos + high)], names=["doc_id", "th", "low", "high"])
-
         for batch in it:
             held.append(batch)
             if sum(b.num_rows for b in held) < 8192:
                 continue
             t = pa.Table.from_batches(held)
-            gram = t.column("gram").to_numpy()
-            cut = int(np.searchsorted(gram, gram[-1]))  # the last group may go on
-            if cut:
-                yield flush(t.slice(0, cut))
-            held = t.slice(cut).to_batches()
+            gram, part = t.column("gram").to_numpy(), t.column("run").to_numpy()
+            last = np.flatnonzero((gram != gram[-1]) | (part != part[-1]))  # the last run may go on
+            if len(last):
+                yield from flush(t.slice(0, int(last[-1]) + 1))
+                held = t.slice(int(last[-1]) + 1).to_batches()
         if held:
-            yield flush(pa.Table.from_batches(held))
+            yield from flush(pa.Table.from_batches(held))
 
     return run
 
 
-def _hashed_windows(length: int):
-    """(gram, window hash, second hash, doc_id, th, start) of all windows of a context: for very large groups."""
+def _found(t: pa.Table, row: np.ndarray, low: np.ndarray, high: np.ndarray, windows: list[bytes] | None) -> pa.RecordBatch:
+    rows = pa.array(row)
+    ids = [t.column(c).take(rows).combine_chunks() for c in ("doc_id", "th")]
+    return pa.RecordBatch.from_arrays([*ids, pa.array(low), pa.array(high), pa.nulls(len(row), pa.binary()) if windows is None else pa.array(windows, pa.binary())], names=["doc_id", "th", "low", "high", "window"])
+
+
+def _joined_up(length: int):
+    """Equal contexts that overlap, at one distance from one source text, as runs: (doc_id, th, low, high, source, source_th, source_low)."""
+    keys = ("doc_id", "th", "source", "source_th", "ahead")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 7
         for batch in it:
-            for r, (before, after) in enumerate(zip(batch.column("before").to_pylist(), batch.column("after").to_pylist(), strict=True)):
-                body = np.frombuffer(before[::-1] + after, dtype=np.uint8)
-                k = len(body) - length + 1
-                if k < 1:
-                    continue
-                at = np.arange(k)
-                one = tx.mixed(tx.spans(tx.prefix(body), at, at + length))
-                up, down = tx.powers(len(body) + 1)
-                sums = np.append(np.zeros(1, np.uint64), np.cumsum(SECOND[body] * up[: len(body)]))
-                two = tx.mixed((sums[length:] - sums[:k]) * down[:k])
-                rows = pa.array([r] * k)
-                start = batch.column("pos")[r].as_py() - len(before) + at
-                yield pa.RecordBatch.from_arrays([pa.array(one.astype(np.int64)), pa.array(two.astype(np.int64)), batch.column("doc_id").take(rows), batch.column("th").take(rows), pa.array(start)], names=["one", "two", "doc_id", "th", "start"])
+            cols = [batch.column(c).to_numpy() for c in (*keys, "pos", "pos")]
+            cols = [np.append(h, c) for h, c in zip(held, cols, strict=True)]
+            *key, low, high = cols
+            new = np.append(True, low[1:] - (length - GRAM) > high[:-1] + length)
+            for k in key:
+                new[1:] |= k[1:] != k[:-1]
+            at = np.flatnonzero(new)
+            runs = [k[at] for k in key] + [low[at], high[np.append(at[1:], len(low)) - 1]]
+            held = [r[-1:] for r in runs]  # the last run may go on
+            yield _as_runs([r[:-1] for r in runs], length)
+        yield _as_runs(held, length)
 
     return run
 
 
+def _as_runs(runs: list[np.ndarray], length: int) -> pa.RecordBatch:
+    doc, th, source, source_th, ahead, low, high = runs
+    low = np.maximum(0, low - (length - GRAM))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (doc, th, low, high + length, source, source_th, low - ahead)], names=["doc_id", "th", "low", "high", "source", "source_th", "source_low"])
+
+
+def _digests(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For a text's runs, and for the places that others' runs have as their source: (source, source_th, source_low, size, digest)."""
+    for batch in it:
+        raw, offsets = tx.buffers(batch.column("text"))
+        rows = []
+        for r, (doc, th, own, asked) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "own", "asked")), strict=True)):
+            body = raw[offsets[r] : offsets[r + 1]].tobytes()
+            rows += [(e["source"], e["source_th"], e["source_low"], e["high"] - e["low"], body[e["low"] : e["high"]]) for e in own or ()]
+            rows += [(doc, th, e["source_low"], e["size"], body[e["source_low"] : e["source_low"] + e["size"]]) for e in asked or ()]
+        columns = [pa.array([x[k] for x in rows], pa.int64()) for k in range(4)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([hashlib.blake2b(x[4], digest_size=16).digest() for x in rows], pa.binary())], names=["source", "source_th", "source_low", "size", "digest"])
+
+
 def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Remove marked ranges; kept_text leaves out characters that a cut has broken."""
     for batch in it:
@@ -332,39 +384,62 @@ def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def marks(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """(doc_id, th, text, marks) of the texts of ``docs`` (doc_id, th, text) that repeat something; marks: array of byte ranges."""
+    for seed in range(SEEDS):
+        out = _marks(docs, length, scratch, seed)
+        if out is not None:
+            return out
+    raise RuntimeError(f"remove_repeats: contexts collide under {SEEDS} hash functions")
+
+
+def _marks(docs: DataFrame, length: int, scratch: Scratch, seed: int) -> DataFrame | None:
+    """:func:`marks` by one hash function; None if contexts that it takes for equal are not."""
     grams = docs.select("text").mapInArrow(_grams(length), "gram long").groupBy("gram").agg(F.count("*").alias("n"))
     grams = scratch.save(grams.where("n > 1").select("gram"), "grams")
-    found = docs.mapInArrow(_anchored(length), "gram long, ctx long, doc_id long, th long, pos long")
+    found = docs.mapInArrow(_anchored(length, seed), "gram long, ctx long, doc_id long, th long, pos long")
     found = scratch.save(found.join(grams, "gram"), "anchors")
     place = F.struct("doc_id", "th", "pos")
     firsts = scratch.save(found.groupBy("gram", "ctx").agg(F.min(place).alias("first"), F.count("*").alias("n")), "contexts")
     copies = found.join(firsts.where("n > 1"), ["gram", "ctx"]).where(place > F.col("first"))
-    copies = copies.select("doc_id", "th", F.expr(f"pos - {length - GRAM}").alias("low"), F.expr(f"pos + {length}").alias("high"))
-    copies = scratch.save(copies, "copies")
+    copies = copies.select("doc_id", "th", "pos", F.col("first.doc_id").alias("source"), F.col("first.th").alias("source_th"), (F.col("pos") - F.col("first.pos")).alias("ahead"))
+    copies = copies.repartition("doc_id", "th").sortWithinPartitions("doc_id", "th", "source", "source_th", "ahead", "pos")
+    runs = copies.mapInArrow(_joined_up(length), "doc_id long, th long, low long, high long, source long, source_th long, source_low long")
+    runs = scratch.save(runs, "runs")
     scratch.drop("anchors")
+
     several = scratch.save(firsts.groupBy("gram").agg(F.count("*").alias("contexts")).where("contexts > 1"), "several")
-    edges = firsts.join(several, "gram").select("gram", "contexts", "first.*")
-    edges = edges.groupBy("doc_id", "th").agg(F.collect_list(F.struct("gram", "pos")).alias("edges"))
-    edges = scratch.save(edges, "edges")
-    touched = copies.select("doc_id", "th").distinct().join(edges, ["doc_id", "th"], "full")
-    touched = scratch.save(docs.join(touched, ["doc_id", "th"]), "touched")
-
-    around = touched.where("edges is not null").select("doc_id", "th", "text", "edges").mapInArrow(_contexts(length), "gram long, doc_id long, th long, pos long, before binary, after binary")
-    around = scratch.save(around, "around")
-    large = scratch.save(several.where(f"contexts > {GROUP}").select("gram"), "large")
-    small = around.join(large, "gram", "left_anti") if large.limit(1).count() else around
-    ranges = small.repartition("gram").sortWithinPartitions("gram").mapInArrow(_sorted_groups(length), "doc_id long, th long, low long, high long")
-    ranges = scratch.save(ranges, "ranges")
-    out = copies.union(ranges)
-    if large.limit(1).count():
-        windows = around.join(large, "gram", "left_semi").mapInArrow(_hashed_windows(length), "one long, two long, doc_id long, th long, start long")
-        windows = scratch.save(windows, "windows")
-        where = F.struct("doc_id", "th", "start")
-        earliest = scratch.save(windows.groupBy("one", "two").agg(F.min(where).alias("first"), F.count("*").alias("n")).where("n > 1"), "earliest")
-        again = windows.join(earliest, ["one", "two"]).where(where > F.col("first"))
-        out = out.union(again.select("doc_id", "th", F.col("start").alias("low"), F.expr(f"start + {length}").alias("high")))
-    out = scratch.save(out.groupBy("doc_id", "th").agg(F.collect_list(F.struct("low", "high")).alias("marks")), "marks")
-    return touched.select("doc_id", "th", "text").join(out, ["doc_id", "th"])
+    edges = firsts.join(several, "gram").select("gram", F.ceil(F.col("contexts") / RUN).alias("runs"), "first.*")
+    edges = edges.withColumn("run", F.expr("pmod(xxhash64(doc_id, th, pos), runs)"))
+    # what is wanted of each text: contexts to sort, runs that repeat a source, and places that are a source
+    lists = [
+        edges.groupBy("doc_id", "th").agg(F.collect_list(F.struct("gram", "run", "runs", "pos")).alias("edges")),
+        runs.groupBy("doc_id", "th").agg(F.collect_list(F.struct("low", "high", "source", "source_th", "source_low")).alias("own")),
+        runs.select(F.col("source").alias("doc_id"), F.col("source_th").alias("th"), "source_low", (F.col("high") - F.col("low")).alias("size")).distinct()
+        .groupBy("doc_id", "th").agg(F.collect_list(F.struct("source_low", "size")).alias("asked")),
+    ]
+    wanted = lists[0].join(lists[1], ["doc_id", "th"], "full").join(lists[2], ["doc_id", "th"], "full")
+    wanted = scratch.save(wanted, "wanted")
+    maybe, _ = sieved(docs, "doc_id", wanted, scratch, "wanted-ids")
+    touched = scratch.save(maybe.join(wanted, ["doc_id", "th"]), "touched")
+    key = ["source", "source_th", "source_low", "size"]
+    digests = touched.where("own is not null or asked is not null").select("doc_id", "th", "text", "own", "asked").mapInArrow(_digests, "source long, source_th long, source_low long, size long, digest binary")
+    if digests.groupBy(*key).agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").limit(1).count():
+        return None
+
+    around = touched.where("edges is not null").select("doc_id", "th", "text", "edges").mapInArrow(_contexts(length), "gram long, run long, runs long, doc_id long, th long, pos long, before binary, after binary")
+    ordered = around.repartition("gram", "run").sortWithinPartitions("gram", "run")
+    sorted_ = scratch.save(ordered.mapInArrow(_sorted_groups(length), _FOUND), "sorted")
+    out = sorted_.where("window is null").select("doc_id", "th", "low", "high")
+    if several.where(f"contexts > {RUN}").limit(1).count():
+        windows = sorted_.where("window is not null")
+        where = F.struct("doc_id", "th", "low")
+        earliest = scratch.save(windows.groupBy("window").agg(F.min(where).alias("first"), F.count("*").alias("n")).where("n > 1"), "earliest")
+        out = out.union(windows.join(earliest, "window").where(where > F.col("first")).select("doc_id", "th", "low", "high"))
+    out = out.groupBy("doc_id", "th").agg(F.collect_list(F.struct("low", "high")).alias("found"))
+    out = scratch.save(out, "marks")
+    own = F.expr("transform(own, x -> struct(x.low as low, x.high as high))").alias("own")
+    mine = touched.where("own is not null or edges is not null").select("doc_id", "th", "text", own).join(out, ["doc_id", "th"], "left")
+    none = F.array().cast("array<struct<low:bigint,high:bigint>>")
+    return mine.where("own is not null or found is not null").select("doc_id", "th", "text", F.concat(F.coalesce("own", none), F.coalesce("found", none)).alias("marks"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:

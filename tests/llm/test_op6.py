@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from assay.llm import substrings
@@ -39,10 +40,25 @@ def test_equals_brute_force_on_documents(spark):
     assert sum(r[2] for r in want) > 0
 
 
-@pytest.mark.parametrize("group", [20_000, 3])
-def test_equals_brute_force_on_spliced_texts(spark, monkeypatch, group):
-    """Overlaps, self-repeats, chains of different contexts; also with every larger group taken window by window."""
-    monkeypatch.setattr(substrings, "GROUP", group)
+def collided(length, seed, anchored=substrings._anchored):
+    """Anchors with contexts that the first two hash functions confuse."""
+    inner = anchored(length, seed)
+
+    def run(it):
+        for b in inner(it):
+            ctx = pa.array(b.column("ctx").to_numpy() % (1 if seed < 2 else 1 << 62))
+            yield pa.RecordBatch.from_arrays([b.column("gram"), ctx, *b.columns[2:]], names=b.schema.names)
+
+    return run
+
+
+@pytest.mark.parametrize("how", ["plain", "short runs", "collisions"])
+def test_equals_brute_force_on_spliced_texts(spark, monkeypatch, how):
+    """Overlaps, self-repeats, chains of different contexts; also sorted in short runs, and with contexts whose hashes collide."""
+    if how == "short runs":
+        monkeypatch.setattr(substrings, "RUN", 3)
+    if how == "collisions":
+        monkeypatch.setattr(substrings, "_anchored", collided)
     rng = random.Random(5)
     pool = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(30, 160))) for _ in range(12)]
     docs = [(i, "".join(rng.choice(pool) for _ in range(rng.randint(0, 9))), "x") for i in range(60)]
@@ -83,3 +99,22 @@ def test_edges(spark):
     assert got[0] == ("2", 120, 120, 1) and got[1] == ("2", 120, 120, 1)
     assert got[2][0:2] == ("2", 320) and got[2][2] >= 120 and got[3] == ("9", 99, 0, 0) and got[4] == ("None", 120, 0, 0)
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_collisions_without_end_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "_anchored", collided)
+    monkeypatch.setattr(substrings, "SEEDS", 2)
+    docs = [(k, "ab cd" * 30 + chr(97 + k) * 120, "x") for k in range(5)]
+    with pytest.raises(RuntimeError, match="collide"):
+        remove_repeats(spark.createDataFrame(docs, SCHEMA))
+
+
+def test_a_common_line_between_different_texts(spark, monkeypatch):
+    """One line in many texts: its anchors have as many contexts as texts, in several runs."""
+    monkeypatch.setattr(substrings, "RUN", 7)
+    rng = random.Random(8)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(130))
+    text = lambda: "".join(rng.choice("abcdefgh ") for _ in range(150))
+    docs = [(i, text() + line + text(), "x") for i in range(60)]
+    got = result(remove_repeats(spark.createDataFrame(docs, SCHEMA)))
+    assert got == brute([d[:2] for d in docs], 100) and sum(r[2] > 0 for r in got) == 59
