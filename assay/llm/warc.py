@@ -2,8 +2,10 @@
 
 Each record is one gzip member. The reader holds one record at a time: it inflates a
 member piece by piece, frames the block by Content-Length and hashes it as it passes.
-Archives go to the folder that all executors share, through Arrow's file systems; a file
-counts only if the task that wrote it is the one whose result Spark keeps.
+
+Archives are written and read by Spark's own sources, so they can be in any store that Spark reaches, and a task that is
+lost leaves none behind. The text sink ends every row with a separator; here that is the byte 0, and a row is a number of
+whole members without the last byte, which is 0: the high byte of the length that ends a gzip member.
 """
 
 from __future__ import annotations
@@ -16,14 +18,14 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, batches
+from .sieve import sieved
 
 CHUNK = 1 << 16
-ROLL = 32 << 20  # compressed bytes after which a new archive begins
+ROW, ROWS = 4 << 20, 8  # compressed bytes after which a row ends, and rows after which a new archive begins
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FIELDS = "record_type string, record_id string, target_uri string, refers_to string, payload_bytes long, payload_digest string, valid boolean"
 
@@ -36,16 +38,20 @@ def _b32(sha1: bytes) -> str:
     return "sha1:" + base64.b32encode(sha1).decode()
 
 
-def record(page_id, url: str | None, payload: bytes, refers_to=None, revisit: bool = False, date: str = "1970-01-01T00:00:00Z") -> bytes:
-    """One WARC record: a response, or a revisit that leaves the payload out."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {date}"]
+def record(page_id, url: str | None, payload: bytes | None, size: int, sha1: str, refers_to=None, date: str = "1970-01-01T00:00:00Z") -> bytes:
+    """One WARC record: a response, or without ``payload`` a revisit, which tells its length and digest only.
+
+    A response's id is made of the page's id and the payload, so that revisits can name it; a revisit's is unique.
+    """
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
+    block = http if payload is None else http + payload
+    own = "" if payload is not None else f":{uuid.uuid4().hex}"
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if payload is None else 'response'}", f"WARC-Record-ID: <urn:page:{page_id}:{sha1}{own}>", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
-    if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    head += [f"WARC-Payload-Digest: {_b32(hashlib.sha1(payload).digest())}", f"WARC-Block-Digest: {_b32(hashlib.sha1(block).digest())}"]
+    if payload is None:
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}:{sha1}>"]
+    head += [f"WARC-Payload-Digest: {_b32(bytes.fromhex(sha1))}", f"WARC-Block-Digest: {_b32(hashlib.sha1(block).digest())}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -56,48 +62,56 @@ def member(data: bytes, level: int = 6) -> bytes:
     return c.compress(data) + c.flush()
 
 
-def _written(folder: str, level: int):
+def _members(level: int):
+    """Rows of whole gzip members, one a record, without the last byte."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
-        out, name, n, size = None, "", 0, 0
-        done: list[tuple[str, int, int]] = []
+        held, size = [], 0
         for batch in it:
-            html = batch.column("html")
-            for i, (page, url, refers, again) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "refers_to", "revisit")), strict=True)):
-                if out is None:
-                    name, n, size = f"{root}/{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = fs.open_output_stream(name, compression=None)
-                payload = html[i].as_py() or ""
-                data = member(record(page, url, payload.encode(), refers, again), level)
-                out.write(data)
-                n, size = n + 1, size + len(data)
-                if size >= ROLL:
-                    out.close()
-                    done, out = [*done, (name, n, size)], None
-        if out is not None:
-            out.close()
-            done.append((name, n, size))
-        yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["path", "records", "bytes"])
+            columns = (batch.column(c).to_pylist() for c in ("page_id", "url", "html", "size", "sha1", "refers_to"))
+            for page, url, html, n, sha1, refers in zip(*columns, strict=True):
+                payload = None if html is None else html.encode()
+                held.append(member(record(page, url, payload, len(payload) if payload is not None else n, sha1 or hashlib.sha1(payload).hexdigest(), refers), level))
+                size += len(held[-1])
+                if size >= ROW:
+                    yield _row(held)
+                    held, size = [], 0
+        if held:
+            yield _row(held)
 
     return run
 
 
-def write(pages: DataFrame, folder: str, least: int = 1000, level: int = 6) -> DataFrame:
-    """Write a record per row of ``pages`` (page_id, url, html) to archives in ``folder``; returns (path, records, bytes).
+def _row(members: list[bytes]) -> pa.RecordBatch:
+    if members[-1][-1]:  # a record of 16 MB and more: an empty member ends the row
+        members.append(member(b""))
+    return pa.RecordBatch.from_arrays([pa.array([b"".join(members)[:-1]], pa.binary())], names=["value"])
+
+
+def write(pages: DataFrame, folder: str, least: int = 1000, level: int = 6) -> None:
+    """Write a record per row of ``pages`` (page_id, url, html) to archives in ``folder``.
 
     Of records with equal payloads of at least ``least`` bytes, those with the largest page_id
     are responses and the others revisits of it. A null html is an empty payload; a null page_id is the
     smallest; rows that repeat both page_id and payload are all responses.
+
+    Which rows are revisits is told from lengths and digests; a revisit's payload is not moved, and of other
+    payloads only those are whose page_id may be that of a revisit.
     """
+    batches(pages.sparkSession)
+    scratch = Scratch(pages.sparkSession, "warc-revisits")
     rows = pages.select("page_id", F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.when(F.octet_length("html") >= least, F.sha1(F.col("html").cast("binary"))))
-    scratch = Scratch(pages.sparkSession, "warc-targets")
-    targets = rows.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("target"), F.count("*").alias("n")).where("n > 1").select("digest", "target")
-    targets = scratch.save(targets, "targets")
-    joined = rows.join(targets, "digest", "left")
-    again = F.col("target").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("target"))
-    joined = joined.select("page_id", "url", "html", F.when(again, F.col("target")).alias("refers_to"), again.alias("revisit"))
-    return joined.mapInArrow(_written(folder, level), "path string, records long, bytes long")
+    light = rows.select("page_id", "url", F.octet_length("html").cast("long").alias("size"), F.sha1(F.col("html").cast("binary")).alias("sha1")).where(F.col("size") >= least)
+    targets = scratch.save(light.groupBy("sha1").agg(F.max("page_id").alias("target"), F.count("*").alias("n")).where("n > 1 and target is not null").drop("n"), "targets")
+    revisits = scratch.save(light.join(targets, "sha1").where(~F.col("page_id").eqNullSafe(F.col("target"))), "revisits")
+    maybe, no = sieved(rows, "page_id", revisits, scratch, "revisited")
+    pairs = revisits.select(F.col("page_id").alias("p"), F.col("sha1").alias("s"), "size").distinct()
+    again = F.col("page_id").eqNullSafe(F.col("p")) & (F.octet_length("html") == F.col("size")) & (F.sha1(F.col("html").cast("binary")) == F.col("s"))
+    responses = no.union(maybe.join(pairs, again, "left_anti")).select("page_id", "url", "html", F.lit(None).cast("long").alias("size"), F.lit(None).cast("string").alias("sha1"), F.lit(None).cast("string").alias("refers_to"))
+    told = revisits.select("page_id", "url", F.lit(None).cast("string").alias("html"), "size", "sha1", F.col("target").cast("string").alias("refers_to"))
+    packed = responses.union(told).mapInArrow(_members(level), "value binary")
+    packed.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", ROWS).mode("overwrite").text(folder)
+    scratch.drop("targets", "revisits", "revisited")
 
 
 class Members:
@@ -171,6 +185,8 @@ def _headers(head: bytes) -> dict[str, str]:
 def records(stream, payload: bool = False) -> Iterator[dict]:
     """The records of an archive; raises :class:`WarcError` where framing breaks, and marks digests that differ as not valid."""
     for part in Members(stream):
+        if not part.more() or (part.z.eof and not part.data):
+            continue  # an empty member
         head = part.until(b"\r\n\r\n")
         if not head.startswith(b"WARC/"):
             raise WarcError("a record does not begin with WARC/")
@@ -203,22 +219,20 @@ def records(stream, payload: bool = False) -> Iterator[dict]:
         } | ({"payload": b"".join(kept)} if payload else {})
 
 
-def _read(folder: str, payload: bool):
+def _read(payload: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = pyarrow.fs.FileSystem.from_uri(folder)
         limit = (16 << 20) if payload else (1 << 62)
         for batch in it:
-            for path in batch.column("path").to_pylist():
-                with fs.open_input_stream(path, compression=None) as stream:
-                    held, size = [], 0
-                    for r in records(stream, payload):
-                        held.append(r)
-                        size += r["payload_bytes"]
-                        if len(held) == 1000 or size > limit:
-                            yield pa.RecordBatch.from_pylist(held, schema=_schema(payload))
-                            held, size = [], 0
-                    if held:
+            for content in batch.column("content"):
+                held, size = [], 0
+                for r in records(pa.BufferReader(content.as_buffer()), payload):
+                    held.append(r)
+                    size += r["payload_bytes"]
+                    if len(held) == 1000 or size > limit:
                         yield pa.RecordBatch.from_pylist(held, schema=_schema(payload))
+                        held, size = [], 0
+                if held:
+                    yield pa.RecordBatch.from_pylist(held, schema=_schema(payload))
 
     return run
 
@@ -229,11 +243,11 @@ def _schema(payload: bool) -> pa.Schema:
     return pa.schema(fields + ([("payload", pa.binary())] if payload else []))
 
 
-def read(spark: SparkSession, archives: DataFrame, folder: str, payload: bool = False) -> DataFrame:
-    """All records of the archives (path) in ``folder``, one archive a task at a time."""
+def read(spark: SparkSession, folder: str, payload: bool = False) -> DataFrame:
+    """All records of the archives in ``folder``; no folder or an empty one: no records."""
     batches(spark)
-    n = max(1, archives.count())
-    return archives.select("path").repartition(n, "path").mapInArrow(_read(folder, payload), FIELDS + (", payload binary" if payload else ""))
+    archives = spark.read.format("binaryFile").load(folder).where("length > 0").select("content")
+    return archives.mapInArrow(_read(payload), FIELDS + (", payload binary" if payload else ""))
 
 
 def round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
@@ -244,14 +258,11 @@ def round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
     See :func:`write` for nulls and repeated rows; empty table: no rows; other columns are ignored.
     """
     spark = pages.sparkSession
-    batches(spark)
     scratch = Scratch(spark, "warc")
     folder = f"{scratch.path}/archives"
-    fs, root = pyarrow.fs.FileSystem.from_uri(folder)
-    fs.create_dir(root)
-    archives = scratch.save(write(pages, folder, least), "manifest")
+    write(pages, folder, least)
     scratch.names.append("archives")
-    found = read(spark, archives, folder)
-    number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(.*)>$', 1) as bigint)")
+    found = read(spark, folder)
+    number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:([^:]*):', 1) as bigint)")
     checked = F.when(F.col("valid"), F.col("record_type")).otherwise(F.raise_error(F.concat(F.lit("digest differs: "), "record_id")))
     return scratch.result(found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", checked.alias("record_type"), number("refers_to").alias("refers_to")))

@@ -1,8 +1,10 @@
 """WARC: round trip, framing, digests, and damaged archives."""
 
+import glob
 import gzip
 import hashlib
 import io
+import random
 
 import pytest
 
@@ -44,25 +46,43 @@ def test_edges(spark):
 
 
 def test_payloads_come_back(spark, tmp_path):
-    folder = f"file://{tmp_path}"
+    folder = f"file://{tmp_path}/archives"
     df = spark.createDataFrame([(i, f"http://h/{i}", "z" * i, 0) for i in range(50)], SCHEMA)
-    archives = spark.createDataFrame(warc.write(df, folder, 1000).collect(), "path string, records long, bytes long")
-    back = warc.read(spark, archives, folder, payload=True).collect()
-    assert {r.record_id: bytes(r.payload) for r in back} == {f"<urn:page:{i}>": b"z" * i for i in range(50)}
+    warc.write(df, folder, 1000)
+    back = warc.read(spark, folder, payload=True).collect()
+    assert {r.record_id: bytes(r.payload) for r in back} == {f"<urn:page:{i}:{hashlib.sha1(b'z' * i).hexdigest()}>": b"z" * i for i in range(50)}
     assert all(r.valid for r in back)
 
 
+def test_archives_are_plain_gzip_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    """Whole members whatever their length's last byte is; several rows a file and several files a task."""
+    monkeypatch.setattr(warc, "ROWS", 2)
+    rng = random.Random(2)
+    pages = [(i, "u", "".join(chr(rng.randint(33, 0x2FF)) for _ in range(1 << 20)), 0) for i in range(9)] + [(9, "u", "a" * (17 << 20), 0)]
+    folder = f"{tmp_path}/archives"
+    warc.write(spark.createDataFrame(pages, SCHEMA).repartition(1), f"file://{folder}", 1 << 30, 1)
+    files = [gzip.decompress(open(f, "rb").read()) for f in glob.glob(f"{folder}/part-*")]
+    assert sum(f.count(b"WARC/1.1\r\n") for f in files) == 10 and len(files) > 1
+    assert sorted(r.payload_bytes for r in warc.read(spark, f"file://{folder}").collect()) == sorted(len(h.encode()) for _, _, h, _ in pages)
+
+
+def made(page, payload, refers=None):
+    return warc.record(page, "u", None if refers else payload, len(payload), hashlib.sha1(payload).hexdigest(), refers)
+
+
 def test_members_are_plain_gzip():
-    a, b = warc.record(1, "u", b"one" * 50_000), warc.record(2, "u", b"two", 1, True)
-    data = warc.member(a) + warc.member(b)
+    a, b = made(1, b"one" * 50_000), made(2, b"two", 1)
+    data = warc.member(a) + warc.member(b"") + warc.member(b)
     assert gzip.decompress(data) == a + b
     first, second = warc.records(io.BytesIO(data), payload=True)
     assert first["payload"] == b"one" * 50_000 and first["valid"]
-    assert (second["record_type"], second["refers_to"], second["payload_bytes"], second["payload_digest"]) == ("revisit", "<urn:page:1>", 3, hashlib.sha1(b"two").hexdigest())
+    digest = hashlib.sha1(b"two").hexdigest()
+    assert (second["record_type"], second["refers_to"], second["payload_bytes"], second["payload_digest"]) == ("revisit", f"<urn:page:1:{digest}>", 3, digest)
+    assert made(2, b"two", 1) != b  # revisits have ids of their own
 
 
 def test_damage_is_told():
-    good = warc.record(1, "u", b"payload")
+    good = made(1, b"payload")
     assert [r["valid"] for r in warc.records(io.BytesIO(warc.member(good.replace(b"payload", b"paylaod"))))] == [False]
     for bad in (warc.member(good)[:-9], warc.member(good[:-1]), warc.member(good + b"x"), warc.member(b"HTTP" + good), b"not gzip", warc.member(good.replace(b"response\r\nContent-Length: ", b"response\r\nContent-Length: 9"))):
         with pytest.raises(warc.WarcError):
