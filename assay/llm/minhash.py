@@ -28,6 +28,7 @@ from .graph import components
 from .scratch import Scratch, batches
 
 T, BANDS, ROWS = 128, 32, 4
+PART = 1024  # partners that a set meets in one group
 WORD = np.ones(256, dtype=bool)
 WORD[[32, 9, 10, 11, 12, 13]] = False
 
@@ -157,11 +158,16 @@ def _stars(members: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _links(docs: DataFrame, pairs: DataFrame, have: DataFrame | None, k: int, percent: int, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
-    """The pairs (a, b) that reach the similarity on their full sets; the sets known so far."""
+    """The pairs (a, b) that reach the similarity on their full sets; the sets known so far.
+
+    A document with many partners meets them in parts of about PART, each with a copy of its set.
+    """
     have = _with_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), have, k, scratch, name)
-    out = pairs.select("a", "b").join(have.select(F.col("id").alias("b"), F.col("items").alias("items_b")), "b")
-    out = out.join(have.select(F.col("id").alias("a"), F.col("items").alias("items_a")), "a")
-    return scratch.save(out.mapInArrow(_verified(percent), "a long, b long"), f"links-{name}"), have
+    parts = scratch.save(pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).alias("parts")), f"parts-{name}")
+    centres = have.select(F.col("id").alias("a"), F.col("items").alias("items_a")).join(parts, "a").withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).drop("parts")
+    out = pairs.select("a", "b").join(parts, "a").withColumn("part", F.expr("pmod(xxhash64(b), parts)")).drop("parts")
+    out = out.join(have.select(F.col("id").alias("b"), F.col("items").alias("items_b")), "b").join(centres, ["a", "part"])
+    return scratch.save(out.select("a", "b", "items_a", "items_b").mapInArrow(_verified(percent), "a long, b long"), f"links-{name}"), have
 
 
 def _with_sets(docs: DataFrame, ids: DataFrame, have: DataFrame | None, k: int, scratch: Scratch, name: str) -> DataFrame:
@@ -207,10 +213,15 @@ def _rest(docs: DataFrame, members: DataFrame, label: DataFrame, have: DataFrame
     ranked = ranked.withColumn("take", prefix).where("take > 0").select("id", "n", F.posexplode(F.expr("slice(sorted, 1, cast(take as int))")).alias("at", "s"), F.size("sorted").alias("held"))
     ranked = ranked.select("id", "n", F.col("s.h").alias("h"), F.expr("n - held + at").alias("at"))
     ranked = scratch.save(ranked.join(ids, "id"), "prefixes")
-    x, y = ranked.alias("x"), ranked.alias("y")
+    # a shingle's documents meet those of its other components, never those of their own
+    several = ranked.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
+    shared = scratch.save(ranked.join(several, "h"), "shared")
+    sides = shared.select("h", "component").distinct()
+    cross = sides.alias("x").join(sides.alias("y"), F.expr("x.h = y.h and x.component < y.component")).select("x.h", F.col("x.component").alias("low"), F.col("y.component").alias("high"))
+    pairs = cross.alias("c").join(shared.alias("x"), F.expr("x.h = c.h and x.component = c.low")).join(shared.alias("y"), F.expr("y.h = c.h and y.component = c.high"))
     fits = F.expr(
-        f"x.component <> y.component and (x.n < y.n or x.n = y.n and x.id < y.id) and 100 * x.n >= {percent} * y.n"
+        f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
         f" and 1 + least(x.n - x.at - 1, y.n - y.at - 1) >= ceil({percent} * (x.n + y.n) / {100 + percent})"
     )
-    pairs = x.join(y, F.col("x.h") == F.col("y.h")).where(fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    pairs = pairs.where(fits).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     return scratch.save(pairs, "open-pairs"), have
