@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .scratch import Scratch, batches
+from .sieve import sieved
 
 WORD = np.zeros(256, dtype=bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True
@@ -200,8 +201,9 @@ def occurrences(docs: DataFrame, tests: DataFrame, length: int = 13, slop: int =
     met = met.join(windows.select("window", "phrase"), "window").groupBy("doc_id", "th").agg(F.collect_list(F.struct("phrase", "start")).alias("candidates"))
     met = scratch.save(met, "candidates")
 
-    # both sides grow with the corpus: the plan is the same at every size
-    seen = keyed.alias("t").join(met.alias("m").hint("merge"), F.expr("t.doc_id <=> m.doc_id and t.th = m.th")).select("t.doc_id", "t.th", "t.text", "m.candidates")
+    # only texts that may hold a candidate move; both sides grow with the corpus: the plan is the same at every size
+    maybe, _ = sieved(keyed, "th", met, scratch, "candidate-ids")
+    seen = maybe.alias("t").join(met.alias("m").hint("merge"), F.expr("t.doc_id <=> m.doc_id and t.th = m.th")).select("t.doc_id", "t.th", "t.text", "m.candidates")
     hits = scratch.save(seen.mapInArrow(_verified(slop), f"doc_id {id_type}, th long, n_hit long, phrases array<binary>").distinct(), "hits")
     owners = every.where("item_id is not null").select("phrase", F.col("item_id").cast("string").alias("item"))
     items = hits.select("doc_id", "th", F.explode("phrases").alias("phrase")).distinct().join(owners, "phrase").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
