@@ -80,10 +80,13 @@ def test_run(spark, stages):
 
 
 def test_stages_take_nulls_and_clashing_columns(spark):
-    docs = spark.createDataFrame([(1, None, None, 1), (None, "some text here", "en", 2), (2, "", None, 3), (2, "", None, 3), (3, "x " * 5000, "en", None)], "doc_id long, text string, kept string, th int")
+    names = "kept string, th int, kept_id long, cut_id long, cut_th long, kept_text string, leaked_id long, component_id long, bits string, part int"
+    rest = (4, 5, 6, "t", 7, 8, "b", 9)
+    docs = [(1, None, None, 1, *rest), (None, "some text here", "en", 2, *rest), (2, "", None, 3, *rest), (2, "", None, 3, *rest), (3, "x " * 5000, "en", None, *rest), (4, "x " * 5000 + "y", "en", None, *rest)]
+    docs = spark.createDataFrame(docs, f"doc_id long, text string, {names}")
     for name, stage in cp.STAGES[:4]:
         docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
-    assert {r.doc_id for r in docs.collect()} == {1, None, 2, 3}
+    assert {r.doc_id for r in docs.collect()} == {1, None, 2, 3, 4}
     empty = spark.createDataFrame([], docs.schema)
     for name, stage in cp.STAGES:
         assert stage(spark, empty, SF).collect() == []
