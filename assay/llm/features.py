@@ -92,10 +92,11 @@ def fold(doc_id: Column | str, folds: int) -> Column:
 def sample(rows: DataFrame, label: str, most: int) -> DataFrame:
     """At most ``most`` rows (doc_id, label) of each label: those with the smallest hashes of doc_id, whatever order they come in.
 
-    A bound on the hash, from the labels' counts, leaves about twice as many before they are ranked.
+    A doc_id counts once; of several labels it has the smallest. A bound on the hash, from the labels' counts, leaves about twice as many
+    rows before they are ranked, so that the window of a label holds 2 * most + 100 rows or a little more.
     """
     spark, space = rows.sparkSession, 1 << 40
-    rows = rows.select("doc_id", F.col(label).alias("label")).where("doc_id is not null and label is not null")
+    rows = rows.select("doc_id", F.col(label).alias("label")).where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
     rows = rows.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(space)))
     held = rows.groupBy("label").agg(F.count("*").alias("n")).collect()
     bounds = spark.createDataFrame([(r.label, space * min(2 * most + 100, r.n) // r.n) for r in held], f"label {rows.schema['label'].dataType.simpleString()}, below long")
@@ -105,5 +106,10 @@ def sample(rows: DataFrame, label: str, most: int) -> DataFrame:
 
 
 def sampled_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(label, text) of a sample; its size is bounded, so it is sent to where the texts are."""
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    """(doc_id, label, text) of a sample, a row each: where a doc_id has several texts, the smallest one.
+
+    The sample's size is bounded, so it is sent to where the texts are. ``docs`` with a column label is joined on that too.
+    """
+    key = [c for c in ("doc_id", "label") if c in docs.columns]
+    texts = docs.select(*key, F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), key)
+    return texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))

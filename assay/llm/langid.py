@@ -95,7 +95,7 @@ def train(docs: DataFrame, label: str = "lang", most: int = 1500) -> Model:
     at = np.array(list(held), dtype=np.int64)
     idf[at] = np.log((1.0 + total) / (1.0 + np.array(list(held.values()), dtype=float))) + 1.0
     chosen = scratch.save(fx.sample(known, label, most), "chosen")
-    rows = fx.sampled_texts(known, chosen).drop("doc_id").mapInArrow(fx.sparse(ORDERS, BITS, str.lower), "label string, at binary, n binary").collect()
+    rows = fx.sampled_texts(known.withColumn("label", F.col(label)), chosen).drop("doc_id").mapInArrow(fx.sparse(ORDERS, BITS, str.lower), "label string, at binary, n binary").collect()
     rows = sorted((r for r in rows if len(r.at)), key=lambda r: (r.label, r.at, r.n))
     labels = sorted({r.label for r in rows})
     if not labels:
@@ -136,7 +136,7 @@ def identify(docs: DataFrame, folds: int = 3, out: int = 1, label: str = "lang",
     Learns from rows with a label whose crc32(doc_id as text) modulo ``folds`` is not ``out``. Returns a row per input row:
     doc_id, held_out, lang_pred (a learned label, or ``und`` for null and texts without letters), score (calibrated probability; 0 for ``und``).
     Without any labelled text all are ``und``. A null doc_id is not learned from and not held out. Rows that repeat are
-    scored alike; empty table: no rows; other columns are ignored.
+    scored alike; of a doc_id with several labels or texts the smallest one is learned from; empty table: no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     batches(spark, rows=512)

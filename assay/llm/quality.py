@@ -100,7 +100,7 @@ def platt(margin: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float,
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 1500) -> Model:
     """A model from ``most`` texts of each label."""
     scratch = Scratch(docs.sparkSession, "quality")
-    chosen = scratch.save(fx.sample(labels.where(f"{label} in (0, 1)").dropDuplicates(["doc_id"]), label, most), "chosen")
+    chosen = scratch.save(fx.sample(labels.where(f"{label} in (0, 1)"), label, most), "chosen")
     rows = fx.sampled_texts(docs, chosen).drop("doc_id").mapInArrow(fx.sparse(ORDERS, BITS, marked), "label int, at binary, n binary").select("label", "at").collect()
     rows = sorted((r for r in rows if len(r.at)), key=lambda r: (r.label, r.at))
     y = np.array([r.label for r in rows], dtype=np.int64)
@@ -136,7 +136,7 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1, labe
 
     Learns from labels whose crc32(doc_id as text) modulo ``folds`` is not ``out``. Returns a row per input row: doc_id,
     held_out, score (0 to 1, higher: label 1 likelier), predicted (1 if score >= 0.5). Null and empty texts have no n-grams and
-    get the score of the bias. Without labels of both kinds every score is their share. A doc_id labelled twice counts once; a null
+    get the score of the bias. Without labels of both kinds every score is their share. A doc_id labelled twice counts once, as 0 if its labels differ; a null
     doc_id is scored but not learned from. Empty table: no rows; other columns are ignored.
     """
     spark = docs.sparkSession

@@ -1,7 +1,7 @@
 """Toxicity: non-negative positive-unlabelled learning on word features.
 
-Confirmed toxic texts are positives; a sample of all texts, whatever their labels, is unlabelled. Words whose share differs
-significantly between the two are the features of a linear model, trained in numpy on the class-prior-corrected risk
+Confirmed toxic texts are positives; all texts, whatever their labels, are unlabelled. Words whose share differs
+significantly between the two are the features of a linear model, trained in numpy, on a sample, on the class-prior-corrected risk
 prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)).
 """
 
@@ -19,6 +19,7 @@ from . import features as fx
 from . import text as tx
 from .quality import sigmoid
 from .scratch import Scratch, batches
+from .sieve import sieved
 
 WORD = np.zeros(256, dtype=bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True
@@ -92,23 +93,50 @@ def _held(shared):
     return run
 
 
-def _flat(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, h): a row per text and word."""
+def _counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, a, b): in how many of a task's positives and of all its texts each word or prefix is; h null: all of them."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size, n, m = 0, 0, 0
     for batch in it:
-        for label, w in zip(batch.column("label").to_pylist(), batch.column("words"), strict=True):
-            h = np.frombuffer(w.as_buffer(), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), label, dtype=np.int32)), pa.array(h)], names=["label", "h"])
-
-
-def select_features(texts: DataFrame, prior: float, least: float = 5.0, most: int = 4096) -> np.ndarray:
-    """Words whose shares in the two samples differ by ``least`` standard errors, and which make a text that holds them
+        raw, offsets = tx.buffers(batch.column("text"))
+        positive = batch.column("positive").to_numpy(zero_copy_only=False).astype(np.int64)
+        n, m = n + int(positive.sum()), m + len(positive)
+        for i, j in tx.chunks(offsets):
+            row, h = (np.concatenate(x) for x in zip(*hashes(tx.Words(raw, offsets, i, j, WORD)), strict=True))
+            order = np.lexsort((row, h))
+            row, h = row[order], h[order]
+            once = np.ones(len(h), dtype=bool)
+            once[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+            held.append(_summed([(h[once].view(np.int64), positive[i + row[once]], np.ones(int(once.sum()), dtype=np.int64))]))
+            size += len(held[-1][0])
+            if size > 1 << 20:
+                held = [_summed(held)]
+                size = len(held[0][0])
+                if size > 1 << 19:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names=["h", "a", "b"])
+                    held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _summed(held)], names=["h", "a", "b"])
+    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([n]), pa.array([m])], names=["h", "a", "b"])
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    h, a, b = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    order = np.argsort(h, kind="stable")
+    h, a, b = h[order], a[order], b[order]
+    at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
+    return h[at], np.add.reduceat(a, at) if len(at) else a, np.add.reduceat(b, at) if len(at) else b
+
+
+def select_features(counts: DataFrame, prior: float, least: float = 5.0, most: int = 4096) -> np.ndarray:
+    """Words whose shares in the positives and in all texts differ by ``least`` standard errors, and which make a text that holds them
     likelier toxic than not (prior * share in positives over share in all): the ``most`` clearest, sorted.
 
-    texts: (label, words) with label 1 for positives and 0 for unlabelled.
+    counts: (h, a, b), the numbers of positives and of all texts that hold h; their sizes where h is null.
     """
-    size = {r.label: r.n for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n, m = max(1, size.get(1, 0)), max(1, size.get(0, 0))
-    held = texts.mapInArrow(_flat, "label int, h long").groupBy("h").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).where("a + b >= 5")
+    size = counts.where("h is null").first()
+    n, m = (max(1, size.a), max(1, size.b)) if size else (1, 1)
+    held = counts.where("h is not null and a + b >= 5")
     held = held.withColumn("share", F.expr(f"(a + b + 1) / {float(n + m + 2)}D"))
     held = held.withColumn("z", F.expr(f"abs(a / {float(n)}D - b / {float(m)}D) / sqrt(share * (1 - share) * (1 / {float(n)}D + 1 / {float(m)}D))"))
     clear = held.where(f"z >= {least} and {prior} * a / {float(n)}D >= 0.5 * b / {float(m)}D").orderBy(F.desc("z"), "h").limit(most)
@@ -142,8 +170,9 @@ def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], dims: int, pr
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 3000, prior: float | None = None) -> Model:
-    """A model from at most ``most`` toxic and 2 * ``most`` unlabelled texts; ``docs``: (doc_id, text), of the training fold.
+    """A model of ``docs`` (doc_id, text), the training fold.
 
+    Features are chosen from all its texts; their weights are fitted to at most ``most`` toxic and 2 * ``most`` unlabelled ones.
     The class prior is that of all labels unless given.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
@@ -156,12 +185,16 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 3000, prior: float | N
     unlabelled = fx.sample(docs.where("doc_id is not null").select("doc_id", F.lit(0).alias("toxic")).distinct(), "toxic", 2 * most)
     chosen = scratch.save(positive.union(unlabelled), "chosen")
     texts = scratch.save(fx.sampled_texts(docs, chosen).drop("doc_id").mapInArrow(_words, "label int, words binary"), "words")
-    words = select_features(texts, prior)
+    toxic = labels.where("toxic = 1").select("doc_id")
+    maybe, no = sieved(docs.select("doc_id", "text"), "doc_id", toxic, scratch, "toxic-ids")
+    told = maybe.join(toxic.withColumn("positive", F.lit(True)).hint("merge"), "doc_id", "left").select("text", F.coalesce("positive", F.lit(False)).alias("positive"))
+    counts = told.union(no.select("text", F.lit(False))).mapInArrow(_counts, "h long, a long, b long").groupBy("h").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    words = select_features(scratch.save(counts, "counts"), prior)
     rows = texts.mapInArrow(_held(docs.sparkSession.sparkContext.broadcast(words)), "label int, features array<long>").collect()
     at = {k: sorted(([*r.features] for r in rows if r.label == k)) for k in (1, 0)}
     at = {k: [np.array(x, dtype=np.int64) for x in v] for k, v in at.items()}
     w, bias = nnpu(at[1], at[0], len(words), prior)
-    scratch.drop("labels", "chosen", "words")
+    scratch.drop("labels", "chosen", "words", "toxic-ids", "counts")
     return Model(words, w, bias)
 
 
