@@ -1,7 +1,8 @@
-"""Evaluators: functions from Columns to one result struct (name, score, threshold, success, reason).
+"""Evaluators: functions from Columns to one result struct (name, score, threshold, success, reason, metadata).
 
-Those that need a judge take its reply as a Column; :func:`judged` makes that Column from prompts in one batched stage.
-A payload that cannot be read raises, save for the criteria judge, where it is a failed result.
+Those that need a judge take its reply as a Column; the stages of ``judges`` make such Columns from prompts, in batches.
+A payload that cannot be read raises, save for the criteria judge, where it is a failed result. A required parameter that is null raises too, or
+with ``missing="report"`` gives a failed result with the same words. Metadata is JSON text.
 """
 
 from __future__ import annotations
@@ -16,51 +17,90 @@ from pyspark.sql import types as T
 from ..functions.scalar import clamp01, strip, strip_markdown, word_count
 from .matching import Strategy, by_equality, count_matches
 
-RESULT = T.StructType([T.StructField("name", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("threshold", T.DoubleType()), T.StructField("success", T.BooleanType()), T.StructField("reason", T.StringType())])
+_FIELDS = {"name": T.StringType(), "score": T.DoubleType(), "threshold": T.DoubleType(), "success": T.BooleanType(), "reason": T.StringType(), "metadata": T.StringType()}
+RESULT = T.StructType([T.StructField(n, t) for n, t in _FIELDS.items()])
+OFF = "Reasoning was disabled"
 
 
-def result(name: str, score: Column, threshold: float | None = None, success: Column | None = None, reason: Column | str | None = None, shown: bool = True) -> Column:
+def result(name: str, score: Column, threshold: float | None = None, success: Column | None = None, reason: Column | str | None = None, shown: bool = True, metadata: Column | None = None) -> Column:
     """A result struct. Without ``success`` the score must reach the threshold, or 0.5 if there is none; NaN reaches nothing."""
     score = score.cast("double")
     reached = (score >= F.lit(0.5 if threshold is None else threshold)) & ~F.isnan(score)
     return F.struct(
         F.lit(name).alias("name"), score.alias("score"), F.lit(threshold if shown else None).cast("double").alias("threshold"),
         F.coalesce(reached if success is None else success, F.lit(False)).alias("success"), (reason if isinstance(reason, Column) else F.lit(reason)).cast("string").alias("reason"),
+        (F.lit("{}") if metadata is None else metadata).alias("metadata"),
     )
 
 
-def required(value: Column | str, metric: str, parameter: str) -> Column:
-    """The value; a null stops the query."""
-    value = F.col(value) if isinstance(value, str) else value
-    return F.when(value.isNull(), F.raise_error(F.lit(f"Metric '{metric}' requires '{parameter}'")).cast("string")).otherwise(value)
+def _col(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
 
-def exact_match(expected: Column | str, actual: Column | str, name: str = "Exact Match", threshold: float = 1.0) -> Column:
-    same = F.when(F.expr(expected).eqNullSafe(F.expr(actual)) if isinstance(expected, str) and isinstance(actual, str) else expected.eqNullSafe(actual), F.lit(1.0)).otherwise(F.lit(0.0))
-    return result(name, same, threshold, reason=F.when(same == 1.0, F.lit("Actual output equals expected output")).otherwise(F.lit("Actual output differs from expected output")))
+def required(of: Column, name: str, missing: str = "raise", **parameters: Column | str) -> Column:
+    """The result ``of`` an evaluator where its parameters, told by what they are called, are there."""
+    if missing not in ("raise", "report"):
+        raise ValueError("missing is 'raise' or 'report'")
+    for parameter, value in reversed(parameters.items()):
+        why = f"Metric '{name}' requires '{parameter}' but it was null in the test case."
+        stop = F.raise_error(F.lit(why)).cast(RESULT) if missing == "raise" else result(name, F.lit(0.0), success=F.lit(False), reason=why)
+        of = F.when(_col(value).isNull(), stop).otherwise(of)
+    return of
 
 
-def regex_match(actual: Column | str, pattern: str, ignore_case: bool = False, name: str = "Regex Match", threshold: float = 1.0) -> Column:
+def exact_match(expected: Column | str, actual: Column | str, name: str = "Exact Match", threshold: float = 1.0, missing: str = "raise") -> Column:
+    same = F.when(_col(expected) == _col(actual), F.lit(1.0)).otherwise(F.lit(0.0))
+    out = result(name, same, threshold, reason=F.when(same == 1.0, F.lit("Actual output equals expected output")).otherwise(F.lit("Actual output differs from expected output")))
+    return required(out, name, missing, ACTUAL_OUTPUT=actual, EXPECTED_OUTPUT=expected)
+
+
+def regex_match(actual: Column | str, pattern: str, ignore_case: bool = False, name: str = "Regex Match", threshold: float = 1.0, missing: str = "raise") -> Column:
     """1 if the pattern is found anywhere."""
-    actual = F.col(actual) if isinstance(actual, str) else actual
-    found = F.when(actual.rlike(("(?i)" if ignore_case else "") + pattern), F.lit(1.0)).otherwise(F.lit(0.0))
-    return result(name, found, threshold, reason=F.when(found == 1.0, F.lit("Pattern found")).otherwise(F.lit("Pattern not found")))
+    found = F.when(_col(actual).rlike(("(?i)" if ignore_case else "") + pattern), F.lit(1.0)).otherwise(F.lit(0.0))
+    out = result(name, found, threshold, reason=F.when(found == 1.0, F.lit("Pattern found")).otherwise(F.lit("Pattern not found")))
+    return required(out, name, missing, ACTUAL_OUTPUT=actual)
 
 
-def precision(retrieved: Column | str, relevant: Column | str, strategy: Strategy | None = None, name: str = "Precision", threshold: float = 0.5) -> Column:
-    """Share of the retrieved items, repeats included, that match; 1 if nothing was retrieved."""
-    return _share(retrieved, relevant, retrieved, strategy, name, threshold)
+def collection(source: Column | str, key: str, metric: str, where: str) -> Column:
+    """The list under ``key`` in a map of JSON texts; a value that is no list is a list of one; without the key the query stops."""
+    value = F.try_element_at(_col(source), F.lit(key))
+    stop = F.raise_error(F.lit(f"{metric} evaluator requires '{key}' in {where}")).cast("array<string>")
+    many = F.from_json(value, "array<string>")
+    return F.when(value.isNull(), stop).when(value.rlike(r"^\s*\[") & many.isNotNull(), many).otherwise(F.array(value))
 
 
-def recall(retrieved: Column | str, relevant: Column | str, strategy: Strategy | None = None, name: str = "Recall", threshold: float = 0.5) -> Column:
-    """Matching retrieved items per relevant item; repeats can take it over 1; 1 if nothing is relevant."""
-    return _share(retrieved, relevant, relevant, strategy, name, threshold)
+def precision(retrieved: Column | str, relevant: Column | str, strategy: Strategy | None = None, name: str = "Precision", threshold: float = 0.5, hits: Column | None = None) -> Column:
+    """Share of the retrieved items, repeats included, that match; 1 if nothing was retrieved. ``hits``: matches counted by other means."""
+    n, size, hits = _sizes(retrieved, relevant, strategy, hits)
+    score = F.when(n == 0, F.lit(1.0)).otherwise(hits.cast("double") / n)
+    reason = (
+        F.when(n == 0, F.lit("No items were retrieved. Precision is 1.0 by convention."))
+        .when(score == 1.0, F.format_string("All %d retrieved items are relevant (perfect precision).", n))
+        .when(score == 0.0, F.format_string("None of the %d retrieved items are relevant.", n))
+        .otherwise(F.format_string("Retrieved %d items: %d relevant, %d irrelevant. Precision: %.1f%%", n, hits, n - hits, score * 100))
+    )
+    return result(name, score, threshold, reason=reason, metadata=_retrieval(n, size, F.when(n == 0, F.lit(0)).otherwise(hits)))
 
 
-def _share(retrieved, relevant, base, strategy, name, threshold) -> Column:
-    hits, size = count_matches(retrieved, relevant, strategy or by_equality()), F.size(base)
+def recall(retrieved: Column | str, relevant: Column | str, strategy: Strategy | None = None, name: str = "Recall", threshold: float = 0.5, hits: Column | None = None) -> Column:
+    """Matching retrieved items per relevant item; repeats can take it over 1; 1 if nothing is relevant."""
+    n, size, hits = _sizes(retrieved, relevant, strategy, hits)
     score = F.when(size == 0, F.lit(1.0)).otherwise(hits.cast("double") / size)
-    return result(name, score, threshold, reason=F.format_string("%d of %d items match", hits, size))
+    reason = (
+        F.when(size == 0, F.lit("No relevant items in ground truth. Recall is 1.0 by convention."))
+        .when(score == 1.0, F.format_string("All %d relevant items were retrieved (perfect recall).", size))
+        .when(score == 0.0, F.format_string("None of the %d relevant items were retrieved.", size))
+        .otherwise(F.format_string("Found %d of %d relevant items (%d missed). Recall: %.1f%%", hits, size, size - hits, score * 100))
+    )
+    return result(name, score, threshold, reason=reason, metadata=_retrieval(n, size, F.when(size == 0, F.lit(0)).otherwise(hits)))
+
+
+def _sizes(retrieved: Column | str, relevant: Column | str, strategy: Strategy | None, hits: Column | None) -> tuple[Column, Column, Column]:
+    return F.size(_col(retrieved)), F.size(_col(relevant)), count_matches(retrieved, relevant, strategy or by_equality()) if hits is None else hits
+
+
+def _retrieval(retrieved: Column, relevant: Column, hits: Column) -> Column:
+    return F.to_json(F.struct(retrieved.alias("retrieved"), relevant.alias("relevant"), hits.alias("truePositives")))
 
 
 def keyword_coverage(text: Column | str, keywords: list[str], name: str = "Keyword Coverage", threshold: float = 0.5) -> Column:
@@ -76,15 +116,24 @@ def response_length(text: Column | str, low: int, high: int, name: str = "Respon
     return result(name, F.when(n.between(low, high), F.lit(1.0)).otherwise(F.lit(0.0)), threshold, reason=F.format_string("%d words", n))
 
 
-def judged(df: DataFrame, prompt: str, reply: str, judge: Callable[[list[str]], list[str]], concurrency: int | None = None) -> DataFrame:
-    """Add the judge's reply to each prompt; ``judge`` gets a batch of prompts. Write the result to a table before using it twice: a judge may answer differently."""
+Judge = Callable[[list[str]], list[str]]
+
+
+def asking(judge: Judge):
+    """A function from a Column of prompts to the judge's replies, asked in batches; no prompt (null), no reply."""
 
     @F.pandas_udf("string")
     def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for prompts in batches:
-            yield pd.Series(judge(prompts.tolist()), index=prompts.index)
+            given = prompts[prompts.notna()]
+            yield pd.Series(judge(given.tolist()) if len(given) else [], index=given.index, dtype=object).reindex(prompts.index)
+
+    return ask.asNondeterministic()
 
-    return (df.repartition(concurrency) if concurrency else df).withColumn(reply, ask.asNondeterministic()(F.col(prompt)))
+
+def judged(df: DataFrame, prompt: str, reply: str, judge: Judge, concurrency: int | None = None) -> DataFrame:
+    """Add the judge's reply to each prompt; ``judge`` gets a batch of prompts. Write the result to a table before using it twice: a judge may answer differently."""
+    return (df.repartition(concurrency) if concurrency else df).withColumn(reply, asking(judge)(F.col(prompt)))
 
 
 def payload(reply: Column | str, schema: str, what: str) -> Column:
@@ -119,7 +168,7 @@ def faithfulness(claims: Column | str, verdicts: Column | str, name: str = "Fait
     claims, verdicts = payload(claims, "array<string>", "claims"), payload(verdicts, VERDICTS, "verdicts")
     yes = F.size(F.filter(verdicts, lambda v: F.lower(v["verdict"]) == "yes"))
     score = F.when(F.size(claims) == 0, F.lit(1.0)).otherwise(yes.cast("double") / F.size(claims))
-    return result(name, score, threshold, reason=F.lit("Reasoning was disabled") if reason is None else reason)
+    return result(name, score, threshold, reason=F.lit(OFF) if reason is None else reason)
 
 
 def hallucination(verdicts: Column | str, name: str = "Hallucination", threshold: float = 0.5, reason: Column | None = None) -> Column:
@@ -127,26 +176,40 @@ def hallucination(verdicts: Column | str, name: str = "Hallucination", threshold
     verdicts = payload(verdicts, VERDICTS, "verdicts")
     no = F.size(F.filter(verdicts, lambda v: F.lower(strip(v["verdict"])) == "no"))
     score = F.when(F.size(verdicts) == 0, F.lit(0.0)).otherwise(no.cast("double") / F.size(verdicts))
-    return result(name, score, threshold, success=score <= threshold, reason=F.lit("Reasoning was disabled") if reason is None else reason, shown=False)
+    return result(name, score, threshold, success=score <= threshold, reason=F.lit(OFF) if reason is None else reason, shown=False)
 
 
-def contextual_relevance(replies: Column | str, name: str = "ContextualRelevance", threshold: float = 0.5, strict: bool = False) -> Column:
-    """Mean of the clamped scores of an array of replies, one a context chunk; strict mode asks for 1."""
-    replies = F.col(replies) if isinstance(replies, str) else replies
-    scores = F.transform(replies, lambda r: clamp01(payload(r, "struct<score:string,reason:string>", "relevance")["score"]))
-    scores = F.transform(scores, lambda s: F.coalesce(s, F.raise_error(F.lit("relevance score is not a number")).cast("double")))
-    n = F.size(replies)
-    mean = F.when(n == 0, F.lit(0.0)).otherwise(F.aggregate(scores, F.lit(0.0), lambda a, s: a + s) / n)
-    reason = F.when(n == 0, F.lit("No retrieval context provided to evaluate.")).otherwise(F.format_string("mean relevance %.3f of %d chunks", mean, n))
-    return result(name, mean, 1.0 if strict else threshold, reason=reason)
+def context_scores(contexts: Column | str, replies: Column | str) -> Column:
+    """Per context chunk its text, clamped score and reason, from the judge's replies; a score that is no number stops the query."""
+
+    def one(context: Column, reply: Column) -> Column:
+        parsed = payload(reply, "struct<score:string,reason:string>", "relevance")
+        score = F.coalesce(clamp01(parsed["score"]), F.raise_error(F.lit("relevance score is not a number")).cast("double"))
+        return F.struct(context.alias("context"), score.alias("score"), F.coalesce(parsed["reason"], F.lit("No reason provided")).alias("reason"))
 
+    return F.zip_with(_col(contexts), _col(replies), one)
 
-def qa_presets() -> dict[str, float]:
-    """Thresholds of the question-answering preset."""
-    return {"faithfulness": 0.8, "hallucination": 0.2, "quality": 0.7, "relevance": 0.6}
 
+def mean_score(scores: Column) -> Column:
+    return F.when(F.size(scores) == 0, F.lit(0.0)).otherwise(F.aggregate(scores, F.lit(0.0), lambda a, s: a + s["score"]) / F.size(scores))
 
-def evaluated(df: DataFrame, evaluators: list[Column]) -> DataFrame:
-    """One row per row and evaluator, in order: evaluator_idx and the result's fields."""
-    long = df.select("*", F.posexplode(F.array(*evaluators)).alias("evaluator_idx", "_result"))
-    return long.select("*", F.col("_result.name").alias("evaluator"), *(f"_result.{c}" for c in ("score", "threshold", "success", "reason"))).drop("_result")
+
+def contextual_relevance(replies: Column | str, name: str = "ContextualRelevance", threshold: float = 0.5, strict: bool = False, contexts: Column | str | None = None, reason: Column | None = None) -> Column:
+    """Mean of the clamped scores of an array of replies, one a context chunk; strict mode asks for 1."""
+    replies = _col(replies)
+    scores = context_scores(F.transform(replies, lambda _: F.lit(None).cast("string")) if contexts is None else contexts, replies)
+    n, mean = F.size(replies), mean_score(scores)
+    told = F.format_string("mean relevance %.3f of %d chunks", mean, n) if reason is None else reason
+    told = F.when(n == 0, F.lit("No retrieval context provided to evaluate.")).otherwise(told)
+    return result(name, mean, 1.0 if strict else threshold, reason=told, metadata=F.to_json(F.struct(scores.alias("contextScores"))))
+
+
+def evaluated(df: DataFrame, evaluators: list) -> DataFrame:
+    """One row per row and evaluator, in order: evaluator_idx and the result's fields. Evaluators: result Columns, or stages (see ``judges``)."""
+    made = []
+    for k, e in enumerate(evaluators):
+        if not isinstance(e, Column):
+            df, e = e.on(df, f"_e{k}")
+        made.append(e)
+    long = df.select("*", F.posexplode(F.array(*made)).alias("evaluator_idx", "_result"))
+    return long.select("*", F.col("_result.name").alias("evaluator"), *(f"_result.{c}" for c in ("score", "threshold", "success", "reason")), F.col("_result.metadata").alias("result_metadata")).drop("_result", *(c for c in df.columns if c.startswith("_e")))

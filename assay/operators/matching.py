@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import contains_either, equals_ignore_case, normalize_text
@@ -62,3 +62,27 @@ def matching(retrieved: Column | str, expected: Column | str, strategy: Strategy
 
 def count_matches(retrieved: Column | str, expected: Column | str, strategy: Strategy) -> Column:
     return F.size(matching(retrieved, expected, strategy))
+
+
+GRAM = 4  # words
+
+
+def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(inner, outer): the ids of texts that lie inside another text, letter by letter; frames (id, text), words between single blanks.
+
+    All words of an inner text but the first and last are whole words of the outer one, so its candidates are the texts that hold
+    the rarest of its runs of GRAM such words. Texts of fewer words, each different one once, are looked for in every outer text.
+    """
+    words = F.split("text", " ")
+    grams = lambda low, high: F.when(F.size("words") >= high + GRAM, F.array_distinct(F.transform(F.sequence(F.lit(low + 1), F.size("words") - GRAM + 1 - high), lambda i: F.xxhash64(F.slice("words", i, F.lit(GRAM))))))
+    longer = inner.withColumn("words", words).where(F.size("words") >= GRAM + 2).select(F.col("id").alias("inner"), F.explode(grams(1, 1)).alias("gram"))
+    held = outer.withColumn("words", words).select(F.col("id").alias("outer"), F.explode(grams(0, 0)).alias("gram")).join(longer.select("gram").distinct(), "gram")
+    df = held.groupBy("gram").agg(F.count("*").alias("n"))
+    key = longer.join(df, "gram", "left").groupBy("inner").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("k")).where("k.n > 0").select("inner", F.col("k.gram").alias("gram"))
+    pairs = key.join(held, "gram").select("inner", "outer")
+    pairs = pairs.join(inner.select(F.col("id").alias("inner"), F.col("text").alias("small")), "inner").join(outer.select(F.col("id").alias("outer"), F.col("text").alias("large")), "outer")
+    found = pairs.where(F.contains("large", F.col("small"))).select("inner", "outer")
+    short = inner.where(F.size(words) < GRAM + 2)
+    few = short.select(F.col("text").alias("small")).distinct()
+    hits = outer.join(few, F.contains("text", F.col("small"))).select(F.col("id").alias("outer"), "small")
+    return found.union(hits.join(short.select(F.col("id").alias("inner"), F.col("text").alias("small")), "small").select("inner", "outer"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import results
 from ..operators.evaluators import evaluated
+from ..shared import Scratch
 from ..sources.datasets import Dataset
 
 
@@ -45,17 +46,19 @@ class Experiment:
     """``task`` turns the dataset's frame into one with a column actual_output (and any others that evaluators read).
 
     Runs are rows, not loops: the task sees a column run_index, and Spark spreads all runs' items over
-    ``parallelism`` partitions. ``save`` (name, frame) -> frame writes an intermediate table, so that a judge or
-    task that answers differently each time is asked once.
+    ``parallelism`` partitions. Evaluators are result Columns or judge-based stages. ``save`` (name, frame) -> frame writes
+    items and evaluations, so that a judge or task that answers differently each time is asked once; by default as tables in the shared folder, which go
+    when the session ends.
     """
 
-    def __init__(self, dataset: Dataset, task: Callable[[DataFrame], DataFrame], evaluators: list[Column], name: str = "unnamed", runs: int = 1, parallelism: int | None = None, reporter=None, save: Callable[[str, DataFrame], DataFrame] | None = None, description: str = "", metadata: dict[str, str] | None = None):
+    def __init__(self, dataset: Dataset, task: Callable[[DataFrame], DataFrame], evaluators: list, name: str = "unnamed", runs: int = 1, parallelism: int | None = None, reporter=None, save: Callable[[str, DataFrame], DataFrame] | None = None, description: str = "", metadata: dict[str, str] | None = None):
         if dataset is None or task is None:
             raise ValueError("an experiment needs a dataset and a task")
         if runs < 1 or (parallelism is not None and parallelism < 1):
             raise ValueError("runs and parallelism must be at least 1")
         self.dataset, self.task, self.evaluators, self.name, self.runs, self.parallelism = dataset, task, evaluators, name, runs, parallelism
-        self.reporter, self.save, self.description, self.metadata = reporter, save or (lambda _, df: df), description, metadata or {}
+        self.reporter, self.description, self.metadata = reporter, description, metadata or {}
+        self.save = save or (lambda n, df: Scratch(df.sparkSession, "experiment").save(df, n))
 
     def run(self) -> Outcome:
         """Evaluate all runs; a reporter is told SUCCESS or FAILED whatever happens."""
@@ -68,8 +71,8 @@ class Experiment:
             cases = cases.withColumn("input", F.try_element_at("inputs", F.lit("input"))).withColumn("expected_output", F.try_element_at("expected_outputs", F.lit("output")))
             items = self.save("items", self.task(cases.repartition(self.parallelism) if self.parallelism else cases))
             evals = evaluated(items, self.evaluators) if self.evaluators else None
-            names = ["run_index", "item_idx", "evaluator_idx", "evaluator", "score", "threshold", "success", "reason"]
-            empty = "run_index int, item_idx long, evaluator_idx int, evaluator string, score double, threshold double, success boolean, reason string"
+            names = ["run_index", "item_idx", "evaluator_idx", "evaluator", "score", "threshold", "success", "reason", F.col("result_metadata").alias("metadata")]
+            empty = "run_index int, item_idx long, evaluator_idx int, evaluator string, score double, threshold double, success boolean, reason string, metadata string"
             evals = self.save("evals", evals.select(*names)) if evals is not None else spark.createDataFrame([], empty)
             out = Outcome(self.name, items, evals, self.runs, self.description, self.metadata)
             if self.reporter:
@@ -82,7 +85,7 @@ class Experiment:
                 self.reporter.flush()
 
 
-def assert_eval(case: DataFrame, evaluators: list[Column]) -> None:
+def assert_eval(case: DataFrame, evaluators: list) -> None:
     """Raise AssertionError for the first evaluator, in order, that any case fails."""
     failed = evaluated(case, evaluators).where(~F.col("success")).orderBy("evaluator_idx").select("evaluator", "score", "threshold", "reason").first()
     if failed:

@@ -93,13 +93,26 @@ def to_markdown(o: Outcome) -> str:
 
 
 def html_rows(o: Outcome) -> DataFrame:
-    """(item_idx, row): one table row per item."""
+    """(item_idx, row): one table row per item, with the evaluations of run 0 to unfold."""
     cell = lambda c: F.concat(F.lit("<td>"), escape_html(truncate(c, 100)), F.lit("</td>"))
     state = F.when(F.col("success"), F.lit("<td>pass</td>")).otherwise(F.lit("<td>fail</td>"))
-    return item_lines(o).select("item_idx", F.concat(F.lit("<tr>"), cell("input"), cell("expected_output"), cell("actual_output"), state, F.lit("</tr>")).alias("row")).orderBy("item_idx")
+    line = F.concat(F.lit("<li>"), escape_html("evaluator"), F.format_string(": %.3f ", "score"), F.when(F.col("success"), F.lit("pass")).otherwise(F.lit("fail")), F.lit(" "), escape_html("reason"), F.lit("</li>"))
+    details = o.evals.where("run_index = 0").groupBy("item_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("evaluator_idx", line.alias("li")))), lambda x: x["li"]), "").alias("details"))
+    folded = F.concat(F.lit("<td><details><summary>evaluations</summary><ul>"), F.coalesce("details", F.lit("")), F.lit("</ul></details></td>"))
+    rows = item_lines(o).join(details, "item_idx", "left")
+    return rows.select("item_idx", F.concat(F.lit("<tr>"), cell("input"), cell("expected_output"), cell("actual_output"), state, folded, F.lit("</tr>")).alias("row")).orderBy("item_idx")
 
 
-def to_html(o: Outcome) -> str:
+# a click on a heading sorts by its column, as numbers where both cells are numbers, and the other way round the next time
+SORT = """<script>document.querySelectorAll("th").forEach(h => h.onclick = () => {
+  const body = h.closest("table"), rows = [...body.rows].slice(1), down = h.dataset.down = h.dataset.down === "1" ? "0" : "1";
+  const text = r => r.cells[h.cellIndex].textContent.replace("%", ""), number = t => t.trim() === "" ? NaN : Number(t);
+  const order = (a, b) => isNaN(number(a)) || isNaN(number(b)) ? a.localeCompare(b) : number(a) - number(b);
+  rows.sort((a, b) => order(text(a), text(b)) * (down === "1" ? 1 : -1)).forEach(r => r.parentNode.append(r));
+})</script>"""
+
+
+def to_html(o: Outcome, timestamp: dt.datetime | None = None) -> str:
     from html import escape
 
     s = o.summary()
@@ -107,10 +120,11 @@ def to_html(o: Outcome) -> str:
     means = "".join(f"<tr><td>{escape(r.evaluator)}</td><td>{r.average_score:.3f}</td><td>{r.std_dev:.3f}</td><td>{r.pass_rate * 100:.1f}%</td></tr>" for r in o.averages().collect())
     rows = "\n".join(r.row for r in html_rows(o).toLocalIterator())
     shown = "".join(f"<div class=card><b>{v}</b> {k}</div>" for k, v in cards.items())
+    when = (timestamp or dt.datetime.now()).strftime("%Y-%m-%d %H:%M:%S")
     return (
-        f"<!doctype html><meta charset=utf-8><title>{escape(o.name)}</title><style>td{{border:1px solid #ccc;padding:4px}}.card{{display:inline-block;margin:8px}}</style>"
-        f"<h1>{escape(o.name)}</h1><p>{escape(o.description)}</p>{shown}<table><tr><th>Evaluator<th>Average<th>Std dev<th>Pass rate</tr>{means}</table>"
-        f"<table><tr><th>Input<th>Expected<th>Actual<th>Result</tr>\n{rows}\n</table>"
+        f"<!doctype html><meta charset=utf-8><title>{escape(o.name)}</title><style>td{{border:1px solid #ccc;padding:4px}}th{{cursor:pointer}}.card{{display:inline-block;margin:8px}}</style>"
+        f"<h1>{escape(o.name)}</h1><p>{escape(o.description)}</p><p>{when}</p>{shown}<table><tr><th>Evaluator<th>Average<th>Std dev<th>Pass rate</tr>{means}</table>"
+        f"<table><tr><th>Input<th>Expected<th>Actual<th>Result<th>Details</tr>\n{rows}\n</table>{SORT}"
     )
 
 
@@ -121,6 +135,12 @@ def write(text: str, path: str) -> None:
     target.write_text(text, encoding="utf-8")
 
 
+def write_lines(lines: DataFrame, path: str) -> None:
+    """One column of report lines (of :func:`csv_lines`, :func:`item_json` or :func:`html_rows`) as text files, for reports of any size."""
+    *_, column = lines.columns
+    lines.select(column).write.mode("overwrite").text(path)
+
+
 def write_csv_lines(o: Outcome, path: str) -> None:
-    """The CSV report's lines (without header) as text files, for reports of any size."""
-    csv_lines(o).select("line").write.mode("overwrite").text(path)
+    """The CSV report's lines (without header) as text files."""
+    write_lines(csv_lines(o), path)

@@ -24,7 +24,7 @@ PROJECTS = _schema(("project_id", _S, False), ("name", _S, False), ("created_at"
 EXPERIMENTS = _schema(("experiment_id", _S, False), ("project_id", _S, False), ("name", _S, False), ("created_at", _TS, False))
 RUNS = _schema(("run_id", _S, False), ("experiment_id", _S, False), ("status", _S, False), ("config", _S, True), ("started_at", _TS, False), ("completed_at", _TS, True))
 ITEMS = _schema(("item_id", _S, False), ("run_id", _S, False), ("input", _S, False), ("expected_output", _S, True), ("actual_output", _S, False), ("metadata", _S, True), ("created_at", _TS, False))
-EVALS = _schema(("eval_id", _S, False), ("item_id", _S, False), ("evaluator", _S, False), ("score", _D, False), ("threshold", _D, True), ("success", _B, False), ("reason", _S, True))
+EVALS = _schema(("eval_id", _S, False), ("run_id", _S, False), ("item_id", _S, False), ("evaluator", _S, False), ("score", _D, False), ("threshold", _D, True), ("success", _B, False), ("reason", _S, True))
 COMPLETED = ("SUCCESS", "FAILED")
 
 
@@ -49,12 +49,18 @@ def passed_items(items: DataFrame, evals: DataFrame) -> DataFrame:
     return items.join(judged.where("_all"), "item_id", "left_semi")
 
 
-def run_counts(runs: DataFrame, items: DataFrame, evals: DataFrame) -> DataFrame:
-    """total and passed items of each run; zeros for a run without items."""
-    verdict = evals.groupBy("item_id").agg(F.bool_and("success").alias("_all"))
-    counts = items.select("item_id", "run_id").join(verdict, "item_id", "left").groupBy("run_id").agg(F.count("*").alias("total"), F.count_if(F.coalesce("_all", F.lit(False))).alias("passed"))
+def run_counts(runs: DataFrame, items: DataFrame, evals: DataFrame, every: bool = False) -> DataFrame:
+    """total and passed items of each run; zeros for a run without items.
+
+    Items and evaluations are cut to the wanted runs before they are aggregated, unless ``runs`` are ``every`` run there is.
+    """
+    wanted = runs.select("run_id")
+    cut = lambda df: df if every else df.join(wanted, "run_id", "left_semi")
+    total = cut(items.select("run_id")).groupBy("run_id").agg(F.count("*").alias("total"))
+    judged = cut(evals.select("run_id", "item_id", "success")).groupBy("run_id", "item_id").agg(F.bool_and("success").alias("_all"))
+    passed = judged.where("_all").groupBy("run_id").agg(F.count("*").alias("passed"))
     zero = F.lit(0).cast("long")
-    return runs.join(counts, "run_id", "left").withColumn("total", F.coalesce("total", zero)).withColumn("passed", F.coalesce("passed", zero))
+    return runs.join(total, "run_id", "left").join(passed, "run_id", "left").withColumn("total", F.coalesce("total", zero)).withColumn("passed", F.coalesce("passed", zero))
 
 
 def _rate() -> Column:
@@ -86,7 +92,7 @@ def list_experiments(s: Store, project_id: str | None = None) -> DataFrame:
 def list_runs(s: Store, experiment_id: str | None = None) -> DataFrame:
     """Runs with counts, the newest first; the rate is null without items."""
     runs = s.runs if experiment_id is None else s.runs.where(F.col("experiment_id") == F.lit(experiment_id))
-    return run_counts(runs, s.items, s.evals).withColumn("pass_rate", _rate()).orderBy(F.desc("started_at"), "run_id")
+    return run_counts(runs, s.items, s.evals, every=experiment_id is None).withColumn("pass_rate", _rate()).orderBy(F.desc("started_at"), "run_id")
 
 
 def trends(s: Store, limit: int = 20, experiment_id: str | None = None) -> DataFrame:
@@ -98,6 +104,18 @@ def trends(s: Store, limit: int = 20, experiment_id: str | None = None) -> DataF
     return out.orderBy("experiment_id", "started_at", "run_id")
 
 
+def shown(total: int, page: int = 0, size: int = 20) -> dict[str, int]:
+    """What a list's pager tells: first and last row shown (from 1; 0 and 0 for none), all rows, number of pages."""
+    return {"first": min(page * size + 1, total), "last": min((page + 1) * size, total), "total": total, "pages": -(-total // size)}
+
+
+def table_order(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """Rows in the order of a shown column: by number where it is one (a % sign is left out), else by text."""
+    text = F.col(column).cast("string")
+    keys = (F.replace(text, F.lit("%"), F.lit("")).try_cast("double"), text)
+    return df.orderBy(*(k.desc_nulls_last() if descending else k.asc_nulls_last() for k in keys))
+
+
 def chart_points(trend: DataFrame) -> DataFrame:
     """Points for a chart: percent, where there is a rate; an experiment needs two of them."""
     n = F.count("*").over(Window.partitionBy("experiment_id"))
@@ -108,7 +126,7 @@ def chart_points(trend: DataFrame) -> DataFrame:
 def run_page(s: Store, run_id: str, page: int = 0, size: int = 50) -> DataFrame:
     """One page of a run's items in order of creation, each with its evaluations."""
     items = s.items.where(F.col("run_id") == F.lit(run_id)).orderBy("created_at", "item_id").offset(page * size).limit(size)
-    evals = s.evals.join(items.select("item_id"), "item_id", "left_semi")
+    evals = s.evals.where(F.col("run_id") == F.lit(run_id)).join(items.select("item_id"), "item_id", "left_semi")
     evals = evals.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("eval_id", "evaluator", "score", "threshold", "success", "reason"))).alias("evaluations"))
     empty = F.array().cast(evals.schema["evaluations"].dataType)
     return items.join(evals, "item_id", "left").withColumn("evaluations", F.coalesce("evaluations", empty)).orderBy("created_at", "item_id")
@@ -117,7 +135,8 @@ def run_page(s: Store, run_id: str, page: int = 0, size: int = 50) -> DataFrame:
 def run_details(s: Store, run_id: str, page: int = 0, size: int = 50) -> dict:
     """A run's head (with the names of its experiment and project) as a row, and a page of items."""
     runs = s.runs.where(F.col("run_id") == F.lit(run_id))
-    head = run_counts(runs, s.items.where(F.col("run_id") == F.lit(run_id)), s.evals).withColumn("pass_rate", _rate())
+    mine = F.col("run_id") == F.lit(run_id)
+    head = run_counts(runs, s.items.where(mine), s.evals.where(mine), every=True).withColumn("pass_rate", _rate())
     head = head.join(s.experiments.select("experiment_id", "project_id", F.col("name").alias("experiment")), "experiment_id").join(s.projects.select("project_id", F.col("name").alias("project")), "project_id").first()
     if head is None:
         raise NotFound(f"run not found: {run_id}")
@@ -175,8 +194,8 @@ def added_items(payload: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFra
         "item_id", "run_id", text(F.col("item.inputs")).alias("input"), text(F.col("item.expectedOutputs")).alias("expected_output"),
         text(F.col("item.actualOutputs")).alias("actual_output"), text(F.col("item.inputs")).alias("metadata"), F.current_timestamp().alias("created_at"),
     )
-    evals = flat.select("item_id", F.posexplode("item.evalResults").alias("nth", "e"))
-    evals = evals.select(_id("item_id", "nth").alias("eval_id"), "item_id", F.col("e.name").alias("evaluator"), F.col("e.score").alias("score"), F.col("e.threshold").alias("threshold"), F.col("e.success").alias("success"), F.col("e.reason").alias("reason"))
+    evals = flat.select("run_id", "item_id", F.posexplode("item.evalResults").alias("nth", "e"))
+    evals = evals.select(_id("item_id", "nth").alias("eval_id"), "run_id", "item_id", F.col("e.name").alias("evaluator"), F.col("e.score").alias("score"), F.col("e.threshold").alias("threshold"), F.col("e.success").alias("success"), F.col("e.reason").alias("reason"))
     return items, evals
 
 
@@ -189,7 +208,8 @@ def reported(items: DataFrame) -> DataFrame:
 def run_table(s: Store, run_id: str | None, names: list[str]) -> DataFrame:
     """Items against evaluators: score and success of the first evaluation of each name."""
     items = s.items if run_id is None else s.items.where(F.col("run_id") == F.lit(run_id))
-    cells = s.evals.join(items.select("item_id"), "item_id", "left_semi").groupBy("item_id").pivot("evaluator", sorted(names)).agg(F.min_by("score", "eval_id").alias("score"), F.min_by("success", "eval_id").alias("success"))
+    evals = s.evals if run_id is None else s.evals.where(F.col("run_id") == F.lit(run_id))
+    cells = evals.join(items.select("item_id"), "item_id", "left_semi").groupBy("item_id").pivot("evaluator", sorted(names)).agg(F.min_by("score", "eval_id").alias("score"), F.min_by("success", "eval_id").alias("success"))
     return items.select("item_id", "run_id", "input").join(cells, "item_id", "left")
 
 

@@ -90,13 +90,13 @@ def experiment_runs(spark, sf):
     return tr.list_runs(d.store(spark, sf)).select("run_id", "experiment_id", "status", "total", "passed", "pass_rate")
 
 
-@query("select item_id, count(*) n_evals, count(*) filter (where success) n_passed from evals where run_id = (select max(run_id) from evals) group by 1 order by 1 limit 3", "evals")
+@query("select item_id, count(*) n_evals, count(*) filter (where success) n_passed from evals where run_id = (select max(run_id) from evals) group by 1 order by 1 limit 50", "evals")
 def run_details_page(spark, sf):
     s = d.store(spark, sf)
     last = s.evals.agg(F.max("run_id")).first()[0]
     s.items = s.items.withColumn("created_at", F.col("item_id"))
     s.evals = s.evals.withColumns({"eval_id": F.col("score"), "threshold": F.lit(0.5), "reason": F.lit(None).cast("string")})
-    page = tr.run_page(s, last, 0, 3)
+    page = tr.run_page(s, last)
     return page.select("item_id", F.size("evaluations").cast("bigint").alias("n_evals"), F.size(F.filter("evaluations", lambda e: e["success"])).cast("bigint").alias("n_passed"))
 
 
@@ -119,11 +119,11 @@ def trend_chart_points(spark, sf):
     return tr.chart_points(tr.trends(d.store(spark, sf), 5)).select("experiment_id", "run_id", F.col("percent").cast("bigint").alias("percent"))
 
 
-@query("select p.n_name project, c_name experiment, run_id, status from runs r join customer c on c.c_custkey = r.experiment_id join nation p on p.n_nationkey = c.c_nationkey where status = 'RUNNING'", "runs")
+@query("select p.n_name project, c_name experiment, run_id, status from runs r join customer c on c.c_custkey = r.experiment_id join nation p on p.n_nationkey = c.c_nationkey", "runs")
 def run_context(spark, sf):
     s = d.store(spark, sf)
     names = s.experiments.select("experiment_id", "project_id", F.col("name").alias("experiment")).join(s.projects.select("project_id", F.col("name").alias("project")), "project_id")
-    return s.runs.where("status = 'RUNNING'").join(names, "experiment_id").select("project", "experiment", "run_id", "status")
+    return s.runs.join(names, "experiment_id").select("project", "experiment", "run_id", "status")
 
 
 @query("select distinct c_mktsegment as name from customer where c_mktsegment not in (select n_name from nation)")
@@ -131,15 +131,15 @@ def get_or_create_anti_join(spark, sf):
     return tr.new_projects(d.projects(spark, sf), d.table(spark, sf, "customer").select(F.col("c_mktsegment").alias("name"))).select("name")
 
 
-@query("select run_id, evaluator, score, success from (select l_orderkey run_id, l_returnflag evaluator, l_discount * 10 score, l_discount * 10 >= 0.5 success from lineitem where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'P'))")
+@query("select run_id, evaluator, score, success from (select l_orderkey run_id, l_returnflag evaluator, l_discount * 10 score, l_discount * 10 >= 0.5 success from lineitem where l_orderkey in (select o_orderkey from orders))")
 def add_items_explode(spark, sf):
     """Reported batches of items, one per run, flattened to evaluation rows of known runs."""
     rows = d.table(spark, sf, "lineitem")
     e = F.struct(F.col("l_returnflag").alias("name"), (F.col("l_discount") * 10).alias("score"), F.lit(0.5).alias("threshold"), (F.col("l_discount") * 10 >= 0.5).alias("success"), F.lit("").alias("reason"))
     item = F.struct(F.create_map(F.lit("input"), F.col("l_partkey").cast("string")).alias("inputs"), F.create_map().cast("map<string,string>").alias("expectedOutputs"), F.create_map(F.lit("output"), F.col("l_suppkey").cast("string")).alias("actualOutputs"), F.array(e).alias("evalResults"))
     payload = rows.select(F.col("l_orderkey").alias("run_id"), item.alias("item")).groupBy("run_id").agg(F.collect_list("item").alias("items"))
-    items, evals = tr.added_items(payload, d.runs(spark, sf).where("status = 'RUNNING'"))
-    return evals.join(items.select("item_id", "run_id"), "item_id").select("run_id", "evaluator", "score", "success")
+    items, evals = tr.added_items(payload, d.runs(spark, sf))
+    return evals.join(items.select("item_id"), "item_id").select("run_id", "evaluator", "score", "success")
 
 
 @query("select item_id, run_id, max(score) filter (where evaluator = 'A' and nth = 1) a_score, max(score) filter (where evaluator = 'N' and nth = 1) n_score, max(score) filter (where evaluator = 'R' and nth = 1) r_score from (select *, row_number() over (partition by item_id, evaluator order by evaluator_idx) nth from evals) group by all", "evals")
@@ -358,13 +358,13 @@ def contextual_relevance_mean(spark, sf):
     return lists.select("conv_id", fn.r6(ev.contextual_relevance("replies")["score"]).alias("score"), F.size("replies").cast("bigint").alias("n"))
 
 
-@query("select a.vec_id, count(*) filter (where b.label = a.label) relevant, count(*) n from (select x.vec_id, x.label, y.vec_id other, row_number() over (partition by x.vec_id order by list_dot_product(x.embedding::double[], y.embedding::double[]) desc, y.vec_id) nth from embeddings x join embeddings y on x.vec_id <> y.vec_id where x.vec_id < 20) a join embeddings b on b.vec_id = other where nth <= 10 group by 1")
+@query("select a.vec_id, count(*) filter (where b.label = a.label) relevant, count(*) n from (select x.vec_id, x.label, y.vec_id other, row_number() over (partition by x.vec_id order by list_dot_product(x.embedding::double[], y.embedding::double[]) desc, y.vec_id) nth from embeddings x join embeddings y on x.vec_id <> y.vec_id where x.vec_id % 100 = 0) a join embeddings b on b.vec_id = other where nth <= 10 group by 1")
 def topk_precision_embeddings(spark, sf):
-    """Ten nearest vectors of twenty stated queries, and how many share the label."""
+    """Ten nearest vectors of every row whose id is divisible by 100, and how many share the label; each task ranks its own rows before the last ranking."""
     rows = d.table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    queries = rows.where("vec_id < 20").select(F.col("vec_id").alias("q"), F.col("label").alias("q_label"), F.col("v").alias("q_v"))
+    queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("q_label"), F.col("v").alias("q_v"))
     dot = F.aggregate(F.zip_with("q_v", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    near = rows.join(F.broadcast(queries), F.col("vec_id") != F.col("q")).select("q", "q_label", "label", "vec_id", dot.alias("sim"))
+    near = rows.join(queries, F.col("vec_id") != F.col("q")).select("q", "q_label", "label", "vec_id", dot.alias("sim"))
     nth = F.row_number().over(tr.Window.partitionBy("q").orderBy(F.desc("sim"), "vec_id"))
     near = near.withColumn("nth", nth).where("nth <= 10")
     return near.groupBy(F.col("q").alias("vec_id")).agg(F.count_if(F.col("label") == F.col("q_label")).alias("relevant"), F.count("*").alias("n"))
@@ -372,11 +372,13 @@ def topk_precision_embeddings(spark, sf):
 
 @query("select item_id, count(doc_id) n_docs from benchmark b left join documents x on contains(trim(regexp_replace(lower(x.text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(b.text), '\\s+', ' ', 'g'))) or contains(trim(regexp_replace(lower(b.text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(x.text), '\\s+', ' ', 'g'))) group by 1")
 def items_in_documents(spark, sf):
-    """The documents that hold each benchmark text, or are held by it; the items are few and are sent to the documents."""
-    b = d.table(spark, sf, "benchmark").select("item_id", fn.normalize_text("text").alias("b"))
-    x = d.table(spark, sf, "documents").select("doc_id", fn.normalize_text("text").alias("x"))
-    hits = x.join(F.broadcast(b), fn.contains_either(F.col("x"), F.col("b"))).groupBy("item_id").agg(F.count("*").alias("n"))
-    return b.join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_docs"))
+    """The documents that hold each benchmark text, or are held by it."""
+    b = d.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), fn.normalize_text("text").alias("text"))
+    x = d.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), fn.normalize_text("text").alias("text"))
+    inside = m.contained(b, x).select(F.col("inner").alias("item_id"), F.col("outer").alias("doc_id"))
+    around = m.contained(x, b).select(F.col("outer").alias("item_id"), F.col("inner").alias("doc_id"))
+    hits = inside.union(around).distinct().groupBy("item_id").agg(F.count("*").alias("n"))
+    return b.select(F.col("id").alias("item_id")).join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_docs"))
 
 
 # --- functions and formats
@@ -431,15 +433,15 @@ def word_count(spark, sf):
 # --- datasets
 
 
-@query("select conv_id example_idx, text as input from conversations where turn = 0")
+@query("select conv_id, turn, text as input from conversations")
 def json_dataset_parse(spark, sf):
-    """Conversations as one JSON dataset per row, parsed again."""
+    """Turns of conversations as one JSON dataset per row, parsed again."""
     from .sources.datasets import RAW, normalized
 
-    rows = d.table(spark, sf, "conversations").where("turn = 0")
+    rows = d.table(spark, sf, "conversations")
     text = F.to_json(F.struct(F.lit("d").alias("name"), F.array(F.struct(F.col("text").alias("input"))).alias("examples")))
-    parsed = rows.select("conv_id", F.explode(F.from_json(text, RAW)["examples"]).alias("e")).select("conv_id", *normalized(F.col("e")))
-    return parsed.select(F.col("conv_id").alias("example_idx"), F.try_element_at("inputs", F.lit("input")).alias("input"))
+    parsed = rows.select("conv_id", "turn", F.explode(F.from_json(text, RAW)["examples"]).alias("e")).select("conv_id", "turn", *normalized(F.col("e")))
+    return parsed.select("conv_id", "turn", F.try_element_at("inputs", F.lit("input")).alias("input"))
 
 
 @query("select p_partkey example_idx, p_name as input, p_brand as output, p_type as type from part")
@@ -462,28 +464,227 @@ def union_datasets(spark, sf):
     return dataset("nation", "n_nationkey", "n_name").add(dataset("region", "r_regionkey", "r_name")).frame
 
 
-@query("select conv_id || '-' || turn run_id, 0::bigint request, 1::bigint n from conversations where turn = 0 union all select 'all', (rank() over (order by conv_id * 1000 + turn) - 1) // 10, 1 from conversations where false")
+@query("select run_id, (nth - 1) // 10 request, count(*) n, min(item_idx) first_item, md5(string_agg(text, '|' order by item_idx)) texts from (select (conv_id // 8)::varchar run_id, conv_id * 1000 + turn item_idx, text, row_number() over (partition by conv_id // 8 order by conv_id * 1000 + turn) nth from conversations) group by 1, 2")
 def reporter_requests(spark, sf):
+    """Turns of eight conversations as a run's items, in requests of ten."""
     from .streaming.reporter import requests
 
-    rows = d.table(spark, sf, "conversations").where("turn = 0")
-    rows = rows.select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("run_id"), F.col("turn").alias("item_idx"), F.col("text").alias("input"), F.col("role").alias("actual_output"), F.lit(True).alias("success"), F.lit(1.0).alias("score"))
-    return requests(rows).select("run_id", "request", "n")
+    rows = d.table(spark, sf, "conversations").select(F.expr("cast(conv_id div 8 as string)").alias("run_id"), (F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("item_idx"), F.col("text").alias("input"), F.col("role").alias("actual_output"), F.lit(True).alias("success"), F.lit(1.0).alias("score"))
+    return requests(rows).select("run_id", "request", "n", F.col("items")[0]["item_idx"].alias("first_item"), F.md5(F.array_join(F.transform("items", lambda i: i["input"]), "|").cast("binary")).alias("texts"))
+
 
+STREAMED = "select l_orderkey::varchar run_id, l_linenumber::bigint item_idx, min(l_partkey)::varchar as input, max(l_suppkey)::varchar actual_output, bool_and(l_discount * 10 >= 0.5) success, min(l_discount * 10) score from lineitem group by 1, 2"
 
-@query("select run_id, item_idx from (select distinct l_orderkey::varchar run_id, l_linenumber::bigint item_idx from lineitem where l_linenumber = 1)")
+
+@query(STREAMED)
 def streaming_reporter(spark, sf):
     """Items written as files, stored through the stream, and read back once each."""
-    import tempfile
     import uuid
 
+    from .shared import shared_dir
     from .streaming import reporter as rp
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = "file://" + tempfile.gettempdir() if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir")
-    base = f"{shared.rstrip('/')}/reporter-{uuid.uuid4().hex}"
-    rows = d.items(spark, sf).where("item_idx = 1").select(F.col("run_id").cast("string").alias("run_id"), "item_idx", F.lit("").alias("input"), F.lit("").alias("actual_output"), F.lit(True).alias("success"), F.lit(1.0).alias("score"))
+    base = f"{shared_dir(spark)}/reporter-{uuid.uuid4().hex}"
+    score = F.col("l_discount") * 10
+    rows = d.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("run_id"), F.col("l_linenumber").cast("long").alias("item_idx"))
+    rows = rows.agg(F.min("l_partkey").cast("string").alias("input"), F.max("l_suppkey").cast("string").alias("actual_output"), F.bool_and(score >= 0.5).alias("success"), F.min(score).alias("score"))
     rows.write.json(f"{base}/in")
+    rows.limit(1000).write.mode("append").json(f"{base}/in")  # some are reported twice
     rp.start(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", once=True).awaitTermination()
-    return rp.stored(spark, f"{base}/out").select("run_id", "item_idx")
+    return rp.stored(spark, f"{base}/out").drop("evals")
+
+
+# --- experiments, reports, tracking writes and judges
+
+CASES = "select conv_id * 1000 + turn item_idx, input, actual_output answer from pairs"
+QUIET = f"select item_idx, input, answer, lower(answer) actual_output from ({CASES})"
+OUTCOMES = f"select run_index, item_idx, input, answer, actual_output, unnest([{{'evaluator': 'Exact Match', 'k': 0, 'success': answer = actual_output}}, {{'evaluator': 'Length', 'k': 1, 'success': {WORDS.format('actual_output')} between 10 and 30}}], recursive := true) from ({QUIET}) cross join (select unnest(range(2))::int run_index)"
+
+
+def _outcome(spark, sf):
+    """Questions and answers as a dataset, a task that answers in lower case, two runs."""
+    from .plans.experiment import Experiment
+    from .sources.datasets import Dataset
+
+    pairs = d.question_pairs(spark, sf)
+    empty = F.create_map().cast("map<string,string>")
+    frame = pairs.select((F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("example_idx"), F.create_map(F.lit("input"), "input").alias("inputs"), F.create_map(F.lit("output"), "actual_output").alias("expected_outputs"), empty.alias("metadata"))
+    task = lambda df: df.withColumn("actual_output", F.lower("expected_output"))
+    return Experiment(Dataset(frame), task, [ev.exact_match("expected_output", "actual_output"), ev.response_length("actual_output", 10, 30, "Length")], "quiet", runs=2).run()
+
+
+@query(f"select run_index::bigint run_index, item_idx, k::bigint evaluator_idx, evaluator, success::int::double score, success from ({OUTCOMES})", "pairs")
+def experiment_run(spark, sf):
+    return plain(_outcome(spark, sf).evals.select("run_index", "item_idx", "evaluator_idx", "evaluator", "score", "success"))
+
+
+CELL = "(case when regexp_matches({0}, '[,\n\"]|^[=+@-]') then '\"' || replace({0}, '\"', '\"\"') || '\"' else {0} end)"
+LINE = " || ',' || ".join(CELL.format(c) for c in ("input", "answer", "actual_output"))
+
+
+@query(f"select item_idx, md5({LINE} || ',' || bool_and(success)::varchar || ',' || string_agg(success::int::double || ',' || success, ',' order by k) filter (where run_index = 0)) line from ({OUTCOMES}) group by item_idx, input, answer, actual_output", "pairs")
+def report_csv_lines(spark, sf):
+    from .plans.reports import csv_lines
+
+    return csv_lines(_outcome(spark, sf)).select("item_idx", F.md5(F.col("line").cast("binary")).alias("line"))
+
+
+@query(f"select item_idx, 0::bigint run_index, md5(input) as input, string_agg(evaluator, ', ' order by k) failures from ({OUTCOMES}) where run_index = 0 and not success group by item_idx, input", "pairs")
+def report_failed_items(spark, sf):
+    from .plans.reports import failed_items
+
+    out = failed_items(_outcome(spark, sf))
+    return plain(out.select("item_idx", "run_index", F.md5(F.col("input").cast("binary")).alias("input"), F.array_join(F.transform("failures", lambda f: f["evaluator"]), ", ").alias("failures")))
+
+
+@query(f"select item_idx, input, actual_output, bool_and(success) success, count(*) filter (where run_index = 0) n_evaluations, avg(success::int::double) filter (where k = 1) length_score from ({OUTCOMES}) group by all", "pairs")
+def report_item_json(spark, sf):
+    """The JSON report's items, read again from their text."""
+    from .plans.reports import item_json
+
+    body = F.from_json("body", "input string, expectedOutput string, actualOutput string, success boolean, evaluations array<struct<name:string,averageScore:double,scores:array<double>>>")
+    rows = item_json(_outcome(spark, sf)).select("item_idx", body.alias("b"))
+    length = F.filter("b.evaluations", lambda e: e["name"] == "Length")[0]["averageScore"]
+    return rows.select("item_idx", "b.input", F.col("b.actualOutput").alias("actual_output"), "b.success", F.size("b.evaluations").cast("long").alias("n_evaluations"), length.alias("length_score"))
+
+
+@query(f"select item_idx, 1::bigint n_rows, sum(success::int)::bigint n_pass from ({OUTCOMES}) where run_index = 0 group by 1", "pairs")
+def report_html_rows(spark, sf):
+    from .plans.reports import html_rows
+
+    rows = html_rows(_outcome(spark, sf))
+    passed = F.size(F.regexp_extract_all("row", F.lit(r"<li>[^<]*: \d\.\d{3} (pass) "), F.lit(1)))
+    return rows.select("item_idx", F.size(F.regexp_extract_all("row", F.lit("(<tr>)"), F.lit(1))).cast("long").alias("n_rows"), passed.cast("long").alias("n_pass"))
+
+
+@query("select c_custkey experiment_id, 'RUNNING' status, true started from customer")
+def create_runs(spark, sf):
+    return tr.new_run(d.experiments(spark, sf)).select("experiment_id", "status", F.col("started_at").isNotNull().alias("started"))
+
+
+@query("select run_id, case when run_id = (select min(run_id) from runs) then 'CANCELLED' else status end status, run_id = (select min(run_id) from runs) completed from runs", "runs")
+def update_run(spark, sf):
+    runs = d.runs(spark, sf).withColumn("completed_at", F.lit(None).cast("timestamp"))
+    first = runs.agg(F.min("run_id")).first()[0]
+    return tr.set_status(runs, first, "CANCELLED").select("run_id", "status", F.col("completed_at").isNotNull().alias("completed"))
+
+
+@query("select item_id, l_returnflag evaluator, '' reason, l_discount * 10 score from (select l_orderkey * 100 + l_linenumber item_id, l_returnflag, l_discount from lineitem)")
+def payload_projection(spark, sf):
+    """Items as a reporter sends them, read again: a null reason is empty, a null threshold left out."""
+    rows = d.table(spark, sf, "lineitem")
+    e = F.struct(F.col("l_returnflag").alias("name"), (F.col("l_discount") * 10).alias("score"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("success"), F.lit(None).cast("string").alias("reason"))
+    one = lambda c: F.create_map(F.lit("v"), F.col(c).cast("string"))
+    items = rows.select(d.item_id().cast("string").alias("run_id"), one("l_partkey").alias("inputs"), one("l_suppkey").alias("expected_outputs"), one("l_suppkey").alias("actual_outputs"), F.lit(True).alias("success"), F.array(e).alias("evals"))
+    body = F.from_json("body", "evalResults array<struct<name:string,score:double,threshold:double,reason:string>>")
+    return tr.reported(items).select(F.col("run_id").cast("long").alias("item_id"), F.explode(body["evalResults"]).alias("e")).where("e.threshold is null").select("item_id", F.col("e.name").alias("evaluator"), "e.reason", "e.score")
+
+
+@query("select p_partkey::varchar as input, p_brand as output, p_type as type from part")
+def csv_file_dataset(spark, sf):
+    from .shared import Scratch
+    from .sources.datasets import from_csv
+
+    folder = Scratch(spark, "csv")
+    rows = d.table(spark, sf, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(",\""), "p_brand", F.lit("\", "), "p_type").alias("value"))
+    header = spark.createDataFrame([("input,output,type",)], "value string")
+    header.union(rows).coalesce(1).write.text(f"{folder.path}/parts.csv")
+    data = from_csv(spark, f"{folder.path}/parts.csv").frame
+    return data.select(F.col("inputs")["input"].alias("input"), F.col("expected_outputs")["output"].alias("output"), F.col("metadata")["type"].alias("type"))
+
+
+@query("select (row_number() over (order by n_nationkey) - 1) example_idx, n_name as input, n_regionkey::varchar region from nation")
+def json_file_dataset(spark, sf):
+    """A dataset file of all nations, through the registry of resolvers."""
+    from .shared import Scratch
+    from .sources.datasets import Registry
+
+    folder = Scratch(spark, "json")
+    example = F.struct(F.col("n_name").alias("input"), F.create_map(F.lit("region"), "n_regionkey").alias("metadata"))
+    rows = d.table(spark, sf, "nation").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", F.to_json(example).alias("e")))).alias("x"))
+    rows.select(F.concat(F.lit('{"examples": ['), F.array_join(F.transform("x", lambda x: x["e"]), ", "), F.lit("]}"))).coalesce(1).write.text(f"{folder.path}/nations")
+    data = Registry().resolve(spark, f"{folder.path}/nations").frame
+    return data.select("example_idx", F.col("inputs")["input"].alias("input"), F.col("metadata")["region"].alias("region"))
+
+
+REASON = "case when hits = n then format('All {} retrieved items are relevant (perfect precision).', n) when hits = 0 then format('None of the {} retrieved items are relevant.', n) else format('Retrieved {} items: {} relevant, {} irrelevant. Precision: {}%', n, hits, n - hits, printf('%.1f', 100.0 * hits / n)) end"
+
+
+@query(f"select c_custkey, {REASON} reason, hits true_positives, n retrieved, size relevant from (select c_custkey, len(retrieved) n, len(relevant) size, len(list_filter(retrieved, lambda r: list_contains(relevant, r))) hits from bags)", "bags")
+def precision_reasons(spark, sf):
+    """Reasons and metadata of precision over lists kept as JSON texts under their keys."""
+    rows = _bags(spark, sf).select("c_custkey", F.create_map(F.lit("retrieved"), F.to_json("retrieved")).alias("actual"), F.create_map(F.lit("relevant"), F.to_json("relevant")).alias("expected"))
+    r = ev.precision(ev.collection("actual", "retrieved", "Precision", "actualOutputs"), ev.collection("expected", "relevant", "Precision", "expectedOutputs"))
+    out = rows.select("c_custkey", r.alias("r")).select("c_custkey", "r.reason", F.from_json("r.metadata", "retrieved long, relevant long, truePositives long").alias("m"))
+    return out.select("c_custkey", "reason", F.col("m.truePositives").alias("true_positives"), "m.retrieved", "m.relevant")
+
+
+def _stub(prompts: list[str]) -> list[str]:
+    """A judge that goes by lengths: an answer of n characters makes n % 4 claims, of which (n // 4) % (n % 4 + 1) are supported."""
+    import json
+    import re
+
+    out = []
+    for p in prompts:
+        if p.startswith("Split the answer into its single claims"):
+            n = len(p.split("Answer: ", 1)[1])
+            out.append(json.dumps([f"c{(n // 4) % (n % 4 + 1)}"] * (n % 4)))
+        elif p.startswith("Split the answer"):
+            n = len(p.rsplit("\n\nAnswer: ", 1)[1])
+            out.append(json.dumps([{"verdict": "no" if k < (n // 4) % (n % 4 + 1) else "Yes", "reason": "r"} for k in range(n % 4)]))
+        elif p.startswith("Say for each claim"):
+            claims = re.findall(r"c(\d)", p.rsplit("Claims: ", 1)[1])
+            out.append("```json\n" + json.dumps([{"verdict": "YES" if k < int(claims[0]) else "idk", "reasoning": "r"} for k in range(len(claims))]) + "\n```")
+        elif p.startswith("Say how relevant"):
+            out.append(json.dumps({"score": (len(p.split("\n\nContext: ", 1)[1]) % 40) / 20 - 0.5, "reason": "r"}))
+        elif p.startswith("Do these two"):
+            a, b = re.search(r"Retrieved: (.*)\n\nExpected: (.*)$", p, re.S).groups()
+            out.append("Yes, they do" if a.lower() == b.lower() else "no")
+        else:
+            out.append("[]" if p.startswith("List the facts") else " summed up ")
+    return out
+
+
+CLAIMS = "select conv_id, turn, length(actual_output) % 4 n, (length(actual_output) // 4) % (length(actual_output) % 4 + 1) k from pairs"
+
+
+def _judged(spark, sf, keys, df, stage):
+    from .shipping import ship
+
+    ship(spark)
+    df, r = stage.on(df, "_e")
+    return df.select(*keys, r.alias("r"))
+
+
+@query(f"select conv_id, turn, case when n = 0 then 1.0::double else k::double / n end score, case when n = 0 then true else k::double / n >= 0.8 end success, case when n = 0 then 'No claims were found to evaluate.' else 'summed up' end reason from ({CLAIMS})", "pairs")
+def faithfulness_judged(spark, sf):
+    from .operators.judges import Faithfulness
+
+    out = _judged(spark, sf, ["conv_id", "turn"], d.question_pairs(spark, sf).withColumn("context", F.array("input")), Faithfulness(_stub))
+    return out.select("conv_id", "turn", "r.score", "r.success", "r.reason")
+
+
+@query(f"select conv_id, turn, case when n = 0 then 0.0::double else k::double / n end score, case when n = 0 then true else k::double / n <= 0.2 end success, case when n = 0 then 'No statements were found to evaluate.' else 'summed up' end reason from ({CLAIMS})", "pairs")
+def hallucination_judged(spark, sf):
+    from .operators.judges import Hallucination
+
+    out = _judged(spark, sf, ["conv_id", "turn"], d.question_pairs(spark, sf).withColumn("context", F.col("input")), Hallucination(_stub, threshold=0.2))
+    return out.select("conv_id", "turn", "r.score", "r.success", "r.reason")
+
+
+@query(f"select conv_id, {R6.format('avg(greatest(0, least(1, (length(text) % 40) / 20.0::double - 0.5)))')} score, count(*) n, 'summed up' reason from conversations group by 1")
+def contextual_relevance_judged(spark, sf):
+    from .operators.judges import ContextualRelevance
+
+    rows = d.table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("text")).alias("retrievalContext"), F.lit("q").alias("input"))
+    out = _judged(spark, sf, ["conv_id"], rows, ContextualRelevance(_stub))
+    chunks = F.from_json("r.metadata", "contextScores array<struct<score:double>>")["contextScores"]
+    return out.select("conv_id", fn.r6(F.col("r.score")).alias("score"), F.size(chunks).cast("long").alias("n"), "r.reason")
+
+
+@query(_share_sql("list_contains(list_transform(relevant, lambda e: lower(e)), lower(r))", "retrieved"), "bags")
+def match_by_judge(spark, sf):
+    from .operators.judges import LlmRetrieval
+
+    out = _judged(spark, sf, ["c_custkey"], _bags(spark, sf), LlmRetrieval(_stub))
+    return out.select("c_custkey", "r.score", "r.success")

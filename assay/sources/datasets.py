@@ -6,16 +6,16 @@ and a name. Files are read by Spark, so a path may be in any store that it reads
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import DatasetResolutionError
-from ..shipping import ship
+from ..functions.scalar import strip
 
 SCHEMA = "example_idx long, inputs map<string,string>, expected_outputs map<string,string>, metadata map<string,string>"
 EXAMPLES = "array<struct<inputs:map<string,string>,expectedOutputs:map<string,string>,metadata:map<string,string>,input:string,expectedOutput:string>>"
@@ -45,8 +45,8 @@ class Dataset:
 
     def add(self, other: Dataset) -> Dataset:
         """The examples of both, the other's last."""
-        start = (self.frame.agg(F.max("example_idx")).first()[0] if not self.frame.isEmpty() else None) or 0
-        moved = other.frame.withColumn("example_idx", F.col("example_idx") + start + 1)
+        last = self.frame.agg(F.max("example_idx")).first()[0]
+        moved = other.frame.withColumn("example_idx", F.col("example_idx") + (0 if last is None else last + 1))
         return Dataset(self.frame.unionByName(moved), self.name, self.description)
 
 
@@ -76,13 +76,12 @@ def from_json(spark: SparkSession, path: str) -> Dataset:
     return _parsed(spark.read.text(path, wholetext=True))
 
 
-def split_line(line: str, delimiter: str = ",") -> list[str]:
+def cells(line: Column | str, delimiter: str = ",") -> Column:
     """Cells of a line: a quote switches quoting and is dropped, a delimiter inside quotes stays; doubled quotes are no escape."""
-    if '"' not in line:
-        return [c.strip() for c in line.split(delimiter)]
-    parts = line.split('"')
-    marked = "".join(p if i % 2 else p.replace(delimiter, "\0") for i, p in enumerate(parts))
-    return [c.strip() for c in marked.split("\0")]
+    line = F.col(line) if isinstance(line, str) else line
+    # every other part between quotes is outside of them
+    parts = F.transform(F.split(line, '"', -1), lambda p, i: F.when(i % 2 == 0, F.replace(p, F.lit(delimiter), F.lit("\0"))).otherwise(p))
+    return F.transform(F.split(F.array_join(parts, ""), "\0", -1), strip)
 
 
 def _column_index(header: list[str], *candidates: str) -> int:
@@ -93,13 +92,7 @@ def _rows(lines: DataFrame, header: list[str], delimiter: str) -> DataFrame:
     given, wanted = _column_index(header, "input"), _column_index(header, *OUTPUT_ALIASES)
     if given < 0:
         raise ValueError("a CSV dataset needs a column 'input'")
-    ship(lines.sparkSession)
-
-    @F.pandas_udf("array<string>")
-    def cells(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: split_line(v, delimiter))
-
-    rows = lines.select("example_idx", cells("value").alias("c"))
+    rows = lines.select("example_idx", cells("value", delimiter).alias("c"))
     some = lambda at, key: F.when(F.size("c") > at, F.create_map(F.lit(key), F.col("c")[at])).otherwise(F.create_map().cast("map<string,string>"))
     rest = [i for i in range(len(header)) if i not in (given, wanted)]
     pairs = F.array(*(F.when(F.size("c") > i, F.struct(F.lit(header[i]).alias("key"), F.col("c")[i].alias("value"))) for i in rest)) if rest else F.array().cast("array<struct<key:string,value:string>>")
@@ -117,46 +110,69 @@ def from_csv_text(spark: SparkSession, text: str, name: str = "unnamed", delimit
 
 
 def from_csv(spark: SparkSession, path: str, delimiter: str = ",") -> Dataset:
-    """A CSV file, named as the file is. Lines are numbered in file order, in one narrow pass after a count per partition."""
+    """A CSV file, named as the file is; its first line is the header. Lines are numbered in file order, from their places in partitions and the partitions' sizes."""
     lines = spark.read.text(path)
-    first = lines.limit(1).collect()
-    if not first or not first[0].value.strip():
+    kept = lines.where(F.trim("value") != "")
+    if kept.isEmpty():
         raise ValueError("a CSV dataset must not be empty")
-    header = [h.strip() for h in first[0].value.split(delimiter)]
-    placed = lines.where(F.trim("value") != "").select("value", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
-    counts = {r.p: r.n for r in placed.groupBy("p").agg(F.count("*").alias("n")).collect()}
-    before, total = {}, 0
-    for p in sorted(counts):
-        before[p], total = total, total + counts[p]
-    starts = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))
-
-    def numbered(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = 0
-        for pdf in it:
-            pdf["at"] = range(n, n + len(pdf))
-            n += len(pdf)
-            yield pdf
-
-    rows = placed.mapInPandas(numbered, "value string, p int, m long, at long").select((starts[F.col("p")] + F.col("at") - 1).alias("example_idx"), "value").where("example_idx >= 0")
+    header = [h.strip() for h in lines.first().value.split(delimiter)]
+    placed = kept.select("value", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
+    sizes = placed.groupBy("p").agg(F.count("*").alias("n"))  # a row for each part of the file
+    before = sizes.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"))
+    rows = placed.join(F.broadcast(before), "p").select((F.col("before") + F.col("m").bitwiseAND((1 << 33) - 1) - 1).alias("example_idx"), "value").where("example_idx >= 0")
     return Dataset(_rows(rows, header, delimiter), path.rsplit("/", 1)[-1].replace(".csv", ""))
 
 
+def _texts(values: dict) -> dict[str, str]:
+    """Values as JSON shows them, texts as they are; nulls are left out."""
+    return {k: v if isinstance(v, str) else json.dumps(v, separators=(",", ":"), ensure_ascii=False) for k, v in values.items() if v is not None}
+
+
 def from_examples(spark: SparkSession, examples: list[dict], name: str = "unnamed", description: str = "") -> Dataset:
     """Examples in memory: dicts with inputs, expected_outputs and metadata, or input and expected_output."""
     rows = []
     for i, e in enumerate(examples):
         inputs = e.get("inputs") or ({"input": e["input"]} if "input" in e else {})
         wanted = e.get("expected_outputs") or ({"output": e["expected_output"]} if "expected_output" in e else {})
-        rows.append((i, *({k: str(v) for k, v in m.items()} for m in (inputs, wanted, e.get("metadata") or {}))))
+        rows.append((i, *(_texts(m) for m in (inputs, wanted, e.get("metadata") or {}))))
     return Dataset(spark.createDataFrame(rows, SCHEMA), name, description)
 
 
+def texts_of(contents: Column | str) -> Column:
+    """The texts of retrieved contents (structs with a text); those without one are left out; none for null."""
+    return F.coalesce(F.transform(_with_text(contents), lambda d: d["text"]), F.array().cast("array<string>"))
+
+
+def texts_with_metadata(contents: Column | str) -> Column:
+    """Structs (text, metadata) of retrieved contents; those without a text are left out; none for null."""
+    kept = F.transform(_with_text(contents), lambda d: F.struct(d["text"].alias("text"), d["metadata"].alias("metadata")))
+    return F.coalesce(kept, F.array())
+
+
+def _with_text(contents: Column | str) -> Column:
+    return F.filter(contents, lambda d: d.isNotNull() & d["text"].isNotNull())
+
+
 def test_cases(requests: DataFrame) -> DataFrame:
     """Rows (user_text, response, documents: array<struct<text>>) as cases; context only where there are documents."""
-    texts = F.transform(F.filter("documents", lambda d: d.isNotNull() & d["text"].isNotNull()), lambda d: d["text"])
+    texts = texts_of("documents")
     return requests.select(F.create_map(F.lit("input"), "user_text").alias("inputs"), F.col("response").alias("actual_output"), F.when(F.size(texts) > 0, texts).alias("context"))
 
 
+def evaluation_responses(evals: DataFrame) -> DataFrame:
+    """Evaluations as a caller of the request adapter gets them: passed, reason, and metadata with the score as a 32-bit number."""
+    score = F.create_map(F.lit("score"), F.col("score").cast("float").cast("string"))
+    known = F.coalesce(F.from_json("metadata", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return evals.select(F.col("success").alias("pass"), "reason", F.map_concat(F.map_filter(known, lambda k, _: k != "score"), score).alias("metadata"))
+
+
+def of_test(spark: SparkSession, uri: str | None = None, json_text: str | None = None) -> list:
+    """Examples for a parametrised test: of the JSON text if given, else of the dataset that the URI names."""
+    if not (json_text and json_text.strip()) and not (uri and uri.strip()):
+        raise ValueError("a test's dataset needs a URI or JSON text")
+    return list(from_json_text(spark, json_text) if json_text and json_text.strip() else Registry().resolve(spark, uri))
+
+
 class Registry:
     """Resolvers of dataset URIs: those registered last come first, then package resources, then files."""
 

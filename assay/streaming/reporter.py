@@ -1,23 +1,46 @@
-"""Reporters: item results on their way to a table, in micro-batches.
+"""Reporters: item results on their way to a table or a receiver, in micro-batches.
 
 The stream is Structured Streaming over a folder of reported items; its sink writes each micro-batch
-under the batch's number, so a batch that is tried again replaces itself and every item is stored once.
+under the batch's number, so a batch that is tried again replaces itself and every item is stored once. With a receiver, executors
+also hand on each run's items in requests of ten, tried again with growing waits.
 """
 
 from __future__ import annotations
 
+import os
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BATCH = 10  # items in one request
 EVERY = "500 milliseconds"
 ATTEMPTS, BACKOFF = 3, 0.1
-SCHEMA = "run_id string, item_idx long, input string, actual_output string, success boolean, score double"
+EVAL = "struct<name:string,score:double,threshold:double,success:boolean,reason:string>"
+SCHEMA = f"run_id string, item_idx long, input string, actual_output string, success boolean, score double, evals array<{EVAL}>"
+
+
+@dataclass
+class Settings:
+    """Where a reporter sends to: from the session's ``assay.reporter.*``, else from the environment's ``ASSAY_REPORTER_*``."""
+
+    url: str
+    project: str
+    key: str | None = None
+    version: str = "v1"
+
+    @staticmethod
+    def of(spark: SparkSession) -> Settings:
+        found = {n: spark.conf.get(f"assay.reporter.{n}", None) or os.environ.get(f"ASSAY_REPORTER_{n.upper()}") for n in ("url", "project", "key", "version")}
+        for n in ("url", "project"):
+            if not found[n]:
+                raise ValueError(f"a reporter needs assay.reporter.{n}")
+        return Settings(found["url"].rstrip("/"), found["project"], found["key"], found["version"] or "v1")
 
 
 class Reporter(Protocol):
@@ -47,7 +70,8 @@ def requests(batch: DataFrame, size: int = BATCH) -> DataFrame:
     """(run_id, request, n, items): a run's items in requests of at most ``size``, in order of item_idx."""
     nth = F.row_number().over(Window.partitionBy("run_id").orderBy("item_idx")) - 1
     part = batch.withColumn("request", F.floor(nth / size))
-    return part.groupBy("run_id", "request").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("item_idx", "input", "actual_output", "success", "score"))).alias("items"))
+    item = F.struct("item_idx", *(c for c in ("input", "actual_output", "success", "score", "evals") if c in batch.columns))
+    return part.groupBy("run_id", "request").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(F.col("item_idx").alias("at"), item.alias("item")))).alias("items")).withColumn("items", F.transform("items", lambda x: x["item"]))
 
 
 def retried(send: Callable[[], None], permanent: type[Exception] = ValueError, attempts: int = ATTEMPTS, backoff: float = BACKOFF) -> bool:
@@ -64,14 +88,32 @@ def retried(send: Callable[[], None], permanent: type[Exception] = ValueError, a
     return False
 
 
-def start(spark: SparkSession, source: str, target: str, checkpoint: str, once: bool = False, files_per_batch: int | None = None):
-    """Begin to store reported items (JSON lines in ``source``) in ``target``; returns the streaming query."""
+def sent(batch: DataFrame, receiver: Callable[[str, str], None], attempts: int = ATTEMPTS, backoff: float = BACKOFF) -> DataFrame:
+    """(run_id, request, n, delivered): hand each request's body (JSON) to ``receiver`` on the executors; one that fails for good is told and dropped."""
+    bodies = requests(batch).select("run_id", "request", "n", F.to_json(F.struct("items")).alias("body"))
+
+    def send(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            pdf["delivered"] = [retried(lambda r=r: receiver(r.run_id, r.body), attempts=attempts, backoff=backoff) for r in pdf.itertuples()]
+            yield pdf[["run_id", "request", "n", "delivered"]]
+
+    return bodies.mapInPandas(send, "run_id string, request long, n long, delivered boolean")
+
+
+def start(spark: SparkSession, source: str, target: str, checkpoint: str, once: bool = False, files_per_batch: int | None = None, receiver: Callable[[str, str], None] | None = None):
+    """Begin to store reported items (JSON lines in ``source``) in ``target``; returns the streaming query.
+
+    With a ``receiver``, each micro-batch's requests go there too; what became of them is stored in ``target``-requests.
+    """
     reader = spark.readStream.schema(SCHEMA)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def store(batch: DataFrame, number: int) -> None:
         batch.dropDuplicates(["run_id", "item_idx"]).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        if receiver:
+            items = batch.sparkSession.read.schema(SCHEMA).parquet(f"{target}/batch={number}")
+            sent(items, receiver).write.mode("overwrite").parquet(f"{target}-requests/batch={number}")
 
     writer = reader.json(source).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=EVERY)).start()
@@ -83,25 +125,44 @@ def stored(spark: SparkSession, target: str) -> DataFrame:
 
 
 class FolderReporter:
-    """A reporter that hands items to the stream as files in a folder that it watches."""
+    """A reporter that hands items, with all their evaluations, to the stream as files in a folder that it watches.
+
+    ``register`` (name, metadata) -> handle tells a server of a run; where it fails the run goes on under a handle of its own. ``query``: the stream to wait
+    for when a run is completed or the reporter is closed.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, register: Callable[[str, dict[str, str]], str] | None = None, query=None):
+        self.spark, self.folder, self.register, self.query = spark, folder, register, query
         self.completed: list[tuple[str, str]] = []
 
     def start_run(self, name: str, metadata: dict[str, str]) -> str:
-        return f"{name}-{uuid.uuid4().hex[:8]}"
+        if self.register is None:
+            return f"{name}-{uuid.uuid4().hex[:8]}"
+        try:
+            return self.register(name, metadata)
+        except Exception:
+            return local_handle()
 
     def report(self, handle: str, outcome) -> None:
-        rows = outcome.items.join(outcome.item_results(), ["run_index", "item_idx"]).join(outcome.evals.groupBy("run_index", "item_idx").agg(F.avg("score").alias("score")), ["run_index", "item_idx"], "left")
-        rows = rows.select(F.concat(F.lit(f"{handle}-"), F.col("run_index").cast("string")).alias("run_id"), "item_idx", "input", F.col("actual_output").cast("string").alias("actual_output"), "success", "score")
+        order = F.struct("evaluator_idx", F.struct(F.col("evaluator").alias("name"), "score", "threshold", "success", F.coalesce("reason", F.lit("")).alias("reason")).alias("e"))
+        evals = outcome.evals.groupBy("run_index", "item_idx").agg(F.avg("score").alias("score"), F.transform(F.array_sort(F.collect_list(order)), lambda x: x["e"]).alias("evals"))
+        rows = outcome.items.join(outcome.item_results(), ["run_index", "item_idx"]).join(evals, ["run_index", "item_idx"], "left")
+        rows = rows.select(F.concat(F.lit(f"{handle}-"), F.col("run_index").cast("string")).alias("run_id"), "item_idx", "input", F.col("actual_output").cast("string").alias("actual_output"), "success", "score", "evals")
         rows.write.mode("append").json(self.folder)
 
     def complete_run(self, handle: str, status: str) -> None:
+        self.flush()
         self.completed.append((handle, status))
 
-    def flush(self) -> None: ...
-    def close(self) -> None: ...
+    def flush(self) -> None:
+        if self.query is not None:
+            flush(self.query)
+
+    def close(self) -> None:
+        self.flush()
+        if self.query is not None:
+            self.query.stop()
+            self.query.awaitTermination(5)
 
 
 def flush(query, seconds: float = 30.0) -> bool:

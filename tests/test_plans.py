@@ -1,12 +1,16 @@
 """Datasets, experiments, reports, tracking writes and the streaming reporter."""
 
+import datetime as dt
 import json
+import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from assay.errors import DatasetResolutionError
 from assay.operators import evaluators as ev
+from assay.operators.judges import LlmJudge
 from assay.plans import reports, tracking
 from assay.plans.experiment import Experiment, assert_eval, quality_gate
 from assay.sources import datasets as ds
@@ -42,7 +46,39 @@ def test_csv(spark, tmp_path):
         ds.from_csv_text(spark, "a,b\n1,2")
     with pytest.raises(ValueError, match="empty"):
         ds.from_csv_text(spark, " \n")
-    assert ds.split_line('a"b,c') == ["ab,c"]
+    line = spark.createDataFrame([('a"b,c',), ("a,,",), ("",)], "v string")
+    assert [r.c for r in line.select(ds.cells("v").alias("c")).collect()] == [["ab,c"], ["a", "", ""], [""]]
+    (tmp_path / "blank.csv").write_text("\ninput\nx\n")
+    with pytest.raises(ValueError, match="needs a column"):
+        ds.from_csv(spark, str(tmp_path / "blank.csv"))
+    many = "input\n" + "".join(f"line {k}\n\n" for k in range(20_000))
+    (tmp_path / "many.csv").write_text(many)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    got = [(r.example_idx, r.inputs["input"]) for r in ds.from_csv(spark, str(tmp_path / "many.csv"))]
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(k, f"line {k}") for k in range(20_000)]
+
+
+def test_examples_are_kept_as_json_texts(spark):
+    d = ds.from_examples(spark, [{"inputs": {"a": [1, "x"], "b": True, "c": None, "d": "t", "e": {"k": 1.5}}}])
+    text = ds.from_json_text(spark, json.dumps({"examples": [{"inputs": {"a": [1, "x"], "b": True, "d": "t", "e": {"k": 1.5}}}]}))
+    assert rows(d) == rows(text) == [({"a": '[1,"x"]', "b": "true", "d": "t", "e": '{"k":1.5}'}, {}, {})]
+    none = ds.from_examples(spark, [])
+    assert [r.example_idx for r in none.add(d).add(d)] == [0, 1]
+    assert [e.inputs for e in ds.of_test(spark, "no/such", '{"examples": [{"input": "i"}]}')] == [{"input": "i"}]
+    with pytest.raises(ValueError, match="URI or JSON"):
+        ds.of_test(spark)
+
+
+def test_request_adapter(spark):
+    schema = "user_text string, response string, documents array<struct<text:string,metadata:map<string,string>>>"
+    df = spark.createDataFrame([("u", "r", [("t", {"k": "v"}), (None, {}), None]), ("u", "r", None)], schema)
+    assert [(r.inputs, r.actual_output, r.context) for r in ds.test_cases(df).collect()] == [({"input": "u"}, "r", ["t"]), ({"input": "u"}, "r", None)]
+    got = df.select(ds.texts_of("documents").alias("t"), ds.texts_with_metadata("documents").alias("m")).collect()
+    assert [(r.t, [tuple(m) for m in r.m]) for r in got] == [(["t"], [("t", {"k": "v"})]), ([], [])]
+    evals = spark.createDataFrame([(True, "why", '{"n":1}', 0.1)], "success boolean, reason string, metadata string, score double")
+    r = ds.evaluation_responses(evals).first()
+    assert (r["pass"], r.reason, r.metadata) == (True, "why", {"n": "1", "score": "0.1"})
 
 
 def test_registry(spark):
@@ -60,7 +96,7 @@ def outcome(spark, runs=2, reporter=None):
     return Experiment(d, task, [ev.exact_match("expected_output", "actual_output"), ev.response_length("actual_output", 1, 1, "Len")], "exp", runs=runs, reporter=reporter).run()
 
 
-def test_experiment_and_reports(spark):
+def test_experiment_and_reports(spark, tmp_path):
     o = outcome(spark)
     assert tuple(o.summary()) == (3, 1.0, 2.0, 0.333333, 2)
     assert [(r.evaluator, r.average_score, r.std_dev) for r in o.averages().collect()] == [("Exact Match", 0.333333, 0.0), ("Len", 0.666667, 0.0)]
@@ -72,7 +108,10 @@ def test_experiment_and_reports(spark):
     assert lines[1] == "1,1,1,true,1.0,true,1.0,true" and lines[3].startswith('"a|<b>, ""c""",x,')
     md = reports.to_markdown(o)
     assert "33% (1/3)" in md and "| 2 | 2 | 3 | 2 | Exact Match |" in md and "a\\|<b>" in md
-    assert "a|&lt;b&gt;, &quot;c&quot;" in reports.to_html(o)
+    html = reports.to_html(o, dt.datetime(2024, 1, 2, 3, 4, 5))
+    assert "a|&lt;b&gt;, &quot;c&quot;" in html and "2024-01-02 03:04:05" in html and html.count("<details>") == 3 and "<li>Exact Match: 1.000 pass Actual output equals expected output</li>" in html
+    reports.write_lines(reports.html_rows(o), str(tmp_path / "rows"))
+    assert spark.read.text(str(tmp_path / "rows")).where("value like '<tr>%'").count() == 3
     with pytest.raises(AssertionError, match="below 0.95"):
         quality_gate(o, pass_rate=0.95)
     quality_gate(o, scores={"Len": 0.6})
@@ -80,12 +119,30 @@ def test_experiment_and_reports(spark):
     assert single["items"][1]["evaluations"][0]["score"] == 0.0 and "scores" not in single["items"][1]["evaluations"][0]
 
 
+def test_a_judge_is_asked_once(spark, tmp_path):
+    """Items and evaluations are written once: a judge that never says the same gives one outcome."""
+    log = tmp_path / "asked"
+
+    def judge(prompts):
+        with open(log, "a") as f:
+            f.write("x\n" * len(prompts))
+        return [json.dumps({"score": random.random(), "reason": "r"}) for _ in prompts]
+
+    d = ds.from_examples(spark, [{"input": str(k)} for k in range(4)])
+    o = Experiment(d, lambda df: df.withColumn("actual_output", F.col("input")), [LlmJudge(judge, "J", "be good")]).run()
+    first = sorted(map(tuple, o.evals.collect()))
+    assert o.summary().total == 4 and sorted(map(tuple, o.evals.collect())) == first and len(log.read_text().splitlines()) == 4
+    assert sum(r[4] for r in first) / 4 == pytest.approx(o.averages().first().average_score, abs=1e-6)
+
+
 def test_lifecycle(spark, tmp_path):
     r = rp.FolderReporter(spark, str(tmp_path / "in"))
     outcome(spark, reporter=r)
     q = rp.start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), once=True)
     q.awaitTermination()
-    assert rp.stored(spark, str(tmp_path / "out")).count() == 6 and r.completed[0][1] == "SUCCESS"
+    kept = rp.stored(spark, str(tmp_path / "out"))
+    assert kept.count() == 6 and r.completed[0][1] == "SUCCESS"
+    assert {tuple(e.name for e in x.evals) for x in kept.collect()} == {("Exact Match", "Len")}
 
     def broken(df):
         raise RuntimeError("task")
@@ -117,12 +174,52 @@ def test_retry():
     assert rp.local_handle().startswith("local-")
 
 
+def items(spark):
+    return spark.createDataFrame([("r", i, f"i{i}", "", True, 1.0, [("E", 1.0, None, True, "")]) for i in range(23)] + [("s", 0, "", "", True, 1.0, [])], rp.SCHEMA)
+
+
 def test_requests_hold_ten(spark):
-    df = spark.createDataFrame([("r", i, "", "", True, 1.0) for i in range(23)] + [("s", 0, "", "", True, 1.0)], rp.SCHEMA)
-    got = sorted((r.run_id, r.request, r.n) for r in rp.requests(df).collect())
+    got = sorted((r.run_id, r.request, r.n) for r in rp.requests(items(spark)).collect())
     assert got == [("r", 0, 10), ("r", 1, 10), ("r", 2, 3), ("s", 0, 1)]
 
 
+def test_requests_are_sent_and_tried_again(spark, tmp_path):
+    folder = str(tmp_path / "got")
+
+    def receiver(run, body):
+        path = os.path.join(folder, f"{run}-{json.loads(body)['items'][0]['item_idx']}")
+        tries = len(os.listdir(folder)) if run == "s" else 0
+        if run == "s":
+            raise ValueError("refused")  # not tried again
+        if not os.path.exists(path):
+            open(path, "w").write("")
+            raise OSError(f"down {tries}")
+        open(path, "w").write(body)
+
+    os.mkdir(folder)
+    items(spark).write.json(str(tmp_path / "in"))
+    rp.start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), once=True, receiver=receiver).awaitTermination()
+    told = sorted((r.run_id, r.request, r.n, r.delivered) for r in spark.read.parquet(str(tmp_path / "out-requests")).collect())
+    assert told == [("r", 0, 10, True), ("r", 1, 10, True), ("r", 2, 3, True), ("s", 0, 1, False)]
+    bodies = [json.loads(open(os.path.join(folder, f)).read())["items"] for f in sorted(os.listdir(folder))]
+    assert sorted(i["input"] for b in bodies for i in b) == sorted(f"i{k}" for k in range(23)) and bodies[0][0]["evals"][0]["name"] == "E"
+
+
+def test_settings_and_offline_handles(spark, monkeypatch):
+    monkeypatch.delenv("ASSAY_REPORTER_URL", raising=False)
+    with pytest.raises(ValueError, match="url"):
+        rp.Settings.of(spark)
+    monkeypatch.setenv("ASSAY_REPORTER_URL", "http://h/")
+    monkeypatch.setenv("ASSAY_REPORTER_PROJECT", "p")
+    assert rp.Settings.of(spark) == rp.Settings("http://h", "p", None, "v1")
+
+    def down(name, metadata):
+        raise OSError
+
+    assert rp.FolderReporter(spark, "x", down).start_run("n", {}).startswith("local-")
+    assert rp.FolderReporter(spark, "x", lambda n, m: "id").start_run("n", {}) == "id"
+
+
 def store(spark):
     t = "2024-01-0{} 00:00:00".format
     make = lambda rows, schema: spark.createDataFrame(rows, "string").select(F.from_csv("value", schema, {"timestampFormat": "yyyy-MM-dd HH:mm:ss"}).alias("r")).select("r.*")
@@ -131,10 +228,43 @@ def store(spark):
         make([f"e,p,E,{t(1)}", f"f,p,F,{t(2)}"], "experiment_id string, project_id string, name string, created_at timestamp"),
         make([f"r1,e,SUCCESS,,{t(1)},{t(1)}", f"r2,e,RUNNING,,{t(2)},", f"r3,e,CANCELLED,,{t(3)},{t(3)}", f"r4,f,FAILED,,{t(1)},{t(1)}"], "run_id string, experiment_id string, status string, config string, started_at timestamp, completed_at timestamp"),
         make([f"i1,r1,a,,x,,{t(1)}", f"i2,r1,b,,y,,{t(2)}", f"i3,r1,c,,z,,{t(3)}"], "item_id string, run_id string, input string, expected_output string, actual_output string, metadata string, created_at timestamp"),
-        make(["v1,i1,A,1.0,0.5,true,", "v2,i2,A,0.0,0.5,false,no"], "eval_id string, item_id string, evaluator string, score double, threshold double, success boolean, reason string"),
+        make(["v1,r1,i1,A,1.0,0.5,true,", "v2,r1,i2,A,0.0,0.5,false,no"], "eval_id string, run_id string, item_id string, evaluator string, score double, threshold double, success boolean, reason string"),
     )
 
 
+def test_one_run_reads_only_its_rows(spark, tmp_path):
+    """The run's id is pushed down to the scans of items and evaluations, and a project's list cuts both before it aggregates."""
+    s = store(spark)
+    for name in ("items", "evals", "runs"):
+        getattr(s, name).write.parquet(f"{tmp_path}/{name}")
+        setattr(s, name, spark.read.parquet(f"{tmp_path}/{name}"))
+    mine = F.col("run_id") == "r1"
+    plan = tracking.run_counts(s.runs.where(mine), s.items.where(mine), s.evals.where(mine), every=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EqualTo(run_id,r1)") == 3
+    assert [(r.total, r.passed) for r in tracking.run_counts(s.runs.where(mine), s.items, s.evals).collect()] == [(3, 1)]
+    plan = tracking.run_counts(s.runs.where(mine), s.items, s.evals)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("LeftSemi") == 2 and plan.count("EqualTo(run_id,r1)") >= 3
+
+
+def test_pager_and_table_order(spark):
+    assert [tuple(tracking.shown(*a).values()) for a in ((45, 0), (45, 2), (0, 0))] == [(1, 20, 45, 3), (41, 45, 45, 3), (0, 0, 0, 0)]
+    df = spark.createDataFrame([("9%",), ("10%",), ("b",), ("a",)], "v string")
+    assert [r.v for r in tracking.table_order(df, "v").collect()] == ["9%", "10%", "a", "b"]
+    assert [r.v for r in tracking.table_order(df, "v", descending=True).collect()] == ["10%", "9%", "b", "a"]
+
+
+def test_contained(spark):
+    from assay.operators.matching import contained
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(1, 3)))
+    outer = [(k, " ".join(word() for _ in range(rng.randint(0, 60)))) for k in range(60)]
+    inner = [(k, (t := outer[rng.randrange(60)][1])[(i := rng.randrange(len(t) + 1)) : i + rng.randint(0, 60)].strip()) for k in range(80)] + [(90, "a"), (91, ""), (92, "zz " * 9 + "q")]
+    inner = [(k, " ".join(t.split())) for k, t in inner]
+    got = sorted(map(tuple, contained(spark.createDataFrame(inner, "id long, text string"), spark.createDataFrame(outer, "id long, text string")).collect()))
+    assert got == sorted((a, b) for a, s in inner for b, t in outer if s in t) and len(got) > 100
+
+
 def test_tracking(spark):
     s = store(spark)
     assert [(r.name, r.experiment_count) for r in tracking.list_projects(s).collect()] == [("Q", 0), ("P", 2)]
