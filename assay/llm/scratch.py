@@ -1,72 +1,13 @@
-"""Intermediate tables in the folder that every executor and the driver share.
-
-A table written here cuts lineage and survives lost executors: it is ordinary
-Parquet under ``spark.checkpoint.dir``.
-"""
+"""Intermediate tables of the operators, and the size of what goes to Python workers."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from ..shared import Scratch, shared_dir
 from ..shipping import ship
 
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``. Where it is unset: a new local folder in local mode, else the warehouse, which is shared."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        alone = re.match(r"local(\[|$)", spark.sparkContext.master)
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="assay-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/assay"
-    return _own[app]
-
-
-class Scratch:
-    """A folder of Parquet tables for one operator call."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.names: list[str] = []
-        atexit.register(self._close)
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return it as read back."""
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        self.names.append(name)
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
-
-    def drop(self, *names: str) -> None:
-        """Delete tables that nothing lazy still reads."""
-        for name in names:
-            self._delete(f"{self.path}/{name}")
-            self.names.remove(name)
-
-    def result(self, df: DataFrame) -> DataFrame:
-        """Write an operator's result and delete the tables that it was made from."""
-        earlier = list(self.names)
-        out = self.save(df, "result")
-        self.drop(*earlier)
-        return out
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-    def _close(self) -> None:
-        if self.spark.sparkContext._jsc is not None and self.spark.sparkContext._jsc.sc().isStopped() is False:
-            self._delete(self.path)
+__all__ = ["Scratch", "batches", "shared_dir"]
 
 
 def batches(spark: SparkSession, rows: int = 1024, megabytes: int = 8) -> None:
