@@ -206,10 +206,10 @@ def contextual_relevance(replies: Column | str, name: str = "ContextualRelevance
 
 def evaluated(df: DataFrame, evaluators: list) -> DataFrame:
     """One row per row and evaluator, in order: evaluator_idx and the result's fields. Evaluators: result Columns, or stages (see ``judges``)."""
-    made = []
+    made, given = [], df.columns
     for k, e in enumerate(evaluators):
         if not isinstance(e, Column):
-            df, e = e.on(df, f"_e{k}")
+            df, e = e.on(df, f"_stage{k}")
         made.append(e)
     long = df.select("*", F.posexplode(F.array(*made)).alias("evaluator_idx", "_result"))
-    return long.select("*", F.col("_result.name").alias("evaluator"), *(f"_result.{c}" for c in ("score", "threshold", "success", "reason")), F.col("_result.metadata").alias("result_metadata")).drop("_result", *(c for c in df.columns if c.startswith("_e")))
+    return long.select("*", F.col("_result.name").alias("evaluator"), *(f"_result.{c}" for c in ("score", "threshold", "success", "reason")), F.col("_result.metadata").alias("result_metadata")).drop("_result", *(c for c in df.columns if c not in given))
