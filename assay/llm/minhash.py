@@ -213,15 +213,14 @@ def _rest(docs: DataFrame, members: DataFrame, label: DataFrame, have: DataFrame
     ranked = ranked.withColumn("take", prefix).where("take > 0").select("id", "n", F.posexplode(F.expr("slice(sorted, 1, cast(take as int))")).alias("at", "s"), F.size("sorted").alias("held"))
     ranked = ranked.select("id", "n", F.col("s.h").alias("h"), F.expr("n - held + at").alias("at"))
     ranked = scratch.save(ranked.join(ids, "id"), "prefixes")
-    # a shingle's documents meet those of its other components, never those of their own
-    several = ranked.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
+    # of a shingle's documents, those outside its largest component meet the others: each pair of two components has one of them
+    held = ranked.groupBy("h", "component").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("components"), F.max(F.struct("n", "component")).alias("most"))
+    several = scratch.save(held.where("components > 1").select("h", F.col("most.component").alias("most")), "several")
     shared = scratch.save(ranked.join(several, "h"), "shared")
-    sides = shared.select("h", "component").distinct()
-    cross = sides.alias("x").join(sides.alias("y"), F.expr("x.h = y.h and x.component < y.component")).select("x.h", F.col("x.component").alias("low"), F.col("y.component").alias("high"))
-    pairs = cross.alias("c").join(shared.alias("x"), F.expr("x.h = c.h and x.component = c.low")).join(shared.alias("y"), F.expr("y.h = c.h and y.component = c.high"))
     fits = F.expr(
-        f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+        f"x.component <> y.component and (y.component = y.most or x.id < y.id) and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
         f" and 1 + least(x.n - x.at - 1, y.n - y.at - 1) >= ceil({percent} * (x.n + y.n) / {100 + percent})"
     )
-    pairs = pairs.where(fits).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    pairs = shared.where("component <> most").alias("x").join(shared.alias("y"), F.col("x.h") == F.col("y.h")).where(fits)
+    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     return scratch.save(pairs, "open-pairs"), have
