@@ -25,6 +25,7 @@ WORD = np.zeros(256, dtype=bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True
 WORD[39] = True
 PREFIXES = (4, 5, 6, 7, 8)  # bytes: insults are inflected
+HELD = 1 << 18  # counted words that a task holds before it hands them on
 
 
 @dataclass
@@ -109,10 +110,10 @@ def _counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             once[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
             held.append(_summed([(h[once].view(np.int64), positive[i + row[once]], np.ones(int(once.sum()), dtype=np.int64))]))
             size += len(held[-1][0])
-            if size > 1 << 20:
+            if size > HELD:
                 held = [_summed(held)]
                 size = len(held[0][0])
-                if size > 1 << 19:
+                if size > HELD // 2:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names=["h", "a", "b"])
                     held, size = [], 0
     if held:
