@@ -373,12 +373,10 @@ def topk_precision_embeddings(spark, sf):
 @query("select item_id, count(doc_id) n_docs from benchmark b left join documents x on contains(trim(regexp_replace(lower(x.text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(b.text), '\\s+', ' ', 'g'))) or contains(trim(regexp_replace(lower(b.text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(x.text), '\\s+', ' ', 'g'))) group by 1")
 def items_in_documents(spark, sf):
     """The documents that hold each benchmark text, or are held by it."""
-    b = d.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), fn.normalize_text("text").alias("text"))
-    x = d.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), fn.normalize_text("text").alias("text"))
-    inside = m.contained(b, x).select(F.col("inner").alias("item_id"), F.col("outer").alias("doc_id"))
-    around = m.contained(x, b).select(F.col("outer").alias("item_id"), F.col("inner").alias("doc_id"))
-    hits = inside.union(around).distinct().groupBy("item_id").agg(F.count("*").alias("n"))
-    return b.select(F.col("id").alias("item_id")).join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_docs"))
+    b = d.table(spark, sf, "benchmark").select("item_id", fn.normalize_text("text").alias("b"))
+    x = d.table(spark, sf, "documents").select("doc_id", fn.normalize_text("text").alias("x"))
+    hits = x.join(b, fn.contains_either(F.col("x"), F.col("b"))).groupBy("item_id").agg(F.count("*").alias("n"))
+    return b.join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_docs"))
 
 
 # --- functions and formats
