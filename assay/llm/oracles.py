@@ -49,4 +49,22 @@ low as (select a doc_id, least(a, min(b)) c from reach group by a)
 select doc_id, coalesce(n, 0) n_shingles, coalesce(c, doc_id) component_id, coalesce(c, doc_id) = doc_id kept from d left join n using (doc_id) left join low using (doc_id)
 """
 
-SQL = {"op5_warc": WARC, "op6_suffix_array": REPEATS, "op9_positional_index": LEAKS, "op10_minhash": NEAR}
+# p: each group's share of each kept term, q: the language's
+APART = f"""
+with d as (select row_number() over () r, coalesce(lang, '') lang, coalesce(source, '') source, translate(coalesce(text, ''), {AZ}) t from documents),
+w as (select r, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) term from d),
+c as (select lang, source, term, count(*) n, count(distinct r) docs from w group by all),
+k as (select lang, term, sum(n)::hugeint n from c group by all having sum(docs) >= 30),
+l as (select lang, count(*)::hugeint v, sum(n)::hugeint total from k group by 1),
+g as (select distinct lang, source from d),
+t as (select g.lang, g.source, coalesce(sum(c.n) filter (where k.term is not null), 0)::hugeint total from g left join c on c.lang = g.lang and c.source = g.source left join k on k.lang = c.lang and k.term = c.term group by all),
+p as (select t.lang, t.source, k.term, coalesce(c.n, 0) n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (t.total + 5 * l.v) p, 1 + (1000000000::hugeint * (k.n + 5)) // (l.total + 5 * l.v) q
+  from t join k on k.lang = t.lang join l on l.lang = t.lang left join c on c.lang = t.lang and c.source = t.source and c.term = k.term),
+far as (select a.lang, a.source, b.source item, sum(abs(a.p - b.p))::bigint f from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, 'pair' part, b.source item, coalesce(f, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join far on far.lang = a.lang and far.source = a.source and far.item = b.source),
+terms as (select lang, source, 'term' part, term item, (p - q)::bigint as value from p where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int rank from (select * from pairs union all select * from terms))
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 50
+"""
+
+SQL = {"op13_divergence": APART, "op5_warc": WARC, "op6_suffix_array": REPEATS, "op9_positional_index": LEAKS, "op10_minhash": NEAR}
