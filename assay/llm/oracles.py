@@ -67,4 +67,27 @@ ranked as (select *, row_number() over (partition by lang, source, part order by
 select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 50
 """
 
-SQL = {"op13_divergence": APART, "op5_warc": WARC, "op6_suffix_array": REPEATS, "op9_positional_index": LEAKS, "op10_minhash": NEAR}
+
+
+def _codes() -> str:
+    """Two rounds and the last assignment, written out; a part's components are told by their positions i."""
+    out = """
+with z as (select row_number() over (order by vec_id, embedding) r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) z from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+x as (select r, part, i, z[part * (len(z) // 16) + i] x from (select r, z, part, unnest(range(1, len(z) // 16 + 1)) i from (select r, z, unnest(range(16)) part from z))),
+e0 as (select part, r - 1 k, i, x from x where r <= 64)"""
+    for n in range(3):
+        out += f""",
+d{n} as (select r, part, k, sum((x.x - e.x) * (x.x - e.x))::bigint f from x join e{n} e using (part, i) group by all),
+a{n} as (select r, part, min(f) f, arg_min(k, f * 1000 + k) k from d{n} group by all)"""
+        if n < 2:
+            out += f""",
+s{n} as (select part, k, i, sum(x)::bigint s, count(*) c from a{n} join x using (r, part) group by all),
+e{n + 1} as (select part, k, i, coalesce((s - ((s % c) + c) % c) // c, e.x) x from e{n} e left join s{n} using (part, k, i))"""
+    return out + """,
+c as (select r, string_agg(printf('%02x', k), '' order by part) code, sum(f)::bigint error from a2 group by 1)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint label_error, (select sha256(string_agg(x::varchar, ',' order by part, k, i)) from e2) codebooks_sha256 from c join z using (r)
+"""
+
+
+SQL = {"op11_codes": _codes(), "op13_divergence": APART, "op5_warc": WARC, "op6_suffix_array": REPEATS, "op9_positional_index": LEAKS, "op10_minhash": NEAR}
