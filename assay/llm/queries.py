@@ -80,6 +80,12 @@ def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
 
 
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judged
+
+    return judged(table(spark, sf_dir, "pages"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .divergence import audit
 
@@ -93,7 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ours = (op1_language_id, op2_quality, op3_licences, op4_packing, op5_warc, op6_suffix_array, op7_nn_descent, op8_toxicity, op9_positional_index, op10_minhash, op11_codes, op13_divergence, pipeline)
+    ours = (op1_language_id, op2_quality, op3_licences, op4_packing, op5_warc, op6_suffix_array, op7_nn_descent, op8_toxicity, op9_positional_index, op10_minhash, op11_codes, op12_url_rules, op13_divergence, pipeline)
     return {f.__name__: f for f in ours}
 
 
