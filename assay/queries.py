@@ -372,11 +372,16 @@ def topk_precision_embeddings(spark, sf):
 
 @query("select item_id, count(doc_id) n_docs from benchmark b left join documents x on contains(trim(regexp_replace(lower(x.text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(b.text), '\\s+', ' ', 'g'))) or contains(trim(regexp_replace(lower(b.text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(x.text), '\\s+', ' ', 'g'))) group by 1")
 def items_in_documents(spark, sf):
-    """The documents that hold each benchmark text, or are held by it."""
-    b = d.table(spark, sf, "benchmark").select("item_id", fn.normalize_text("text").alias("b"))
-    x = d.table(spark, sf, "documents").select("doc_id", fn.normalize_text("text").alias("x"))
-    hits = x.join(b, fn.contains_either(F.col("x"), F.col("b"))).groupBy("item_id").agg(F.count("*").alias("n"))
-    return b.join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_docs"))
+    """The documents that hold each benchmark text, or are held by it; an empty text lies in every one."""
+    from .operators.containment import either
+
+    b = d.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), fn.normalize_text("text").alias("text"))
+    x = d.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), fn.normalize_text("text").alias("text"))
+    hits = either(b, x).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
+    docs, empty = x.agg(F.count("text"), F.count_if(F.col("text") == "")).first()
+    every = F.when(F.col("text") == "", F.lit(docs)).when(F.col("text").isNotNull(), F.lit(empty)).otherwise(F.lit(0))
+    found = b.join(hits, "id", "left").select(F.col("id").alias("item_id"), (F.coalesce("n", F.lit(0)) + every).cast("bigint").alias("n_docs"))
+    return found
 
 
 # --- functions and formats

@@ -253,18 +253,6 @@ def test_pager_and_table_order(spark):
     assert [r.v for r in tracking.table_order(df, "v", descending=True).collect()] == ["10%", "9%", "b", "a"]
 
 
-def test_contained(spark):
-    from assay.operators.matching import contained
-
-    rng = random.Random(3)
-    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(1, 3)))
-    outer = [(k, " ".join(word() for _ in range(rng.randint(0, 60)))) for k in range(60)]
-    inner = [(k, (t := outer[rng.randrange(60)][1])[(i := rng.randrange(len(t) + 1)) : i + rng.randint(0, 60)].strip()) for k in range(80)] + [(90, "a"), (91, ""), (92, "zz " * 9 + "q")]
-    inner = [(k, " ".join(t.split())) for k, t in inner]
-    got = sorted(map(tuple, contained(spark.createDataFrame(inner, "id long, text string"), spark.createDataFrame(outer, "id long, text string")).collect()))
-    assert got == sorted((a, b) for a, s in inner for b, t in outer if s in t) and len(got) > 100
-
-
 def test_tracking(spark):
     s = store(spark)
     assert [(r.name, r.experiment_count) for r in tracking.list_projects(s).collect()] == [("Q", 0), ("P", 2)]
