@@ -59,18 +59,21 @@ class Faithfulness:
         only = lambda c: F.when(there, c)
         df = df.withColumn(f"{at}_truths", ask(only(_prompt("List the facts that the context states, as a JSON array of texts and nothing else.\n\nContext: {context}", context=_context(df, self.context, self.name)))))
         df = df.withColumn(f"{at}_claims", ask(only(_prompt("Split the answer into its single claims. Reply with a JSON array of texts and nothing else.\n\nAnswer: {answer}", answer=F.col("actual_output")))))
-        texts = lambda c, what: java_list(ev.payload(F.col(f"{at}_{c}"), "array<string>", what))
+        for c in ("truths", "claims"):  # read once
+            df = df.withColumn(f"{at}_{c}", only(ev.payload(F.col(f"{at}_{c}"), "array<string>", c)))
+        texts = lambda c: java_list(F.col(f"{at}_{c}"))
         df = df.withColumn(f"{at}_verdicts", ask(only(_prompt(
             'Say for each claim whether the truths support it. Reply with a JSON array and nothing else: [{open}"verdict": "Yes", "No" or "IDK", "reasoning": text{close}]\n\nTruths: {truths}\nClaims: {claims}',
-            truths=texts("truths", "truths"), claims=texts("claims", "claims"), open=F.lit("{"), close=F.lit("}"),
+            truths=texts("truths"), claims=texts("claims"), open=F.lit("{"), close=F.lit("}"),
         ))))
+        df = df.withColumn(f"{at}_verdicts", only(ev.payload(F.col(f"{at}_verdicts"), ev.VERDICTS, "verdicts")))
         reason = None
         if self.include_reason:
-            verdicts = ev.payload(F.col(f"{at}_verdicts"), ev.VERDICTS, "verdicts")
+            verdicts = F.col(f"{at}_verdicts")
             told = F.array_join(F.transform(verdicts, lambda v: F.concat_ws(": ", v["verdict"], v["reasoning"])), "; ")
             df = df.withColumn(f"{at}_reason", ask(F.when(there & (F.size(verdicts) > 0), _prompt("Sum up in one sentence how faithful the answer is, above all why claims were not supported.\n\nVerdicts: {verdicts}", verdicts=told))))
             reason = F.when(F.size(verdicts) == 0, F.lit("No claims were found to evaluate.")).otherwise(strip(f"{at}_reason"))
-        out = ev.faithfulness(F.col(f"{at}_claims"), F.col(f"{at}_verdicts"), self.name, self.threshold, reason)
+        out = ev.faithfulness(F.col(f"{at}_claims"), F.col(f"{at}_verdicts"), self.name, self.threshold, reason, parsed=True)
         return df, ev.required(out, self.name, self.missing, INPUT="input", ACTUAL_OUTPUT="actual_output")
 
 
@@ -93,16 +96,17 @@ class Hallucination:
             context=_context(df, self.context, self.name), answer=F.col("actual_output"), open=F.lit("{"), close=F.lit("}"),
         )
         df = df.withColumn(f"{at}_verdicts", ask(F.when(there, prompt)))
+        df = df.withColumn(f"{at}_verdicts", F.when(there, ev.payload(F.col(f"{at}_verdicts"), ev.VERDICTS, "verdicts")))
         reason = None
         if self.include_reason:
-            verdicts = ev.payload(F.col(f"{at}_verdicts"), ev.VERDICTS, "verdicts")
+            verdicts = F.col(f"{at}_verdicts")
             yes = lambda v: F.lower(strip(v["verdict"])) == "yes"
             reasons = lambda keep: _joined(F.transform(F.filter(verdicts, keep), lambda v: F.coalesce(v["reason"], F.lit("null"))), "; ")
-            score = ev.hallucination(F.col(f"{at}_verdicts"))["score"]
+            score = ev.hallucination(verdicts, parsed=True)["score"]
             prompt = _prompt("Sum up in one sentence how far the answer is invented, above all why.\n\nSupported: {good}\nNot supported: {bad}\nScore: {score}", good=reasons(yes), bad=reasons(lambda v: ~yes(v)), score=F.format_string("%.2f", score))
             df = df.withColumn(f"{at}_reason", ask(F.when(there & (F.size(verdicts) > 0), prompt)))
             reason = F.when(F.size(verdicts) == 0, F.lit("No statements were found to evaluate.")).otherwise(strip(f"{at}_reason"))
-        out = ev.hallucination(F.col(f"{at}_verdicts"), self.name, self.threshold, reason)
+        out = ev.hallucination(F.col(f"{at}_verdicts"), self.name, self.threshold, reason, parsed=True)
         return df, ev.required(out, self.name, self.missing, INPUT="input", ACTUAL_OUTPUT="actual_output")
 
 
@@ -131,9 +135,10 @@ class ContextualRelevance:
             input=F.coalesce(F.col("input"), F.lit("null")), chunk=F.coalesce(c, F.lit("null")), open=F.lit("{"), close=F.lit("}"),
         ))
         df = df.withColumn(f"{at}_replies", asking_each(self.judge)(F.when(F.col("input").isNotNull(), prompts)))
+        df = df.withColumn(f"{at}_scores", F.when(F.col("input").isNotNull(), ev.context_scores(F.col(f"{at}_chunks"), F.col(f"{at}_replies"))))  # read once
         reason = None
         if self.include_reason:
-            scores = ev.context_scores(F.col(f"{at}_chunks"), F.col(f"{at}_replies"))
+            scores = F.col(f"{at}_scores")
             numbered = F.transform(scores, lambda s, i: F.struct(F.format_string("Context %d (score: %.2f)", i + 1, s["score"]).alias("shown"), relevance_bucket(s["score"]).alias("bucket")))
             named = lambda b: _joined(F.transform(F.filter(numbered, lambda x: x["bucket"] == b), lambda x: x["shown"]), ", ")
             each = F.array_join(F.transform(scores, lambda s, i: F.format_string("Context %d: score=%.2f, reason=%s", i + 1, s["score"], s["reason"])), "\n")
@@ -143,7 +148,7 @@ class ContextualRelevance:
             )
             df = df.withColumn(f"{at}_reason", ev.asking(self.judge)(F.when(F.size(scores) > 0, prompt)))
             reason = strip(f"{at}_reason")
-        out = ev.contextual_relevance(F.col(f"{at}_replies"), self.name, self.threshold, self.strict, F.col(f"{at}_chunks"), F.lit(ev.OFF) if reason is None else reason)
+        out = ev.contextual_relevance(F.col(f"{at}_replies"), self.name, self.threshold, self.strict, F.col(f"{at}_scores"), F.lit(ev.OFF) if reason is None else reason)
         return df, ev.required(out, self.name, self.missing, INPUT="input")
 
 
@@ -218,9 +223,8 @@ def _yes(reply: str | None) -> bool:
     return (reply or "").strip().removeprefix("```json").strip("`").strip().lower().startswith("yes")
 
 
-def qa_presets(judge: Judge, context: str = "context") -> list:
-    """The question-answering preset: faithfulness, hallucination, answer quality and contextual relevance with their thresholds."""
-    criteria = "The answer addresses the question directly, is clear and easy to understand, gives specific information that can be acted on, and is no longer than it needs to be."
+def qa_presets(judge: Judge, criteria: str, context: str = "context") -> list:
+    """The question-answering preset: faithfulness, hallucination, answer quality by ``criteria``, and contextual relevance, with their thresholds."""
     return [
         Faithfulness(judge, threshold=0.8, context=context), Hallucination(judge, threshold=0.2, context=context),
         LlmJudge(judge, "Answer Quality", criteria, threshold=0.7), ContextualRelevance(judge, threshold=0.6, context=context),

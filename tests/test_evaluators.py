@@ -221,7 +221,7 @@ def test_matches_by_judge(spark):
 def test_presets_in_an_experiment_frame(spark):
     df = spark.createDataFrame([("q", "a", ["c"])], "input string, actual_output string, context array<string>")
     judge, _ = scripted({"List": '["t"]', "Split the answer into its": '["x"]', "Split": '[{"verdict": "yes", "reason": "r"}]', "Say for": '[{"verdict": "yes", "reasoning": "r"}]', "Say how": '{"score": 0.7, "reason": "r"}', "Criteria": '{"score": 0.65, "reason": "r"}', "Sum up": "s"})
-    got = ev.evaluated(df, [*jd.qa_presets(judge), ev.response_length("actual_output", 1, 1)]).orderBy("evaluator_idx").collect()
+    got = ev.evaluated(df, [*jd.qa_presets(judge, "Is it short and right?"), ev.response_length("actual_output", 1, 1)]).orderBy("evaluator_idx").collect()
     assert [(r.evaluator, r.score, r.success) for r in got] == [("Faithfulness", 1.0, True), ("Hallucination", 0.0, True), ("Answer Quality", 0.65, False), ("ContextualRelevance", 0.7, True), ("Response Length", 1.0, True)]
 
 
@@ -234,3 +234,27 @@ def test_adapters(spark):
     for model, prompts in ((lambda p: None, ["a"]), (str.upper, [None])):
         with pytest.raises(EvaluationError):
             ad.judge_of(model)(prompts)
+
+
+def test_costly_parts_are_computed_once(spark):
+    """However many fields of a result are read, a pattern, a match and a parse stand once in the plan."""
+    texts = spark.createDataFrame([("a", ["a"], ["b"], "[]", "{}")], "t string, r array<string>, e array<string>, j string, o string")
+
+    def times(result, what):
+        plan = texts.select(result.alias("r")).select("r.score", "r.success", "r.reason", "r.metadata")._jdf.queryExecution().executedPlan().toString()
+        return plan.lower().count(what)
+
+    assert times(ev.regex_match("t", "a+b"), "rlike") == 1
+    assert times(ev.precision("r", "e", input="t"), "exists(") == times(ev.recall("r", "e"), "exists(") == 1
+    assert times(ev.faithfulness("j", "j"), "from_json(") == 2 and times(ev.hallucination("j"), "from_json(") == 1
+    assert times(ev.llm_judge("o", "J"), "from_json(") == 1
+    assert times(ev.contextual_relevance("r"), "from_json(") == 1
+
+
+def test_retrieval_asks_for_the_input(spark):
+    frame = spark.createDataFrame([(None, ["a"], ["a"])], "input string, r array<string>, e array<string>")
+    for metric in (ev.precision, ev.recall):
+        assert frame.select(metric("r", "e", input="input", missing="report")["success"]).first()[0] is False
+        with pytest.raises(Exception, match="requires 'INPUT'"):
+            frame.select(metric("r", "e", input="input")).collect()
+        assert frame.select(metric("r", "e")["score"]).first()[0] == 1.0
