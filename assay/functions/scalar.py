@@ -110,8 +110,8 @@ def says_yes(x: Column | str) -> Column:
 
 
 def java_list(x: Column | str) -> Column:
-    """An array as ``[a, b]``."""
-    return F.concat(F.lit("["), F.array_join(_col(x), ", "), F.lit("]"))
+    """An array as ``[a, b]``; a null element is shown as ``null``."""
+    return F.concat(F.lit("["), F.array_join(_col(x), ", ", "null"), F.lit("]"))
 
 
 def base_name(x: Column | str) -> Column:

@@ -42,7 +42,7 @@ def run_averages(evals: DataFrame, runs: DataFrame, by: list[str]) -> DataFrame:
     """
     *outer, _ = by
     names = evals.select(*outer, "evaluator").distinct()
-    grid = runs.select(*by).distinct().join(names, outer) if outer else runs.select(*by).distinct().crossJoin(F.broadcast(names))
+    grid = runs.select(*by).distinct().join(names, outer) if outer else runs.select(*by).distinct().crossJoin(names)
     means = evals.groupBy(*by, "evaluator").agg(r6(F.avg("score")).alias("_mean"))
     return grid.join(means, [*by, "evaluator"], "left").select(*by, "evaluator", F.coalesce("_mean", F.lit(ZERO)).alias("average_score"))
 
@@ -53,8 +53,9 @@ def experiment_averages(averages: DataFrame, by: list[str]) -> DataFrame:
 
 
 def experiment_summary(runs: DataFrame, by: list[str], run: str = "run_index") -> DataFrame:
-    """Counts and pass rate of each experiment from its run summaries: totals are those of run 0."""
-    out = runs.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col(run) == 0, F.col("total"))), F.lit(0)).alias("total"), r6(F.avg("passed")).alias("passed"), r6(F.avg("pass_rate")).alias("pass_rate"), F.count("*").alias("runs"))
+    """Counts and pass rate of each experiment from its run summaries: totals are those of run 0; without runs all are 0."""
+    mean = lambda c: r6(F.coalesce(F.avg(c), F.lit(ZERO))).alias(c)
+    out = runs.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col(run) == 0, F.col("total"))), F.lit(0)).alias("total"), mean("passed"), mean("pass_rate"), F.count("*").alias("runs"))
     return out.select(*by, "total", "passed", r6(F.col("total") - F.col("passed")).alias("failed"), "pass_rate", "runs")
 
 
@@ -97,9 +98,28 @@ def evaluator_names(evals: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def pivoted(evals: DataFrame, by: list[str], names: list[str]) -> DataFrame:
-    """A row per item with ``<name>_score`` and ``<name>_pass`` for each evaluator; of repeats the last counts; missing ones are null."""
-    out = evals.groupBy(*by).pivot("evaluator", names).agg(F.max_by("score", "evaluator_idx").alias("score"), F.max_by("success", "evaluator_idx").alias("pass"))
-    return out.select(*by, *(F.col(f"`{n}_{k}`").alias(f"{safe_name(n)}_{k}") for n in names for k in ("score", "pass")))
+    """A row per item with ``<name>_score`` and ``<name>_pass`` for each evaluator; of repeats the last counts; missing ones are null.
+
+    Names that are equal once made safe get a number from the second on.
+    """
+    return cells(evals, by, names).select(*by, *(F.col(f"{at}_{k}").alias(f"{shown}_{k}") for at, shown in enumerate(distinct_names(names), 1) for k in ("score", "pass")))
+
+
+def cells(evals: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """As :func:`pivoted`, with columns ``<n>_score`` and ``<n>_pass`` for the n-th name, from 1: no name can clash or break a column's."""
+    at = F.array_position(F.array(*map(F.lit, names)), F.col("evaluator"))
+    return evals.withColumn("_at", at).groupBy(*by).pivot("_at", list(range(1, len(names) + 1))).agg(F.max_by("score", "evaluator_idx").alias("score"), F.max_by("success", "evaluator_idx").alias("pass"))
+
+
+def distinct_names(names: list[str]) -> list[str]:
+    """Safe column names in the same order, each once."""
+    out: list[str] = []
+    for name in map(safe_name, names):
+        n = 1
+        while (shown := name if n == 1 else f"{name}_{n}") in out:
+            n += 1
+        out.append(shown)
+    return out
 
 
 def assert_all(evals: DataFrame, by: list[str]) -> DataFrame:

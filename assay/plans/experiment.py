@@ -32,8 +32,8 @@ class Outcome:
         return results.run_summary(self.item_results(), ["run_index"])
 
     def summary(self):
-        """One row: total, passed, failed, pass_rate, runs."""
-        return results.experiment_summary(self.run_summaries(), []).first()
+        """One row: total, passed, failed, pass_rate, runs; zeros for an empty dataset."""
+        return results.experiment_summary(self.run_summaries(), []).withColumn("runs", F.lit(self.runs).cast("long")).first()
 
     def averages(self) -> DataFrame:
         """average_score, std_dev and pooled pass_rate of each evaluator."""
@@ -66,8 +66,7 @@ class Experiment:
         status = "FAILED"
         try:
             spark = self.dataset.frame.sparkSession
-            runs = spark.range(self.runs).select(F.col("id").cast("int").alias("run_index"))
-            cases = self.dataset.frame.withColumnRenamed("example_idx", "item_idx").crossJoin(F.broadcast(runs))
+            cases = self.dataset.frame.withColumnRenamed("example_idx", "item_idx").withColumn("run_index", F.explode(F.sequence(F.lit(0), F.lit(self.runs - 1))))
             cases = cases.withColumn("input", F.try_element_at("inputs", F.lit("input"))).withColumn("expected_output", F.try_element_at("expected_outputs", F.lit("output")))
             items = self.save("items", self.task(cases.repartition(self.parallelism) if self.parallelism else cases))
             evals = evaluated(items, self.evaluators) if self.evaluators else None

@@ -54,11 +54,11 @@ def to_json(o: Outcome, timestamp: dt.datetime | None = None) -> str:
 def csv_lines(o: Outcome) -> DataFrame:
     """(item_idx, line): run 0's cells, with score and pass of each evaluator by name."""
     names = [r.evaluator for r in results.evaluator_names(o.evals).collect()]
-    cells = results.pivoted(o.evals.where("run_index = 0"), ["item_idx"], names) if names else None
+    cells = results.cells(o.evals.where("run_index = 0"), ["item_idx"], names) if names else None
     rows = item_lines(o)
     rows = rows.join(cells, "item_idx", "left") if cells is not None else rows
     shown = [escape_csv(c) for c in ("input", "expected_output", "actual_output")] + [F.col("success").cast("string")]
-    shown += [F.coalesce(F.col(f"{safe_name(n)}_{k}").cast("string"), F.lit("")) for n in names for k in ("score", "pass")]
+    shown += [F.coalesce(F.col(f"{n}_{k}").cast("string"), F.lit("")) for n in range(1, len(names) + 1) for k in ("score", "pass")]
     return rows.select("item_idx", F.concat_ws(",", *shown).alias("line")).orderBy("item_idx")
 
 

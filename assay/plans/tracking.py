@@ -6,12 +6,14 @@ there are. Writes return the rows to append, or the table as it is afterwards.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import Scratch
 
 _S, _D, _B, _TS = T.StringType(), T.DoubleType(), T.BooleanType(), T.TimestampType()
 
@@ -34,13 +36,17 @@ class NotFound(ValueError):
 
 @dataclass
 class Store:
-    """The five tables."""
+    """The five tables, and if it is kept the rollup (run_id, total, passed) of items and evaluations, which is then read in their place."""
 
     projects: DataFrame
     experiments: DataFrame
     runs: DataFrame
     items: DataFrame
     evals: DataFrame
+    rollup: DataFrame | None = None
+
+    def counts(self, runs: DataFrame, every: bool = False) -> DataFrame:
+        return run_counts(runs, self.items, self.evals, every) if self.rollup is None else with_counts(runs, self.rollup, self.rollup)
 
 
 def passed_items(items: DataFrame, evals: DataFrame) -> DataFrame:
@@ -59,8 +65,19 @@ def run_counts(runs: DataFrame, items: DataFrame, evals: DataFrame, every: bool
     total = cut(items.select("run_id")).groupBy("run_id").agg(F.count("*").alias("total"))
     judged = cut(evals.select("run_id", "item_id", "success")).groupBy("run_id", "item_id").agg(F.bool_and("success").alias("_all"))
     passed = judged.where("_all").groupBy("run_id").agg(F.count("*").alias("passed"))
+    return with_counts(runs, total, passed)
+
+
+def with_counts(runs: DataFrame, total: DataFrame, passed: DataFrame) -> DataFrame:
+    """Runs with columns total and passed; zeros where a table lacks a run."""
     zero = F.lit(0).cast("long")
-    return runs.join(total, "run_id", "left").join(passed, "run_id", "left").withColumn("total", F.coalesce("total", zero)).withColumn("passed", F.coalesce("passed", zero))
+    both = total.select("run_id", "total", "passed") if total is passed else total.join(passed, "run_id", "left")
+    return runs.join(both, "run_id", "left").withColumn("total", F.coalesce("total", zero)).withColumn("passed", F.coalesce("passed", zero))
+
+
+def _chosen(runs: DataFrame) -> DataFrame:
+    """Ranked runs, written once: they cut items, cut evaluations and are joined to the counts."""
+    return Scratch(runs.sparkSession, "runs").save(runs, "chosen")
 
 
 def _rate() -> Column:
@@ -83,7 +100,8 @@ def latest_runs(runs: DataFrame) -> DataFrame:
 def list_experiments(s: Store, project_id: str | None = None) -> DataFrame:
     """Experiments with their latest run, whose rate is null while it runs or has no items; all projects' without ``project_id``."""
     experiments = s.experiments if project_id is None else s.experiments.where(F.col("project_id") == F.lit(project_id))
-    latest = run_counts(latest_runs(s.runs.join(experiments, "experiment_id", "left_semi")), s.items, s.evals)
+    runs = s.runs if project_id is None else s.runs.join(experiments, "experiment_id", "left_semi")
+    latest = s.counts(_chosen(latest_runs(runs)))
     rate = F.when(F.col("status") != "RUNNING", _rate())
     latest = latest.select("experiment_id", "run_id", "status", "started_at", rate.alias("pass_rate"))
     return experiments.join(latest, "experiment_id", "left").orderBy(F.desc("created_at"), "experiment_id")
@@ -92,7 +110,7 @@ def list_experiments(s: Store, project_id: str | None = None) -> DataFrame:
 def list_runs(s: Store, experiment_id: str | None = None) -> DataFrame:
     """Runs with counts, the newest first; the rate is null without items."""
     runs = s.runs if experiment_id is None else s.runs.where(F.col("experiment_id") == F.lit(experiment_id))
-    return run_counts(runs, s.items, s.evals, every=experiment_id is None).withColumn("pass_rate", _rate()).orderBy(F.desc("started_at"), "run_id")
+    return s.counts(runs, every=experiment_id is None).withColumn("pass_rate", _rate()).orderBy(F.desc("started_at"), "run_id")
 
 
 def trends(s: Store, limit: int = 20, experiment_id: str | None = None) -> DataFrame:
@@ -100,7 +118,7 @@ def trends(s: Store, limit: int = 20, experiment_id: str | None = None) -> DataF
     runs = s.runs if experiment_id is None else s.runs.where(F.col("experiment_id") == F.lit(experiment_id))
     last = Window.partitionBy("experiment_id").orderBy(F.desc("started_at"), F.desc("run_id"))
     runs = runs.where(F.col("status").isin(*COMPLETED)).withColumn("_nth", F.row_number().over(last)).where(F.col("_nth") <= limit).drop("_nth")
-    out = run_counts(runs, s.items, s.evals).withColumn("pass_rate", F.coalesce(_rate(), F.lit(0.0)))
+    out = s.counts(_chosen(runs)).withColumn("pass_rate", F.coalesce(_rate(), F.lit(0.0)))
     return out.orderBy("experiment_id", "started_at", "run_id")
 
 
@@ -136,7 +154,7 @@ def run_details(s: Store, run_id: str, page: int = 0, size: int = 50) -> dict:
     """A run's head (with the names of its experiment and project) as a row, and a page of items."""
     runs = s.runs.where(F.col("run_id") == F.lit(run_id))
     mine = F.col("run_id") == F.lit(run_id)
-    head = run_counts(runs, s.items.where(mine), s.evals.where(mine), every=True).withColumn("pass_rate", _rate())
+    head = Store(s.projects, s.experiments, s.runs, s.items.where(mine), s.evals.where(mine), s.rollup).counts(runs, every=True).withColumn("pass_rate", _rate())
     head = head.join(s.experiments.select("experiment_id", "project_id", F.col("name").alias("experiment")), "experiment_id").join(s.projects.select("project_id", F.col("name").alias("project")), "project_id").first()
     if head is None:
         raise NotFound(f"run not found: {run_id}")
@@ -181,15 +199,25 @@ def set_status(runs: DataFrame, run_id: str, status: str) -> DataFrame:
     return runs.withColumns({"status": F.when(mine, F.lit(status)).otherwise(F.col("status")), "completed_at": F.when(mine, done).otherwise(F.col("completed_at"))})
 
 
-def added_items(payload: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def added_items(payload: DataFrame, runs: DataFrame, call: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Item and evaluation rows to append, from rows (run_id, items) of reported items.
 
     Each item has maps inputs, expectedOutputs and actualOutputs and a list evalResults; its own success flag is left aside and the
     inputs are stored once more as metadata. Items of unknown runs are left out.
+
+    Every item of every request is stored, equal ones too. A column ``request`` tells a run's requests apart, so that one that is sent again
+    gives the same ids; without it, equal requests are numbered and ids hold for this call alone: give the same ``call`` to repeat it.
     """
-    flat = payload.join(runs.select("run_id"), "run_id", "left_semi").select("run_id", F.posexplode("items").alias("at", "item"))
+    known = payload.join(runs.select("run_id"), "run_id", "left_semi")
+    if "request" in payload.columns:
+        known = known.withColumn("_call", F.lit("")).withColumn("_request", F.col("request").cast("string"))
+    else:
+        same = F.md5(F.to_json("items").cast("binary"))
+        nth = F.row_number().over(Window.partitionBy("run_id", "_same").orderBy(F.lit(0)))
+        known = known.withColumn("_call", F.lit(call or uuid.uuid4().hex)).withColumn("_same", same).withColumn("_request", F.concat_ws("-", "_same", nth.cast("string")))
+    flat = known.select("run_id", "_call", "_request", F.posexplode("items").alias("at", "item"))
     text = lambda c: F.when(F.size(c) > 0, F.to_json(c))
-    flat = flat.withColumn("item_id", _id("run_id", "at", "item"))
+    flat = flat.withColumn("item_id", _id("_call", "run_id", "_request", "at"))
     items = flat.select(
         "item_id", "run_id", text(F.col("item.inputs")).alias("input"), text(F.col("item.expectedOutputs")).alias("expected_output"),
         text(F.col("item.actualOutputs")).alias("actual_output"), text(F.col("item.inputs")).alias("metadata"), F.current_timestamp().alias("created_at"),

@@ -134,12 +134,26 @@ def get_or_create_anti_join(spark, sf):
 @query("select run_id, evaluator, score, success from (select l_orderkey run_id, l_returnflag evaluator, l_discount * 10 score, l_discount * 10 >= 0.5 success from lineitem where l_orderkey in (select o_orderkey from orders))")
 def add_items_explode(spark, sf):
     """Reported batches of items, one per run, flattened to evaluation rows of known runs."""
+    items, evals = tr.added_items(_payload(spark, sf), d.runs(spark, sf), call="once")
+    return evals.join(items.select("item_id"), "item_id").select("run_id", "evaluator", "score", "success")
+
+
+@query("select o_orderkey run_id, 2 * count(l_orderkey) total, 2 * count(*) filter (where l_discount * 10 >= 0.5) passed from orders left join lineitem on l_orderkey = o_orderkey group by 1")
+def repeated_requests(spark, sf):
+    """Every request is made twice: its items count twice, in runs that hold equal items too, and runs without items stay."""
+    payload = _payload(spark, sf)
+    runs = d.runs(spark, sf).select("run_id")
+    items, evals = tr.added_items(payload.union(payload), runs, call="twice")
+    return tr.run_counts(runs, items, evals, every=True).select("run_id", "total", "passed")
+
+
+def _payload(spark, sf):
     rows = d.table(spark, sf, "lineitem")
     e = F.struct(F.col("l_returnflag").alias("name"), (F.col("l_discount") * 10).alias("score"), F.lit(0.5).alias("threshold"), (F.col("l_discount") * 10 >= 0.5).alias("success"), F.lit("").alias("reason"))
     item = F.struct(F.create_map(F.lit("input"), F.col("l_partkey").cast("string")).alias("inputs"), F.create_map().cast("map<string,string>").alias("expectedOutputs"), F.create_map(F.lit("output"), F.col("l_suppkey").cast("string")).alias("actualOutputs"), F.array(e).alias("evalResults"))
-    payload = rows.select(F.col("l_orderkey").alias("run_id"), item.alias("item")).groupBy("run_id").agg(F.collect_list("item").alias("items"))
-    items, evals = tr.added_items(payload, d.runs(spark, sf))
-    return evals.join(items.select("item_id"), "item_id").select("run_id", "evaluator", "score", "success")
+    kind = "struct<inputs:map<string,string>,expectedOutputs:map<string,string>,actualOutputs:map<string,string>,evalResults:array<struct<name:string,score:double,threshold:double,success:boolean,reason:string>>>"
+    lists = rows.select(F.col("l_orderkey").alias("run_id"), F.to_json(item).alias("item")).groupBy("run_id").agg(F.sort_array(F.collect_list("item")).alias("items"))  # in an order that holds when they are read again
+    return lists.select("run_id", F.transform("items", lambda i: F.from_json(i, kind)).alias("items"))
 
 
 @query("select item_id, run_id, max(score) filter (where evaluator = 'A' and nth = 1) a_score, max(score) filter (where evaluator = 'N' and nth = 1) n_score, max(score) filter (where evaluator = 'R' and nth = 1) r_score from (select *, row_number() over (partition by item_id, evaluator order by evaluator_idx) nth from evals) group by all", "evals")
@@ -322,12 +336,13 @@ def match_by_fields(spark, sf):
 
 def _replies(spark, sf):
     """Stub judge replies built from labels of documents: fenced JSON, and one in seven broken."""
-    rows = d.table(spark, sf, "labels").where("quality is not null and toxic is not null")
-    body = F.concat(F.lit('{"score": '), F.col("quality").cast("string"), F.lit(', "reason": "q'), F.col("toxic").cast("string"), F.lit('"}'))
+    rows = d.table(spark, sf, "labels")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    body = F.concat(F.lit('{"score": '), text("quality"), F.lit(', "reason": "q'), text("toxic"), F.lit('"}'))
     return rows.select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.lit("no json")).otherwise(F.concat(F.lit("```json\n"), body, F.lit("\n```"))).alias("reply"))
 
 
-@query("select doc_id, case when doc_id % 7 = 0 then 0.0::double else quality::double end score, doc_id % 7 <> 0 and quality >= 0.5 success from labels where quality is not null and toxic is not null")
+@query("select doc_id, case when doc_id % 7 = 0 or quality is null then 0.0::double else quality::double end score, coalesce(doc_id % 7 <> 0 and quality >= 0.5, false) success from labels")
 def llm_judge_parse(spark, sf):
     return _scored(_replies(spark, sf), ["doc_id"], ev.llm_judge("reply", "quality"))
 
@@ -378,16 +393,15 @@ def items_in_documents(spark, sf):
     b = d.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), fn.normalize_text("text").alias("text"))
     x = d.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), fn.normalize_text("text").alias("text"))
     hits = either(b, x).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
-    docs, empty = x.agg(F.count("text"), F.count_if(F.col("text") == "")).first()
+    docs, empty = d.table(spark, sf, "documents").agg(F.count("text"), F.count_if(F.col("text").rlike(r"^\s*$"))).first()
     every = F.when(F.col("text") == "", F.lit(docs)).when(F.col("text").isNotNull(), F.lit(empty)).otherwise(F.lit(0))
-    found = b.join(hits, "id", "left").select(F.col("id").alias("item_id"), (F.coalesce("n", F.lit(0)) + every).cast("bigint").alias("n_docs"))
-    return found
+    return b.join(hits, "id", "left").select(F.col("id").alias("item_id"), (F.coalesce("n", F.lit(0)) + every).cast("bigint").alias("n_docs"))
 
 
 # --- functions and formats
 
 
-@query("select doc_id, md5(case when doc_id % 7 = 0 then 'no json' else '{\"score\": ' || quality || ', \"reason\": \"q' || toxic || '\"}' end) digest from labels where quality is not null and toxic is not null")
+@query("select doc_id, md5(case when doc_id % 7 = 0 then 'no json' else '{\"score\": ' || coalesce(quality::varchar, 'null') || ', \"reason\": \"q' || coalesce(toxic::varchar, 'null') || '\"}' end) digest from labels")
 def strip_markdown(spark, sf):
     return _replies(spark, sf).select("doc_id", F.md5(fn.strip_markdown("reply").cast("binary")).alias("digest"))
 

@@ -272,3 +272,44 @@ def test_tracking(spark):
     assert tracking.new_run(s.experiments.where("experiment_id = 'e'")).first().status == "RUNNING"
     table = tracking.run_table(s, "r1", ["A"]).orderBy("item_id").collect()
     assert [(r.item_id, r.A_score, r.A_success) for r in table] == [("i1", 1.0, True), ("i2", 0.0, False), ("i3", None, None)]
+
+
+def test_equal_items_of_two_requests_are_two(spark):
+    """A run's requests with equal items at equal places are stored each; the same request sent again gives the same ids."""
+    eval_ = [("E", 1.0, None, True, "")]
+    one = ("r", [({"input": "q"}, {}, {"output": "a"}, eval_), ({"input": "q"}, {}, {"output": "a"}, eval_)])
+    kind = "run_id string, items array<struct<inputs:map<string,string>,expectedOutputs:map<string,string>,actualOutputs:map<string,string>,evalResults:array<struct<name:string,score:double,threshold:double,success:boolean,reason:string>>>>"
+    runs = spark.createDataFrame([("r",), ("empty",)], "run_id string")
+    items, evals = tracking.added_items(spark.createDataFrame([one, one, ("unknown", one[1])], kind), runs)
+    assert items.select("item_id").distinct().count() == evals.select("eval_id").distinct().count() == 4
+    counts = {r.run_id: (r.total, r.passed) for r in tracking.run_counts(runs, items, evals).collect()}
+    assert counts == {"r": (4, 4), "empty": (0, 0)}
+    ids = lambda call: {r.item_id for r in tracking.added_items(spark.createDataFrame([one], kind), runs, call)[0].collect()}
+    assert ids("x") == ids("x") and not ids("x") & ids("y") and not ids(None) & ids(None)
+    numbered = spark.createDataFrame([(*one, 0), (*one, 1)], kind + ", request long")
+    first, again = ({r.item_id for r in tracking.added_items(numbered, runs)[0].collect()} for _ in range(2))
+    assert first == again and len(first) == 4
+
+
+def test_an_empty_dataset_gives_zeros(spark):
+    none = ds.from_examples(spark, [{"input": "x"}])
+    none.frame = none.frame.where("false")
+    o = Experiment(none, lambda df: df.withColumn("actual_output", F.col("input")), [ev.exact_match("expected_output", "actual_output")], "none", runs=3).run()
+    s = o.summary()
+    assert (s.total, s.passed, s.failed, s.pass_rate, s.runs) == (0, 0.0, 0.0, 0.0, 3)
+    assert "**Pass rate:** 0% (0/0)" in reports.to_markdown(o) and json.loads(reports.to_json(o))["summary"]["passRate"] == 0.0
+    assert reports.to_csv(o).count("\n") == 1 and "Pass rate" in reports.to_html(o)
+
+
+def test_csv_columns_of_odd_evaluator_names(spark):
+    names = ["Exact Match", "exact_match", "a`b", "x.y"]
+    d = ds.from_examples(spark, [{"input": "q", "expectedOutput": "q"}])
+    o = Experiment(d, lambda df: df.withColumn("actual_output", F.col("input")), [ev.response_length("input", k, 9, n) for k, n in enumerate(names)], "odd").run()
+    head, line = reports.to_csv(o).splitlines()
+    order = sorted(names)
+    assert head.split(",")[4:] == [f"{n.lower().replace(' ', '_')}_{k}" for n in order for k in ("score", "pass")]
+    want = [f"{1.0 if names.index(n) <= 1 else 0.0},{'true' if names.index(n) <= 1 else 'false'}" for n in order]
+    assert line == "q,,q,false," + ",".join(want)
+    from assay.operators import results
+
+    assert results.pivoted(o.evals, ["item_idx"], order).columns == ["item_idx", "exact_match_score", "exact_match_pass", "a`b_score", "a`b_pass", "exact_match_2_score", "exact_match_2_pass", "x.y_score", "x.y_pass"]
