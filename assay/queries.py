@@ -496,19 +496,76 @@ STREAMED = "select l_orderkey::varchar run_id, l_linenumber::bigint item_idx, mi
 @query(STREAMED)
 def streaming_reporter(spark, sf):
     """Items written as files, stored through the stream, and read back once each."""
-    import uuid
+    from .streaming import reporter as rp
+
+    return rp.stored(spark, _stream(spark, sf)).drop("evals")
+
 
-    from .shared import shared_dir
+def _stream(spark, sf, evals: bool = False) -> str:
+    """Store all items by the stream, some of them reported twice, in two batches; where they are stored."""
+    from .shared import Scratch
     from .streaming import reporter as rp
 
-    base = f"{shared_dir(spark)}/reporter-{uuid.uuid4().hex}"
+    base = Scratch(spark, "reporter").path
     score = F.col("l_discount") * 10
     rows = d.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("run_id"), F.col("l_linenumber").cast("long").alias("item_idx"))
-    rows = rows.agg(F.min("l_partkey").cast("string").alias("input"), F.max("l_suppkey").cast("string").alias("actual_output"), F.bool_and(score >= 0.5).alias("success"), F.min(score).alias("score"))
+    judged = F.collect_list(F.struct(F.col("l_returnflag").alias("name"), score.alias("score"), F.lit(0.5).alias("threshold"), (score >= 0.5).alias("success"), F.lit("").alias("reason")))
+    rows = rows.agg(F.min("l_partkey").cast("string").alias("input"), F.max("l_suppkey").cast("string").alias("actual_output"), F.bool_and(score >= 0.5).alias("success"), F.min(score).alias("score"), *([judged.alias("evals")] if evals else []))
+    go = lambda: rp.start(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", once=True).awaitTermination()
     rows.write.json(f"{base}/in")
-    rows.limit(1000).write.mode("append").json(f"{base}/in")  # some are reported twice
-    rp.start(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", once=True).awaitTermination()
-    return rp.stored(spark, f"{base}/out").drop("evals")
+    go()
+    rows.where("item_idx = 1").write.mode("append").json(f"{base}/in")  # these are reported again
+    go()
+    return f"{base}/out"
+
+
+@query("select run_id, experiment_id, status, total, passed, passed::double / nullif(total, 0) pass_rate from counts", "counts")
+def rollup_runs(spark, sf):
+    """Runs with counts that the stream kept up as deltas; items that were reported again count once."""
+    return tr.list_runs(_rolled(spark, sf)).select("run_id", "experiment_id", "status", "total", "passed", "pass_rate")
+
+
+@query("select experiment_id, run_id, started_at, coalesce(passed::double / nullif(total, 0), 0.0) pass_rate from counts where status in ('SUCCESS', 'FAILED') qualify row_number() over (partition by experiment_id order by started_at desc, run_id desc) <= 20", "counts")
+def rollup_trends(spark, sf):
+    """Trends that read no item and no evaluation."""
+    return tr.trends(_rolled(spark, sf), 20).select("experiment_id", "run_id", "started_at", "pass_rate")
+
+
+def _rolled(spark, sf):
+    from .streaming.rollup import Rollup
+
+    s = d.store(spark, sf)
+    s.items = s.evals = None
+    s.rollup = Rollup(spark, f"{_stream(spark, sf, evals=True)}-rollup").read().withColumn("run_id", F.col("run_id").cast("long"))
+    return s
+
+
+def _accept(run: str, body: str, key: str) -> None:
+    """A receiver that takes everything."""
+
+
+@query("select (conv_id // 8)::varchar run_id, count(*) items, true bounded, true sent from conversations group by 1")
+def requests_delivered(spark, sf):
+    """Turns of eight conversations as a run's items, gathered in the stream's state into requests of ten or of what half a second leaves, and sent once each."""
+    import time
+
+    from .shared import Scratch
+    from .streaming import delivery, reporter
+
+    base = Scratch(spark, "requests").path
+    rows = d.table(spark, sf, "conversations").select(F.expr("cast(conv_id div 8 as string)").alias("run_id"), (F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("item_idx"), F.col("text").alias("input"), F.lit(True).alias("success"))
+    rows.repartition(3, "item_idx").write.json(f"{base}/in")
+    total, box = rows.count(), delivery.Outbox(spark, f"{base}/box", _accept)
+    stream = box.start(reporter.reported_items(spark, f"{base}/in", files_per_batch=1), f"{base}/checkpoint")
+    try:
+        while stream.isActive and (box.ledger().agg(F.sum("n")).first()[0] or 0) < total:
+            time.sleep(0.2)
+    finally:
+        stream.stop()
+        stream.awaitTermination(30)
+    if stream.exception() is not None and box.ledger().agg(F.sum("n")).first()[0] != total:
+        raise stream.exception()
+    return box.ledger().groupBy("run_id").agg(F.sum("n").alias("items"), (F.max("n") <= delivery.BATCH).alias("bounded"), F.bool_and(F.col("state") == "sent").alias("sent"))
 
 
 # --- experiments, reports, tracking writes and judges

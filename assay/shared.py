@@ -26,6 +26,37 @@ def shared_dir(spark: SparkSession) -> str:
     return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="assay-"))
 
 
+def _located(spark: SparkSession, path: str):
+    """Hadoop's file system and path: of any store that Spark reaches."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _located(spark, path)
+    return fs.exists(target)
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end there."""
+    return exists(spark, f"{path}/_SUCCESS")
+
+
+def numbered(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """The numbers N of folders ``<prefix>=N`` that hold tables written to their end, in order."""
+    fs, target = _located(spark, path)
+    if not fs.exists(target):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(target)]
+    found = sorted(int(n.removeprefix(f"{prefix}=")) for n in names if n.startswith(f"{prefix}="))
+    return [n for n in found if written(spark, f"{path}/{prefix}={n}")]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, target = _located(spark, path)
+    fs.delete(target, True)
+
+
 class Scratch:
     """A folder of Parquet tables for one operator call."""
 
@@ -56,9 +87,7 @@ class Scratch:
         return out
 
     def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        delete(self.spark, path)
 
     def _close(self) -> None:
         if self.spark.sparkContext._jsc is not None and self.spark.sparkContext._jsc.sc().isStopped() is False:

@@ -1,28 +1,33 @@
-"""Reporters: item results on their way to a table or a receiver, in micro-batches.
+"""Reporters: item results on their way to a table, in micro-batches.
 
-The stream is Structured Streaming over a folder of reported items; its sink writes each micro-batch
-under the batch's number, so a batch that is tried again replaces itself and every item is stored once. With a receiver, executors
-also hand on each run's items in requests of ten, tried again with growing waits.
+The stream is Structured Streaming over a folder of reported items. Its sink writes each micro-batch under the batch's number, so that one that is
+tried again replaces itself, and only items that no earlier batch stored; then the rollup of its runs' counts, and receipts: how many
+items of which report have arrived. A reporter is flushed when the receipts agree with what it reported.
 """
 
 from __future__ import annotations
 
 import os
+import threading
 import time
 import uuid
-from collections.abc import Callable, Iterator
+import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-BATCH = 10  # items in one request
+from ..shared import numbered
+from .delivery import BATCH, Outbox, Receiver
+from .rollup import Rollup
+
 EVERY = "500 milliseconds"
-ATTEMPTS, BACKOFF = 3, 0.1
+FLUSH_S = 30.0
 EVAL = "struct<name:string,score:double,threshold:double,success:boolean,reason:string>"
 SCHEMA = f"run_id string, item_idx long, input string, actual_output string, success boolean, score double, evals array<{EVAL}>"
+RECEIPTS = "report string, n long"
 
 
 @dataclass
@@ -47,7 +52,7 @@ class Reporter(Protocol):
     def start_run(self, name: str, metadata: dict[str, str]) -> str: ...
     def report(self, handle: str, outcome) -> None: ...
     def complete_run(self, handle: str, status: str) -> None: ...
-    def flush(self) -> None: ...
+    def flush(self) -> bool: ...
     def close(self) -> None: ...
 
 
@@ -57,9 +62,11 @@ class NoOpReporter:
 
     def report(self, handle: str, outcome) -> None: ...
     def complete_run(self, handle: str, status: str) -> None: ...
-    def flush(self) -> None: ...
     def close(self) -> None: ...
 
+    def flush(self) -> bool:
+        return True
+
 
 def local_handle() -> str:
     """A handle for a run that no server knows."""
@@ -74,66 +81,79 @@ def requests(batch: DataFrame, size: int = BATCH) -> DataFrame:
     return part.groupBy("run_id", "request").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(F.col("item_idx").alias("at"), item.alias("item")))).alias("items")).withColumn("items", F.transform("items", lambda x: x["item"]))
 
 
-def retried(send: Callable[[], None], permanent: type[Exception] = ValueError, attempts: int = ATTEMPTS, backoff: float = BACKOFF) -> bool:
-    """Try to send, waiting twice as long each time; a permanent error is not tried again. False if it failed."""
-    for k in range(attempts):
-        try:
-            send()
-            return True
-        except permanent:
-            return False
-        except Exception:
-            if k + 1 < attempts:
-                time.sleep(backoff * 2**k)
-    return False
-
-
-def sent(batch: DataFrame, receiver: Callable[[str, str], None], attempts: int = ATTEMPTS, backoff: float = BACKOFF) -> DataFrame:
-    """(run_id, request, n, delivered): hand each request's body (JSON) to ``receiver`` on the executors; one that fails for good is told and dropped."""
-    bodies = requests(batch).select("run_id", "request", "n", F.to_json(F.struct("items")).alias("body"))
-
-    def send(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            pdf["delivered"] = [retried(lambda r=r: receiver(r.run_id, r.body), attempts=attempts, backoff=backoff) for r in pdf.itertuples()]
-            yield pdf[["run_id", "request", "n", "delivered"]]
-
-    return bodies.mapInPandas(send, "run_id string, request long, n long, delivered boolean")
+def bodies(batch: DataFrame, size: int = BATCH) -> DataFrame:
+    """(run_id, key, n, body): the requests of a whole batch as they are sent."""
+    texts = requests(batch, size).select("run_id", "n", F.to_json(F.struct("items")).alias("body"))
+    return texts.select("run_id", F.substring(F.sha2(F.concat_ws("\n", "run_id", "body"), 256), 1, 32).alias("key"), "n", "body")
 
 
-def start(spark: SparkSession, source: str, target: str, checkpoint: str, once: bool = False, files_per_batch: int | None = None, receiver: Callable[[str, str], None] | None = None):
+def start(spark: SparkSession, source: str, target: str, checkpoint: str, once: bool = False, files_per_batch: int | None = None, receiver: Receiver | None = None):
     """Begin to store reported items (JSON lines in ``source``) in ``target``; returns the streaming query.
 
-    With a ``receiver``, each micro-batch's requests go there too; what became of them is stored in ``target``-requests.
+    Beside ``target`` stand ``target``-rollup (see :class:`Rollup`) and ``target``-receipts. With a ``receiver`` each micro-batch's items go there too, in requests
+    of ten cut by the batch; :func:`start_sending` gathers them over batches.
     """
-    reader = spark.readStream.schema(SCHEMA)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    rollup = Rollup(spark, f"{target}-rollup")
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(["run_id", "item_idx"]).write.mode("overwrite").parquet(f"{target}/batch={number}")
-        if receiver:
-            items = batch.sparkSession.read.schema(SCHEMA).parquet(f"{target}/batch={number}")
-            sent(items, receiver).write.mode("overwrite").parquet(f"{target}-requests/batch={number}")
-
-    writer = reader.json(source).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+        batch = batch.persist()
+        try:
+            new = batch.drop("report").dropDuplicates(["run_id", "item_idx"])
+            # a run's items lie in the batches from its first to its last
+            span = rollup.read(before=number).join(new.select("run_id").distinct(), "run_id", "left_semi").agg(F.min("first_batch"), F.max("last_batch")).first()
+            if span[0] is not None:
+                parts = [f"{target}/batch={k}" for k in numbered(spark, target, "batch") if span[0] <= k <= span[1]]
+                new = new.join(spark.read.schema(SCHEMA).parquet(*parts).select("run_id", "item_idx"), ["run_id", "item_idx"], "left_anti")
+            new.write.mode("overwrite").parquet(f"{target}/batch={number}")
+            items = spark.read.schema(SCHEMA).parquet(f"{target}/batch={number}")
+            rollup.add(items, number)
+            batch.groupBy("report").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{target}-receipts/batch={number}")
+            if receiver:
+                Outbox(spark, f"{target}-requests", receiver).deliver(bodies(items), number)
+        finally:
+            batch.unpersist()
+
+    writer = reported_items(spark, source, files_per_batch).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=EVERY)).start()
 
 
+def reported_items(spark: SparkSession, source: str, files_per_batch: int | None = None) -> DataFrame:
+    """The stream of items, each with the report that it came by."""
+    reader = spark.readStream.schema(f"{SCHEMA}, report string")
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).json(source)
+
+
+def start_sending(spark: SparkSession, source: str, path: str, checkpoint: str, receiver: Receiver, files_per_batch: int | None = None):
+    """Begin to send reported items in requests of ten, or of fewer half a second after the first; what became of them is in ``Outbox(spark, path, ...).ledger()``."""
+    return Outbox(spark, path, receiver).start(reported_items(spark, source, files_per_batch), checkpoint)
+
+
 def stored(spark: SparkSession, target: str) -> DataFrame:
-    """The items stored so far, each once."""
-    return spark.read.schema(SCHEMA + ", batch int").parquet(target).dropDuplicates(["run_id", "item_idx"]).drop("batch")
+    """The items stored so far, each once: only batches written to their end count."""
+    parts = [f"{target}/batch={k}" for k in numbered(spark, target, "batch")]
+    return spark.read.schema(SCHEMA).parquet(*parts) if parts else spark.createDataFrame([], SCHEMA)
+
+
+def received(spark: SparkSession, target: str, since: int = -1) -> DataFrame:
+    """(report, n): items that have arrived of each report, in batches after ``since``."""
+    parts = [f"{target}-receipts/batch={k}" for k in numbered(spark, f"{target}-receipts", "batch") if k > since]
+    rows = spark.read.schema(RECEIPTS).parquet(*parts) if parts else spark.createDataFrame([], RECEIPTS)
+    return rows.groupBy("report").agg(F.sum("n").alias("n"))
 
 
 class FolderReporter:
     """A reporter that hands items, with all their evaluations, to the stream as files in a folder that it watches.
 
-    ``register`` (name, metadata) -> handle tells a server of a run; where it fails the run goes on under a handle of its own. ``query``: the stream to wait
-    for when a run is completed or the reporter is closed.
+    ``register`` (name, metadata) -> handle tells a server of a run; where it fails the run goes on under a handle of its own. ``target``: where the stream
+    stores items; a flush waits until all that this reporter reported has arrived there. Without it, ``query``, the stream itself, is
+    waited for.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, register: Callable[[str, dict[str, str]], str] | None = None, query=None):
-        self.spark, self.folder, self.register, self.query = spark, folder, register, query
+    def __init__(self, spark: SparkSession, folder: str, register: Callable[[str, dict[str, str]], str] | None = None, query=None, target: str | None = None):
+        self.spark, self.folder, self.register, self.query, self.target = spark, folder, register, query, target
         self.completed: list[tuple[str, str]] = []
+        self.waiting: dict[str, int] = {}  # reports that have not arrived in full, and their items
+        self.since = -1  # the last batch before the first of them
 
     def start_run(self, name: str, metadata: dict[str, str]) -> str:
         if self.register is None:
@@ -148,29 +168,57 @@ class FolderReporter:
         evals = outcome.evals.groupBy("run_index", "item_idx").agg(F.avg("score").alias("score"), F.transform(F.array_sort(F.collect_list(order)), lambda x: x["e"]).alias("evals"))
         rows = outcome.items.join(outcome.item_results(), ["run_index", "item_idx"]).join(evals, ["run_index", "item_idx"], "left")
         rows = rows.select(F.concat(F.lit(f"{handle}-"), F.col("run_index").cast("string")).alias("run_id"), "item_idx", "input", F.col("actual_output").cast("string").alias("actual_output"), "success", "score", "evals")
-        rows.write.mode("append").json(self.folder)
+        self.send(rows)
+
+    def send(self, rows: DataFrame) -> None:
+        """Hand over rows of items; they count as reported once they are written."""
+        if self.target and not self.waiting:
+            self.since = max(numbered(self.spark, f"{self.target}-receipts", "batch"), default=-1)
+        report, counted = uuid.uuid4().hex, Observation()
+        rows.withColumn("report", F.lit(report)).observe(counted, F.count(F.lit(1)).alias("n")).write.mode("append").json(self.folder)
+        if self.target and counted.get["n"]:
+            self.waiting[report] = counted.get["n"]
 
     def complete_run(self, handle: str, status: str) -> None:
-        self.flush()
+        if not self.flush():
+            warnings.warn(f"not all items of {handle} were stored in time", stacklevel=2)
         self.completed.append((handle, status))
 
-    def flush(self) -> None:
-        if self.query is not None:
-            flush(self.query)
+    def flush(self, seconds: float = FLUSH_S) -> bool:
+        """Wait until all that was reported is stored; False if that takes longer than ``seconds`` or the stream has ended."""
+        if self.target is None:
+            return self.query is None or flush(self.query, seconds)
+        end = time.monotonic() + seconds
+        while self.waiting:
+            ended = self.query is not None and not self.query.isActive
+            for r in received(self.spark, self.target, self.since).where(F.col("report").isin(list(self.waiting))).collect():
+                if r.n >= self.waiting[r.report]:
+                    del self.waiting[r.report]
+            if self.waiting:
+                if ended or time.monotonic() > end:
+                    return False
+                time.sleep(0.05)
+        return True
 
     def close(self) -> None:
-        self.flush()
+        if not self.flush():
+            warnings.warn("not all reported items were stored in time", stacklevel=2)
         if self.query is not None:
             self.query.stop()
             self.query.awaitTermination(5)
 
 
-def flush(query, seconds: float = 30.0) -> bool:
-    """Wait until all that has arrived is stored; False if that takes longer than ``seconds``."""
-    end = time.time() + seconds
-    while query.isActive and time.time() < end:
-        status = query.status
-        if not status["isDataAvailable"] and not status["isTriggerActive"] and query.lastProgress is not None:
-            return True
-        time.sleep(0.05)
-    return not query.isActive and query.exception() is None
+def flush(query, seconds: float = FLUSH_S) -> bool:
+    """Wait until the stream has stored all that its source holds now; False if that takes longer than ``seconds`` or the stream fails."""
+    failed: list[Exception] = []
+
+    def wait() -> None:
+        try:
+            query.processAllAvailable()
+        except Exception as e:
+            failed.append(e)
+
+    waiting = threading.Thread(target=wait, daemon=True)
+    waiting.start()
+    waiting.join(seconds)
+    return not waiting.is_alive() and not failed and query.exception() is None

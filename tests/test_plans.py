@@ -162,49 +162,6 @@ def test_assert_eval_names_the_first_failure(spark):
     assert_eval(case, [ev.regex_match("a", "b")])
 
 
-def test_retry():
-    calls = []
-
-    def flaky():
-        calls.append(1)
-        if len(calls) < 3:
-            raise OSError
-    assert rp.retried(flaky, backoff=0) and len(calls) == 3
-    assert not rp.retried(lambda: (_ for _ in ()).throw(ValueError()), backoff=0)
-    assert rp.local_handle().startswith("local-")
-
-
-def items(spark):
-    return spark.createDataFrame([("r", i, f"i{i}", "", True, 1.0, [("E", 1.0, None, True, "")]) for i in range(23)] + [("s", 0, "", "", True, 1.0, [])], rp.SCHEMA)
-
-
-def test_requests_hold_ten(spark):
-    got = sorted((r.run_id, r.request, r.n) for r in rp.requests(items(spark)).collect())
-    assert got == [("r", 0, 10), ("r", 1, 10), ("r", 2, 3), ("s", 0, 1)]
-
-
-def test_requests_are_sent_and_tried_again(spark, tmp_path):
-    folder = str(tmp_path / "got")
-
-    def receiver(run, body):
-        path = os.path.join(folder, f"{run}-{json.loads(body)['items'][0]['item_idx']}")
-        tries = len(os.listdir(folder)) if run == "s" else 0
-        if run == "s":
-            raise ValueError("refused")  # not tried again
-        if not os.path.exists(path):
-            open(path, "w").write("")
-            raise OSError(f"down {tries}")
-        open(path, "w").write(body)
-
-    os.mkdir(folder)
-    items(spark).write.json(str(tmp_path / "in"))
-    rp.start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), once=True, receiver=receiver).awaitTermination()
-    told = sorted((r.run_id, r.request, r.n, r.delivered) for r in spark.read.parquet(str(tmp_path / "out-requests")).collect())
-    assert told == [("r", 0, 10, True), ("r", 1, 10, True), ("r", 2, 3, True), ("s", 0, 1, False)]
-    bodies = [json.loads(open(os.path.join(folder, f)).read())["items"] for f in sorted(os.listdir(folder))]
-    assert sorted(i["input"] for b in bodies for i in b) == sorted(f"i{k}" for k in range(23)) and bodies[0][0]["evals"][0]["name"] == "E"
-
-
 def test_settings_and_offline_handles(spark, monkeypatch):
     monkeypatch.delenv("ASSAY_REPORTER_URL", raising=False)
     with pytest.raises(ValueError, match="url"):
