@@ -643,6 +643,24 @@ def update_run(spark, sf):
     return tr.set_status(runs, first, "CANCELLED").select("run_id", "status", F.col("completed_at").isNotNull().alias("completed"))
 
 
+@query("select o_orderkey::varchar run_id, o_custkey::varchar experiment_id, status, case when status <> 'RUNNING' then started_at + interval 1 day end completed_at from orders join runs on run_id = o_orderkey", "runs")
+def status_log(spark, sf):
+    """All runs as events: begun, then completed a day later by two appends, with a snapshot between; some are told again, late."""
+    from .plans.log import Tracker
+    from .shared import Scratch
+
+    runs = d.runs(spark, sf)
+    log = Tracker(spark, Scratch(spark, "log").path)
+    log.begin(runs.select("run_id", "experiment_id", "started_at"))
+    day = lambda n: F.timestamp_add("DAY", F.lit(n), F.col("started_at")).alias("at")
+    ends = lambda status: runs.where(F.col("status") == status)
+    log.set_status(ends("SUCCESS").select("run_id", "status", day(1)))
+    log.fold()
+    log.set_status(ends("FAILED").select("run_id", "status", day(1)))
+    log.set_status(ends("SUCCESS").where("experiment_id % 7 = 0").select("run_id", F.lit("CANCELLED").alias("status"), day(0)))
+    return log.runs().select("run_id", "experiment_id", "status", "completed_at")
+
+
 @query("select item_id, l_returnflag evaluator, '' reason, l_discount * 10 score from (select l_orderkey * 100 + l_linenumber item_id, l_returnflag, l_discount from lineitem)")
 def payload_projection(spark, sf):
     """Items as a reporter sends them, read again: a null reason is empty, a null threshold left out."""

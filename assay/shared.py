@@ -9,11 +9,14 @@ from __future__ import annotations
 import atexit
 import re
 import tempfile
+import threading
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_one_at_a_time = threading.Lock()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +55,43 @@ def numbered(spark: SparkSession, path: str, prefix: str) -> list[int]:
     return [n for n in found if written(spark, f"{path}/{prefix}={n}")]
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in order; those that begin with a dot or an underscore apart."""
+    fs, target = _located(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(target)] if fs.exists(target) else []
+    return sorted(n for n in names if n[0] not in "._")
+
+
+def create(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small file, whole from its first moment; False if there is one. It is written aside and renamed without replacing, as Spark commits its own logs."""
+    sc = spark.sparkContext
+    fs, target = _located(spark, path)
+    aside = sc._jvm.org.apache.hadoop.fs.Path(f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")
+    out = fs.create(aside, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    context = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration())
+    plain = sc._gateway.new_array(getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    with _one_at_a_time:  # on a local disk the look and the rename are two steps
+        try:
+            context.rename(aside, target, plain)
+            return True
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" not in str(e.java_exception.getClass()):
+                raise
+            fs.delete(aside, False)
+            return False
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, target = _located(spark, path)
+    stream = fs.open(target)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, target = _located(spark, path)
     fs.delete(target, True)
