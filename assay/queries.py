@@ -100,6 +100,28 @@ def run_details_page(spark, sf):
     return page.select("item_id", F.size("evaluations").cast("bigint").alias("n_evals"), F.size(F.filter("evaluations", lambda e: e["success"])).cast("bigint").alias("n_passed"))
 
 
+@query("select event_id::varchar item_id, [value] scores from events where event_type = (select max(event_type) from events) order by ts, event_id::varchar offset 150 limit 50")
+def run_page_seek(spark, sf):
+    """The fourth page of the events of a type, as a run's items: four pages, each from the key that the one before it ended with, over bucketed tables."""
+    import uuid
+
+    from .plans import layout
+    from .shared import Scratch
+
+    rows = d.table(spark, sf, "events").select(F.col("event_type").alias("run_id"), F.col("event_id").cast("string").alias("item_id"), F.col("ts").alias("created_at"), F.col("value").alias("score"))
+    folder, names = Scratch(spark, "pages").path, [f"assay_{k}_{uuid.uuid4().hex}" for k in ("items", "evals")]
+    try:
+        items = layout.write_by_run(rows.drop("score"), names[0], 16, f"{folder}/items")
+        evals = layout.write_by_run(rows.select("run_id", "item_id", "score"), names[1], 16, f"{folder}/evals")
+        s, last, key = tr.Store(None, None, None, items, evals), rows.agg(F.max("run_id")).first()[0], None
+        for _ in range(4):
+            page, key = layout.page_after(s, last, key)
+        page = spark.createDataFrame(page.collect(), page.schema)
+    finally:
+        layout.drop(spark, *names)
+    return page.select("item_id", F.transform("evaluations", lambda e: e["score"]).alias("scores"))
+
+
 @query("select item_id, run_id, item_idx from verdicts where success", "verdicts")
 def passed_items_semi_anti(spark, sf):
     return tr.passed_items(d.items(spark, sf), d.plain_evals(spark, sf)).select("item_id", "run_id", "item_idx")
