@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrow import string_bytes
 from ..shared import Scratch
 from ..shipping import ship
 
@@ -30,14 +31,6 @@ LISTED = 2048  # candidates of an outer text that are verified together
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; null counts as empty."""
-    column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.large_binary()).fill_null(b"")
-    _, off, data = column.buffers()
-    offsets = np.frombuffer(off, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-    return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, np.uint8)), offsets
-
-
 def _numbers(raw: np.ndarray, at: np.ndarray | range) -> np.ndarray:
     """The eight bytes from each position, the first one highest; zeros beyond the end."""
     if isinstance(at, range):
@@ -173,7 +166,7 @@ def _scanned(small: DataFrame, large: DataFrame, inside: bool, around: bool) ->
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Small(sent.value, around)
         for b in batches:
-            raw, offsets = _bytes(b.column("text"))
+            raw, offsets = string_bytes(b.column("text"))
             found = np.unique(np.concatenate(([index.inside(raw, offsets)] if inside else []) + ([index.around(raw, offsets)] if around else [])), axis=0)
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(found[:, 0])), pa.array(found[:, 1])], ["large", "k"])
 
@@ -215,7 +208,7 @@ def either(a: DataFrame, b: DataFrame, bound: int = BOUND) -> DataFrame:
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Up to ANCHORS 8-byte strings of each text, those of least hash in equal ranges of it; a shorter text is its own."""
     for b in batches:
-        raw, offsets = _bytes(b.column("text"))
+        raw, offsets = string_bytes(b.column("text"))
         rows, at, size = [], [], []
         for r, (a, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
             if e - a <= Q:
@@ -231,7 +224,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        raw, offsets = _bytes(b.column("text"))
+        raw, offsets = string_bytes(b.column("text"))
         inner, outer = [], []
         for r, (held, asked) in enumerate(zip(b.column("digest").to_pylist(), b.column("asked").to_pylist(), strict=True)):
             a, e = int(offsets[r]), int(offsets[r + 1])
@@ -258,7 +251,7 @@ def _joined(inner: DataFrame, outer: DataFrame) -> DataFrame:
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw, offsets = _bytes(b.column("text"))
+            raw, offsets = string_bytes(b.column("text"))
             for a in range(int(offsets[0]), int(offsets[-1]), STEP):
                 v = _numbers(raw, range(a, min(a + STEP, int(offsets[-1]))))
                 for n, held in sent.value.items():

@@ -55,6 +55,12 @@ def numbered(spark: SparkSession, path: str, prefix: str) -> list[int]:
     return [n for n in found if written(spark, f"{path}/{prefix}={n}")]
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or of all files of a folder; 0 for what a pattern names."""
+    fs, target = _located(spark, path)
+    return fs.getContentSummary(target).getLength() if fs.exists(target) else 0
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder, in order; those that begin with a dot or an underscore apart."""
     fs, target = _located(spark, path)

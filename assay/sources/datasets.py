@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..errors import DatasetResolutionError
 from ..functions.scalar import strip
+from ..shared import size
 
 SCHEMA = "example_idx long, inputs map<string,string>, expected_outputs map<string,string>, metadata map<string,string>"
 EXAMPLES = "array<struct<inputs:map<string,string>,expectedOutputs:map<string,string>,metadata:map<string,string>,input:string,expectedOutput:string>>"
@@ -72,8 +73,23 @@ def from_json_text(spark: SparkSession, text: str) -> Dataset:
     return _parsed(spark.createDataFrame([(text,)], "value string"))
 
 
-def from_json(spark: SparkSession, path: str) -> Dataset:
-    return _parsed(spark.read.text(path, wholetext=True))
+WHOLE = 16 << 20  # bytes of a JSON file that one task parses whole
+
+
+def from_json(spark: SparkSession, path: str, whole: int = WHOLE) -> Dataset:
+    """A JSON dataset file; one of more than ``whole`` bytes is cut into ranges that many tasks parse."""
+    if size(spark, path) <= whole:
+        return _parsed(spark.read.text(path, wholetext=True))
+    from .json_ranges import members
+
+    head, rows = members(spark, path, "examples")
+    if not isinstance(head.get("examples"), list):
+        raise ValueError("a dataset needs 'examples'")
+    kind = EXAMPLES.removeprefix("array<").removesuffix(">")
+    bad = F.try_parse_json("text").isNull()
+    e = F.when(bad, F.raise_error(F.lit("Failed to parse JSON dataset")).cast(kind)).otherwise(F.from_json("text", kind))
+    text = lambda key, other: head.get(key) if isinstance(head.get(key), str) else other
+    return Dataset(rows.select(F.col("nth").alias("example_idx"), e.alias("e")).select("example_idx", *normalized(F.col("e"))), text("name", "unnamed"), text("description", ""))
 
 
 def cells(line: Column | str, delimiter: str = ",") -> Column:
