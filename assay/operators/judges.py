@@ -18,6 +18,12 @@ from ..errors import EvaluationError
 from ..functions.scalar import java_list, relevance_bucket, says_yes, strip, strip_markdown
 from . import evaluators as ev
 from .evaluators import Judge
+from .replies import Replies
+
+
+def replied(df: DataFrame, name: str, prompt: Column, judge: Judge) -> DataFrame:
+    """``df`` with a column of replies: of a judge as the plan runs, or of a table of replies that asks what it lacks now."""
+    return judge.on(df, name, prompt) if isinstance(judge, Replies) else df.withColumn(name, ev.asking(judge)(prompt))
 
 
 def _context(df: DataFrame, name: str, metric: str) -> Column:
@@ -54,24 +60,23 @@ class Faithfulness:
     missing: str = "raise"
 
     def on(self, df: DataFrame, at: str) -> tuple[DataFrame, Column]:
-        ask = ev.asking(self.judge)
         there = F.col("input").isNotNull() & F.col("actual_output").isNotNull()
         only = lambda c: F.when(there, c)
-        df = df.withColumn(f"{at}_truths", ask(only(_prompt("List the facts that the context states, as a JSON array of texts and nothing else.\n\nContext: {context}", context=_context(df, self.context, self.name)))))
-        df = df.withColumn(f"{at}_claims", ask(only(_prompt("Split the answer into its single claims. Reply with a JSON array of texts and nothing else.\n\nAnswer: {answer}", answer=F.col("actual_output")))))
+        df = replied(df, f"{at}_truths", only(_prompt("List the facts that the context states, as a JSON array of texts and nothing else.\n\nContext: {context}", context=_context(df, self.context, self.name))), self.judge)
+        df = replied(df, f"{at}_claims", only(_prompt("Split the answer into its single claims. Reply with a JSON array of texts and nothing else.\n\nAnswer: {answer}", answer=F.col("actual_output"))), self.judge)
         for c in ("truths", "claims"):  # read once
             df = df.withColumn(f"{at}_{c}", only(ev.payload(F.col(f"{at}_{c}"), "array<string>", c)))
         texts = lambda c: java_list(F.col(f"{at}_{c}"))
-        df = df.withColumn(f"{at}_verdicts", ask(only(_prompt(
+        df = replied(df, f"{at}_verdicts", only(_prompt(
             'Say for each claim whether the truths support it. Reply with a JSON array and nothing else: [{open}"verdict": "Yes", "No" or "IDK", "reasoning": text{close}]\n\nTruths: {truths}\nClaims: {claims}',
             truths=texts("truths"), claims=texts("claims"), open=F.lit("{"), close=F.lit("}"),
-        ))))
+        )), self.judge)
         df = df.withColumn(f"{at}_verdicts", only(ev.payload(F.col(f"{at}_verdicts"), ev.VERDICTS, "verdicts")))
         reason = None
         if self.include_reason:
             verdicts = F.col(f"{at}_verdicts")
             told = F.array_join(F.transform(verdicts, lambda v: F.concat_ws(": ", v["verdict"], v["reasoning"])), "; ")
-            df = df.withColumn(f"{at}_reason", ask(F.when(there & (F.size(verdicts) > 0), _prompt("Sum up in one sentence how faithful the answer is, above all why claims were not supported.\n\nVerdicts: {verdicts}", verdicts=told))))
+            df = replied(df, f"{at}_reason", F.when(there & (F.size(verdicts) > 0), _prompt("Sum up in one sentence how faithful the answer is, above all why claims were not supported.\n\nVerdicts: {verdicts}", verdicts=told)), self.judge)
             reason = F.when(F.size(verdicts) == 0, F.lit("No claims were found to evaluate.")).otherwise(strip(f"{at}_reason"))
         out = ev.faithfulness(F.col(f"{at}_claims"), F.col(f"{at}_verdicts"), self.name, self.threshold, reason, parsed=True)
         return df, ev.required(out, self.name, self.missing, INPUT="input", ACTUAL_OUTPUT="actual_output")
@@ -89,13 +94,12 @@ class Hallucination:
     missing: str = "raise"
 
     def on(self, df: DataFrame, at: str) -> tuple[DataFrame, Column]:
-        ask = ev.asking(self.judge)
         there = F.col("input").isNotNull() & F.col("actual_output").isNotNull()
         prompt = _prompt(
             'Split the answer into statements and say of each whether the context supports it. Reply with a JSON array and nothing else: [{open}"verdict": "yes" or "no", "reason": text{close}]\n\nContext: {context}\n\nAnswer: {answer}',
             context=_context(df, self.context, self.name), answer=F.col("actual_output"), open=F.lit("{"), close=F.lit("}"),
         )
-        df = df.withColumn(f"{at}_verdicts", ask(F.when(there, prompt)))
+        df = replied(df, f"{at}_verdicts", F.when(there, prompt), self.judge)
         df = df.withColumn(f"{at}_verdicts", F.when(there, ev.payload(F.col(f"{at}_verdicts"), ev.VERDICTS, "verdicts")))
         reason = None
         if self.include_reason:
@@ -104,7 +108,7 @@ class Hallucination:
             reasons = lambda keep: _joined(F.transform(F.filter(verdicts, keep), lambda v: F.coalesce(v["reason"], F.lit("null"))), "; ")
             score = ev.hallucination(verdicts, parsed=True)["score"]
             prompt = _prompt("Sum up in one sentence how far the answer is invented, above all why.\n\nSupported: {good}\nNot supported: {bad}\nScore: {score}", good=reasons(yes), bad=reasons(lambda v: ~yes(v)), score=F.format_string("%.2f", score))
-            df = df.withColumn(f"{at}_reason", ask(F.when(there & (F.size(verdicts) > 0), prompt)))
+            df = replied(df, f"{at}_reason", F.when(there & (F.size(verdicts) > 0), prompt), self.judge)
             reason = F.when(F.size(verdicts) == 0, F.lit("No statements were found to evaluate.")).otherwise(strip(f"{at}_reason"))
         out = ev.hallucination(F.col(f"{at}_verdicts"), self.name, self.threshold, reason, parsed=True)
         return df, ev.required(out, self.name, self.missing, INPUT="input", ACTUAL_OUTPUT="actual_output")
@@ -134,7 +138,8 @@ class ContextualRelevance:
             'Say how relevant the context is to the question, from 0 (not at all) to 1 (answers it). Reply with JSON and nothing else: {open}"score": number, "reason": text{close}\n\nQuestion: {input}\n\nContext: {chunk}',
             input=F.coalesce(F.col("input"), F.lit("null")), chunk=F.coalesce(c, F.lit("null")), open=F.lit("{"), close=F.lit("}"),
         ))
-        df = df.withColumn(f"{at}_replies", asking_each(self.judge)(F.when(F.col("input").isNotNull(), prompts)))
+        prompts = F.when(F.col("input").isNotNull(), prompts)
+        df = self.judge.on_each(df, f"{at}_replies", prompts) if isinstance(self.judge, Replies) else df.withColumn(f"{at}_replies", asking_each(self.judge)(prompts))
         df = df.withColumn(f"{at}_scores", F.when(F.col("input").isNotNull(), ev.context_scores(F.col(f"{at}_chunks"), F.col(f"{at}_replies"))))  # read once
         reason = None
         if self.include_reason:
@@ -146,7 +151,7 @@ class ContextualRelevance:
                 "Sum up in one sentence how relevant the contexts are.\n\nQuestion: {input}\nMean: {mean}\nContexts: {n}\nHighly relevant: {high}\nPartially relevant: {partial}\nIrrelevant: {none}\n\n{each}",
                 input=F.col("input"), mean=F.format_string("%.3f", ev.mean_score(scores)), n=F.size(scores), high=named("high"), partial=named("partial"), none=named("irrelevant"), each=each,
             )
-            df = df.withColumn(f"{at}_reason", ev.asking(self.judge)(F.when(F.size(scores) > 0, prompt)))
+            df = replied(df, f"{at}_reason", F.when(F.size(scores) > 0, prompt), self.judge)
             reason = strip(f"{at}_reason")
         out = ev.contextual_relevance(F.col(f"{at}_replies"), self.name, self.threshold, self.strict, F.col(f"{at}_scores"), F.lit(ev.OFF) if reason is None else reason)
         return df, ev.required(out, self.name, self.missing, INPUT="input")
@@ -164,7 +169,7 @@ class LlmJudge:
     missing: str = "raise"
 
     def on(self, df: DataFrame, at: str) -> tuple[DataFrame, Column]:
-        df = df.withColumn(f"{at}_reply", ev.asking(self.judge)(ev.judge_prompt(self.criteria, dict(self.parameters))))
+        df = replied(df, f"{at}_reply", ev.judge_prompt(self.criteria, dict(self.parameters)), self.judge)
         return df, ev.required(ev.llm_judge(f"{at}_reply", self.name, self.threshold), self.name, self.missing, **self.parameters)
 
 

@@ -1,23 +1,47 @@
 """Reports of an experiment as JSON, Markdown, CSV and HTML.
 
-Lines are made on the executors from aggregates; the ``write_*`` functions store them through Spark, the others return one
-text, for reports of a size that a reader opens.
+Each is a head, lines in the order of items, and a tail. Lines are made on the executors from aggregates. ``write_report`` makes one file of any size in any store:
+Spark writes the lines as sorted parts, whose bytes are then copied between head and tail; ``to_*`` return the same as one text.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import json
+from collections.abc import Iterator
+from dataclasses import dataclass
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import escape_csv, escape_html, escape_markdown_cell, format_value, safe_name, truncate
 from ..operators import results
+from ..shared import Scratch, join_parts
+from ..shipping import ship
 from .experiment import Outcome
 
 
+@dataclass
+class Report:
+    """A text: ``head``, a line for each row of ``lines`` (item_idx, text) in order, ``tail``."""
+
+    head: str
+    lines: DataFrame
+    tail: str = ""
+
+    def text(self) -> str:
+        return self.head + "".join(f"{r[1]}\n" for r in self.lines.orderBy("item_idx").toLocalIterator()) + self.tail
+
+    def write(self, path: str) -> None:
+        """One file, replaced if it is there. The driver copies bytes from part to part and holds none of them."""
+        scratch = Scratch(self.lines.sparkSession, "report")
+        self.lines.orderBy("item_idx").select(self.lines.columns[1]).write.text(f"{scratch.path}/lines")
+        join_parts(self.lines.sparkSession, f"{scratch.path}/lines", path, self.head, self.tail)
+        scratch.close()
+
+
 def item_lines(o: Outcome) -> DataFrame:
     """A row per item: the data of run 0 and whether it passed in every run."""
     passed = results.item_success_across_runs(o.item_results(), [])
@@ -40,15 +64,31 @@ def item_json(o: Outcome) -> DataFrame:
     return rows.select("item_idx", F.to_json(body).alias("body")).orderBy("item_idx")
 
 
-def to_json(o: Outcome, timestamp: dt.datetime | None = None) -> str:
+def _indented(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Items as they stand in the report's list; strings hold no line breaks of their own."""
+    for pdf in batches:
+        pdf["line"] = ["    " + json.dumps(json.loads(b), indent=2, ensure_ascii=False).replace("\n", "\n    ") + ("" if last else ",") for b, last in zip(pdf["body"], pdf["last"], strict=True)]
+        yield pdf[["item_idx", "line"]]
+
+
+def json_report(o: Outcome, timestamp: dt.datetime | None = None) -> Report:
+    ship(o.items.sparkSession)
     s = o.summary()
     evaluators = {r.evaluator: {"averageScore": r.average_score, "stdDev": r.std_dev, "passRate": r.pass_rate} for r in o.averages().collect()}
     head = {
         "version": 1, "experimentName": o.name, "timestamp": (timestamp or dt.datetime.now(dt.UTC)).isoformat().replace("+00:00", "Z"), "description": o.description, "metadata": o.metadata, "config": {"runs": o.runs},
         "summary": {"totalExamples": s.total, "passCount": s.passed, "failCount": s.failed, "passRate": s.pass_rate, "runCount": s.runs, "evaluators": evaluators},
-        "items": [json.loads(r.body) for r in item_json(o).toLocalIterator()],
+        "items": [],
     }
-    return json.dumps(head, indent=2, ensure_ascii=False)
+    text = json.dumps(head, indent=2, ensure_ascii=False)
+    items = item_json(o)
+    last = items.agg(F.max("item_idx")).first()[0]
+    lines = items.withColumn("last", F.col("item_idx") == F.lit(last)).mapInPandas(_indented, "item_idx long, line string")
+    return Report(text, lines) if last is None else Report(text.removesuffix("]\n}") + "\n", lines, "  ]\n}")
+
+
+def to_json(o: Outcome, timestamp: dt.datetime | None = None) -> str:
+    return json_report(o, timestamp).text()
 
 
 def csv_lines(o: Outcome) -> DataFrame:
@@ -67,8 +107,12 @@ def csv_header(o: Outcome) -> str:
     return ",".join(["input", "expected_output", "actual_output", "success", *(f"{safe_name(n)}_{k}" for n in names for k in ("score", "pass"))])
 
 
+def csv_report(o: Outcome) -> Report:
+    return Report(csv_header(o) + "\n", csv_lines(o))
+
+
 def to_csv(o: Outcome) -> str:
-    return "\n".join([csv_header(o), *(r.line for r in csv_lines(o).toLocalIterator())]) + "\n"
+    return csv_report(o).text()
 
 
 def failed_items(o: Outcome) -> DataFrame:
@@ -79,17 +123,21 @@ def failed_items(o: Outcome) -> DataFrame:
     return rows.select("item_idx", "run_index", format_value("inputs").alias("input"), format_value("expected_outputs").alias("expected_output"), F.col("actual_output").cast("string").alias("actual_output"), "failures").orderBy("item_idx")
 
 
-def to_markdown(o: Outcome) -> str:
+def markdown_report(o: Outcome) -> Report:
     s, total = o.summary(), max(1, o.items.where("run_index = 0").count())
     out = [f"# {o.name}", "", *([o.description, ""] if o.description else []), f"**Pass rate:** {s.passed / total * 100:.0f}% ({s.passed:g}/{s.total})", ""]
     out += ["| Evaluator | Average | Std dev | Pass rate |", "| --- | --- | --- | --- |"]
     out += [f"| {r.evaluator.replace('|', chr(92) + '|')} | {r.average_score:.2f} | {r.std_dev:.2f} | {r.pass_rate * 100:.0f}% |" for r in o.averages().collect()]
     cell = lambda c: escape_markdown_cell(truncate(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " "), 80)).alias(c)
     failed = failed_items(o).select("item_idx", cell("input"), cell("expected_output"), cell("actual_output"), F.array_join(F.transform("failures", lambda f: f["evaluator"]), ", ").alias("why"))
-    rows = [f"| {r.item_idx + 1} | {r.input} | {r.expected_output} | {r.actual_output} | {r.why or ''} |" for r in failed.toLocalIterator()]
-    if rows:
-        out += ["", "## Failed Examples", "", "| # | Input | Expected | Actual | Failed |", "| --- | --- | --- | --- | --- |", *rows]
-    return "\n".join(out) + "\n"
+    row = F.format_string("| %d | %s | %s | %s | %s |", F.col("item_idx") + 1, "input", "expected_output", "actual_output", F.coalesce("why", F.lit("")))
+    if not failed.isEmpty():
+        out += ["", "## Failed Examples", "", "| # | Input | Expected | Actual | Failed |", "| --- | --- | --- | --- | --- |"]
+    return Report("\n".join(out) + "\n", failed.select("item_idx", row.alias("line")))
+
+
+def to_markdown(o: Outcome) -> str:
+    return markdown_report(o).text()
 
 
 def html_rows(o: Outcome) -> DataFrame:
@@ -112,20 +160,32 @@ SORT = """<script>document.querySelectorAll("th").forEach(h => h.onclick = () =>
 })</script>"""
 
 
-def to_html(o: Outcome, timestamp: dt.datetime | None = None) -> str:
+def html_report(o: Outcome, timestamp: dt.datetime | None = None) -> Report:
     from html import escape
 
     s = o.summary()
     cards = {"Examples": s.total, "Passed": f"{s.passed:g}", "Failed": f"{s.failed:g}", "Pass rate": f"{s.pass_rate * 100:.1f}%", "Runs": s.runs}
     means = "".join(f"<tr><td>{escape(r.evaluator)}</td><td>{r.average_score:.3f}</td><td>{r.std_dev:.3f}</td><td>{r.pass_rate * 100:.1f}%</td></tr>" for r in o.averages().collect())
-    rows = "\n".join(r.row for r in html_rows(o).toLocalIterator())
     shown = "".join(f"<div class=card><b>{v}</b> {k}</div>" for k, v in cards.items())
     when = (timestamp or dt.datetime.now()).strftime("%Y-%m-%d %H:%M:%S")
-    return (
+    head = (
         f"<!doctype html><meta charset=utf-8><title>{escape(o.name)}</title><style>td{{border:1px solid #ccc;padding:4px}}th{{cursor:pointer}}.card{{display:inline-block;margin:8px}}</style>"
         f"<h1>{escape(o.name)}</h1><p>{escape(o.description)}</p><p>{when}</p>{shown}<table><tr><th>Evaluator<th>Average<th>Std dev<th>Pass rate</tr>{means}</table>"
-        f"<table><tr><th>Input<th>Expected<th>Actual<th>Result<th>Details</tr>\n{rows}\n</table>{SORT}"
+        f"<table><tr><th>Input<th>Expected<th>Actual<th>Result<th>Details</tr>\n"
     )
+    return Report(head, html_rows(o), f"</table>{SORT}")
+
+
+def to_html(o: Outcome, timestamp: dt.datetime | None = None) -> str:
+    return html_report(o, timestamp).text()
+
+
+REPORTS = {"json": json_report, "csv": csv_report, "md": markdown_report, "html": html_report}
+
+
+def write_report(o: Outcome, path: str, kind: str | None = None) -> None:
+    """One report file in any store that Spark reaches; ``kind`` is json, csv, md or html, by default as the path ends."""
+    REPORTS[kind or path.rsplit(".", 1)[-1]](o).write(path)
 
 
 def write(text: str, path: str) -> None:

@@ -407,6 +407,19 @@ def topk_precision_embeddings(spark, sf):
     return near.groupBy(F.col("q").alias("vec_id")).agg(F.count_if(F.col("label") == F.col("q_label")).alias("relevant"), F.count("*").alias("n"))
 
 
+@query("select vec_id, least(10, (select count(*) from embeddings) - 1) n, true recalled from embeddings where vec_id % 100 = 0")
+def vector_index_topk(spark, sf):
+    """Ten near vectors of every row whose id is divisible by 100, from the index, and whether it found nine tenths of the exact ones."""
+    from .operators import vectors as vs
+
+    rows = vs.unit(d.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")))
+    queries, index = rows.where("id % 100 = 0"), vs.VectorIndex(rows)
+    found = index.scratch.save(index.search(queries, 10), "found")
+    want = vs.exact(queries, index.vectors, 10).select("q", "id")
+    share = want.join(found, ["q", "id"], "left_semi").count() / want.count()
+    return found.groupBy(F.col("q").alias("vec_id")).agg(F.count("*").alias("n")).withColumn("recalled", F.lit(share >= 0.9))
+
+
 @query("select item_id, count(doc_id) n_docs from benchmark b left join documents x on contains(trim(regexp_replace(lower(x.text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(b.text), '\\s+', ' ', 'g'))) or contains(trim(regexp_replace(lower(b.text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(x.text), '\\s+', ' ', 'g'))) group by 1")
 def items_in_documents(spark, sf):
     """The documents that hold each benchmark text, or are held by it; an empty text lies in every one."""
@@ -721,6 +734,20 @@ def json_file_dataset(spark, sf):
     return data.select("example_idx", F.col("inputs")["input"].alias("input"), F.col("metadata")["region"].alias("region"))
 
 
+@query("select (row_number() over (order by conv_id, turn) - 1) example_idx, text as input, role from conversations")
+def json_ranges_dataset(spark, sf):
+    """All turns in one JSON file, written by parts and read again by ranges of the file."""
+    from .plans.reports import Report
+    from .shared import Scratch
+    from .sources.datasets import from_json
+
+    path = f"{Scratch(spark, 'ranges').path}/turns.json"
+    rows = d.table(spark, sf, "conversations").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("item_idx"), F.to_json(F.struct(F.col("text").alias("input"), F.create_map(F.lit("role"), "role").alias("metadata"))).alias("line"))
+    first = rows.agg(F.min("item_idx")).first()[0]
+    Report('{"name": "turns", "examples": [', rows.withColumn("line", F.when(F.col("item_idx") == first, F.col("line")).otherwise(F.concat(F.lit(","), "line"))), "]}").write(path)
+    return from_json(spark, path, whole=0).frame.select("example_idx", F.col("inputs")["input"].alias("input"), F.col("metadata")["role"].alias("role"))
+
+
 REASON = "case when hits = n then format('All {} retrieved items are relevant (perfect precision).', n) when hits = 0 then format('None of the {} retrieved items are relevant.', n) else format('Retrieved {} items: {} relevant, {} irrelevant. Precision: {}%', n, hits, n - hits, printf('%.1f', 100.0 * hits / n)) end"
 
 
@@ -778,6 +805,18 @@ def faithfulness_judged(spark, sf):
     return out.select("conv_id", "turn", "r.score", "r.success", "r.reason")
 
 
+@query(f"select conv_id, turn, case when n = 0 then 1.0::double else k::double / n end score from ({CLAIMS})", "pairs")
+def faithfulness_replies(spark, sf):
+    """The same, from a table of replies in which each different prompt is asked once."""
+    from .operators.judges import Faithfulness
+    from .operators.replies import Replies
+    from .shared import Scratch
+
+    judge = Replies(spark, Scratch(spark, "replies").path, _stub)
+    out = _judged(spark, sf, ["conv_id", "turn"], d.question_pairs(spark, sf).withColumn("context", F.array("input")), Faithfulness(judge))
+    return out.select("conv_id", "turn", "r.score")
+
+
 @query(f"select conv_id, turn, case when n = 0 then 0.0::double else k::double / n end score, case when n = 0 then true else k::double / n <= 0.2 end success, case when n = 0 then 'No statements were found to evaluate.' else 'summed up' end reason from ({CLAIMS})", "pairs")
 def hallucination_judged(spark, sf):
     from .operators.judges import Hallucination

@@ -98,6 +98,26 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def join_parts(spark: SparkSession, folder: str, path: str, head: str = "", tail: str = "") -> None:
+    """One file of a text between two others: the bytes of a folder's part files, in order. They go through a buffer of the driver's JVM."""
+    sc = spark.sparkContext
+    fs, target = _located(spark, path)
+    copy = sc._jvm.org.apache.hadoop.io.IOUtils
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(head.encode()))
+        for name in children(spark, folder):
+            source, part = _located(spark, f"{folder}/{name}")
+            stream = source.open(part)
+            try:
+                copy.copyBytes(stream, out, sc._jsc.hadoopConfiguration(), False)
+            finally:
+                stream.close()
+        out.write(bytearray(tail.encode()))
+    finally:
+        out.close()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, target = _located(spark, path)
     fs.delete(target, True)
@@ -132,6 +152,11 @@ class Scratch:
         self.drop(*earlier)
         return out
 
+    def close(self) -> None:
+        """Delete the folder now, if nothing lazy reads it any more."""
+        self._close()
+        atexit.unregister(self._close)
+
     def _delete(self, path: str) -> None:
         delete(self.spark, path)
 

@@ -270,3 +270,25 @@ def test_csv_columns_of_odd_evaluator_names(spark):
     from assay.operators import results
 
     assert results.pivoted(o.evals, ["item_idx"], order).columns == ["item_idx", "exact_match_score", "exact_match_pass", "a`b_score", "a`b_pass", "exact_match_2_score", "exact_match_2_pass", "x.y_score", "x.y_pass"]
+
+
+def test_report_files_are_the_texts(spark, tmp_path):
+    """Written by parts, each report holds the bytes of the text that the driver makes."""
+    when = dt.datetime(2024, 5, 6, 7, 8, 9)
+    many = ds.from_examples(spark, [{"input": f"q{k}\n\"é|", "expected_output": f"Q{k}" if k % 3 else f"q{k}\n\"é|"} for k in range(300)])
+    many.frame = many.frame.repartition(7)
+    none = ds.from_examples(spark, [{"input": "x"}])
+    none.frame = none.frame.where("false")
+    for name, d in (("many", many), ("none", none)):
+        o = Experiment(d, lambda df: df.withColumn("actual_output", F.col("input")), [ev.exact_match("expected_output", "actual_output"), ev.response_length("input", 1, 2, "Len")], name, runs=2).run()
+        made = {"json": reports.json_report(o, when), "csv": reports.csv_report(o), "md": reports.markdown_report(o), "html": reports.html_report(o, when)}
+        for kind, report in made.items():
+            report.write(f"file://{tmp_path}/r/{name}.{kind}")
+            text = report.text()
+            assert (tmp_path / "r" / f"{name}.{kind}").read_text(encoding="utf-8") == text
+        data = json.loads(made["json"].text())
+        assert json.dumps(data, indent=2, ensure_ascii=False) == made["json"].text() and len(data["items"]) == (300 if name == "many" else 0)
+    reports.write_report(o, str(tmp_path / "x.md"))
+    assert (tmp_path / "x.md").read_text() == reports.to_markdown(o)
+    with pytest.raises(KeyError):
+        reports.write_report(o, str(tmp_path / "x.doc"))
