@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import typed
 from ..functions.scalar import contains_either, equals_ignore_case, normalize_text
 
 Strategy = Callable[[Column, Column], Column]
@@ -17,6 +18,17 @@ def by_equality() -> Strategy:
     return lambda r, e: r.eqNullSafe(e)
 
 
+def by_typed_equality() -> Strategy:
+    """Values (VARIANT) of equal type that are equal: 1 matches neither 1.0 nor "1"."""
+    return typed.same
+
+
+def by_typed_field(name: str) -> Strategy:
+    """Objects (VARIANT) that agree in a field, two missing ones included; a value that is no object stands for itself."""
+    of = lambda x: F.when(F.startswith(F.schema_of_variant(x), F.lit("OBJECT")), typed.signature(typed.field(x, name))).otherwise(typed.signature(x))
+    return by_identifier(of)
+
+
 def by_identifier(of: Callable[[Column], Column]) -> Strategy:
     return lambda r, e: of(r).eqNullSafe(of(e))
 

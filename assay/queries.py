@@ -356,6 +356,18 @@ def match_by_fields(spark, sf):
     return _scored(_triples(spark, sf), ["l_orderkey"], ev.precision("retrieved", "relevant", m.by_fields("p", "o")))
 
 
+@query("select l_orderkey, count(*) filter (where l_linenumber <= 2)::double / count(*) score, count(*) filter (where l_linenumber <= 2)::double / count(*) >= 0.5 success from lineitem group by 1")
+def match_typed(spark, sf):
+    """Line numbers as JSON values, even ones as texts, against a list of both kinds: 1 and "2" match, 3 and "3" do not."""
+    from .functions import typed
+
+    number = F.col("l_linenumber").cast("string")
+    one = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit('"'), number, F.lit('"'))).otherwise(number)
+    lists = d.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ","), F.lit("]")).alias("r"))
+    rows = lists.select("l_orderkey", typed.items(typed.parsed("r")).alias("retrieved"), typed.items(F.parse_json(F.lit('[1, 1.0, 2, "2", "3", 4, "5", 6, "7"]'))).alias("relevant"))
+    return _scored(rows, ["l_orderkey"], ev.precision("retrieved", "relevant", m.by_typed_equality()))
+
+
 def _replies(spark, sf):
     """Stub judge replies built from labels of documents: fenced JSON, and one in seven broken."""
     rows = d.table(spark, sf, "labels")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import DatasetResolutionError
+from ..functions import typed
 from ..functions.scalar import strip
 from ..shared import size
 
@@ -73,6 +74,23 @@ def from_json_text(spark: SparkSession, text: str) -> Dataset:
     return _parsed(spark.createDataFrame([(text,)], "value string"))
 
 
+def typed_examples(texts: DataFrame) -> DataFrame:
+    """(example_idx, inputs, expected_outputs, metadata) of JSON dataset texts (column value), with types kept: VARIANT objects.
+
+    The long form wins over the short one, as in :func:`normalized`; what a text lacks is an empty object.
+    """
+    doc = F.coalesce(F.try_parse_json("value"), F.raise_error(F.lit("Failed to parse JSON dataset")).cast("variant"))
+    examples = F.coalesce(F.try_variant_get(doc, "$.examples", "array<variant>"), F.raise_error(F.lit("a dataset needs 'examples'")).cast("array<variant>"))
+    rows = texts.select(F.posexplode(examples).alias("example_idx", "e"))
+    empty = F.parse_json(F.lit("{}"))
+    given = lambda key: F.when(~F.coalesce(F.schema_of_variant(typed.field("e", key)).isin("OBJECT<>", "VOID"), F.lit(True)), typed.field("e", key))
+    short = lambda key, name: F.when(typed.field("e", key).isNotNull(), F.to_variant_object(F.struct(typed.field("e", key).alias(name))))
+    return rows.select(
+        F.col("example_idx").cast("long"), F.coalesce(given("inputs"), short("input", "input"), empty).alias("inputs"), F.coalesce(given("expectedOutputs"), short("expectedOutput", "output"), empty).alias("expected_outputs"),
+        F.coalesce(given("metadata"), empty).alias("metadata"),
+    )
+
+
 WHOLE = 16 << 20  # bytes of a JSON file that one task parses whole
 
 
