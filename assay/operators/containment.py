@@ -34,15 +34,19 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 def _numbers(raw: np.ndarray, at: np.ndarray | range) -> np.ndarray:
     """The eight bytes from each position, the first one highest; zeros beyond the end."""
     if isinstance(at, range):
-        part = raw[at.start : at.stop + Q - 1]
-        part = np.concatenate([part, np.zeros(len(at) + Q - 1 - len(part), np.uint8)]) if len(part) < len(at) + Q - 1 else part
-        take = lambda d: part[d : d + len(at)]
-    else:
-        padded = np.concatenate([raw, np.zeros(Q, np.uint8)])
-        take = lambda d: padded[at + d]
-    out = take(0).astype(np.uint64)
+        n = len(at)
+        part = np.zeros(n + 2 * Q, dtype=np.uint8)
+        held = raw[at.start : at.stop + Q - 1]
+        part[: len(held)] = held
+        out = np.empty(n, dtype=np.uint64)
+        for d in range(min(Q, n)):  # every eighth number lies in the bytes as it is
+            m = len(range(d, n, Q))
+            out[d::Q] = part[d : d + Q * m].view(">u8")
+        return out
+    padded = np.concatenate([raw, np.zeros(Q, np.uint8)])
+    out = padded[at].astype(np.uint64)
     for d in range(1, Q):
-        out = (out << np.uint64(8)) | take(d)
+        out = (out << np.uint64(8)) | padded[at + d]
     return out
 
 

@@ -549,7 +549,7 @@ def streaming_reporter(spark, sf):
 
 
 def _stream(spark, sf, evals: bool = False) -> str:
-    """Store all items by the stream, some of them reported twice, in two batches; where they are stored."""
+    """Store all items by the stream, some of them reported twice, with ``evals`` in a later batch; where they are stored."""
     from .shared import Scratch
     from .streaming import reporter as rp
 
@@ -560,7 +560,8 @@ def _stream(spark, sf, evals: bool = False) -> str:
     rows = rows.agg(F.min("l_partkey").cast("string").alias("input"), F.max("l_suppkey").cast("string").alias("actual_output"), F.bool_and(score >= 0.5).alias("success"), F.min(score).alias("score"), *([judged.alias("evals")] if evals else []))
     go = lambda: rp.start(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", once=True).awaitTermination()
     rows.write.json(f"{base}/in")
-    go()
+    if evals:
+        go()
     rows.where("item_idx = 1").write.mode("append").json(f"{base}/in")  # these are reported again
     go()
     return f"{base}/out"
