@@ -100,7 +100,7 @@ def run_details_page(spark, sf):
     return page.select("item_id", F.size("evaluations").cast("bigint").alias("n_evals"), F.size(F.filter("evaluations", lambda e: e["success"])).cast("bigint").alias("n_passed"))
 
 
-@query("select event_id::varchar item_id, [value] scores from events where event_type = (select max(event_type) from events) order by ts, event_id::varchar offset 150 limit 50")
+@query("select event_id::varchar item_id, value score, 1::bigint n from events where event_type = (select max(event_type) from events) order by ts, event_id::varchar offset 150 limit 50")
 def run_page_seek(spark, sf):
     """The fourth page of the events of a type, as a run's items: four pages, each from the key that the one before it ended with, over bucketed tables."""
     import uuid
@@ -119,7 +119,7 @@ def run_page_seek(spark, sf):
         page = spark.createDataFrame(page.collect(), page.schema)
     finally:
         layout.drop(spark, *names)
-    return page.select("item_id", F.transform("evaluations", lambda e: e["score"]).alias("scores"))
+    return page.select("item_id", F.col("evaluations")[0]["score"].alias("score"), F.size("evaluations").cast("long").alias("n"))
 
 
 @query("select item_id, run_id, item_idx from verdicts where success", "verdicts")
@@ -670,13 +670,89 @@ def report_item_json(spark, sf):
     return rows.select("item_idx", "b.input", F.col("b.actualOutput").alias("actual_output"), "b.success", F.size("b.evaluations").cast("long").alias("n_evaluations"), length.alias("length_score"))
 
 
-@query(f"select item_idx, 1::bigint n_rows, sum(success::int)::bigint n_pass from ({OUTCOMES}) where run_index = 0 group by 1", "pairs")
+ESCAPED = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+TD = "'<td>' || " + ESCAPED.format("case when length({0}) > 100 then substr({0}, 1, 97) || '...' else {0} end") + " || '</td>'"
+CELLS = " || ".join(TD.format(c) for c in ("input", "answer", "actual_output"))
+WHY = f"case when k = 0 then case when success then 'Actual output equals expected output' else 'Actual output differs from expected output' end else {WORDS.format('actual_output')} || ' words' end"
+DETAIL = f"'<li>' || evaluator || ': ' || case when success then '1.000 pass ' else '0.000 fail ' end || {WHY} || '</li>'"
+
+
+@query(f"select item_idx, md5('<tr>' || {CELLS} || case when bool_and(success) then '<td>pass</td>' else '<td>fail</td>' end || '<td><details><summary>evaluations</summary><ul>' || string_agg({DETAIL}, '' order by k) filter (where run_index = 0) || '</ul></details></td></tr>') html from ({OUTCOMES}) group by item_idx, input, answer, actual_output", "pairs")
 def report_html_rows(spark, sf):
     from .plans.reports import html_rows
 
-    rows = html_rows(_outcome(spark, sf))
-    passed = F.size(F.regexp_extract_all("row", F.lit(r"<li>[^<]*: \d\.\d{3} (pass) "), F.lit(1)))
-    return rows.select("item_idx", F.size(F.regexp_extract_all("row", F.lit("(<tr>)"), F.lit(1))).cast("long").alias("n_rows"), passed.cast("long").alias("n_pass"))
+    return html_rows(_outcome(spark, sf)).select("item_idx", F.md5(F.col("row").cast("binary")).alias("html"))
+
+
+@query(f"select 'quiet' as name, 2::bigint runs, count(distinct item_idx) total, {R6.format('count(*) filter (where ok) / 2.0::double')} passed, {R6.format(R6.format('count(*) filter (where ok) / 2.0::double / count(distinct item_idx)'))} pass_rate, count(distinct item_idx) items from (select run_index, item_idx, bool_and(success) ok from ({OUTCOMES}) group by all)", "pairs")
+def report_json_file(spark, sf):
+    """The JSON report as one file, written by parts, and read again."""
+    from .plans.reports import write_report
+    from .shared import Scratch
+
+    path = f"{Scratch(spark, 'report').path}/report.json"
+    write_report(_outcome(spark, sf), path)
+    kind = "experimentName string, config struct<runs:long>, summary struct<totalExamples:long,passCount:double,passRate:double,runCount:long>, items array<struct<input:string>>"
+    return spark.read.schema(kind).json(path, multiLine=True).select(F.col("experimentName").alias("name"), "config.runs", F.col("summary.totalExamples").alias("total"), F.col("summary.passCount").alias("passed"), F.col("summary.passRate").alias("pass_rate"), F.size("items").cast("long").alias("items"))
+
+
+@query("select input, actual_output, case when turn % 4 = 0 then input || '|' || role end context from pairs", "pairs")
+def request_adapter(spark, sf):
+    """Requests of a model as cases: documents without a text are left out, and without documents there is no context."""
+    from .sources.datasets import test_cases
+
+    document = lambda c: F.struct(c.alias("text"), F.lit(None).cast("map<string,string>").alias("metadata"))
+    none = F.lit(None).cast("string")
+    rows = d.question_pairs(spark, sf).select(F.col("input").alias("user_text"), F.col("actual_output").alias("response"), F.when(F.col("turn") % 4 == 0, F.array(document(F.col("input")), document(none), document(F.lit("user")))).when(F.col("turn") % 4 == 2, F.array(document(none))).alias("documents"))
+    return test_cases(rows).select(F.col("inputs")["input"].alias("input"), "actual_output", F.array_join("context", "|").alias("context"))
+
+
+@query("select l_discount * 10 >= 0.5 passed, l_returnflag reason, (l_discount * 10)::float score from lineitem")
+def evaluation_response(spark, sf):
+    """Evaluations as the request adapter's caller gets them: scores as 32-bit numbers among the metadata."""
+    from .sources.datasets import evaluation_responses
+
+    score = F.col("l_discount") * 10
+    evals = d.table(spark, sf, "lineitem").select((score >= 0.5).alias("success"), F.col("l_returnflag").alias("reason"), score.alias("score"), F.lit('{"k": "v", "score": "old"}').alias("metadata"))
+    return evaluation_responses(evals).select(F.col("pass").alias("passed"), "reason", F.col("metadata")["score"].cast("float").alias("score"))
+
+
+def _retrieving(text: str) -> tuple[str, list[str]]:
+    return text.upper(), [text[:3], text]
+
+
+@query("select c_custkey, upper(c_name) actual_output, substr(c_name, 1, 3) || '|' || c_name context from customer")
+def rag_task_answers(spark, sf):
+    from .shipping import ship
+    from .sources.adapters import rag_task
+
+    ship(spark)
+    return rag_task(_retrieving)(d.table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("input"))).select("c_custkey", "actual_output", F.array_join("context", "|").alias("context"))
+
+
+def _scoring(prompt: str) -> str:
+    answer = prompt.rsplit("ACTUAL_OUTPUT:\n", 1)[1].rsplit("\n\nReply with", 1)[0]
+    return f'{{"score": {len(answer) % 10 / 10}, "reason": "of {len(answer)}"}}'
+
+
+@query("select conv_id, turn, (length(actual_output) % 10) / 10.0::double score, (length(actual_output) % 10) / 10.0::double >= 0.5 success, 'of ' || length(actual_output) reason from pairs", "pairs")
+def adapter_judge(spark, sf):
+    """A model of single prompts as a judge by criteria."""
+    from .operators.judges import LlmJudge
+    from .sources.adapters import judge_of
+
+    out = _judged(spark, sf, ["conv_id", "turn"], d.question_pairs(spark, sf), LlmJudge(judge_of(_scoring), "Length", "long enough"))
+    return out.select("conv_id", "turn", "r.score", "r.success", "r.reason")
+
+
+@query("select page_id, regexp_replace(regexp_extract(url, '[^/]*$'), '\\.[^.]*$', '') as name from pages")
+def base_names(spark, sf):
+    return d.table(spark, sf, "pages").select("page_id", fn.base_name("url").alias("name"))
+
+
+@query("select event_id, case when value / 100 >= 0.7 then 'high' when value / 100 >= 0.3 then 'partial' else 'irrelevant' end bucket from events")
+def relevance_buckets(spark, sf):
+    return d.table(spark, sf, "events").select("event_id", fn.relevance_bucket(F.col("value") / 100).alias("bucket"))
 
 
 @query("select c_custkey experiment_id, 'RUNNING' status, true started from customer")
