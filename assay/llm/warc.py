@@ -93,7 +93,8 @@ def write(pages: DataFrame, folder: str, least: int = 1000, level: int = 6) -> N
 
     Of records with equal payloads of at least ``least`` bytes, those with the largest page_id
     are responses and the others revisits of it. A null html is an empty payload; a null page_id is the
-    smallest; rows that repeat both page_id and payload are all responses.
+    smallest; rows that repeat both page_id and payload are all responses, and as equal records share their record's id. A URL may be
+    of any length.
 
     Which rows are revisits is told from lengths and digests; a revisit's payload is not moved, and of other
     payloads only those are whose page_id may be that of a revisit.
@@ -154,11 +155,14 @@ class Inflated:
         m.held = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
         return True
 
-    def until(self, mark: bytes, limit: int = 1 << 20) -> bytes:
-        while mark not in self.data:
-            if len(self.data) > limit or not self.more():
+    def until(self, mark: bytes) -> bytes:
+        """What comes before the mark, however long; the mark is looked for in what is new."""
+        seen = 0
+        while (at := self.data.find(mark, max(0, seen - len(mark)))) < 0:
+            seen = len(self.data)
+            if not self.more():
                 raise WarcError("a header does not end")
-        head, _, self.data = self.data.partition(mark)
+        head, self.data = self.data[:at], self.data[at + len(mark) :]
         return head
 
     def take(self, n: int) -> Iterator[bytes]:
@@ -244,7 +248,7 @@ def _schema(payload: bool) -> pa.Schema:
 
 
 def read(spark: SparkSession, folder: str, payload: bool = False) -> DataFrame:
-    """All records of the archives in ``folder``; no folder or an empty one: no records."""
+    """All records of the archives in ``folder``; no folder or an empty one: no records. An archive is one row while it is read, so one of 2 GB or more is an error; :func:`write` makes smaller ones."""
     batches(spark)
     archives = spark.read.format("binaryFile").load(folder).where("length > 0").select("content")
     return archives.mapInArrow(_read(payload), FIELDS + (", payload binary" if payload else ""))

@@ -87,3 +87,8 @@ def test_damage_is_told():
     for bad in (warc.member(good)[:-9], warc.member(good[:-1]), warc.member(good + b"x"), warc.member(b"HTTP" + good), b"not gzip", warc.member(good.replace(b"response\r\nContent-Length: ", b"response\r\nContent-Length: 9"))):
         with pytest.raises(warc.WarcError):
             list(warc.records(io.BytesIO(bad)))
+
+
+def test_a_url_of_megabytes(spark):
+    rows = spark.createDataFrame([(1, "http://a.b/" + "x/" * 1_500_000, "<p>long</p>")], "page_id long, url string, html string")
+    assert [tuple(r)[:2] for r in warc.round_trip(rows).collect()] == [(1, 11)]
