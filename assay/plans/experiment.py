@@ -24,6 +24,19 @@ class Outcome:
     runs: int
     description: str = ""
     metadata: dict[str, str] = field(default_factory=dict)
+    scratch: Scratch | None = None
+
+    def close(self) -> None:
+        """Delete the tables of items and evaluations now, if the experiment made them; by itself that happens when the session ends."""
+        if self.scratch is not None:
+            self.scratch.close()
+            self.scratch = None
+
+    def __enter__(self) -> Outcome:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def item_results(self) -> DataFrame:
         return results.item_results(self.items, self.evals, ["run_index", "item_idx"])
@@ -58,7 +71,7 @@ class Experiment:
             raise ValueError("runs and parallelism must be at least 1")
         self.dataset, self.task, self.evaluators, self.name, self.runs, self.parallelism = dataset, task, evaluators, name, runs, parallelism
         self.reporter, self.description, self.metadata = reporter, description, metadata or {}
-        self.save = save or (lambda n, df: Scratch(df.sparkSession, "experiment").save(df, n))
+        self.save = save
 
     def run(self) -> Outcome:
         """Evaluate all runs; a reporter is told SUCCESS or FAILED whatever happens."""
@@ -68,12 +81,14 @@ class Experiment:
             spark = self.dataset.frame.sparkSession
             cases = self.dataset.frame.withColumnRenamed("example_idx", "item_idx").withColumn("run_index", F.explode(F.sequence(F.lit(0), F.lit(self.runs - 1))))
             cases = cases.withColumn("input", F.try_element_at("inputs", F.lit("input"))).withColumn("expected_output", F.try_element_at("expected_outputs", F.lit("output")))
-            items = self.save("items", self.task(cases.repartition(self.parallelism) if self.parallelism else cases))
+            scratch = Scratch(spark, "experiment") if self.save is None else None
+            save = self.save or (lambda name, df: scratch.save(df, name))
+            items = save("items", self.task(cases.repartition(self.parallelism) if self.parallelism else cases))
             evals = evaluated(items, self.evaluators) if self.evaluators else None
             names = ["run_index", "item_idx", "evaluator_idx", "evaluator", "score", "threshold", "success", "reason", F.col("result_metadata").alias("metadata")]
             empty = "run_index int, item_idx long, evaluator_idx int, evaluator string, score double, threshold double, success boolean, reason string, metadata string"
-            evals = self.save("evals", evals.select(*names)) if evals is not None else spark.createDataFrame([], empty)
-            out = Outcome(self.name, items, evals, self.runs, self.description, self.metadata)
+            evals = save("evals", evals.select(*names)) if evals is not None else spark.createDataFrame([], empty)
+            out = Outcome(self.name, items, evals, self.runs, self.description, self.metadata, scratch)
             if self.reporter:
                 self.reporter.report(handle, out)
             status = "SUCCESS"

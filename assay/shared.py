@@ -45,14 +45,10 @@ def written(spark: SparkSession, path: str) -> bool:
     return exists(spark, f"{path}/_SUCCESS")
 
 
-def numbered(spark: SparkSession, path: str, prefix: str) -> list[int]:
-    """The numbers N of folders ``<prefix>=N`` that hold tables written to their end, in order."""
-    fs, target = _located(spark, path)
-    if not fs.exists(target):
-        return []
-    names = [f.getPath().getName() for f in fs.listStatus(target)]
-    found = sorted(int(n.removeprefix(f"{prefix}=")) for n in names if n.startswith(f"{prefix}="))
-    return [n for n in found if written(spark, f"{path}/{prefix}={n}")]
+def numbered(spark: SparkSession, path: str, prefix: str, low: int | None = None, high: int | None = None) -> list[int]:
+    """The numbers N, from ``low`` to ``high``, of folders ``<prefix>=N`` that hold tables written to their end, in order."""
+    found = sorted(int(n.removeprefix(f"{prefix}=")) for n in children(spark, path) if n.startswith(f"{prefix}="))
+    return [n for n in found if (low is None or n >= low) and (high is None or n <= high) and written(spark, f"{path}/{prefix}={n}")]
 
 
 def size(spark: SparkSession, path: str) -> int:

@@ -19,7 +19,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..shared import numbered
+from ..shared import children, numbered
 from .delivery import BATCH, Outbox, Receiver
 from .rollup import Rollup
 
@@ -102,7 +102,7 @@ def start(spark: SparkSession, source: str, target: str, checkpoint: str, once:
             # a run's items lie in the batches from its first to its last
             span = rollup.read(before=number).join(new.select("run_id").distinct(), "run_id", "left_semi").agg(F.min("first_batch"), F.max("last_batch")).first()
             if span[0] is not None:
-                parts = [f"{target}/batch={k}" for k in numbered(spark, target, "batch") if span[0] <= k <= span[1]]
+                parts = [f"{target}/batch={k}" for k in numbered(spark, target, "batch", *span)]
                 new = new.join(spark.read.schema(SCHEMA).parquet(*parts).select("run_id", "item_idx"), ["run_id", "item_idx"], "left_anti")
             new.write.mode("overwrite").parquet(f"{target}/batch={number}")
             items = spark.read.schema(SCHEMA).parquet(f"{target}/batch={number}")
@@ -136,7 +136,7 @@ def stored(spark: SparkSession, target: str) -> DataFrame:
 
 def received(spark: SparkSession, target: str, since: int = -1) -> DataFrame:
     """(report, n): items that have arrived of each report, in batches after ``since``."""
-    parts = [f"{target}-receipts/batch={k}" for k in numbered(spark, f"{target}-receipts", "batch") if k > since]
+    parts = [f"{target}-receipts/batch={k}" for k in numbered(spark, f"{target}-receipts", "batch", since + 1)]
     rows = spark.read.schema(RECEIPTS).parquet(*parts) if parts else spark.createDataFrame([], RECEIPTS)
     return rows.groupBy("report").agg(F.sum("n").alias("n"))
 
@@ -173,7 +173,7 @@ class FolderReporter:
     def send(self, rows: DataFrame) -> None:
         """Hand over rows of items; they count as reported once they are written."""
         if self.target and not self.waiting:
-            self.since = max(numbered(self.spark, f"{self.target}-receipts", "batch"), default=-1)
+            self.since = max((int(n.removeprefix("batch=")) for n in children(self.spark, f"{self.target}-receipts")), default=0) - 1  # the last one may be under way
         report, counted = uuid.uuid4().hex, Observation()
         rows.withColumn("report", F.lit(report)).observe(counted, F.count(F.lit(1)).alias("n")).write.mode("append").json(self.folder)
         if self.target and counted.get["n"]:

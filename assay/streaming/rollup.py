@@ -58,9 +58,9 @@ class Rollup:
                     delete(self.spark, f"{self.path}/{kind}={n}")
 
     def _snapshot(self, before: int | None) -> int | None:
-        return max((n for n in numbered(self.spark, self.path, "snapshot") if before is None or n < before), default=None)
+        return max(numbered(self.spark, self.path, "snapshot", high=None if before is None else before - 1), default=None)
 
     def _parts(self, before: int | None) -> list[str]:
         last = self._snapshot(before)
-        deltas = [n for n in numbered(self.spark, self.path, "batch") if (last is None or n > last) and (before is None or n < before)]
+        deltas = numbered(self.spark, self.path, "batch", None if last is None else last + 1, None if before is None else before - 1)
         return ([] if last is None else [f"{self.path}/snapshot={last}"]) + [f"{self.path}/batch={n}" for n in deltas]

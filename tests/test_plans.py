@@ -292,3 +292,16 @@ def test_report_files_are_the_texts(spark, tmp_path):
     assert (tmp_path / "x.md").read_text() == reports.to_markdown(o)
     with pytest.raises(KeyError):
         reports.write_report(o, str(tmp_path / "x.doc"))
+
+
+def test_an_outcome_takes_its_tables_with_it(spark):
+    d = ds.from_examples(spark, [{"input": "x"}])
+    with Experiment(d, lambda df: df.withColumn("actual_output", F.col("input")), [ev.response_length("input", 1, 1)], "gone").run() as o:
+        folder = o.scratch.path.removeprefix("file://")
+        assert o.summary().passed == 1.0 and os.path.exists(f"{folder}/items")
+    assert not os.path.exists(folder)
+    kept = []
+    save = lambda name, df: kept.append(name) or df
+    o = Experiment(d, lambda df: df.withColumn("actual_output", F.col("input")), [ev.response_length("input", 1, 1)], "own", save=save).run()
+    o.close()
+    assert kept == ["items", "evals"] and o.summary().total == 1
