@@ -46,10 +46,14 @@ def key_of(run_id: str, body: str) -> str:
 def gathered(items: DataFrame, size: int = BATCH, wait_ms: int = WAIT_MS) -> DataFrame:
     """A stream of requests (run_id, key, n, body) from a stream of items (run_id, item_idx, ...): of ``size`` items, or of fewer ``wait_ms`` after the first.
 
-    What waits is the stream's state, so a restart loses none; a run leaves the state when nothing of it waits.
+    What waits is the stream's state, so a restart loses none; a run leaves the state when nothing of it waits. A tick a second goes along with the
+    items: after a restart Spark looks at what has timed out only once there is something new.
     """
 
     def gather(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if group[0] is None:
+            yield pd.DataFrame({"run_id": [], "key": [], "n": [], "body": []}).astype({"n": "int64"})
+            return
         held, since = state.get if state.exists else ([], 0)
         held, now, full = list(held), state.getCurrentProcessingTimeMs(), []
         if not state.hasTimedOut:
@@ -70,8 +74,10 @@ def gathered(items: DataFrame, size: int = BATCH, wait_ms: int = WAIT_MS) -> Dat
         bodies = [body_of(x) for x in full]
         yield pd.DataFrame({"run_id": [group[0]] * len(full), "key": [key_of(group[0], b) for b in bodies], "n": [len(x) for x in full], "body": bodies})
 
-    parts = items.select("run_id", "item_idx", F.to_json(F.struct(*(c for c in items.columns if c not in ("run_id", "report")))).alias("item"))
-    return parts.groupBy("run_id").applyInPandasWithState(gather, REQUEST, "held array<string>, since long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    parts = items.select("run_id", "item_idx", F.to_json(F.struct(*(c for c in items.columns if c not in ("run_id", "report")))).alias("item")).where("run_id is not null")
+    ticks = items.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()
+    none = lambda c: F.lit(None).cast(parts.schema[c].dataType).alias(c)
+    return parts.union(ticks.select(*map(none, parts.columns))).groupBy("run_id").applyInPandasWithState(gather, REQUEST, "held array<string>, since long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def retried(send: Callable[[], None], permanent: type[Exception] = Refused, attempts: int = ATTEMPTS, backoff: float = BACKOFF) -> tuple[bool, int, str | None]:

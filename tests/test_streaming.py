@@ -160,16 +160,18 @@ def test_requests_of_ten_across_batches_and_the_rest_by_time(spark, tmp_path):
     os.mkdir(got)
     items(spark, [item("r", k) for k in range(4)] + [item("s", 0)]).coalesce(1).write.json(source)
     box = dl.Outbox(spark, str(tmp_path / "box"), kept(got))
-    query = box.start(rp.reported_items(spark, source), str(tmp_path / "cp"), wait_ms=20_000)
-    until(lambda: query.lastProgress and query.lastProgress["numInputRows"] == 0 or query.lastProgress and query.lastProgress["batchId"] >= 1)
+    query = box.start(rp.reported_items(spark, source), str(tmp_path / "cp"), wait_ms=45_000)
+    until(lambda: query.lastProgress and query.lastProgress["batchId"] >= 1)
     assert calls(got) == []  # four of ten wait
     items(spark, [item("r", k) for k in range(4, 12)]).coalesce(1).write.mode("append").json(source)
     until(lambda: len(calls(got)) == 1)
     assert calls(got) == [("r", list(range(10)))]  # from two batches
+    done = query.lastProgress["batchId"]
+    until(lambda: query.lastProgress["batchId"] > done + 1)
     query.stop()
-    query.awaitTermination(10)  # a restart loses none of those that wait
-    query = dl.Outbox(spark, str(tmp_path / "box"), kept(got)).start(rp.reported_items(spark, source), str(tmp_path / "cp"), wait_ms=20_000)
-    until(lambda: len(calls(got)) >= 3 or (not query.isActive and query.exception()), 60)
+    query.awaitTermination(10)  # a restart loses none of those that wait, with nothing new
+    query = dl.Outbox(spark, str(tmp_path / "box"), kept(got)).start(rp.reported_items(spark, source), str(tmp_path / "cp"), wait_ms=45_000)
+    until(lambda: len(calls(got)) >= 3 or (not query.isActive and query.exception()), 150)
     query.stop()
     query.awaitTermination(10)
     assert calls(got) == [("r", list(range(10))), ("r", [10, 11]), ("s", [0])]
