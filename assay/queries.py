@@ -436,9 +436,10 @@ def vector_index_topk(spark, sf):
 def items_in_documents(spark, sf):
     """The documents that hold each benchmark text, or are held by it; an empty text lies in every one."""
     from .operators.containment import either
+    from .shared import spread
 
     b = d.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), fn.normalize_text("text").alias("text"))
-    x = d.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), fn.normalize_text("text").alias("text"))
+    x = spread(d.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")).select("id", fn.normalize_text("text").alias("text"))
     hits = either(b, x).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
     docs, empty = d.table(spark, sf, "documents").agg(F.count("text"), F.count_if(F.col("text").rlike(r"^\s*$"))).first()
     every = F.when(F.col("text") == "", F.lit(docs)).when(F.col("text").isNotNull(), F.lit(empty)).otherwise(F.lit(0))

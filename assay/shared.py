@@ -119,6 +119,12 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
+def spread(df: DataFrame, below: int = 1 << 30) -> DataFrame:
+    """Rows for costly work, dealt evenly to all cores if the plan's size estimate is ``below`` so many bytes: a small file may be one row group and so one task. Larger inputs stay as they are."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < below else df
+
+
 class Scratch:
     """A folder of Parquet tables for one operator call."""
 
