@@ -57,6 +57,23 @@ def test_a_run_that_failed_asks_only_what_is_missing(spark, tmp_path):
     assert len(told(log)) - asked == 60 - len(kept)
 
 
+def test_replies_outlive_later_folds(spark, tmp_path):
+    """A frame that is not read before later questions have folded the log twice still has its replies; waves are bounded."""
+    r = Replies(spark, str(tmp_path / "t"), counting(tmp_path / "log"), every=1)
+    r.waves = 31
+    df = spark.createDataFrame([(k, f"p{k}") for k in range(3)], "id long, p string")
+    lists = df.select("id", F.array("p").alias("ps"))
+    one, each = r.on(df, "r", F.col("p")), r.on_each(lists, "r", F.col("ps"))
+    for k in range(3):
+        r.ask(spark.createDataFrame([(f"more{k}",)], "prompt string"))
+        assert r.log.fold()
+    assert {x.id: x.r for x in one.collect()} == {k: f"re: p{k}" for k in range(3)}
+    assert {x.id: x.r for x in each.collect()} == {k: [f"re: p{k}"] for k in range(3)}
+    before = r.waves
+    r.ask(spark.range(70).select(F.concat(F.lit("many"), F.col("id").cast("string")).alias("prompt")))
+    assert before < r.waves <= before + 64 and r.log.state().count() == 76
+
+
 def test_lists_of_prompts(spark, tmp_path):
     log = tmp_path / "log"
     r = Replies(spark, str(tmp_path / "t"), counting(log))
