@@ -410,13 +410,12 @@ def contextual_relevance_mean(spark, sf):
 @query("select a.vec_id, count(*) filter (where b.label = a.label) relevant, count(*) n from (select x.vec_id, x.label, y.vec_id other, row_number() over (partition by x.vec_id order by list_dot_product(x.embedding::double[], y.embedding::double[]) desc, y.vec_id) nth from embeddings x join embeddings y on x.vec_id <> y.vec_id where x.vec_id % 100 = 0) a join embeddings b on b.vec_id = other where nth <= 10 group by 1")
 def topk_precision_embeddings(spark, sf):
     """Ten nearest vectors of every row whose id is divisible by 100, and how many share the label; each task ranks its own rows before the last ranking."""
-    rows = d.table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    queries = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("q_label"), F.col("v").alias("q_v"))
-    dot = F.aggregate(F.zip_with("q_v", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    near = rows.join(queries, F.col("vec_id") != F.col("q")).select("q", "q_label", "label", "vec_id", dot.alias("sim"))
-    nth = F.row_number().over(tr.Window.partitionBy("q").orderBy(F.desc("sim"), "vec_id"))
-    near = near.withColumn("nth", nth).where("nth <= 10")
-    return near.groupBy(F.col("q").alias("vec_id")).agg(F.count_if(F.col("label") == F.col("q_label")).alias("relevant"), F.count("*").alias("n"))
+    from .operators import vectors as vs
+    from .shared import spread
+
+    rows = spread(d.table(spark, sf, "embeddings")).select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("v"))
+    near = vs.dot_top(d.table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("v")), rows, 10)
+    return near.groupBy(F.col("q").alias("vec_id")).agg(F.count_if("same").alias("relevant"), F.count("*").alias("n"))
 
 
 @query("select vec_id, least(10, (select count(*) from embeddings) - 1) n, true recalled from embeddings where vec_id % 100 = 0")
