@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..shared import Scratch
+from ..shared import Scratch, dealt
 
 _S, _D, _B, _TS = T.StringType(), T.DoubleType(), T.BooleanType(), T.TimestampType()
 
@@ -117,7 +117,7 @@ def trends(s: Store, limit: int = 20, experiment_id: str | None = None) -> DataF
     """The last ``limit`` completed runs of each experiment in order of time; the rate is 0 without items."""
     runs = s.runs if experiment_id is None else s.runs.where(F.col("experiment_id") == F.lit(experiment_id))
     last = Window.partitionBy("experiment_id").orderBy(F.desc("started_at"), F.desc("run_id"))
-    runs = runs.where(F.col("status").isin(*COMPLETED)).withColumn("_nth", F.row_number().over(last)).where(F.col("_nth") <= limit).drop("_nth")
+    runs = dealt(runs.where(F.col("status").isin(*COMPLETED)), "experiment_id").withColumn("_nth", F.row_number().over(last)).where(F.col("_nth") <= limit).drop("_nth")
     out = s.counts(_chosen(runs)).withColumn("pass_rate", F.coalesce(_rate(), F.lit(0.0)))
     return out.orderBy("experiment_id", "started_at", "run_id")
 
@@ -237,7 +237,10 @@ def run_table(s: Store, run_id: str | None, names: list[str]) -> DataFrame:
     """Items against evaluators: score and success of the first evaluation of each name."""
     items = s.items if run_id is None else s.items.where(F.col("run_id") == F.lit(run_id))
     evals = s.evals if run_id is None else s.evals.where(F.col("run_id") == F.lit(run_id))
-    cells = evals.join(items.select("item_id"), "item_id", "left_semi").groupBy("item_id").pivot("evaluator", sorted(names)).agg(F.min_by("score", "eval_id").alias("score"), F.min_by("success", "eval_id").alias("success"))
-    return items.select("item_id", "run_id", "input").join(cells, "item_id", "left")
+    at = lambda name, c: F.min_by(c, F.when(F.col("evaluator") == name, F.col("eval_id"))).alias(f"{name}_{c}")
+    items = dealt(items.select("item_id", "run_id", "input"), "item_id")
+    evals = dealt(evals.select("item_id", "evaluator", "eval_id", "score", "success"), "item_id")
+    cells = evals.join(items.select("item_id"), "item_id", "left_semi").groupBy("item_id").agg(*(at(name, c) for name in sorted(names) for c in ("score", "success")))
+    return items.join(cells, "item_id", "left")
 
 

@@ -15,6 +15,8 @@ import uuid
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
+MOST = 20_000  # partitions that rows are dealt to
+
 _own: dict[str, str] = {}
 _one_at_a_time = threading.Lock()
 
@@ -125,6 +127,14 @@ def spread(df: DataFrame, below: int = 1 << 30) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < below else df
 
 
+def dealt(df: DataFrame, *keys: str, each: int = 1 << 19) -> DataFrame:
+    """Rows dealt by keys so that a partition holds about ``each`` bytes of the plan's size estimate: what a task holds of groups and sorts by these keys does not grow with the input."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, size >> 17))  # beneath the session's number a join deals anew
+    return df.repartition(max(least, min(size // each, MOST)), *keys)
+
+
 class Scratch:
     """A folder of Parquet tables for one operator call."""
 

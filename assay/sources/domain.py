@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.tracking import Store
+from ..shared import dealt
 
 STATUS = "case o_orderstatus when 'F' then 'SUCCESS' when 'O' then 'FAILED' else 'RUNNING' end"
 
@@ -30,9 +31,14 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("experiment_id"), F.expr(STATUS).alias("status"), F.col("o_orderdate").cast("timestamp").alias("started_at"))
 
 
+def lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of lineitem, dealt by run: what is grouped, ranked or joined by run and more needs no other shuffle."""
+    return dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", *columns), "l_orderkey")
+
+
 def evals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One evaluation per lineitem row; its number inside an item follows the row's own values."""
-    rows = table(spark, sf_dir, "lineitem")
+    rows = lines(spark, sf_dir, "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_discount", "l_returnflag")
     nth = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")) - 1
     score = F.col("l_discount") * 10
     return rows.select(
@@ -42,9 +48,9 @@ def evals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plain_evals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """:func:`evals` without numbers inside an item: a projection of the scan, for queries that do not ask for order."""
+    """:func:`evals` without numbers inside an item, for queries that do not ask for order."""
     score = F.col("l_discount") * 10
-    return table(spark, sf_dir, "lineitem").select(item_id().alias("item_id"), F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").cast("long").alias("item_idx"), F.col("l_returnflag").alias("evaluator"), score.alias("score"), (score >= 0.5).alias("success"))
+    return lines(spark, sf_dir, "l_linenumber", "l_discount", "l_returnflag").select(item_id().alias("item_id"), F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").cast("long").alias("item_idx"), F.col("l_returnflag").alias("evaluator"), score.alias("score"), (score >= 0.5).alias("success"))
 
 
 def item_id():
@@ -52,7 +58,7 @@ def item_id():
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(item_id().alias("item_id"), F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").cast("long").alias("item_idx")).distinct()
+    return lines(spark, sf_dir, "l_linenumber").select(item_id().alias("item_id"), F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").cast("long").alias("item_idx")).distinct()
 
 
 def store(spark: SparkSession, sf_dir: str) -> Store:

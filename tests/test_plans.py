@@ -305,3 +305,17 @@ def test_an_outcome_takes_its_tables_with_it(spark):
     o = Experiment(d, lambda df: df.withColumn("actual_output", F.col("input")), [ev.response_length("input", 1, 1)], "own", save=save).run()
     o.close()
     assert kept == ["items", "evals"] and o.summary().total == 1
+
+
+def test_rows_by_run_are_dealt_to_partitions_of_bounded_size(spark, tmp_path, monkeypatch):
+    """However large the tables are, a partition of a trend, a run table or a pivot holds a bounded share of them."""
+    from assay import shared
+    from assay.sources import domain
+
+    sf = "/root/testdata/sf0.01"
+    n = lambda df: df.rdd.getNumPartitions()
+    few, many = shared.dealt(domain.table(spark, sf, "lineitem"), "l_orderkey", each=1 << 30), shared.dealt(domain.table(spark, sf, "lineitem"), "l_orderkey", each=1 << 16)
+    assert n(few) <= 4 < 12 <= n(many)
+    share = max(r["count"] for r in many.groupBy(F.spark_partition_id().alias("p")).count().collect())
+    assert share < 3 * many.count() / n(many)
+    assert "REPARTITION_BY_NUM" in domain.plain_evals(spark, sf)._jdf.queryExecution().executedPlan().toString()
