@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import r6, safe_name
+from ..shared import dealt
 
 ZERO = 0.0
 
@@ -108,7 +109,7 @@ def pivoted(evals: DataFrame, by: list[str], names: list[str]) -> DataFrame:
 def cells(evals: DataFrame, by: list[str], names: list[str]) -> DataFrame:
     """As :func:`pivoted`, with columns ``<n>_score`` and ``<n>_pass`` for the n-th name, from 1: no name can clash or break a column's."""
     at = F.array_position(F.array(*map(F.lit, names)), F.col("evaluator"))
-    return evals.withColumn("_at", at).groupBy(*by).pivot("_at", list(range(1, len(names) + 1))).agg(F.max_by("score", "evaluator_idx").alias("score"), F.max_by("success", "evaluator_idx").alias("pass"))
+    return dealt(evals.select(*by, "evaluator_idx", "score", "success", at.alias("_at")), *by).groupBy(*by).pivot("_at", list(range(1, len(names) + 1))).agg(F.max_by("score", "evaluator_idx").alias("score"), F.max_by("success", "evaluator_idx").alias("pass"))
 
 
 def distinct_names(names: list[str]) -> list[str]:
