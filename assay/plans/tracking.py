@@ -216,8 +216,9 @@ def added_items(payload: DataFrame, runs: DataFrame, call: str | None = None) ->
         nth = F.row_number().over(Window.partitionBy("run_id", "_same").orderBy(F.lit(0)))
         known = known.withColumn("_call", F.lit(call or uuid.uuid4().hex)).withColumn("_same", same).withColumn("_request", F.concat_ws("-", "_same", nth.cast("string")))
     flat = known.select("run_id", "_call", "_request", F.posexplode("items").alias("at", "item"))
+    flat = flat.select("run_id", _id("_call", "run_id", "_request", "at").alias("item_id"), F.struct(*(f"item.{c}" for c in ("inputs", "expectedOutputs", "actualOutputs", "evalResults"))).alias("item"))
+    flat = dealt(Scratch(payload.sparkSession, "added").save(flat, "flat"), "run_id")  # written once: items and evaluations are both read from it
     text = lambda c: F.when(F.size(c) > 0, F.to_json(c))
-    flat = flat.withColumn("item_id", _id("_call", "run_id", "_request", "at"))
     items = flat.select(
         "item_id", "run_id", text(F.col("item.inputs")).alias("input"), text(F.col("item.expectedOutputs")).alias("expected_output"),
         text(F.col("item.actualOutputs")).alias("actual_output"), text(F.col("item.inputs")).alias("metadata"), F.current_timestamp().alias("created_at"),

@@ -157,7 +157,7 @@ def get_or_create_anti_join(spark, sf):
 def add_items_explode(spark, sf):
     """Reported batches of items, one per run, flattened to evaluation rows of known runs."""
     items, evals = tr.added_items(_payload(spark, sf), d.runs(spark, sf), call="once")
-    return evals.join(items.select("item_id"), "item_id").select("run_id", "evaluator", "score", "success")
+    return evals.join(items.select("run_id", "item_id"), ["run_id", "item_id"]).select("run_id", "evaluator", "score", "success")
 
 
 @query("select o_orderkey run_id, 2 * count(l_orderkey) total, 2 * count(*) filter (where l_discount * 10 >= 0.5) passed from orders left join lineitem on l_orderkey = o_orderkey group by 1")
@@ -170,7 +170,7 @@ def repeated_requests(spark, sf):
 
 
 def _payload(spark, sf):
-    rows = d.table(spark, sf, "lineitem")
+    rows = d.lines(spark, sf, "l_partkey", "l_suppkey", "l_discount", "l_returnflag")
     e = F.struct(F.col("l_returnflag").alias("name"), (F.col("l_discount") * 10).alias("score"), F.lit(0.5).alias("threshold"), (F.col("l_discount") * 10 >= 0.5).alias("success"), F.lit("").alias("reason"))
     item = F.struct(F.create_map(F.lit("input"), F.col("l_partkey").cast("string")).alias("inputs"), F.create_map().cast("map<string,string>").alias("expectedOutputs"), F.create_map(F.lit("output"), F.col("l_suppkey").cast("string")).alias("actualOutputs"), F.array(e).alias("evalResults"))
     kind = "struct<inputs:map<string,string>,expectedOutputs:map<string,string>,actualOutputs:map<string,string>,evalResults:array<struct<name:string,score:double,threshold:double,success:boolean,reason:string>>>"

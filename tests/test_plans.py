@@ -319,3 +319,13 @@ def test_rows_by_run_are_dealt_to_partitions_of_bounded_size(spark, tmp_path, mo
     share = max(r["count"] for r in many.groupBy(F.spark_partition_id().alias("p")).count().collect())
     assert share < 3 * many.count() / n(many)
     assert "REPARTITION_BY_NUM" in domain.plain_evals(spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_added_items_are_made_once(spark):
+    """Items and evaluations are read from what was written: neither numbers the requests anew."""
+    kind = "run_id long, items array<struct<inputs:map<string,string>,expectedOutputs:map<string,string>,actualOutputs:map<string,string>,evalResults:array<struct<name:string,score:double,threshold:double,success:boolean,reason:string>>>>"
+    item = ({"a": "b"}, {}, {"o": "p"}, [("e", 1.0, 0.5, True, "")])
+    payload = spark.createDataFrame([(1, [item, item]), (1, [item, item]), (2, [item])], kind)
+    items, evals = tracking.added_items(payload, spark.createDataFrame([(1,)], "run_id long"), call="c")
+    assert items.count() == evals.count() == items.select("item_id").distinct().count() == 4
+    assert all("Window" not in f._jdf.queryExecution().executedPlan().toString() for f in (items, evals))
