@@ -13,13 +13,14 @@ from dataclasses import dataclass
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import escape_csv, escape_html, escape_markdown_cell, format_value, safe_name, truncate
 from ..operators import results
 from ..shared import Scratch, join_parts
 from ..shipping import ship
+from ..sources.json_ranges import members
 from .experiment import Outcome
 
 
@@ -87,6 +88,11 @@ def json_report(o: Outcome, timestamp: dt.datetime | None = None) -> Report:
     return Report(text, lines) if last is None else Report(text.removesuffix("]\n}") + "\n", lines, "  ]\n}")
 
 
+def read_json(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
+    """A JSON report's head, and (nth, text) of its items in order. The file is read by ranges: no task reads more than one of them, whatever its size."""
+    return members(spark, path, "items", whole=("metadata", "config", "summary"))
+
+
 def to_json(o: Outcome, timestamp: dt.datetime | None = None) -> str:
     return json_report(o, timestamp).text()
 

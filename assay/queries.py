@@ -686,14 +686,17 @@ def report_html_rows(spark, sf):
 
 @query(f"select 'quiet' as name, 2::bigint runs, count(distinct item_idx) total, {R6.format('count(*) filter (where ok) / 2.0::double')} passed, {R6.format(R6.format('count(*) filter (where ok) / 2.0::double / count(distinct item_idx)'))} pass_rate, count(distinct item_idx) items from (select run_index, item_idx, bool_and(success) ok from ({OUTCOMES}) group by all)", "pairs")
 def report_json_file(spark, sf):
-    """The JSON report as one file, written by parts, and read again."""
-    from .plans.reports import write_report
+    """The JSON report as one file, written by parts, and read again by ranges."""
+    from .plans.reports import read_json, write_report
     from .shared import Scratch
 
     path = f"{Scratch(spark, 'report').path}/report.json"
     write_report(_outcome(spark, sf), path)
-    kind = "experimentName string, config struct<runs:long>, summary struct<totalExamples:long,passCount:double,passRate:double,runCount:long>, items array<struct<input:string>>"
-    return spark.read.schema(kind).json(path, multiLine=True).select(F.col("experimentName").alias("name"), "config.runs", F.col("summary.totalExamples").alias("total"), F.col("summary.passCount").alias("passed"), F.col("summary.passRate").alias("pass_rate"), F.size("items").cast("long").alias("items"))
+    head, items = read_json(spark, path)
+    n = items.agg(F.count(F.from_json("text", "input string", {"mode": "FAILFAST"})).alias("items"))
+    value = lambda v, kind, name: F.lit(v).cast(kind).alias(name)
+    s = head["summary"]
+    return n.select(value(head["experimentName"], "string", "name"), value(head["config"]["runs"], "long", "runs"), value(s["totalExamples"], "long", "total"), value(s["passCount"], "double", "passed"), value(s["passRate"], "double", "pass_rate"), "items")
 
 
 @query("select input, actual_output, case when turn % 4 = 0 then input || '|' || role end context from pairs", "pairs")

@@ -123,6 +123,30 @@ def _outline(states: dict[Place, tuple[int, int]]) -> Callable:
     return outline
 
 
+def _holding(known: dict[Place, tuple[int, int, int, int]], wanted: list[int]) -> Callable:
+    """``known`` as for :func:`_cutting`. What each range holds of the wanted objects of the root, between their braces."""
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for place, parts in _by_range(batches):
+            inside, depth, arrays, _ = known[place]
+            walk, found = Walk(inside, depth, arrays), {}
+            for raw in parts:
+                first, depth = walk.arrays, walk.depth
+                at, before, after = walk.step(raw)
+                opens = at[(before == 1) & (after == 2)]
+                level = np.repeat(np.append(depth, after), np.diff(np.concatenate([[0], at, [len(raw)]])))  # of each byte
+                level[at] = np.minimum(before, after)
+                ends = np.concatenate([[0], opens, [len(raw)]])  # what lies between is the root's or one child's
+                for k in range(len(ends) - 1):
+                    if first + k in wanted:
+                        part = slice(ends[k], ends[k + 1])
+                        found[first + k] = found.get(first + k, b"") + raw[part][level[part] >= 2].tobytes()
+                walk.arrays += len(opens)
+            yield pa.RecordBatch.from_arrays([pa.array([place[0]] * len(found), pa.string()), pa.array([place[1]] * len(found), pa.int64()), pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["path", "start", "nth", "text"])
+
+    return hold
+
+
 def _cutting(known: dict[Place, tuple[int, int, int, int]], wanted: int) -> Callable:
     """``known``: state, arrays begun and members of the wanted array begun before each range."""
 
@@ -164,11 +188,12 @@ def _batch(place: Place, rows: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([place[0]] * n, pa.string()), pa.array([place[1]] * n, pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["nth", "whole", "path", "start", "text"])
 
 
-def members(spark: SparkSession, path: str, key: str) -> tuple[dict, DataFrame]:
+def members(spark: SparkSession, path: str, key: str, whole: tuple[str, ...] = ()) -> tuple[dict, DataFrame]:
     """The file's root object, with what its arrays and objects hold left out, and (nth, text) of each object or array in the array under ``key``.
 
     Raises ValueError for a file that is no JSON object; a member that is no JSON is told by whoever parses it. Members that are numbers, texts or
-    null are left out. The driver holds a few numbers a range and the root's own values.
+    null are left out. Objects of the root named in ``whole`` keep what they hold, at the price of one more reading of the file. The driver holds a few
+    numbers a range, the root's own values and those objects.
     """
     ship(spark)
     lines = spark.read.option("lineSep", "}").text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
@@ -201,13 +226,23 @@ def members(spark: SparkSession, path: str, key: str) -> tuple[dict, DataFrame]:
     if not isinstance(head, dict):
         raise ValueError("Failed to parse JSON dataset: no object")
     wanted = n = 0
+    kept = {}
     for name, v in pairs:
         n += isinstance(v, (list, dict))
+        if name in whole:
+            kept.pop(name, None)
+            kept |= {name: n} if isinstance(v, dict) else {}
         wanted = n if name == key and isinstance(v, list) else 0 if name == key else wanted
     base, known = 0, {}
     for place in sorted(states):
         known[place] = (*states[place], arrays[place], base)
         base += counts[place].get(wanted, 0)
+    if kept:
+        held = sorted(lines.mapInArrow(_holding(known, list(kept.values())), "path string, start long, nth long, text binary").collect())
+        try:
+            head |= {name: json.loads(b"{" + b"".join(bytes(r.text) for r in held if r.nth == k) + b"}") for name, k in kept.items()}
+        except ValueError as e:
+            raise ValueError(f"Failed to parse JSON dataset: {e}") from e
     found = lines.mapInArrow(_cutting(known, wanted), "nth long, whole boolean, path string, start long, text binary")
     parts = found.where("not whole").groupBy("nth").agg(F.sort_array(F.collect_list(F.struct("path", "start", "text"))).alias("p"))
     joined = parts.select("nth", F.aggregate("p", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["text"])).alias("text"))

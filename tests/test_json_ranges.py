@@ -66,3 +66,28 @@ def test_what_is_no_dataset(spark, tmp_path, small_ranges):
     assert empty.size() == 0 and empty.name == "unnamed"
     head, found = members(spark, str(tmp_path / "e.json"), "none")
     assert head == {"examples": [], "name": 5} and found.collect() == []
+
+
+def test_objects_of_the_root_are_kept_whole(spark, tmp_path, small_ranges):
+    """Named objects before, after and across ranges keep what they hold; others do not; of equal names the last counts."""
+    deep = {"a": ['}"', {"b": [{}, "{"]}], "n": 1.5, "t": "\\" + "]" * 700}
+    text = json.dumps({"first": deep, "no": {"x": 1}, "items": [{"input": "}{" * 300}, {"input": "b", "first": {"z": 1}}], "empty": {}, "list": [1, {}], "last": {"k": deep}, "end": None}, indent=2)
+    (tmp_path / "x.json").write_text(text)
+    head, found = members(spark, str(tmp_path / "x.json"), "items", whole=("first", "empty", "list", "last", "end", "absent"))
+    assert head == {"first": deep, "no": {}, "items": [], "empty": {}, "list": [], "last": {"k": deep}, "end": None}
+    assert [json.loads(r.text)["input"] for r in found.orderBy("nth").collect()] == ["}{" * 300, "b"]
+    (tmp_path / "y.json").write_text('{"o": {"a": 1}, "items": [{"b": 2}], "o": {"c": [3]}}')
+    assert members(spark, str(tmp_path / "y.json"), "items", whole=("o",))[0]["o"] == {"c": [3]}
+
+
+def test_a_report_is_read_by_ranges(spark, monkeypatch, small_ranges):
+    """No task reads the whole file of report_json_file."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    from assay.plans import reports
+    from assay.queries import QUERIES
+
+    read, seen = reports.read_json, []
+    monkeypatch.setattr(reports, "read_json", lambda s, path: seen.append(read(s, path)) or seen[-1])
+    row = QUERIES["report_json_file"](spark, "/root/testdata/sf0.001").first()
+    (head, items), = seen
+    assert items.rdd.getNumPartitions() >= 4 and row.items == items.count() == head["summary"]["totalExamples"] > 0 and head["config"] == {"runs": 2}
