@@ -550,19 +550,21 @@ def streaming_reporter(spark, sf):
 
 def _stream(spark, sf, evals: bool = False) -> str:
     """Store all items by the stream, some of them reported twice, with ``evals`` in a later batch; where they are stored."""
-    from .shared import Scratch
+    from .shared import Scratch, dealt
     from .streaming import reporter as rp
 
     base = Scratch(spark, "reporter").path
     score = F.col("l_discount") * 10
-    rows = d.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("run_id"), F.col("l_linenumber").cast("long").alias("item_idx"))
+    lines = d.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", *(["l_returnflag"] if evals else []))
+    rows = dealt(lines, "l_orderkey", each=1 << 20, least=spark.sparkContext.defaultParallelism).groupBy("l_orderkey", "l_linenumber")
     judged = F.collect_list(F.struct(F.col("l_returnflag").alias("name"), score.alias("score"), F.lit(0.5).alias("threshold"), (score >= 0.5).alias("success"), F.lit("").alias("reason")))
     rows = rows.agg(F.min("l_partkey").cast("string").alias("input"), F.max("l_suppkey").cast("string").alias("actual_output"), F.bool_and(score >= 0.5).alias("success"), F.min(score).alias("score"), *([judged.alias("evals")] if evals else []))
+    rows = rows.withColumns({"l_orderkey": F.col("l_orderkey").cast("string"), "l_linenumber": F.col("l_linenumber").cast("long")}).withColumnsRenamed({"l_orderkey": "run_id", "l_linenumber": "item_idx"})
     go = lambda: rp.start(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", once=True).awaitTermination()
-    rows.write.json(f"{base}/in")
+    rp.hand_over(rows, f"{base}/in")
     if evals:
         go()
-    rows.where("item_idx = 1").write.mode("append").json(f"{base}/in")  # these are reported again
+    rp.hand_over(rows.where("item_idx = 1"), f"{base}/in")  # these are reported again
     go()
     return f"{base}/out"
 

@@ -127,11 +127,16 @@ def spread(df: DataFrame, below: int = 1 << 30) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < below else df
 
 
-def dealt(df: DataFrame, *keys: str, each: int = 1 << 19) -> DataFrame:
-    """Rows dealt by keys so that a partition holds about ``each`` bytes of the plan's size estimate: what a task holds of groups and sorts by these keys does not grow with the input."""
+def dealt(df: DataFrame, *keys: str, each: int = 1 << 19, least: int | None = None, large: bool = False) -> DataFrame:
+    """Rows dealt by keys so that a partition holds about ``each`` bytes of the plan's size estimate: what a task holds of groups and sorts by these keys does not grow with the input.
+
+    There are at least as many as a join takes as they are, or ``least``. With ``large``, rows that the session's partitions hold at that size are dealt to as few as Spark finds fit."""
     spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, size >> 17))  # beneath the session's number a join deals anew
+    size, usual = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if large and size // each <= usual:
+        return df.repartition(*keys)
+    if least is None:
+        least = min(usual, max(spark.sparkContext.defaultParallelism, size >> 17))  # beneath the session's number a join deals anew
     return df.repartition(max(least, min(size // each, MOST)), *keys)
 
 

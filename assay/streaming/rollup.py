@@ -46,6 +46,10 @@ class Rollup:
         rows = self.spark.read.schema(SCHEMA).parquet(*parts)
         return rows.groupBy("run_id").agg(F.sum("total").alias("total"), F.sum("passed").alias("passed"), F.min("first_batch").alias("first_batch"), F.max("last_batch").alias("last_batch"))
 
+    def empty(self, before: int | None = None) -> bool:
+        """Whether nothing was added; of batches ``before`` a number, if it is given."""
+        return not self._parts(before)
+
     def fold(self, upto: int) -> None:
         """Make a snapshot of all batches up to one. The snapshot before it and the deltas that it has replaced go; those that readers of the last may hold stay until the next fold."""
         last = self._snapshot(upto)

@@ -105,6 +105,28 @@ def test_a_batch_that_is_tried_again_counts_once(spark, tmp_path):
     assert sum(r.n for r in rp.received(spark, target).collect()) == 36
 
 
+def test_a_large_batch_is_handed_over_small_and_held_nowhere(spark, tmp_path, monkeypatch):
+    """Reported items are compressed; a batch is not persisted, and is dealt to partitions of bounded size."""
+    from pyspark.sql import DataFrame
+
+    from assay import shared
+
+    monkeypatch.setattr(DataFrame, "persist", lambda *a: pytest.fail("a batch is persisted"))
+    monkeypatch.setattr(rp, "dealt", lambda df, *keys, each, large: shared.dealt(df, *keys, each=20, large=large))
+    source, target, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    reporter = rp.FolderReporter(spark, source, target=target)
+    for k in range(2):
+        reporter.send(items(spark, [item("r", j, j % 3 > 0) for j in range(k * 500, k * 500 + 800)] * 2))
+        rp.start(spark, source, target, cp, once=True).awaitTermination()
+        assert reporter.flush(1)
+    files = [f for f in os.listdir(source) if f.startswith("part-")]
+    assert all(f.endswith(".json.gz") for f in files) and sum(os.path.getsize(f"{source}/{f}") for f in files) < 3200 * 20
+    assert len([f for f in os.listdir(f"{target}/batch=0") if f.startswith("part-")]) > 8
+    assert {(r.run_id, r.total, r.passed) for r in Rollup(spark, f"{target}-rollup").read().collect()} == {("r", 1300, 866)}
+    got = rp.stored(spark, target)
+    assert got.count() == got.select("item_idx").distinct().count() == 1300 and sum(r.n for r in rp.received(spark, target).collect()) == 3200
+
+
 def test_rollup_folds_deltas(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("assay.streaming.rollup.FOLD", 3)
     rollup, want = Rollup(spark, str(tmp_path / "r")), collections.Counter()
