@@ -586,7 +586,7 @@ def _rolled(spark, sf):
 
     s = d.store(spark, sf)
     s.items = s.evals = None
-    s.rollup = Rollup(spark, f"{_stream(spark, sf, evals=True)}-rollup").read().withColumn("run_id", F.col("run_id").cast("long"))
+    s.rollup = Rollup(spark, f"{_stream(spark, sf, evals=True)}-rollup").read(key="long")
     return s
 
 

@@ -14,6 +14,7 @@ import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MOST = 20_000  # partitions that rows are dealt to
 
@@ -47,6 +48,12 @@ def written(spark: SparkSession, path: str) -> bool:
     return exists(spark, f"{path}/_SUCCESS")
 
 
+def mark(spark: SparkSession, path: str) -> None:
+    """Say that a table, written without it, has been written to its end."""
+    fs, target = _located(spark, f"{path}/_SUCCESS")
+    fs.create(target, True).close()
+
+
 def numbered(spark: SparkSession, path: str, prefix: str, low: int | None = None, high: int | None = None) -> list[int]:
     """The numbers N, from ``low`` to ``high``, of folders ``<prefix>=N`` that hold tables written to their end, in order."""
     found = sorted(int(n.removeprefix(f"{prefix}=")) for n in children(spark, path) if n.startswith(f"{prefix}="))
@@ -130,16 +137,23 @@ def spread(df: DataFrame, below: int = 1 << 30) -> DataFrame:
 def dealt(df: DataFrame, *keys: str, each: int = 1 << 19, least: int | None = None, large: bool = False) -> DataFrame:
     """Rows dealt by keys so that a partition holds about ``each`` bytes of the plan's size estimate: what a task holds of groups and sorts by these keys does not grow with the input.
 
-    There are at least as many as a join takes as they are, or ``least``. With ``large``, rows that the session's partitions hold at that size are dealt to as few as Spark finds fit."""
+    There are at least as many as a join takes as they are; or ``least``, and a multiple of it, so that the last wave of tasks, and of tasks that read their files, is full. With ``large``, rows that the session's partitions hold at that size are dealt to as few as Spark finds fit."""
     spark = df.sparkSession
     size, usual = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), int(spark.conf.get("spark.sql.shuffle.partitions"))
     if large and size // each <= usual:
         return df.repartition(*keys)
-    if least is None:
-        least = min(usual, max(spark.sparkContext.defaultParallelism, size >> 17))  # beneath the session's number a join deals anew
+    if least is not None:
+        return df.repartition(-(-max(1, min(size // each, MOST)) // least) * least, *keys)
+    least = min(usual, max(spark.sparkContext.defaultParallelism, size >> 17))  # beneath the session's number a join deals anew
     return df.repartition(max(least, min(size // each, MOST)), *keys)
 
 
+def repeats(df: DataFrame, *keys: str) -> bool:
+    """Whether keys may occur twice: told from their hashes, so True may be an accident, False is certain."""
+    hashes = dealt(df.select(F.xxhash64(*keys).alias("key")), "key", each=1 << 20, least=df.sparkSession.sparkContext.defaultParallelism)
+    return (hashes.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > 1
+
+
 class Scratch:
     """A folder of Parquet tables for one operator call."""
 

@@ -19,7 +19,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..shared import children, dealt, numbered
+from ..shared import children, dealt, delete, mark, numbered, repeats
 from .delivery import BATCH, Outbox, Receiver
 from .rollup import Rollup
 
@@ -101,25 +101,43 @@ def start(spark: SparkSession, source: str, target: str, checkpoint: str, once:
     rollup = Rollup(spark, f"{target}-rollup")
 
     def store(batch: DataFrame, number: int) -> None:
-        # not persisted: its files are read again instead, so a batch of any size holds no memory
-        new = dealt(batch.drop("report"), "run_id", "item_idx", each=1 << 20, large=True).dropDuplicates(["run_id", "item_idx"])
-        if not rollup.empty(before=number):
+        # parsed once, to a table without the mark that it counts, and not persisted: a batch of any size holds no memory
+        whole, place = f"{target}/whole={number}", f"{target}/batch={number}"
+        batch.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(whole)
+        batch = spark.read.schema(f"{SCHEMA}, report string").parquet(whole)
+        new, repeated = batch.drop("report"), repeats(batch, "run_id", "item_idx")
+        if repeated:
+            new = dealt(new, "run_id", "item_idx", each=1 << 20, large=True).dropDuplicates(["run_id", "item_idx"])
+        parts = tables(spark, target, high=number - 1)
+        if len(parts) > 1:
             # a run's items lie in the batches from its first to its last
             span = rollup.read(before=number).join(batch.select("run_id").distinct(), "run_id", "left_semi").agg(F.min("first_batch"), F.max("last_batch")).first()
-            if span[0] is not None:
-                parts = [f"{target}/batch={k}" for k in numbered(spark, target, "batch", *span)]
-                new = new.join(spark.read.schema(SCHEMA).parquet(*parts).select("run_id", "item_idx"), ["run_id", "item_idx"], "left_anti")
-        new.write.mode("overwrite").parquet(f"{target}/batch={number}")
-        items = spark.read.schema(SCHEMA).parquet(f"{target}/batch={number}")
+            parts = tables(spark, target, *span) if span[0] is not None else []
+        if parts:
+            new = new.join(spark.read.schema(SCHEMA).parquet(*parts).select("run_id", "item_idx"), ["run_id", "item_idx"], "left_anti")
+        if repeated or parts:
+            new.write.mode("overwrite").parquet(place)
+        else:
+            delete(spark, place)
+            mark(spark, whole)
+            place = whole
+        items = spark.read.schema(SCHEMA).parquet(place)
         rollup.add(items, number)
         batch.groupBy("report").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{target}-receipts/batch={number}")
         if receiver:
             Outbox(spark, f"{target}-requests", receiver).deliver(bodies(items), number)
+        if place != whole:
+            delete(spark, whole)
 
     writer = reported_items(spark, source, files_per_batch).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=EVERY)).start()
 
 
+def tables(spark: SparkSession, target: str, low: int | None = None, high: int | None = None) -> list[str]:
+    """Where the items of batches, from ``low`` to ``high``, are stored: ``whole=N`` as they came, ``batch=N`` without those that had come before."""
+    return [f"{target}/{kind}={k}" for kind in ("whole", "batch") for k in numbered(spark, target, kind, low, high)]
+
+
 def reported_items(spark: SparkSession, source: str, files_per_batch: int | None = None) -> DataFrame:
     """The stream of items, each with the report that it came by."""
     reader = spark.readStream.schema(f"{SCHEMA}, report string")
@@ -133,7 +151,7 @@ def start_sending(spark: SparkSession, source: str, path: str, checkpoint: str,
 
 def stored(spark: SparkSession, target: str) -> DataFrame:
     """The items stored so far, each once: only batches written to their end count."""
-    parts = [f"{target}/batch={k}" for k in numbered(spark, target, "batch")]
+    parts = tables(spark, target)
     return spark.read.schema(SCHEMA).parquet(*parts) if parts else spark.createDataFrame([], SCHEMA)
 
 

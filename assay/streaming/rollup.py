@@ -38,18 +38,14 @@ class Rollup:
         if len(self._parts(None)) > FOLD:
             self.fold(number)
 
-    def read(self, before: int | None = None) -> DataFrame:
-        """(run_id, total, passed, first_batch, last_batch) of each run with items; of batches ``before`` a number only, if it is given."""
+    def read(self, before: int | None = None, key: str = "string") -> DataFrame:
+        """(run_id, total, passed, first_batch, last_batch) of each run with items; of batches ``before`` a number only, if it is given. ``key``: the type of run_id, cast before it is grouped by, so that a join takes the groups as they lie."""
         parts = self._parts(before)
         if not parts:
-            return self.spark.createDataFrame([], SCHEMA)
-        rows = self.spark.read.schema(SCHEMA).parquet(*parts)
+            return self.spark.createDataFrame([], SCHEMA).withColumn("run_id", F.col("run_id").cast(key))
+        rows = self.spark.read.schema(SCHEMA).parquet(*parts).withColumn("run_id", F.col("run_id").cast(key))
         return rows.groupBy("run_id").agg(F.sum("total").alias("total"), F.sum("passed").alias("passed"), F.min("first_batch").alias("first_batch"), F.max("last_batch").alias("last_batch"))
 
-    def empty(self, before: int | None = None) -> bool:
-        """Whether nothing was added; of batches ``before`` a number, if it is given."""
-        return not self._parts(before)
-
     def fold(self, upto: int) -> None:
         """Make a snapshot of all batches up to one. The snapshot before it and the deltas that it has replaced go; those that readers of the last may hold stay until the next fold."""
         last = self._snapshot(upto)

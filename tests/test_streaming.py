@@ -127,6 +127,47 @@ def test_a_large_batch_is_handed_over_small_and_held_nowhere(spark, tmp_path, mo
     assert got.count() == got.select("item_idx").distinct().count() == 1300 and sum(r.n for r in rp.received(spark, target).collect()) == 3200
 
 
+def test_a_batch_of_new_items_is_parsed_once_and_stored_as_it_came(spark, tmp_path, monkeypatch):
+    """Rows are dealt and sorted only where an item occurs twice; a table without its mark does not count."""
+    from pyspark.sql import DataFrame
+
+    source, target, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    reporter = rp.FolderReporter(spark, source, target=target)
+    run = lambda: rp.start(spark, source, target, cp, once=True).awaitTermination()
+    found = lambda: sorted((r.run_id, r.item_idx) for r in rp.stored(spark, target).collect())
+    counts = lambda: {r.run_id: (r.total, r.passed) for r in Rollup(spark, f"{target}-rollup").read().collect()}
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "dropDuplicates", lambda *a: pytest.fail("new items are sorted"))
+        reporter.send(items(spark, [item("r", j, j % 3 > 0) for j in range(30)]))
+        run()
+        assert reporter.flush(1) and found() == [("r", j) for j in range(30)] and counts() == {"r": (30, 20)}
+        reporter.send(items(spark, [item("r", j, j % 3 > 0) for j in range(20, 40)]))  # ten of them again
+        run()
+        assert reporter.flush(1) and found() == [("r", j) for j in range(40)] and counts() == {"r": (40, 26)}
+    reporter.send(items(spark, [item("r", j) for j in (39, 40, 40)] + [item("s", 0)] * 2))
+    run()
+    assert reporter.flush(1) and found() == [("r", j) for j in range(41)] + [("s", 0)] and counts() == {"r": (41, 27), "s": (1, 1)}
+    assert [f for f in sorted(os.listdir(target)) if "=" in f] == ["batch=1", "batch=2", "whole=0"]
+    os.remove(f"{target}/whole=0/_SUCCESS")  # as if the driver had died before it
+    assert ("r", 0) not in found() and len(found()) == 12
+
+
+def test_rows_are_dealt_in_full_waves_and_repeats_are_told(spark):
+    from assay import shared
+
+    rows = spark.range(2000, numPartitions=1).selectExpr("id % 1990 id", "cast(id as string) s")
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert [shared.dealt(rows, "id", each=size // n, least=4).rdd.getNumPartitions() for n in (1, 4, 5, 9)] == [4, 4, 8, 12]
+    assert shared.repeats(rows, "id") and not shared.repeats(rows, "id", "s") and not shared.repeats(rows.where("false"), "id")
+
+
+def test_rollup_casts_its_key_before_it_groups(spark, tmp_path):
+    rollup = Rollup(spark, str(tmp_path / "r"))
+    assert dict(rollup.read(key="long").dtypes)["run_id"] == "bigint"
+    rollup.add(items(spark, [item("1", 0), item("1", 1, False), item("12", 0)]), 0)
+    assert {(r.run_id, r.total, r.passed) for r in rollup.read(key="long").collect()} == {(1, 2, 1), (12, 1, 1)}
+
+
 def test_rollup_folds_deltas(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("assay.streaming.rollup.FOLD", 3)
     rollup, want = Rollup(spark, str(tmp_path / "r")), collections.Counter()
