@@ -2,8 +2,10 @@
 
 Equal vectors of a label are one node. Every node starts with random neighbours; a round of descent brings each node's
 neighbours, and those that it is a neighbour of, together, compares them with each other and keeps the best for each.
-A list full of links is saturated and grows. Rounds end when few lists change; an audit then compares a bounded
-number of vectors with all others and asks for more rounds, longer lists and new random edges while its recall is short.
+From the second round on nodes that lie close in some random projections meet too: among many vectors of a label, lists
+settle far from links that no neighbour knows of. A list full of links is saturated and grows. Rounds end when few lists
+change or no links are gained; an audit then compares a bounded number of vectors with all others and asks for more rounds,
+longer lists, new random edges and twice as many projections while its recall is short.
 
 The graph's edges at the threshold give components. Inside them an exact check counts links: vectors lie in blocks in order
 of a projection code, two blocks whose angles prove all or none of their pairs linked are counted at once, and only the other
@@ -12,6 +14,8 @@ pairs of blocks are compared.
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +32,8 @@ SAMPLE = 12  # of a node's neighbours, and of those it is a neighbour of, that m
 BEST = 4  # partners that one meeting offers to a node, besides links
 GATHER = 24  # nodes of a random meeting
 SETTLED = 0.08  # share of new entries below which rounds end: links are found long before lists stand still
+STILL = 1e-3  # gain of links below which rounds end, lists of more than LIST links counted as LIST
+ORDERS = 4  # projections of a round
 NEAR = 4e-3  # error of similarities in half precision, doubled
 ROUNDS, TRIES, AUDIT = 16, 6, 1000
 HOT = 100_000  # nodes of a kind that no task should have by itself
@@ -154,17 +160,59 @@ def _trimmed(edges: DataFrame, longest: int, least: float, turn: int) -> DataFra
     return edges.withColumn("go", F.row_number().over(some) <= SAMPLE).drop("rank")
 
 
-def _descended(nodes: DataFrame, graph: DataFrame, longest: int, least: float, scratch: Scratch, turn: int) -> DataFrame:
-    """The lists after one round of neighbours-of-neighbours."""
+def _turned(turn: int, orders: int):
+    """Rows once for each of a round's random projections (go), with a code: the coordinates that are largest after random rotations."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            size = np.array([len(u) // 2 for u in batch.column("unit").to_pylist()], dtype=np.int64)
+            for d, go in itertools.product(np.unique(size).tolist(), range(orders)):
+                rows = batch.take(pa.array(np.flatnonzero(size == d)))
+                x, code = _small(rows.column("unit")), np.zeros(rows.num_rows, dtype=np.int64)
+                for axes in _axes(d, turn, go):
+                    y = x @ axes
+                    at = np.abs(y).argmax(axis=1)
+                    code = code * 128 + 2 * at + (y[np.arange(len(y)), at] > 0)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(len(code), go)), pa.array(code)], names=[*rows.schema.names, "go", "code"])
+
+    return run
+
+
+@functools.cache
+def _axes(d: int, turn: int, go: int) -> list[np.ndarray]:
+    rng = np.random.default_rng([d, turn, go])
+    return [np.linalg.qr(rng.standard_normal((d, min(d, 64))))[0].astype(np.float32) for _ in range(4)]
+
+
+def _projected(heads: DataFrame, turn: int, orders: int, least: float) -> DataFrame:
+    """Edges (a, b, sim) of meetings of nodes of a kind that follow each other in the order of a projection's code."""
+    rows = heads.mapInArrow(_turned(turn, orders), "node long, kind long, unit binary, floor double, go long, code long")
+    rows = rows.repartitionByRange("go", "kind", "code", "node").sortWithinPartitions("go", "kind", "code", "node")
+    return rows.withColumn("new", F.lit(True)).mapInArrow(_met(["go", "kind"], 4 * GATHER, BEST, least), "a long, b long, sim double")
+
+
+def _descended(nodes: DataFrame, graph: DataFrame, longest: int, least: float, scratch: Scratch, turn: int, orders: int) -> DataFrame:
+    """The lists after one round of neighbours-of-neighbours and ``orders`` projections."""
     floor = F.when(F.count("*") < LIST, -1.0).when((F.min("sim") >= least - NEAR) & (F.count("*") < longest), least - NEAR).otherwise(F.min("sim"))
-    heads = nodes.select("node", "unit").join(graph.groupBy(F.col("a").alias("node")).agg(floor.alias("floor")), "node")
+    heads = nodes.select("node", "kind", "unit").join(graph.groupBy(F.col("a").alias("node")).agg(floor.alias("floor")), "node")
+    heads = scratch.save(heads, f"heads-{turn + 1}")
     go = graph.where("go").select("a", "b", "new")
     back = Window.partitionBy("b").orderBy(F.desc("new"), F.xxhash64("a", F.lit(turn)))
     reverse = go.withColumn("rank", F.row_number().over(back)).where(f"rank <= {SAMPLE}").select(F.col("b").alias("at"), F.col("a").alias("node"), "new")
-    meeting = go.select(F.col("a").alias("at"), F.col("b").alias("node"), "new").union(reverse).join(heads, "node")
+    meeting = go.select(F.col("a").alias("at"), F.col("b").alias("node"), "new").union(reverse).join(heads.drop("kind"), "node")
     found = _grouped(meeting.select("at", "node", "new", "unit", "floor"), "at").mapInArrow(_met(["at"], 2 * SAMPLE, BEST, least), "a long, b long, sim double")
+    if orders:
+        found = found.union(_projected(heads, turn, orders, least))
     merged = graph.select("a", "b", "sim", (F.col("new") & ~F.col("go")).alias("new")).union(found.withColumn("new", F.lit(True)))
-    return scratch.save(_trimmed(merged, longest, least, turn + 1), f"graph-{turn + 1}")
+    out = scratch.save(_trimmed(merged, longest, least, turn + 1), f"graph-{turn + 1}")
+    scratch.drop(f"graph-{turn}", f"heads-{turn + 1}")
+    return out
+
+
+def _gained(graph: DataFrame, least: float) -> tuple[int, int, int, int]:
+    """Threshold edges, new entries and all entries of the lists, and threshold edges with LIST of a list at most."""
+    lists = graph.groupBy("a").agg(F.count_if(F.col("sim") >= least).alias("links"), F.count_if("new").alias("new"), F.count("*").alias("n"))
+    return tuple(lists.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("links", "new", "n", F.least("links", F.lit(LIST))))).first())
 
 
 def _same(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,14 +399,16 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, recall: float = 0.9
     longest, turn = LONGEST, 0
     graph = scratch.save(_trimmed(_random(nodes, 0, least).withColumn("new", F.lit(True)), longest, least, 0), "graph-0")
     for attempt in range(1, TRIES + 1):
-        for _ in range(ROUNDS):
-            graph, turn = _descended(nodes, graph, longest, least, scratch, turn), turn + 1
-            told = graph.agg(F.count_if(F.col("sim") >= least), F.count_if("new"), F.count("*")).first()
+        held = -1
+        for k in range(ROUNDS):
+            graph, turn = _descended(nodes, graph, longest, least, scratch, turn, ORDERS << attempt - 1 if turn else 0), turn + 1
+            links, new, entries, gained = _gained(graph, least)
             if progress is not None:
-                progress.append((turn, told[0], told[1]))
-            scratch.drop(f"graph-{turn - 1}")
-            if told[1] <= SETTLED * told[2]:
+                progress.append((turn, links, new))
+            # a round without projections, or the first after new edges, tells nothing of what can still be gained
+            if new <= SETTLED * entries or k > 1 and gained <= held * (1 + STILL):
                 break
+            held = gained
         links = scratch.save(_links(nodes, graph, least), f"links-{attempt}")
         component = components(links, scratch, f"components-{attempt}")
         found = _audit(nodes, component, least)
@@ -366,7 +416,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, recall: float = 0.9
             break
         if attempt == TRIES:
             raise RuntimeError(f"near_duplicates: recall {found:.4f} is under {recall} after {attempt} tries")
-        # saturated lists grow, and new random edges lead out of where the lists have settled
+        # saturated lists grow, and new random edges and more projections lead out of where the lists have settled
         longest *= 2
         more = graph.drop("go").union(_random(nodes, attempt, least).withColumn("new", F.lit(True)))
         graph, turn = scratch.save(_trimmed(more, longest, least, turn + 1), f"graph-{turn + 1}"), turn + 1

@@ -100,6 +100,27 @@ def test_short_recall_goes_on_or_raises(spark, monkeypatch):
         got(spark, rows)
 
 
+def test_links_that_no_neighbour_knows_of(spark, monkeypatch):
+    """Short lists among many far vectors settle where no neighbour leads to a link, as long ones do among more vectors: projections lead there."""
+    for name, value in {"LIST": 4, "SAMPLE": 3, "GATHER": 8, "TRIES": 2}.items():
+        monkeypatch.setattr(neighbours, name, value)
+    rows = planted(n=1500, pairs=60)
+    progress = []
+    out = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA), progress=progress).collect())
+    want = brute(rows, 0.93)
+    assert sum(r[1] for r in want) == 240 and sum(r[1] for r in out) >= 237
+    assert all(a[1] <= b[1] and a[2] >= b[2] for a, b in zip(out, want, strict=True))
+    assert progress[0][1] < 0.1 * 240
+
+
+def test_rounds_end_when_no_links_are_gained(spark):
+    """Lists of far vectors still change when the last links have long been found."""
+    rows, progress = [(k, v.tolist(), 0) for k, v in enumerate(np.random.default_rng(4).standard_normal((3000, 48)))], []
+    out = near_duplicates(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA), progress=progress)
+    assert out.where("n_links <> 0 or not kept").count() == 0 and out.count() == 3000
+    assert len(progress) == 3
+
+
 def test_hot_kinds_meet_as_others_do(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "HOT", 50)
     rows = planted(n=60, pairs=20) + [(9000, [1.0] * 64, 7), (9001, [1.0] * 63 + [1.1], 7)]
